@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.linededup import dedup_lines
+from tidemark.llm.mixing import schedule
+from tidemark.llm.sharding import shard_ids
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +42,58 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document stands in the stream that mixes the sources to their temperature weights."""
+    return schedule(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), l AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i FROM t
+), k AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), hot AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT k.doc_id, k.i, k.line, hot.key IS NOT NULL AND hot.keeper <> k.doc_id AS gone FROM k LEFT JOIN hot USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_ids(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH s AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents
+), cand AS (
+  SELECT doc_id, n_bytes, d, h >> (60 - d) AS p FROM s, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS d)
+), fits AS (
+  SELECT d, p FROM cand GROUP BY d, p HAVING sum(n_bytes) <= 16777216 OR count(*) = 1
+), best AS (
+  SELECT doc_id, min(d) AS depth FROM cand JOIN fits USING (d, p) GROUP BY doc_id
+)
+SELECT s.doc_id, s.n_bytes, depth || ':' || (h >> (60 - depth)) AS shard_id, depth FROM s JOIN best USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op2_benchmark_decontamination": op2_benchmark_decontamination}
+    return {
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_pfair_mixing": op3_pfair_mixing,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_extendible_sharding": op5_extendible_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_extendible_sharding": OP5_SQL}
