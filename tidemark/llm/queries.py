@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.mixing import schedule
+from tidemark.llm.pii import BASE, KINDS, find_pii
 from tidemark.llm.sharding import shard_ids
+from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.tokencount import token_counts
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +90,38 @@ SELECT s.doc_id, s.n_bytes, depth || ':' || (h >> (60 - depth)) AS shard_id, dep
 """
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+
+    def of(kinds: tuple[str, ...]) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(of((k,))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(of(BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_pfair_mixing": op3_pfair_mixing,
         "op4_line_dedup": op4_line_dedup,
         "op5_extendible_sharding": op5_extendible_sharding,
+        "op6_pii": op6_pii,
+        "op7_token_counts": op7_token_counts,
+        "op10_simhash_near_dup": op10_simhash_near_dup,
     }
 
 
