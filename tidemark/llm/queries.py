@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.langid import predict_language
 from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.mixing import schedule
 from tidemark.llm.pii import BASE, KINDS, find_pii
@@ -108,6 +109,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -121,6 +126,7 @@ def queries() -> dict:
         "op5_extendible_sharding": op5_extendible_sharding,
         "op6_pii": op6_pii,
         "op7_token_counts": op7_token_counts,
+        "op9_language_id": op9_language_id,
         "op10_simhash_near_dup": op10_simhash_near_dup,
     }
 
