@@ -10,6 +10,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.langid import predict_language
 from tidemark.llm.linededup import dedup_lines
+from tidemark.llm.lmscore import score_documents
 from tidemark.llm.mixing import schedule
 from tidemark.llm.pii import BASE, KINDS, find_pii
 from tidemark.llm.sharding import shard_ids
@@ -109,6 +110,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
@@ -126,6 +131,7 @@ def queries() -> dict:
         "op5_extendible_sharding": op5_extendible_sharding,
         "op6_pii": op6_pii,
         "op7_token_counts": op7_token_counts,
+        "op8_lm_scores": op8_lm_scores,
         "op9_language_id": op9_language_id,
         "op10_simhash_near_dup": op10_simhash_near_dup,
     }
