@@ -212,9 +212,8 @@ def train(windows: list[tuple[str, bytes]]) -> ByteGru | None:
     return model
 
 
-def predict_language(docs: DataFrame, learn_from: DataFrame | None = None, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: a row per row of ``docs``. Learns from the rows of ``learn_from`` (``docs`` itself if not given) outside the held-out fold."""
-    source = docs if learn_from is None else learn_from
+def _predicted(docs: DataFrame, source: DataFrame, kept: list[str], doc_col: str, text_col: str, lang_col: str, folds: int, held_out_fold: int) -> DataFrame:
+    """kept (a struct of those columns), lang_pred, score."""
     model = train(training_windows(source.where(fold_column(F.col(doc_col), folds) != held_out_fold), doc_col=doc_col, text_col=text_col, lang_col=lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -228,8 +227,19 @@ def predict_language(docs: DataFrame, learn_from: DataFrame | None = None, doc_c
             if places:
                 for k, p in zip(places, model.document_probabilities([texts[k].encode() for k in places]), strict=True):
                     best[k] = (model.labels[p.argmax()], float(min(1.0, p.max())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())], ["doc", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())], ["kept", "lang_pred", "score"])
+
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("kept"), docs[text_col].alias("text"))
+    return rows.mapInArrow(predict, f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def predict_language(docs: DataFrame, learn_from: DataFrame | None = None, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2) -> DataFrame:
+    """doc_id, held_out, lang_pred, score: a row per row of ``docs``. Learns from the rows of ``learn_from`` (``docs`` itself if not given) outside the held-out fold."""
+    found = _predicted(docs, docs if learn_from is None else learn_from, [doc_col], doc_col, text_col, lang_col, folds, held_out_fold)
+    return found.select(F.col("kept")[doc_col].alias(doc_col), (fold_column(F.col("kept")[doc_col], folds) == held_out_fold).alias("held_out"), "lang_pred", "score")
+
 
-    kind = docs.schema[doc_col].dataType.simpleString()
-    found = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(predict, f"doc {kind}, lang_pred string, score double")
-    return found.select(F.col("doc").alias(doc_col), (fold_column(F.col("doc"), folds) == held_out_fold).alias("held_out"), "lang_pred", "score")
+def keep_recognised(docs: DataFrame, min_score: float, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with at least ``min_score``, all columns as they are."""
+    found = _predicted(docs, docs, docs.columns, doc_col, text_col, lang_col, folds, held_out_fold)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("kept.*")

@@ -11,6 +11,7 @@ from tidemark.llm.decontaminate import contamination
 from tidemark.llm.langid import predict_language
 from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.lmscore import score_documents
+from tidemark.llm.media import read_features, store
 from tidemark.llm.mixing import schedule
 from tidemark.llm.pii import BASE, KINDS, find_pii
 from tidemark.llm.sharding import shard_ids
@@ -18,6 +19,10 @@ from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tokencount import token_counts
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_features(store(table(spark, sf_dir, "documents"))).withColumnRenamed("doc", "doc_id")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -125,6 +130,7 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_progressive_jpeg": op1_progressive_jpeg,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_pfair_mixing": op3_pfair_mixing,
         "op4_line_dedup": op4_line_dedup,

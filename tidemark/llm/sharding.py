@@ -82,7 +82,8 @@ def _pages(full: DataFrame, limit: int) -> DataFrame:
 
 
 def assign_shards(docs: DataFrame, max_shard_bytes: int = MAX_SHARD_BYTES, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column shard_id, dealt so that each shard is written by one task. Rows with one id get that id's shards in any order."""
+    """``docs`` with a column shard_id (in place of one that was there), dealt so that each shard is written by one task. Rows with one id get that id's shards in any order."""
+    docs = docs.drop("shard_id")
     key = Window.partitionBy("__id").orderBy("shard_id")
     ids = shard_ids(docs, max_shard_bytes, doc_col, text_col).select(F.col(doc_col).alias("__id"), "shard_id")
     ids = ids.withColumn("__n", F.row_number().over(key))
