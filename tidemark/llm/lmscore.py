@@ -128,7 +128,7 @@ def _train_round(texts: DataFrame, weights: dict[str, np.ndarray], rate: float)
                 ["block", "model", "weight", "x"],
             )
 
-    def average(key, table: pa.Table) -> pa.Table:
+    def average(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         w = table.column("weight").to_numpy()
         x = np.stack([np.asarray(v, np.float64) for v in table.column("x").to_pylist()])
         mean = (w[:, None] * x).sum(0) / w.sum()
@@ -137,7 +137,7 @@ def _train_round(texts: DataFrame, weights: dict[str, np.ndarray], rate: float)
     schema = "block int, model int, weight double, x array<float>"
     models = texts.select("tokens", F.spark_partition_id().alias("part")).mapInArrow(train, schema)
     while parts > 1:  # at most FAN_IN models meet in a task, however many there are
-        models = models.groupBy("block", F.expr(f"model div {FAN_IN}").cast("int").alias("model")).applyInArrow(average, schema)
+        models = models.withColumn("model", F.expr(f"cast(model div {FAN_IN} as int)")).groupBy("block", "model").applyInArrow(average, schema)
         parts = -(-parts // FAN_IN)
     found = sorted(models.select("block", "x").collect())  # one model's weights
     return neural_lm.unflat(np.concatenate([np.asarray(r["x"]) for r in found]), weights) if found else weights
