@@ -3,7 +3,7 @@
 Everything is gathered from all training documents: word counts (a shuffle), and the recurrent model's weights, which
 come from one pass over every training token in ROUNDS rounds. A round trains on its own part of the documents, in
 each Spark partition from the same weights, and the partitions' weights are averaged by their tokens in Spark. The
-HEAD most frequent words (a fixed number) go to all executors; all rarer words meet their counts in a shuffled join.
+most frequent words (HEAD at most) go to all executors; all rarer words meet their counts in a shuffled join.
 
 A word outside the recurrent model's vocabulary has the probability of "other" in its place times its smoothed share
 of all such words, so that both scores are sums over the same tokens.
@@ -36,6 +36,19 @@ STREAM_TOKENS = 1 << 20
 BLOCK, FAN_IN = 4096, 256
 
 
+def _head(counts: DataFrame, head_words: int) -> tuple[list[tuple[bytes, int]], int]:
+    """The words with the highest counts, most frequent first, and the count from which on words are among them. The count is the least on a scale of eight steps a doubling that lets in at most ``head_words``, so all tasks together send no more to the driver."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    sizes = sorted(((r["s"], r["k"], r["least"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).collect()), reverse=True)  # at most 8 * 63 rows
+    total, least = 0, 1 << 62
+    for _, k, n in sizes:
+        if total + k > head_words:
+            break
+        total, least = total + k, n
+    rows = [(bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= least).collect()]
+    return sorted(rows, key=lambda r: (-r[1], r[0])), least
+
+
 def _words(text: str | None) -> Iterator[list[bytes]]:
     return word_chunks((text or "").encode().lower())
 
@@ -162,7 +175,7 @@ def score_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     counts = materialize(count_words(rows.where(~held)), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_types = sums["n"] + n_ends, sums["v"] + (n_ends > 0)
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(head_words).collect()]
+    top, least = _head(counts, head_words)
     head, head_n = {w: k for k, (w, _) in enumerate(top)}, np.array([n for _, n in top], np.float64)
     logs = np.log10(head_n + 0.5)
 
@@ -177,8 +190,7 @@ def score_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     recurrent = _recurrent_scores(encoded, weights)
 
     rare = encoded.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("uid", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("k"))
-    least = int(head_n[-1]) if len(top) == head_words else 0  # words counted oftener are all in the head
-    tail = counts.where(F.col("n") <= least).withColumnRenamed("n", "c") if least else counts.limit(0).withColumnRenamed("n", "c")
+    tail = counts.where(F.col("n") < least).withColumnRenamed("n", "c")
     found = rare.join(tail, "word", "left").select("uid", "k", F.coalesce("c", F.lit(0)).alias("c"))
     rare_sums = found.groupBy("uid").agg(F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
 
