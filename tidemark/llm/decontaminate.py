@@ -20,13 +20,14 @@ from tidemark.llm.common import ascii_lower, materialize
 NGRAM = 13
 MAX_BROADCAST_WINDOWS = 1 << 18
 BITS_PER_WINDOW = 16
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word of the text as it stands, with what separates it from the word before.
-PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words of a text in lower case. Splitting is linear in the text; regexp_extract_all copies it at every match.
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The places in a text as it stands where a word ends and a separator starts.
+WORD_END = r"(?<=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
 
 
 def benchmark_windows(benchmark: DataFrame, ngram: int = NGRAM, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -112,8 +113,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "docu
     if mode != "spans":
         raise ValueError("mode is documents or spans")
     bad = bad.groupBy("__bad").agg(F.first("__spans").alias("__spans"))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(PIECE), F.lit(0))
-    tail = F.regexp_extract(F.col(text_col), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+\z", 0)
-    clean = F.concat(F.array_join(F.filter(pieces, lambda _, i: ~F.exists(F.col("__spans"), lambda s: (s["pos"] <= i) & (i < s["end"]))), ""), tail)
+    # Piece i is word i with the separators before it; a last piece may be separators alone.
+    pieces = F.split(F.col(text_col), WORD_END)
+    clean = F.array_join(F.filter(pieces, lambda _, i: ~F.exists(F.col("__spans"), lambda s: (s["pos"] <= i) & (i < s["end"]))), "")
     joined = docs.join(bad, same, "left")
     return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean)).drop("__bad", "__spans")
