@@ -73,12 +73,12 @@ def contamination(
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
         if bitmap is not None:
 
-            def set_in_bitmap(i: Column) -> Column:
-                h = F.xxhash64(F.slice(F.col("w"), i, n))
+            def set_in_bitmap(h: Column) -> Column:
                 word = F.get(bitmap, F.shiftrightunsigned(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int"))
                 return F.call_function("bit_get", word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-            starts = F.filter(starts, set_in_bitmap)
+            # exists over an array of one binds the hash to a name: each window is hashed once, and no array of hashes is held.
+            starts = F.filter(starts, lambda i: F.exists(F.array(F.xxhash64(F.slice(F.col("w"), i, n))), set_in_bitmap))
         return F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(F.col("w"), i, n), " ").alias("gram")))
 
     none = F.array().cast("array<struct<pos:int,n:int,gram:string>>")
