@@ -480,12 +480,12 @@ def a31_kish_clusters(spark, d):
     return inference.kish(inference.cluster_stats(_inference(spark, d)))
 
 
-@query(f"WITH {_INFERENCE}, {_DRAWN} SELECT model_name, grouping_name, group_key, replicate, {r('sum(w * b) / sum(w * n)')} AS brier, {r('sum(w * l) / sum(w * n)')} AS log_loss FROM stats JOIN drawn USING (cluster) GROUP BY ALL")
+@query(f"WITH {_INFERENCE}, {_DRAWN} SELECT model_name, grouping_name, group_key, replicate, {r('sum(w * b) / nullif(sum(w * n), 0)')} AS brier, {r('sum(w * l) / nullif(sum(w * n), 0)')} AS log_loss FROM stats JOIN drawn USING (cluster) GROUP BY ALL")
 def d17_bootstrap_replicates(spark, d):
     return inference.bootstrap_means(inference.cluster_stats(_inference(spark, d)))
 
 
-@query(f"""WITH {_INFERENCE}, {_DRAWN}, m AS (SELECT model_name, grouping_name, group_key, replicate, sum(w * b) / sum(w * n) AS brier, sum(w * l) / sum(w * n) AS log_loss FROM stats JOIN drawn USING (cluster) GROUP BY ALL),
+@query(f"""WITH {_INFERENCE}, {_DRAWN}, m AS (SELECT model_name, grouping_name, group_key, replicate, sum(w * b) / nullif(sum(w * n), 0) AS brier, sum(w * l) / nullif(sum(w * n), 0) AS log_loss FROM stats JOIN drawn USING (cluster) GROUP BY ALL),
 e AS (SELECT model_name, grouping_name, group_key, sum(n) AS rows, count(*) AS clusters, sum(b) / sum(n) AS brier, sum(l) / sum(n) AS log_loss FROM stats GROUP BY ALL),
 q AS (SELECT model_name, grouping_name, group_key, quantile_cont(brier, [0.025, 0.975]) AS brier, quantile_cont(log_loss, [0.025, 0.975]) AS log_loss FROM m GROUP BY ALL)
 SELECT model_name, grouping_name, group_key, CAST(rows AS BIGINT) AS rows, clusters, 'ok' AS status, metric, {r('estimate')} AS estimate, {r('ci[1]')} AS low, {r('ci[2]')} AS high FROM (
@@ -509,7 +509,7 @@ def a32_paired_diagnostics(spark, d):
     return inference.paired_diagnostics(inference.paired_stats(_inference(spark, d)))
 
 
-@query(f"""WITH {_PAIRED}, {_DRAWN}, m AS (SELECT model_name, grouping_name, group_key, replicate, sum(w * b) / sum(w * n) AS brier, sum(w * l) / sum(w * n) AS log_loss FROM pairs JOIN drawn USING (cluster) GROUP BY ALL),
+@query(f"""WITH {_PAIRED}, {_DRAWN}, m AS (SELECT model_name, grouping_name, group_key, replicate, sum(w * b) / nullif(sum(w * n), 0) AS brier, sum(w * l) / nullif(sum(w * n), 0) AS log_loss FROM pairs JOIN drawn USING (cluster) GROUP BY ALL),
 e AS (SELECT model_name, grouping_name, group_key, sum(b) / sum(n) AS brier, sum(l) / sum(n) AS log_loss FROM pairs GROUP BY ALL),
 t AS (SELECT model_name, grouping_name, group_key, 'brier' AS metric, any_value(e.brier) AS estimate, avg(CASE WHEN e.brier > 0 THEN m.brier <= 0 ELSE m.brier >= 0 END::INT) AS tail FROM m JOIN e USING (model_name, grouping_name, group_key) GROUP BY ALL
   UNION ALL SELECT model_name, grouping_name, group_key, 'log_loss', any_value(e.log_loss), avg(CASE WHEN e.log_loss > 0 THEN m.log_loss <= 0 ELSE m.log_loss >= 0 END::INT) FROM m JOIN e USING (model_name, grouping_name, group_key) GROUP BY ALL),
