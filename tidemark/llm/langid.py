@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import fold_column
 
 WINDOW, LANES, HIDDEN, PAD = 64, 4096, 8, 256
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_LANGUAGES = 300, 6, 1000
+DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_LANGUAGES, PARTS = 300, 6, 1000, 64
 STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 7
 _LETTER = regex.compile(r"\p{L}")
 
@@ -174,8 +174,10 @@ class ByteGru:
 def training_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """(label, window) of the sample: per label the ``docs_per_language`` rows first by a hash of the id, from each up to ``windows_per_doc`` windows spread over the text."""
     rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc")
-    ids = rows.where("lang IS NOT NULL").select("doc", "lang", F.row_number().over(first).alias("n")).where(F.col("n") <= docs_per_language)
+    # Ranked by label and part of the hash first: the second ranking gets PARTS * docs_per_language rows of a label at most, however many tasks there are.
+    ids = rows.where("lang IS NOT NULL").select("doc", "lang", F.xxhash64("doc").alias("h")).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc"))).where(F.col("n") <= docs_per_language)
     ids = ids.select(F.col("doc").alias("id"), F.col("lang").alias("of"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
