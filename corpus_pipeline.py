@@ -34,7 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The stream that keeps the sources' temperature weights, in its order, up to the first source's end."""
+    """All documents in the order of the stream that keeps the sources' temperature weights; a source that has run out leaves the rotation."""
     return mix(docs)
 
 

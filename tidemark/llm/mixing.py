@@ -1,10 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source of weight w = q / D gives block k the release time floor(k / w) and the deadline ceil((k + 1) / w), in slots
-of one block. Earliest deadline first among the released blocks fills every slot, and after any number t of slots each
-source has run w * t blocks, less or more by under one block. The schedule repeats after D slots, so the driver makes
-one cycle of D slots (a size that follows the number of sources, not the rows), and each row's slot is arithmetic on
-its number in its source. Numbers come from counts per source and hash range, so no source meets in one task.
+Each source has a target line: the blocks it should have run after t slots. While all sources last, that is w * t; a
+source that has run out leaves the rotation and the others share its slots by their weights. The lines of all sources
+sum to t and end at the sources' blocks, so every block has a slot. Block k is released where its source's line reaches
+k (rounded down) and due where it reaches k + 1 (rounded up); earliest deadline first among the released blocks fills
+every slot and meets all deadlines, so that after any number of slots each source is under one block off its line. The
+lines are exact integers over the unrounded weights. One task makes a row per block, with memory that follows the
+number of sources; the rows of the table are numbered from counts per source and hash range, so no source meets in
+one task.
+
+With a table of weights, :func:`schedule` repeats a cycle of whole slots per source instead and marks the prefix at
+these weights; the cycle is no shorter than the stream, so its rounding stays under one block.
 
 Defined cases: a null source is the empty source; ties in the order (repeated rows) take numbers in any order; null
 texts count as rows; an empty table gives an empty table; other columns are ignored, and kept by :func:`mix`.
@@ -14,12 +20,19 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.llm.common import materialize
+
 BLOCK_ROWS = 16
 #: Target weights without a given table: rows of the source to this power.
 TEMPERATURE = 0.7
@@ -63,6 +76,45 @@ def pfair_cycle(quanta: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+def whole_stream(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) for each slot until all sources have run out, by earliest deadline first."""
+    names = sorted(blocks)
+    exact = [Fraction(weights[s]) for s in names]
+    if any(x <= 0 for x in exact):
+        raise ValueError("weights must be positive")
+    scale = math.lcm(*[x.denominator for x in exact])
+    w, n = [int(x * scale) for x in exact], [blocks[s] for s in names]
+    ends = sorted(range(len(names)), key=lambda i: Fraction(n[i], w[i]))
+    active, ended = [sum(w)], [0]
+    for i in ends:
+        active.append(active[-1] - w[i])
+        ended.append(ended[-1] + n[i])
+    stage = [0] * len(names)
+
+    def reached(i: int, k: int) -> tuple[int, int]:
+        """The time at which the line of source i reaches k, rounded down and up."""
+
+        def lasts(e: int) -> bool:
+            return n[ends[e]] * w[i] >= k * w[ends[e]]
+
+        if not lasts(stage[i]):
+            stage[i] = bisect_left(range(len(ends)), True, lo=stage[i] + 1, key=lasts)
+        slots, part = divmod(k * active[stage[i]], w[i])
+        return ended[stage[i]] + slots, ended[stage[i]] + slots + (part > 0)
+
+    waiting = [(0, i, 0, *reached(i, 1)) for i in range(len(names))]
+    heapq.heapify(waiting)
+    released: list[tuple[int, int, int, int, int]] = []
+    for slot in range(sum(n)):
+        while waiting and waiting[0][0] <= slot:
+            release, i, k, down, up = heapq.heappop(waiting)
+            heapq.heappush(released, (up, i, k, release, down))
+        deadline, i, k, release, down = heapq.heappop(released)
+        yield names[i], k, release, deadline, slot
+        if k + 1 < n[i]:
+            heapq.heappush(waiting, (down, i, k + 1, *reached(i, k + 2)))
+
+
 def target_weights(counts: dict[str, int], temperature: float = TEMPERATURE) -> dict[str, float]:
     return {s: n**temperature for s, n in counts.items()}
 
@@ -78,17 +130,55 @@ def _source(source_col: str) -> Column:
     return F.coalesce(F.col(source_col).cast("string"), F.lit(""))
 
 
+def _numbered(docs: DataFrame, counts: dict[str, int], block_rows: int, doc_col: str, source_col: str, range_rows: int) -> DataFrame:
+    """doc, s, n (the row's number in its source), block."""
+    bits = max(0, math.ceil(math.log2(max(1, sum(counts.values()) / range_rows))))
+    h = F.xxhash64(F.col(doc_col))
+    rows = docs.select(F.col(doc_col).alias("doc"), _source(source_col).alias("s"), h.alias("h"), (F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")).alias("range"))
+    before = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("s", "range").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).select("s", "range", "start")
+    if len(counts) << bits <= 1 << 17:
+        starts = F.broadcast(starts)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("s", "range").orderBy("h", "doc")) - 1).join(starts, ["s", "range"])
+    return rows.withColumn("n", F.col("n") + F.col("start")).withColumn("block", F.floor(F.col("n") / block_rows))
+
+
+def _weights(counts: dict[str, int], weights: dict[str, float] | None, temperature: float) -> dict[str, float]:
+    given = weights or target_weights(counts, temperature)
+    if missing := sorted(set(counts) - set(given)):
+        raise ValueError(f"no weight for {missing[:5]}")
+    return {s: given[s] for s in counts}
+
+
+def whole_schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, doc_col: str = "doc_id", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """doc_id, source, block, release, deadline, slot, place (in the block), in_mix (true): a row per row of ``docs``. A source that has run out leaves the rotation."""
+    counts = _counts(docs, source_col)
+    given = _weights(counts, weights, temperature)
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    schema = "s string, block long, release long, deadline long, slot long"
+    names = ["s", "block", "release", "deadline", "slot"]
+
+    def deal(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = whole_stream(blocks, given) if blocks else iter(())
+        while rows := list(islice(stream, 1 << 14)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k == 0 else pa.int64()) for k, x in enumerate(zip(*rows, strict=True))], names)
+
+    slots = materialize(docs.sparkSession.range(0, 1, 1, 1).mapInArrow(deal, schema), "slots")
+    rows = _numbered(docs, counts, block_rows, doc_col, source_col, range_rows).join(slots, ["s", "block"])
+    return rows.select(F.col("doc").alias(doc_col), F.col("s").alias(source_col), "block", "release", "deadline", "slot", F.pmod(F.col("n"), F.lit(block_rows)).cast("int").alias("place"), F.lit(True).alias("in_mix"))
+
+
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, doc_col: str = "doc_id", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, place (in the block), in_mix: a row per row of ``docs``.
 
-    All sources keep being scheduled to their ends; in_mix holds up to the first slot whose source has run out, which is where the stream stops being at its target. ``weights`` must name every source; without it they follow ``temperature``.
+    Without ``weights`` they follow ``temperature``, and this is :func:`whole_schedule`. ``weights`` must name every source; all sources then keep being scheduled to their ends in the same cycle, and in_mix holds up to the first slot whose source has run out, which is where the stream stops being at the given weights.
     """
+    if not weights:
+        return whole_schedule(docs, None, temperature, block_rows, doc_col, source_col, range_rows)
     spark = docs.sparkSession
     counts = _counts(docs, source_col)
-    given = weights or target_weights(counts, temperature)
-    if missing := sorted(set(counts) - set(given)):
-        raise ValueError(f"no weight for {missing[:5]}")
-    quanta = quantize({s: given[s] for s in counts}) if counts else {}
+    given = _weights(counts, weights, temperature)
+    quanta = quantize(given) if counts else {}
     cycle = sum(quanta.values())
     slots = [(s, k, slot) for slot, (s, k) in enumerate(pfair_cycle(quanta))] if counts else []
     at = {(s, k): slot for s, k, slot in slots}
@@ -98,15 +188,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperatu
         ends.append(rounds * cycle + at[s, k])
     pattern = spark.createDataFrame([(s, k, slot, quanta[s]) for s, k, slot in slots], T.StructType.fromDDL("s string, k long, at long, q long"))
 
-    bits = max(0, math.ceil(math.log2(max(1, sum(counts.values()) / range_rows))))
-    h = F.xxhash64(F.col(doc_col))
-    rows = docs.select(F.col(doc_col).alias("doc"), _source(source_col).alias("s"), h.alias("h"), (F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")).alias("range"))
-    before = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("s", "range").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).select("s", "range", "start")
-    if len(counts) << bits <= 1 << 17:
-        starts = F.broadcast(starts)
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("s", "range").orderBy("h", "doc")) - 1).join(starts, ["s", "range"])
-    rows = rows.withColumn("n", F.col("n") + F.col("start")).withColumn("block", F.floor(F.col("n") / block_rows))
+    rows = _numbered(docs, counts, block_rows, doc_col, source_col, range_rows)
     quota = spark.createDataFrame(list(quanta.items()), T.StructType.fromDDL("s string, q long"))
     rows = rows.join(F.broadcast(quota), "s").withColumn("k", F.pmod("block", "q"))
     rows = rows.join(F.broadcast(pattern.drop("q")), ["s", "k"])
@@ -123,11 +205,12 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperatu
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, doc_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that are in the mix, dealt and sorted by slot: any prefix of the stream holds each source's weight to within a block."""
-    plan = schedule(docs, weights, temperature, doc_col=doc_col, **options).where("in_mix").select(F.col(doc_col).alias("__doc"), "slot", "place")
-    plan = plan.groupBy("__doc").agg(F.min(F.struct("slot", "place")).alias("__at"), F.count(F.lit(1)).alias("__in"))
-    turn = Window.partitionBy(doc_col).orderBy(F.lit(1))
-    joined = docs.withColumn("__turn", F.row_number().over(turn)).join(plan, docs[doc_col].eqNullSafe(plan["__doc"]))
-    joined = joined.where(F.col("__turn") <= F.col("__in"))
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, doc_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """All rows of ``docs``, dealt and sorted by slot and place: any prefix of the stream holds each source's target to within a block, and a source that has run out leaves the rotation."""
+    plan = whole_schedule(docs, weights, temperature, doc_col=doc_col, source_col=source_col, **options)
+    turn = F.row_number().over(Window.partitionBy(doc_col, source_col).orderBy("slot", "place"))
+    plan = plan.select(F.col(doc_col).alias("__doc"), F.col(source_col).alias("__s"), F.struct("slot", "place").alias("__at"), turn.alias("__k"))
+    rows = docs.withColumn("__source", _source(source_col))
+    rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(doc_col, "__source").orderBy(F.lit(1))))
+    joined = rows.join(plan, rows[doc_col].eqNullSafe(plan["__doc"]) & (F.col("__source") == F.col("__s")) & (F.col("__turn") == F.col("__k")))
     return joined.repartitionByRange("__at").sortWithinPartitions("__at").select(*docs.columns)
