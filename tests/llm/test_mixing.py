@@ -56,6 +56,21 @@ def test_lag_over_many_cycles():
     assert n == 40000 > 4 * mixing.CYCLE
 
 
+@pytest.mark.parametrize("weights", [{f"s{k}": 1 for k in range(20)}, {"big": 1000.0, **{f"s{k}": 0.001 * (k + 1) for k in range(50)}}])
+def test_cycle_follows_the_stream(make, weights):
+    blocks, total = 100_000, sum(Fraction(w) for w in weights.values())
+    quanta = mixing.quantize(weights, mixing.cycle_slots(weights, blocks))
+    cycle = sum(quanta.values())
+    assert all(abs(Fraction(quanta[s], cycle) - Fraction(w) / total) * blocks < 1 for s, w in weights.items())
+
+
+def test_given_weights_over_many_blocks(make):
+    weights = {"a": 1, "b": 1, "c": 1}
+    docs = make([(k, None, None, "abc"[k % 3]) for k in range(60000)])
+    last = mixing.schedule(docs, weights, block_rows=1).where("in_mix").groupBy("source").agg({"block": "max"}).collect()
+    assert sorted(r[0] for r in last) == ["a", "b", "c"] and all(abs(r[1] + 1 - 20000) <= 2 for r in last)
+
+
 def test_weights_must_be_positive():
     with pytest.raises(ValueError):
         list(mixing.whole_stream({"a": 1, "b": 1}, {"a": 1, "b": 0}))

@@ -57,6 +57,12 @@ def quantize(weights: dict[str, float], slots: int = CYCLE) -> dict[str, int]:
     return quanta
 
 
+def cycle_slots(weights: dict[str, float], blocks: int) -> int:
+    """A cycle's length: no shorter than the stream, and a whole slot or more for each source, so that rounding to slots moves no source by a block."""
+    least = sum(weights.values()) / min(weights.values())
+    return max(CYCLE, 1 << max(0, math.ceil(math.log2(max(1, blocks, least)))))
+
+
 def pfair_cycle(quanta: dict[str, int]) -> list[tuple[str, int]]:
     """(source, block) for each slot of a cycle, by earliest deadline first among the released blocks."""
     cycle = sum(quanta.values())
@@ -171,14 +177,14 @@ def whole_schedule(docs: DataFrame, weights: dict[str, float] | None = None, tem
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, doc_col: str = "doc_id", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, place (in the block), in_mix: a row per row of ``docs``.
 
-    Without ``weights`` they follow ``temperature``, and this is :func:`whole_schedule`. ``weights`` must name every source; all sources then keep being scheduled to their ends in the same cycle, and in_mix holds up to the first slot whose source has run out, which is where the stream stops being at the given weights.
+    Without ``weights`` they follow ``temperature``, and this is :func:`whole_schedule`. ``weights`` must name every source; all sources then keep being scheduled to their ends in the same cycle, and in_mix holds up to the first slot whose source has run out, which is where the stream stops being at the given weights. The driver makes this cycle, as long as the stream or longer; for many rows use :func:`whole_schedule`.
     """
     if not weights:
         return whole_schedule(docs, None, temperature, block_rows, doc_col, source_col, range_rows)
     spark = docs.sparkSession
     counts = _counts(docs, source_col)
     given = _weights(counts, weights, temperature)
-    quanta = quantize(given) if counts else {}
+    quanta = quantize(given, cycle_slots(given, sum(-(-n // block_rows) for n in counts.values()))) if counts else {}
     cycle = sum(quanta.values())
     slots = [(s, k, slot) for slot, (s, k) in enumerate(pfair_cycle(quanta))] if counts else []
     at = {(s, k): slot for s, k, slot in slots}
