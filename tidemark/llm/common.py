@@ -21,6 +21,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_hash(text: Column) -> Column:
+    """With the id, the key of a row whose id may be null or repeated; a null text counts as an empty one."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Where that is unset (tests), a temporary folder is put there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -6,7 +6,7 @@ themselves are broadcast; both sizes follow the count, which is taken first. Bey
 token window goes through a shuffled join. Each hit is verified on the words themselves, not on their hash.
 
 Defined cases: a null or empty text has no words and is clean; a null item text has no window; an item whose id is
-null still marks words but is not listed; repeated rows are judged one by one; an empty benchmark leaves all clean.
+null still marks words but is not listed; repeated rows are judged one by one, by their texts; an empty benchmark leaves all clean.
 Columns besides the id and the text are ignored by :func:`contamination` and kept by :func:`remove_contaminated`.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, materialize
+from tidemark.llm.common import ascii_lower, materialize, text_hash
 
 NGRAM = 13
 MAX_BROADCAST_WINDOWS = 1 << 18
@@ -59,14 +59,16 @@ def contamination(
     item_text_col: str = "text",
     max_broadcast_windows: int = MAX_BROADCAST_WINDOWS,
     keep_words: bool = False,
+    keep_hash: bool = False,
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (array), contaminated (n_hit > 0 and 20 * n_hit >= n_words), spans (array of pos and end in words): a row per document."""
+    """doc_id, n_words, n_hit, n_items, items (array), contaminated (n_hit > 0 and 20 * n_hit >= n_words), spans (array of pos and end in words), with ``keep_hash`` text_hash: a row per document."""
     windows = materialize(benchmark_windows(benchmark, ngram, item_col, item_text_col), "windows")
     n_windows = windows.count()
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``ngram`` values
     small = n_windows <= max_broadcast_windows
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_col).alias("doc"), words_of(F.col(text_col)).alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_col).alias("doc"), *[text_hash(F.col(text_col)).alias("text_hash")] * keep_hash, words_of(F.col(text_col)).alias("w"))
+    held = ["text_hash"] * keep_hash
     bitmap, bits = _bitmap(windows, n_windows) if small and n_windows else (None, 0)
 
     def candidates(n: int) -> Column:
@@ -83,13 +85,14 @@ def contamination(
 
     none = F.array().cast("array<struct<pos:int,n:int,gram:string>>")
     found = F.concat(*[candidates(n) for n in lengths]) if lengths else none
-    rows = rows.select("uid", "doc", F.size("w").alias("n_words"), F.explode_outer(found).alias("c"))
-    rows = rows.select("uid", "doc", "n_words", "c.pos", "c.n", "c.gram")
+    rows = rows.select("uid", "doc", *held, F.size("w").alias("n_words"), F.explode_outer(found).alias("c"))
+    rows = rows.select("uid", "doc", *held, "n_words", "c.pos", "c.n", "c.gram")
     known = windows.select(F.col("gram").alias("known"), "items")
     joined = rows.join(F.broadcast(known) if small else known, F.col("gram") == F.col("known"), "left")
     hit = F.col("known").isNotNull()
     per_doc = joined.groupBy("uid").agg(
         F.first("doc").alias(doc_col),
+        *[F.first(c).alias(c) for c in held],
         F.first("n_words").cast("long").alias("n_words"),
         F.sort_array(F.collect_set(F.when(hit, F.struct("pos", (F.col("pos") + F.col("n")).alias("end"))))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items")))))).alias("items"),
@@ -100,21 +103,22 @@ def contamination(
         lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["end"], s["pos"]))).alias("n")),
     )["n"]
     per_doc = per_doc.withColumn("n_hit", covered.cast("long")).withColumn("n_items", F.size("items").cast("long"))
-    return per_doc.select(doc_col, "n_words", "n_hit", "n_items", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
+    return per_doc.select(doc_col, "n_words", "n_hit", "n_items", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", *held)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", doc_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without its contaminated documents (mode "documents"), or with the hit words of contaminated documents cut out of their texts (mode "spans"). The columns stay as they are."""
-    bad = contamination(docs, benchmark, doc_col=doc_col, text_col=text_col, **options).where("contaminated")
-    bad = bad.select(F.col(doc_col).alias("__bad"), F.col("spans").alias("__spans"))
-    same = docs[doc_col].eqNullSafe(F.col("__bad"))
+    bad = contamination(docs, benchmark, doc_col=doc_col, text_col=text_col, keep_hash=True, **options).where("contaminated")
+    bad = bad.select(F.col(doc_col).alias("__bad"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    docs = docs.withColumn("__text", text_hash(F.col(text_col)))
+    same = docs[doc_col].eqNullSafe(F.col("__bad")) & (F.col("__text") == F.col("__hash"))
     if mode == "documents":
-        return docs.join(bad.select("__bad"), same, "left_anti")
+        return docs.join(bad.select("__bad", "__hash"), same, "left_anti").drop("__text")
     if mode != "spans":
         raise ValueError("mode is documents or spans")
-    bad = bad.groupBy("__bad").agg(F.first("__spans").alias("__spans"))
+    bad = bad.groupBy("__bad", "__hash").agg(F.first("__spans").alias("__spans"))
     # Piece i is word i with the separators before it; a last piece may be separators alone.
     pieces = F.split(F.col(text_col), WORD_END)
     clean = F.array_join(F.filter(pieces, lambda _, i: ~F.exists(F.col("__spans"), lambda s: (s["pos"] <= i) & (i < s["end"]))), "")
     joined = docs.join(bad, same, "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean)).drop("__bad", "__spans")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean)).drop("__bad", "__hash", "__text", "__spans")

@@ -10,7 +10,8 @@ not pairs. Equal fingerprints are one row before all this.
 
 Defined cases: a null or empty text, or one without words, has fingerprint 0; fewer words than the shingle are one
 shingle; repeated rows each get a row; null ids get a row and name a component only where it has no other id (null);
-an empty table gives an empty table; other columns are ignored, and kept by :func:`keep_one_per_group`.
+rows under one id (or without one) are told apart by their texts; an empty table gives an empty table; other columns
+are ignored, and kept by :func:`keep_one_per_group`.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, text_hash
 from tidemark.llm.graph import connected_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -70,7 +71,8 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc", "fp"])
+        kept = [k for k, name in enumerate(batch.schema.names) if name != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(found.view(np.int64))], [*[batch.schema.names[k] for k in kept], "fp"])
 
 
 def _flips() -> np.ndarray:
@@ -140,10 +142,10 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges(*held)
 
 
-def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), component_id (the smallest id linked to it, itself included)."""
-    kind = docs.schema[doc_col].dataType.simpleString()
-    rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"doc {kind}, fp long")
+def _components(docs: DataFrame, doc_col: str, text_col: str, keys: list[Column]) -> DataFrame:
+    """doc, the keys, fp, root (one for each component), component_id: a row per row of ``docs``."""
+    kinds = ", ".join(f"{name} {kind}" for name, kind in docs.select(F.col(doc_col).alias("doc"), *keys).dtypes)
+    rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"), *keys).mapInArrow(_fingerprints, f"{kinds}, fp long")
     rows = materialize(rows, "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc").alias("least")), "classes")
     copies = classes.select("fp").mapInArrow(_replicate, "anchor long, fp long")
@@ -151,17 +153,24 @@ def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     stars = connected_components(edges)
     rooted = classes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("fp").alias("class"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("class")).select(F.col("doc").alias(doc_col), "fp", "component_id")
+    named = rooted.join(names, "root").select(F.col("fp").alias("class"), "root", "component_id")
+    return rows.join(named, F.col("fp") == F.col("class")).drop("class")
+
+
+def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), component_id (the smallest id linked to it, itself included)."""
+    return _components(docs, doc_col, text_col, []).select(F.col("doc").alias(doc_col), "fp", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its component, one for each id; of rows without an id, those of components without any."""
-    named = near_duplicates(docs, doc_col, text_col).where(F.col(doc_col).eqNullSafe(F.col("component_id")))
-    keep = named.select(F.col(doc_col).alias("__keep")).distinct()
-    kept = docs.join(keep, docs[doc_col].eqNullSafe(keep["__keep"]), "left_semi")
-    repeats = docs.groupBy(doc_col).count().where("count > 1").select(F.col(doc_col).alias("__again"))
-    if repeats.limit(1).count() == 0:
-        return kept
-    first = F.row_number().over(Window.partitionBy(doc_col).orderBy(text_col))
-    return kept.withColumn("__first", first).where("__first = 1").drop("__first")
+    """One row of ``docs`` for each component: the one with the smallest id (none at all if no row has one), of several under that id the one with the least hash of its text."""
+    key = text_hash(F.col(text_col)).alias("__text")
+    rows = _components(docs, doc_col, text_col, [key]).groupBy("root", "doc", "__text").count()
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "__text", "count")).alias("x"))
+    keep = materialize(first.select(F.col("x.doc").alias("__keep"), F.col("x.__text").alias("__same"), F.col("x.count").alias("__rows")), "keep")
+    kept = docs.withColumn("__text", key)
+    kept = kept.join(keep.drop("__rows"), kept[doc_col].eqNullSafe(keep["__keep"]) & (F.col("__text") == F.col("__same")), "left_semi")
+    if keep.where("__rows > 1").limit(1).count() == 0:
+        return kept.drop("__text")
+    turn = F.row_number().over(Window.partitionBy(doc_col, "__text").orderBy(F.lit(1)))
+    return kept.withColumn("__first", turn).where("__first = 1").drop("__first", "__text")
