@@ -415,8 +415,7 @@ def m5_calibration_diagnostic(spark, d):
 @query()
 def m8_hierarchical(spark, d):
     panel, made, _ = _assigned(spark, d)
-    recent = made.orderBy(F.desc("fold_id")).limit(3)
-    found = walkforward.evaluate(panel, recent, ("raw", "hierarchical_eb"))
+    found = walkforward.evaluate(panel, made, ("raw", "hierarchical_eb"))
     return walkforward.fold_metrics(found)
 
 
@@ -454,7 +453,7 @@ def d15_identical_test_rows(spark, d):
 
 @query()
 def d14_walkforward_all_models(spark, d):
-    return walkforward.aggregate_metrics(_walkforward(spark, d, ("raw", "platt", "beta", "isotonic", "binned_reliability")))
+    return walkforward.aggregate_metrics(_walkforward(spark, d, ("raw", "platt", "beta", "isotonic", "binned_reliability", "hierarchical_eb")))
 
 
 # ---- Inference
