@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -27,28 +28,42 @@ def text_hash(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Where that is unset (tests), a temporary folder is put there."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder; a cluster raises, since its executors couldn't see one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: the lineage is cut, and a lost executor costs no more than what it was running."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def work_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: the lineage is cut, and a lost executor costs no more than what it was running. Operators discard what they no longer read; what a returned frame still reads stays until :func:`clear`."""
+    path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by :func:`materialize` that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, re.sub(r"/[^/=]+=[^/]*$", "", folder))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; frames that operators returned can't be read after it."""
+    _delete(spark, work_dir(spark))
 
 
 def fold_of(doc_id: object, folds: int) -> int:

@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table of (h1, h2, n_docs, last_doc), one row per line key, bucketed and sorted by the two 64-bit hashes of
-the key, so that runs merge without a shuffle. Each batch of documents adds a run at level 0; once a level holds
-``fanout`` runs they are compacted into one run of the next level. :meth:`LineRuns.anti_join` takes the lines of a
-batch against the runs; :func:`dedup_lines` feeds all documents in batches and then drops the lines that the fully
-compacted run condemns.
+the key. Each batch of documents is merge-anti-joined with the runs: keys that no run holds make a new run at level 0,
+so that every key is in one run alone; the counts of known keys go to an update table, which holds repeated lines only.
+Once a level holds ``fanout`` runs they are compacted into one run of the next. Batch, runs and updates have the same
+buckets, so a batch meets the runs without a shuffle. :func:`dedup_lines` feeds all documents in batches and then
+drops the lines that runs and updates condemn together.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points never drop; a null
 id counts as one document that is never the keeper; repeated rows with one id count once and are treated alike; an
@@ -21,12 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, discard, materialize, shared_dir
+from tidemark.llm.common import ascii_lower, discard, materialize, work_dir
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Up to so many condemned keys (24 bytes each) go to all executors; more are joined by a shuffle.
+#: At most so many condemned keys (32 bytes each) go to all executors: those that hold at least this share of all rows.
 MAX_BROADCAST_KEYS = 1 << 18
+#: A batch has about so many line keys, but there are 4 batches at least and 32 at most.
+BATCH_KEYS = 1 << 26
+MIN_BATCHES, MAX_BATCHES = 4, 32
 
 
 def line_keys(docs: DataFrame, min_chars: int, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,16 +49,17 @@ def _python_hashes(key: bytes) -> tuple[int, int]:
 
 
 class LineRuns:
-    """The levels of runs. ``fanout`` runs of a level are compacted into one of the next."""
+    """The levels of runs, of which no two share a key, and the updates of their counts. ``fanout`` runs of a level are compacted into one of the next."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.updates: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"tidemark_run_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark)}/tidemark/{name}"
+        path = f"{work_dir(self.spark)}/{name}"
         sorted_rows = rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
         sorted_rows.option("path", path).saveAsTable(name)
         return name
@@ -65,21 +70,23 @@ class LineRuns:
         discard(run)
 
     def _merged(self, names: list[str]) -> DataFrame:
+        """One table of runs that share no key: a merge of sorted buckets."""
         merged = self.spark.table(names[0])
         for name in names[1:]:
             a, b = merged.alias("a"), self.spark.table(name).alias("b")
             both = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full_outer")
-            merged = both.select(
-                F.coalesce("a.h1", "b.h1").alias("h1"),
-                F.coalesce("a.h2", "b.h2").alias("h2"),
-                (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"),
-                F.greatest("a.last_doc", "b.last_doc").alias("last_doc"),
-            )
+            merged = both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("h1", "h2", "n_docs", "last_doc")])
         return merged
 
     def add(self, keys: DataFrame) -> None:
-        """Adds a batch's keys (doc, h1, h2, distinct) as a run, and compacts the levels that are full."""
-        run = self._write(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc")))
+        """Takes a batch's keys (doc, h1, h2, distinct) against the runs: the new ones become a run, the counts of the known ones an update. Compacts the levels that are full."""
+        batch = self._write(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc")))
+        if self.names():
+            run = self._write(self.anti_join(self.spark.table(batch)))
+            self.updates.append(self._write(self.spark.table(batch).join(self.spark.table(run).select("h1", "h2"), ["h1", "h2"], "left_anti")))
+            self._drop(batch)
+        else:
+            run = batch
         level = 0
         while True:
             if len(self.levels) == level:
@@ -102,33 +109,60 @@ class LineRuns:
             keys = keys.join(self.spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
         return keys
 
-    def compacted(self) -> DataFrame | None:
-        """All runs merged into one; None without any."""
-        names = self.names()
-        return self._merged(names) if len(names) > 1 else self.spark.table(names[0]) if names else None
+    def compacted(self, min_docs: int = 1) -> DataFrame | None:
+        """h1, h2, n_docs, last_doc of all keys in at least ``min_docs`` documents; None without any run. A run meets the sums of the updates, which are as many as the repeated keys."""
+        out = None
+        more = None
+        for name in self.updates:
+            more = self.spark.table(name) if more is None else more.unionByName(self.spark.table(name))
+        if more is not None:
+            more = more.groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
+        for name in self.names():
+            run = self.spark.table(name)
+            if more is not None:
+                run = run.join(more, ["h1", "h2"], "left")
+                run = run.select("h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
+            run = run.where(F.col("n_docs") >= min_docs)
+            out = run if out is None else out.unionByName(run)
+        return out
+
+    def drop(self) -> None:
+        """Drops all tables and their files."""
+        for name in [*self.names(), *self.updates]:
+            self._drop(name)
+        self.levels, self.updates = [], []
 
 
 def dedup_lines(
     docs: DataFrame,
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
-    n_batches: int = 4,
+    n_batches: int | None = None,
     fanout: int = 2,
     doc_col: str = "doc_id",
     text_col: str = "text",
     max_broadcast_keys: int = MAX_BROADCAST_KEYS,
 ) -> DataFrame:
-    """doc_id, n_lines, n_dropped, text (what is left): keys in at least ``min_docs`` documents keep only the lines of the largest id that holds them. The batches, by a hash of the id, arrive one after the other."""
+    """doc_id, n_lines, n_dropped, text (what is left): keys in at least ``min_docs`` documents keep only the lines of the largest id that holds them. The batches, by a hash of the id, arrive one after the other; without ``n_batches`` their number follows the count of keys.
+
+    A condemned key that holds at least 1 / ``max_broadcast_keys`` of all key rows is broadcast; there can't be more of them than that. The others are joined by a shuffle, in which no key has more rows than this share.
+    """
     spark = docs.sparkSession
-    keys = line_keys(docs, min_chars, doc_col, text_col).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(n_batches)))
-    keys = materialize(keys, "line-keys")
+    parts = F.pmod(F.xxhash64("doc"), F.lit(n_batches or MAX_BATCHES)).cast("int")
+    keys = materialize(line_keys(docs, min_chars, doc_col, text_col).withColumn("batch", parts), "line-keys", "batch")
+    n_keys = keys.count()
+    batches = n_batches or min(MAX_BATCHES, max(MIN_BATCHES, -(-n_keys // BATCH_KEYS)))
     runs = LineRuns(spark, fanout)
-    for batch in range(n_batches):
-        runs.add(keys.where(F.col("batch") == batch).select("doc", "h1", "h2"))
-    condemned = materialize(runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "condemned")
-    few = condemned.count() <= max_broadcast_keys
-    hit = keys.join(F.broadcast(condemned) if few else condemned, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("last_doc")))
-    per_doc = hit.groupBy("doc").agg(F.collect_list("h1").alias("h1s"), F.collect_list("h2").alias("h2s"))
+    for batch in range(batches):
+        runs.add(keys.where((F.col("batch") % batches) == batch).select("doc", "h1", "h2"))
+    condemned = materialize(runs.compacted(min_docs), "condemned")
+    runs.drop()
+    heavy = F.col("n_docs") * max_broadcast_keys >= n_keys
+    hit = keys.join(F.broadcast(condemned.where(heavy)), ["h1", "h2"])
+    hit = hit.unionByName(keys.join(condemned.where(~heavy), ["h1", "h2"])).where(~F.col("doc").eqNullSafe(F.col("last_doc")))
+    per_doc = materialize(hit.groupBy("doc").agg(F.collect_list("h1").alias("h1s"), F.collect_list("h2").alias("h2s")), "cuts")
+    discard(keys)
+    discard(condemned)
     rows = docs.select(F.col(doc_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(per_doc, F.col("id").eqNullSafe(F.col("doc")), "left").select("id", "text", "h1s", "h2s")
     kind = docs.schema[doc_col].dataType.simpleString()
