@@ -200,6 +200,8 @@ def test_stored_documents(spark, make, monkeypatch):
     assert got[3].feature == got[6].feature and got[3].media_sha256 == got[6].media_sha256 and ";" not in got[3].feature
     tensors = media.decode_tensors(stored).where("key = 4").collect()
     assert [len(t.rgb) for t in tensors] == [t.height * t.width * 3 for t in tensors]
+    assert [(x.height, x.width, bytes(x.rgb)) for x in got[4].tensors] == [(t.height, t.width, bytes(t.rgb)) for t in tensors]
+    assert [f.split(":")[0] for f in got[5].feature.split(";")] == [f"{x.height}x{x.width}" for x in got[5].tensors]
     assert media.read_features(media.store(make([]))).count() == 0
     assert media.decode_tensors(spark.createDataFrame([(1, None)], "doc long, media binary")).collect()[0].rgb is None
 
@@ -208,3 +210,11 @@ def test_all_documents_come_back(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     want = {r.doc_id: hashlib.sha256(media.padded(r.text)).hexdigest() for r in docs.collect()}
     assert {r.doc: r.payload_sha256 for r in media.read_features(media.store(docs)).collect()} == want
+
+
+def test_second_frame_at_the_real_size(spark, make):
+    text = "Many words of one very long text. " * 100_000
+    (row,) = media.read_features(media.store(make([(1, text)]))).collect()
+    data = media.padded(text)
+    assert len(data) > pjpeg.FRAME_BYTES and len(row.tensors) == 2 and row.feature.count(";") == 1
+    assert (row.payload_bytes, row.payload_sha256) == (len(data), hashlib.sha256(data).hexdigest())

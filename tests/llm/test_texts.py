@@ -50,6 +50,27 @@ def test_added_spans_and_context():
     assert pii.spans_of("a" * 200_000 + "@") == [] and pii.spans_of("1" * 200_000 + ".") == []
 
 
+def test_context_flips_a_result():
+    kinds = lambda x: [s[0] for s in pii.spans_of(x)]
+    iban = "DE89370400440532013000"
+    assert kinds(f"{iban} is ours") == ["iban"] and kinds(f"serial {iban} is ours") == [] and kinds(f"serial of the bank {iban}") == ["iban"]
+    assert kinds("call 030 555 1234 now") == ["local_phone"] and kinds("gate 030 555 1234 now") == []
+    assert kinds("call about order 030 555 1234") == [] and kinds("recall 030 555 1234") == []
+    assert kinds("account 123456789") == ["account"] and kinds("total 123456789") == [] and kinds("account, invoice 123456789") == []
+    assert kinds("my SSN 123-45-6789, no invoice") == [] and kinds("call +49 (030) 555-7713") == ["phone"]
+    assert kinds("bank card 4111 1111 1111 1111") == ["card"] and kinds("server 10.0.0.1 call it") == ["ip"]
+    low, plain, high = (pii.spans_of(x)[0][3] for x in ("release 10.0.0.1", "at 10.0.0.1", "server 10.0.0.1"))
+    assert low < plain < high and low == 0.4
+
+
+def test_query_has_scores(spark):
+    from tidemark.llm import queries
+
+    rows = queries.op6_pii(spark, "/root/testdata/sf0.001").collect()
+    assert any(r.scores for r in rows)
+    assert all(len(r.scores.split(",")) == len(r.spans.split(",")) for r in rows)
+
+
 def test_find_and_redact(make):
     docs = make([(1, None), (2, ""), (3, "mail a@b.co, call +1 (017) 555-7713 now"), (3, "mail a@b.co"), (None, "10.0.0.256 10.0.0.1")])
     got = {(r.doc_id, r.text): [tuple(s)[:3] for s in r.spans] for r in pii.find_pii(docs, keep_text=True).collect()}

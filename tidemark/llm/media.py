@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -97,29 +99,42 @@ def _tensor_row(kind: pa.DataType, key: object, frame: int | None, rgb: np.ndarr
     return pa.RecordBatch.from_arrays(columns, ["key", "frame", "height", "width", "rgb"])
 
 
+_TENSORS = pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))
+
+
 def read_features(media: DataFrame) -> DataFrame:
-    """doc, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: of the stored streams (columns as :func:`store` gives them). The feature is each image's size, mean colour and tensor checksum."""
+    """doc, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, tensors: of the stored streams (columns as :func:`store` gives them).
+
+    tensors has each image's height, width and full-resolution RGB (row-major bytes) and is the media column that the caller stores; the feature is each tensor's size, mean colour and checksum. Rows leave in batches of about CHUNK_BYTES of tensors.
+    """
+    names = ["doc", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), _TENSORS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             streams = batch.column(2).to_pylist()
-            digests, sizes, tails = [hashlib.sha256() for _ in streams], [0] * len(streams), [b""] * len(streams)
-            features: list[list[str]] = [[] for _ in streams]
-            for k, image in decoded_frames(streams):
-                payload = pjpeg.to_payload(image).tobytes()
-                digests[k].update(payload)
-                sizes[k] += len(payload)
-                tails[k] = payload[-16:]
-                rgb = pjpeg.to_rgb(image)
-                mean = rgb.reshape(-1, 3).mean(0, dtype=np.float64)
-                features[k].append(f"{image.height}x{image.width}:{mean[0]:.3f},{mean[1]:.3f},{mean[2]:.3f}:{zlib.crc32(rgb):08x}")
-            columns = [
-                pa.array(sizes, pa.int64()), pa.array([d.hexdigest() for d in digests], pa.string()), pa.array([zlib.crc32(t) for t in tails], pa.int64()),
-                pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()), pa.array([";".join(f) for f in features], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
-
-    names = ["doc", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            start, held, rows = 0, 0, []
+            for k, images in groupby(decoded_frames(streams), key=itemgetter(0)):
+                rows.append(_features(streams[k], [image for _, image in images]))
+                held += sum(len(x["rgb"]) for x in rows[-1][-1])
+                if held > CHUNK_BYTES or k + 1 == len(streams):
+                    made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(rows)) for c in (0, 1)), *made], names)
+                    start, held, rows = k + 1, 0, []
+
     kind = media.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"doc {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors array<struct<height:int,width:int,rgb:binary>>"
     return media.select("doc", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def _features(stream: bytes, images: list[pjpeg.Image]) -> tuple:
+    digest, size, tail, features, tensors = hashlib.sha256(), 0, b"", [], []
+    for image in images:
+        payload = pjpeg.to_payload(image).tobytes()
+        digest.update(payload)
+        size, tail = size + len(payload), payload[-16:]
+        rgb = pjpeg.to_rgb(image)
+        mean = rgb.reshape(-1, 3).mean(0, dtype=np.float64)
+        features.append(f"{image.height}x{image.width}:{mean[0]:.3f},{mean[1]:.3f},{mean[2]:.3f}:{zlib.crc32(rgb):08x}")
+        tensors.append({"height": image.height, "width": image.width, "rgb": rgb.tobytes()})
+    return size, digest.hexdigest(), zlib.crc32(tail), len(stream), hashlib.sha256(stream).hexdigest(), ";".join(features), tensors

@@ -1,9 +1,10 @@
 """Personal data: patterns propose spans, checks confirm them, nearby words adjust their score.
 
-Emails, IP addresses, cards (13 to 19 digits that pass Luhn) and phone numbers always stay once confirmed. IBANs
-(mod-97, and the length of their country) and social security numbers stay if their score reaches ``min_score``; an
-IBAN does so by its checksum, a social security number only with a context word within ``window`` code points.
-All patterns run in time linear in the text.
+Emails, IP addresses, cards (13 to 19 digits that pass Luhn) and phone numbers always stay once confirmed. The other
+kinds stay if their score reaches ``min_score``: an IBAN (mod-97, and the length of its country) does so by its
+checksum unless words near it speak of something else; a social security number, a phone number without a country code
+and an account number do so only by a word of their kind near them. Words count within ``window`` code points of a
+span, as whole words. All patterns run in time linear in the text.
 
 Defined cases: a null text is empty and has no spans; repeated rows are treated alike; an empty table gives an empty
 table; other columns are ignored by :func:`find_pii` and kept by :func:`redact`. Positions are code points, end exclusive.
@@ -12,14 +13,16 @@ table; other columns are ignored by :func:`find_pii` and kept by :func:`redact`.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "local_phone", "account")
 MIN_SCORE, WINDOW = 0.6, 40
 
 _DOMAIN = r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -31,6 +34,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+(./-])\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,5}(?![0-9A-Za-z-]|\.[0-9])")
+_ACCOUNT = re.compile(r"(?<![0-9A-Za-z+./-])[0-9]{8,12}(?![0-9A-Za-z-]|\.[0-9])")
 
 # Total lengths of IBANs by country.
 IBAN_LENGTH = {
@@ -39,16 +44,38 @@ IBAN_LENGTH = {
     "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "RS": 22, "SA": 24,
     "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26, "UA": 29,
 }
-# Words that make a kind likelier, and the score of a confirmed span without and with such a word.
+# Words that make a kind likelier, words that speak against it, and the score of a confirmed span without and with a word for it.
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "e-mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "payment"),
+    "card": ("card", "visa", "mastercard", "credit", "payment"),
     "phone": ("phone", "call", "tel", "fax", "mobile"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security"),
+    "local_phone": ("phone", "call", "tel", "fax", "mobile", "telefon", "téléphone", "teléfono"),
+    "account": ("account", "acct", "bank", "routing", "konto", "compte", "cuenta"),
 }
-SCORE = {"email": (0.9, 1.0), "ip": (0.7, 0.9), "card": (0.8, 1.0), "phone": (0.7, 0.95), "iban": (0.8, 1.0), "ssn": (0.4, 0.85)}
+AGAINST = {
+    "ip": ("version", "release", "build"),
+    "card": ("order", "serial", "isbn"),
+    "iban": ("serial", "part", "license", "checksum", "order"),
+    "ssn": ("part", "serial", "order", "invoice"),
+    "local_phone": ("part", "serial", "order", "invoice", "version", "isbn"),
+    "account": ("part", "serial", "order", "invoice", "version", "isbn"),
+}
+SCORE = {
+    "email": (0.9, 1.0), "ip": (0.7, 0.9), "card": (0.8, 1.0), "phone": (0.7, 0.95), "iban": (0.8, 1.0), "ssn": (0.4, 0.85),
+    "local_phone": (0.35, 0.75), "account": (0.3, 0.7),
+}
+AGAINST_SCORE = 0.3
+
+
+def _any_word(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")s?\b", re.IGNORECASE)
+
+
+_FOR = {kind: _any_word(words) for kind, words in CONTEXT.items()}
+_NOT = {kind: _any_word(words) for kind, words in AGAINST.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -103,12 +130,25 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
             yield "ssn", *m.span()
 
 
+def _free(spans: list[tuple[str, int, int]], found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that touch none of ``found``."""
+    taken = sorted((a, b) for _, a, b in found)
+    most = list(accumulate((b for _, b in taken), max))
+    return [s for s in spans if not (k := bisect_left(taken, (s[2],))) or most[k - 1] <= s[1]]
+
+
 def spans_of(text: str, min_score: float = MIN_SCORE, window: int = WINDOW) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) by kind and place."""
+    """(kind, start, end, score) by kind and place. A weak proposal that touches a stronger one is part of it."""
+    found = list(proposals(text))
+    for kind, rule in (("local_phone", _LOCAL_PHONE), ("account", _ACCOUNT)):
+        if weak := [(kind, *m.span()) for m in rule.finditer(text)]:
+            found += _free(weak, found)
     out = []
-    for kind, start, end in proposals(text):
-        near = (text[max(0, start - window) : start] + " " + text[end : end + window]).lower()
-        score = SCORE[kind][any(w in near for w in CONTEXT[kind])]
+    for kind, start, end in found:
+        near = text[max(0, start - window) : start] + " \n " + text[end : end + window]
+        score = SCORE[kind][bool(_FOR[kind].search(near))]
+        if kind in _NOT and _NOT[kind].search(near):
+            score = round(score - AGAINST_SCORE, 2)
         if kind in BASE or score >= min_score:
             out.append((kind, start, end, score))
     return out
