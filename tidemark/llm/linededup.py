@@ -164,7 +164,8 @@ def dedup_lines(
     discard(keys)
     discard(condemned)
     rows = docs.select(F.col(doc_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(per_doc, F.col("id").eqNullSafe(F.col("doc")), "left").select("id", "text", "h1s", "h2s")
+    # A merge at any size: with a small table of cuts the same query would broadcast it and shuffle nothing, and say little about a large one.
+    rows = rows.join(per_doc.hint("merge"), F.col("id").eqNullSafe(F.col("doc")), "left").select("id", "text", "h1s", "h2s")
     kind = docs.schema[doc_col].dataType.simpleString()
     left = rows.mapInArrow(lambda batches: _cut(batches, min_chars), f"id {kind}, n_lines long, n_dropped long, text string")
     return left.withColumnRenamed("id", doc_col)
