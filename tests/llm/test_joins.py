@@ -62,6 +62,32 @@ def test_contamination(spark, make, limit):
     assert sorted(got, key=key) == sorted(brute_contamination(docs, items), key=key)
 
 
+def test_large_benchmark_shuffles_only_candidates(spark, make, monkeypatch):
+    """Above 2^18 windows: the same results, and what goes to the join is about the hits, not all windows."""
+    from tidemark.llm import decontaminate
+
+    random.seed(5)
+    item = [f"b{random.randrange(10**6)}" for _ in range(300_000)]
+    items = [(1, " ".join(item)), (2, " ".join(item[50:80]) + " and its own words")]
+    docs = [(k, " ".join(f"d{random.randrange(10**6)}" for _ in range(400)) + (" " + " ".join(item[1000 * k : 1000 * k + 40]) if k % 5 == 0 else "")) for k in range(1, 40)] + [(77, " ".join(item[40:90]))]
+    kept, seen = decontaminate.materialize, {}
+
+    def spy(df, tag, *more):
+        seen[tag] = kept(df, tag, *more)
+        return seen[tag]
+
+    monkeypatch.setattr(decontaminate, "materialize", spy)
+    monkeypatch.setattr(decontaminate, "discard", lambda df: None)
+    found = contamination(make(docs), as_bench(spark, items))
+    assert seen["windows"].count() > 1 << 18
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) for r in found.collect())
+    assert got == sorted(brute_contamination(docs, items))
+    candidates = seen["scanned"].selectExpr("sum(size(found))").first()[0]
+    hits, windows = 7 * 28 + 38, 39 * 388
+    assert hits <= candidates < hits + windows // 10
+    assert "BroadcastHashJoin" not in seen["scanned"]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contamination_empty_tables(spark, make):
     assert contamination(make([]), as_bench(spark, [(1, "a b")])).count() == 0
     assert [r.contaminated for r in contamination(make([(1, "a b")]), as_bench(spark, [])).collect()] == [False]

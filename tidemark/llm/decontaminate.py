@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, materialize, text_hash
+from tidemark.llm.common import ascii_lower, discard, materialize, text_hash
 
 NGRAM = 13
 #: The windows are broadcast up to this number and these bytes.
@@ -41,12 +41,17 @@ def benchmark_windows(benchmark: DataFrame, ngram: int = NGRAM, item_col: str =
     return windows.select("item", F.array_join("w", " ").alias("gram"), F.size("w").alias("n"), F.xxhash64("w").alias("h"))
 
 
+def _probes(h: Column) -> tuple[Column, Column]:
+    """Two places in the bitmap from one hash: a window that isn't there passes both in about 1 of 70 cases."""
+    return h, F.shiftrightunsigned(h, 32)
+
+
 def _bitmap(windows: DataFrame, n_windows: int) -> tuple[Column, int]:
     """The hash set as an array of longs, which the optimizer makes a constant of the plan, and its count of bits (a power of two). It passes the driver as text of at most 21 MB, whatever the sizes of benchmark and documents."""
     bits = 1 << max(10, (BITS_PER_WINDOW * n_windows - 1).bit_length())
     bits = min(bits, MAX_BITS)
-    at = F.pmod(F.col("h"), F.lit(bits))
-    filled = windows.groupBy((at / 64).cast("long").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(h, 64) as int)))").alias("v"))
+    places = windows.select(F.explode(F.array(*[p.bitwiseAND(F.lit(bits - 1)) for p in _probes(F.col("h"))])).alias("at"))
+    filled = places.groupBy(F.shiftright("at", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v"))
     dense = windows.sparkSession.range(bits // 64).join(filled, "id", "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
     longs = dense.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"].cast("string")), ",").alias("x")).first()["x"]
     return F.split(F.lit(longs), ",").cast("array<bigint>"), bits
@@ -76,12 +81,16 @@ def contamination(
     def candidates(n: int) -> Column:
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
-        def set_in_bitmap(h: Column) -> Column:
+        def set_at(h: Column) -> Column:
             word = F.get(bitmap, F.shiftrightunsigned(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int"))
             return F.call_function("bit_get", word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
+        def in_bitmap(h: Column) -> Column:
+            first, second = _probes(h)
+            return set_at(first) & set_at(second)
+
         # exists over an array of one binds the hash to a name: each window is hashed once, and no array of hashes is held.
-        starts = F.filter(starts, lambda i: F.exists(F.array(F.xxhash64(F.slice(F.col("w"), i, n))), set_in_bitmap))
+        starts = F.filter(starts, lambda i: F.exists(F.array(F.xxhash64(F.slice(F.col("w"), i, n))), in_bitmap))
         return F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(F.col("w"), i, n), " ").alias("gram")))
 
     held = ["text_hash"] * keep_hash
@@ -89,10 +98,12 @@ def contamination(
     rows = docs.select(F.col(doc_col).alias("doc"), *[text_hash(F.col(text_col)).alias("text_hash")] * keep_hash, words_of(F.col(text_col)).alias("w"))
     rows = rows.select(F.monotonically_increasing_id().alias("uid"), "doc", *held, F.size("w").alias("n_words"), (F.concat(*[candidates(n) for n in lengths]) if lengths else none).alias("found"))
     scanned = materialize(rows, "scanned")
+    discard(named)
     known = windows.select("gram", "n", "window")
     hits = scanned.select("uid", F.explode("found").alias("c")).select("uid", "c.*").join(F.broadcast(known) if few(size) else known, ["gram", "n"])
     hits = hits.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("pos", (F.col("pos") + F.col("n")).alias("end")))).alias("spans"), F.collect_set("window").alias("windows"))
     hits = materialize(hits, "hits")
+    discard(windows)
     names = hits.select("uid", F.explode("windows").alias("window")).join(F.broadcast(items_of) if few(listed) else items_of, "window")
     names = names.groupBy("uid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     per_doc = scanned.drop("found").join(hits.drop("windows"), "uid", "left").join(names, "uid", "left")
