@@ -95,3 +95,58 @@ def test_small_source_keeps_all_rows(spark, make):
     slots = mixing.schedule(docs).collect()
     assert all(r.in_mix and r.release <= r.slot < r.deadline for r in slots)
     assert {r.slot for r in slots} == set(range(sum(-(-n // 16) for n in counts.values())))
+
+
+def test_lag_of_uneven_sources_over_a_million_rows():
+    """Forty sources of 10 to 10^6 rows, blocks of one row: under one block off the exact targets at all checked slots, to the end of every source."""
+    rng = random.Random(11)
+    rows = {f"s{k}": int(10 ** rng.uniform(1, 4.6)) for k in range(38)} | {"big": 600_000, "one": 1}
+    assert sum(rows.values()) > 10**6 * 0.7
+    weights = {s: n**0.7 for s, n in rows.items()}
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    ends = sorted(rows, key=lambda s: rows[s] / exact[s])
+    starts, at, done, total = [], Fraction(0), Fraction(0), sum(exact.values())
+    for s in ends:  # time and progress per unit of weight at which each source runs out
+        at += (rows[s] / exact[s] - done) * total
+        done = rows[s] / exact[s]
+        total -= exact[s]
+        starts.append((at, done, total))
+    run, stage, t0, d0, w0 = Counter(), 0, Fraction(0), Fraction(0), sum(exact.values())
+    checked = 0
+    for t, (s, *_) in enumerate(mixing.whole_stream(rows, weights), 1):
+        run[s] += 1
+        while stage < len(ends) - 1 and t > starts[stage][0]:
+            t0, d0, w0 = starts[stage]
+            stage += 1
+        if t % 1999 == 0 or t < 300:
+            each, left = d0 + (t - t0) / w0, set(ends[stage:])
+            assert all(abs(run[x] - (exact[x] * each if x in left else rows[x])) < 1 for x in rows)
+            checked += 1
+    assert run == Counter(rows) and checked > 600
+
+
+def test_hot_ids_are_split_and_numbered_once(make):
+    rows = [(None, f"t{k}", None, "a") for k in range(600)] + [(7, "same", None, "a")] * 500 + [(k, "x", None, "b") for k in range(100)]
+    got = mixing.schedule(make(rows), block_rows=4, range_rows=16).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[3]) for r in rows)
+    for s, n in (("a", 1100), ("b", 100)):
+        assert sorted((r.block, r.place) for r in got if r.source == s) == [(k // 4, k % 4) for k in range(n)]
+
+
+def test_order_reaches_the_shards(spark, make):
+    """The rows of each shard stand in the order of the mixed stream, through writing and reading."""
+    from tidemark.llm.common import materialize
+    from tidemark.llm.sharding import assign_shards
+
+    rows = [(k, f"text {k} " * 30, None, f"s{k % 3}" if k % 7 else "rare") for k in range(3000)]
+    mixed = materialize(mixing.mix(make(rows).drop("shard_id").repartition(5), block_rows=2), "mixing")
+    slot = {r.doc_id: (r.slot, r.place) for r in mixing.schedule(make(rows), block_rows=2).collect()}
+    files = sorted((r.f, r.i, slot[r.doc_id]) for r in mixed.selectExpr("_metadata.file_name AS f", "_metadata.row_index AS i", "doc_id").collect())
+    assert [x for *_, x in files] == sorted(slot.values())
+    out = materialize(assign_shards(mixed, 20_000, order=mixing.stream_order(mixed)), "sharded")
+    seen = {}
+    for r in sorted(out.selectExpr("_metadata.file_name AS f", "_metadata.row_index AS i", "doc_id", "shard_id").collect()):
+        seen.setdefault(r.shard_id, []).append((r.f, slot[r.doc_id]))
+    assert len(seen) > 20
+    for places in seen.values():
+        assert len({f for f, _ in places}) == 1 and [x for _, x in places] == sorted(x for _, x in places)

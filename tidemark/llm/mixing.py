@@ -26,12 +26,13 @@ from fractions import Fraction
 from itertools import islice
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, text_hash
 
 BLOCK_ROWS = 16
 #: Target weights without a given table: rows of the source to this power.
@@ -136,16 +137,28 @@ def _source(source_col: str) -> Column:
     return F.coalesce(F.col(source_col).cast("string"), F.lit(""))
 
 
-def _numbered(docs: DataFrame, counts: dict[str, int], block_rows: int, doc_col: str, source_col: str, range_rows: int) -> DataFrame:
-    """doc, s, n (the row's number in its source), block."""
+def _numbered(docs: DataFrame, counts: dict[str, int], block_rows: int, doc_col: str, source_col: str, range_rows: int, extra: list[Column] | None = None) -> DataFrame:
+    """doc, extra, s, n (the row's number in its source), block.
+
+    Rows are numbered within hash ranges of about ``range_rows`` rows. A range that repeated or null ids overfill is split by a number that its rows were written with, so a window never holds more than a few times ``range_rows`` rows; their starts are summed in two steps, over stretches of ranges and within them.
+    """
     bits = max(0, math.ceil(math.log2(max(1, sum(counts.values()) / range_rows))))
     h = F.xxhash64(F.col(doc_col))
-    rows = docs.select(F.col(doc_col).alias("doc"), _source(source_col).alias("s"), h.alias("h"), (F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")).alias("range"))
-    before = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("s", "range").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).select("s", "range", "start")
-    if len(counts) << bits <= 1 << 17:
-        starts = F.broadcast(starts)
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("s", "range").orderBy("h", "doc")) - 1).join(starts, ["s", "range"])
+    rows = docs.select(F.col(doc_col).alias("doc"), *(extra or []), _source(source_col).alias("s"), h.alias("h"), (F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")).alias("range"))
+    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    few = len(counts) << bits <= 1 << 17
+    sizes = rows.groupBy("s", "range").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * range_rows)).alias("subs")).where("subs > 1")
+    # At most rows / (4 * range_rows) ranges are overfull: none where ids differ.
+    rows = rows.join(F.broadcast(sizes) if few else sizes, ["s", "range"], "left")
+    rows = rows.withColumn("sub", F.when(F.col("subs").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("uid"), F.col("subs")))).drop("subs")
+    sums = rows.groupBy("s", "range", "sub").count().withColumn("stretch", F.shiftright("range", 12))
+    inside = Window.partitionBy("s", "stretch").orderBy("range", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("s").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = sums.groupBy("s", "stretch").agg(F.sum("count").alias("t")).select("s", "stretch", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    starts = sums.withColumn("start", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(stretches, ["s", "stretch"])
+    starts = starts.select("s", "range", "sub", (F.col("start") + F.col("base")).alias("start"))
+    starts = F.broadcast(starts) if few else starts
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("s", "range", "sub").orderBy("h", "doc", "uid")) - 1).join(starts, ["s", "range", "sub"])
     return rows.withColumn("n", F.col("n") + F.col("start")).withColumn("block", F.floor(F.col("n") / block_rows))
 
 
@@ -156,8 +169,8 @@ def _weights(counts: dict[str, int], weights: dict[str, float] | None, temperatu
     return {s: given[s] for s in counts}
 
 
-def whole_schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, doc_col: str = "doc_id", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """doc_id, source, block, release, deadline, slot, place (in the block), in_mix (true): a row per row of ``docs``. A source that has run out leaves the rotation."""
+def whole_schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, doc_col: str = "doc_id", source_col: str = "source", range_rows: int = RANGE_ROWS, extra: list[Column] | None = None) -> DataFrame:
+    """doc_id, source, block, release, deadline, slot, place (in the block), in_mix (true), and ``extra`` columns (named __...): a row per row of ``docs``. A source that has run out leaves the rotation."""
     counts = _counts(docs, source_col)
     given = _weights(counts, weights, temperature)
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
@@ -170,8 +183,9 @@ def whole_schedule(docs: DataFrame, weights: dict[str, float] | None = None, tem
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k == 0 else pa.int64()) for k, x in enumerate(zip(*rows, strict=True))], names)
 
     slots = materialize(docs.sparkSession.range(0, 1, 1, 1).mapInArrow(deal, schema), "slots")
-    rows = _numbered(docs, counts, block_rows, doc_col, source_col, range_rows).join(slots, ["s", "block"])
-    return rows.select(F.col("doc").alias(doc_col), F.col("s").alias(source_col), "block", "release", "deadline", "slot", F.pmod(F.col("n"), F.lit(block_rows)).cast("int").alias("place"), F.lit(True).alias("in_mix"))
+    rows = _numbered(docs, counts, block_rows, doc_col, source_col, range_rows, extra).join(slots, ["s", "block"])
+    more = [F.col(c) for c in rows.columns if c.startswith("__")]
+    return rows.select(F.col("doc").alias(doc_col), F.col("s").alias(source_col), "block", "release", "deadline", "slot", F.pmod(F.col("n"), F.lit(block_rows)).cast("int").alias("place"), F.lit(True).alias("in_mix"), *more)
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, doc_col: str = "doc_id", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -211,12 +225,23 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperatu
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, doc_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """All rows of ``docs``, dealt and sorted by slot and place: any prefix of the stream holds each source's target to within a block, and a source that has run out leaves the rotation."""
-    plan = whole_schedule(docs, weights, temperature, doc_col=doc_col, source_col=source_col, **options)
-    turn = F.row_number().over(Window.partitionBy(doc_col, source_col).orderBy("slot", "place"))
-    plan = plan.select(F.col(doc_col).alias("__doc"), F.col(source_col).alias("__s"), F.struct("slot", "place").alias("__at"), turn.alias("__k"))
-    rows = docs.withColumn("__source", _source(source_col))
-    rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(doc_col, "__source").orderBy(F.lit(1))))
-    joined = rows.join(plan, rows[doc_col].eqNullSafe(plan["__doc"]) & (F.col("__source") == F.col("__s")) & (F.col("__turn") == F.col("__k")))
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, doc_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """All rows of ``docs``, dealt and sorted by slot and place: any prefix of the stream holds each source's target to within a block, and a source that has run out leaves the rotation. Rows are known by id, source and text; those that agree in all three take their turns in any order."""
+    plan = whole_schedule(docs, weights, temperature, doc_col=doc_col, source_col=source_col, extra=[text_hash(F.col(text_col)).alias("__hash")], **options)
+    turn = F.row_number().over(Window.partitionBy(doc_col, source_col, "__hash").orderBy("slot", "place"))
+    plan = plan.select(F.col(doc_col).alias("__doc"), F.col(source_col).alias("__s"), F.col("__hash").alias("__h"), F.struct("slot", "place").alias("__at"), turn.alias("__k"))
+    rows = docs.withColumns({"__source": _source(source_col), "__text": text_hash(F.col(text_col))})
+    rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(doc_col, "__source", "__text").orderBy(F.lit(1))))
+    joined = rows.join(plan, rows[doc_col].eqNullSafe(plan["__doc"]) & (F.col("__source") == F.col("__s")) & (F.col("__text") == F.col("__h")) & (F.col("__turn") == F.col("__k")))
     return joined.repartitionByRange("__at").sortWithinPartitions("__at").select(*docs.columns)
+
+
+def stream_order(docs: DataFrame) -> list[Column]:
+    """The place of each row of a stream that :func:`mix` ordered and that was written and read again: the file's number and the row's place in it. For a frame that isn't read from files, the order in which its rows come."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["row_index"])
+    except AnalysisException:
+        return [F.monotonically_increasing_id()]
+    name = meta["file_name"]
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.regexp_extract(name, r"-c(\d+)\.", 1).try_cast("long"), name, meta["row_index"]]

@@ -44,49 +44,67 @@ def _directory(rows: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
     return depths.select("cell", "d", "p").join(fits.withColumn("fit", F.lit(True)), ["d", "p"], "left").groupBy("cell").agg(F.min(F.when(F.col("fit"), F.col("d"))).alias("depth"))
 
 
-def shard_ids(docs: DataFrame, max_shard_bytes: int = MAX_SHARD_BYTES, doc_col: str = "doc_id", text_col: str = "text", max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> DataFrame:
-    """doc_id, n_bytes, shard_id ("depth:prefix", with ":page" after it on an overflow page), depth, a row per row of ``docs``."""
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    rows = materialize(docs.select(F.col(doc_col).alias("id"), hash_bits(F.col(doc_col)).alias("h"), size.alias("n_bytes")), "sized")
+def _directories(rows: DataFrame, limit: int, max_broadcast_cells: int) -> tuple[list[tuple[int, DataFrame, bool]], bool]:
+    """(bits, directory, whether it may be broadcast) for each level, and whether rows are left that no bit can split. rows: h and n_bytes, written."""
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
-    low, bits = 0, min(HASH_BITS, max(4, math.ceil(math.log2(max(1, total / max_shard_bytes))) + 6))
-    parts, open_rows = [], rows
+    low, bits = 0, min(HASH_BITS, max(4, math.ceil(math.log2(max(1, total / limit))) + 6))
+    levels: list[tuple[int, DataFrame, bool]] = []
     while True:
-        found = materialize(_directory(open_rows, low, bits, max_shard_bytes), "directory")
+        found = materialize(_directory(rows, low, bits, limit), "directory")
         small = found.count() <= max_broadcast_cells
-        there = open_rows.withColumn("cell", _prefix(bits)).join(F.broadcast(found) if small else found, "cell")
-        parts.append(there.where(F.col("depth").isNotNull()).select("id", "h", "n_bytes", "depth"))
-        full = there.where(F.col("depth").isNull()).select("id", "h", "n_bytes")
+        levels.append((bits, found, small))
         if found.where(F.col("depth").isNull()).limit(1).count() == 0:
-            full = None
-            break
+            return levels, False
         if bits == HASH_BITS:
-            break
-        open_rows = materialize(full, "split")
+            return levels, True
+        open_cells = found.where(F.col("depth").isNull()).select("cell")
+        rows = materialize(rows.join(F.broadcast(open_cells) if small else open_cells, _prefix(bits) == F.col("cell"), "left_semi"), "split")
         low, bits = bits + 1, min(HASH_BITS, bits + 8)
-    shards = parts[0]
-    for part in parts[1:]:
-        shards = shards.unionByName(part)
-    shards = shards.withColumn("shard_id", F.expr(f"concat(depth, ':', shiftright(h, {HASH_BITS} - depth))"))
-    if full is not None:
-        shards = shards.unionByName(_pages(full, max_shard_bytes))
-    return shards.select(F.col("id").alias(doc_col), "n_bytes", "shard_id", "depth")
+
+
+def _placed(rows: DataFrame, levels: list[tuple[int, DataFrame, bool]], full: bool, limit: int) -> DataFrame:
+    """rows (with __h and __bytes) with __shard and __depth: each row looks its prefix up, level by level; only overflow pages need the rows of a bucket together, and those of one input partition at a time."""
+    depth = F.lit(None).cast("int")
+    for k, (bits, found, small) in enumerate(levels):
+        found = found.select(F.col("cell").alias(f"__cell{k}"), F.col("depth").cast("int").alias(f"__depth{k}"))
+        rows = rows.join(F.broadcast(found) if small else found, F.shiftright("__h", HASH_BITS - bits) == F.col(f"__cell{k}"), "left")
+        depth = F.coalesce(depth, F.col(f"__depth{k}"))
+    rows = rows.withColumn("__depth", depth).drop(*[f"__{x}{k}" for k in range(len(levels)) for x in ("cell", "depth")])
+    placed = rows.withColumn("__shard", F.expr(f"concat(__depth, ':', shiftright(__h, {HASH_BITS} - __depth))"))
+    if not full:
+        return placed
+    return placed.where("__depth IS NOT NULL").unionByName(_pages(rows.where("__depth IS NULL"), limit))
 
 
 def _pages(full: DataFrame, limit: int) -> DataFrame:
     """Overflow pages of buckets that have used up all bits. Numbering runs within input partitions, so no bucket meets in one task."""
-    part = Window.partitionBy("h", "part")
-    numbered = full.withColumn("part", F.spark_partition_id()).withColumn("row", F.row_number().over(part.orderBy("n_bytes")) - 1).withColumn("most", F.max("n_bytes").over(part))
-    page = F.floor(F.col("row") / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("most"), F.lit(1)))))
-    return numbered.select("id", "h", "n_bytes", F.lit(HASH_BITS).alias("depth"), F.concat(F.lit(f"{HASH_BITS}:"), F.col("h"), F.lit(":"), F.col("part"), F.lit("."), page).alias("shard_id"))
-
-
-def assign_shards(docs: DataFrame, max_shard_bytes: int = MAX_SHARD_BYTES, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column shard_id (in place of one that was there), dealt so that each shard is written by one task. Rows with one id get that id's shards in any order."""
-    docs = docs.drop("shard_id")
-    key = Window.partitionBy("__id").orderBy("shard_id")
-    ids = shard_ids(docs, max_shard_bytes, doc_col, text_col).select(F.col(doc_col).alias("__id"), "shard_id")
-    ids = ids.withColumn("__n", F.row_number().over(key))
-    mine = docs.withColumn("__n", F.row_number().over(Window.partitionBy(doc_col).orderBy(F.octet_length(F.col(text_col)))))
-    joined = mine.join(ids, mine[doc_col].eqNullSafe(ids["__id"]) & (mine["__n"] == ids["__n"]), "left").select(*[mine[c] for c in docs.columns], "shard_id")
-    return joined.repartition("shard_id")
+    part = Window.partitionBy("__h", "__part")
+    numbered = full.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.row_number().over(part.orderBy("__bytes")) - 1).withColumn("__most", F.max("__bytes").over(part))
+    page = F.floor(F.col("__row") / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("__most"), F.lit(1)))))
+    paged = numbered.withColumn("__depth", F.lit(HASH_BITS)).withColumn("__shard", F.concat(F.lit(f"{HASH_BITS}:"), F.col("__h"), F.lit(":"), F.col("__part"), F.lit("."), page))
+    return paged.drop("__part", "__row", "__most")
+
+
+def _sized(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    return docs.withColumns({"__h": hash_bits(F.col(doc_col)), "__bytes": F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")})
+
+
+def shard_ids(docs: DataFrame, max_shard_bytes: int = MAX_SHARD_BYTES, doc_col: str = "doc_id", text_col: str = "text", max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> DataFrame:
+    """doc_id, n_bytes, shard_id ("depth:prefix", with ":page" after it on an overflow page), depth, a row per row of ``docs``."""
+    rows = materialize(_sized(docs, doc_col, text_col).select(F.col(doc_col).alias("id"), "__h", "__bytes"), "sized")
+    levels, full = _directories(rows.select(F.col("__h").alias("h"), F.col("__bytes").alias("n_bytes")), max_shard_bytes, max_broadcast_cells)
+    placed = _placed(rows, levels, full, max_shard_bytes)
+    return placed.select(F.col("id").alias(doc_col), F.col("__bytes").alias("n_bytes"), F.col("__shard").alias("shard_id"), F.col("__depth").alias("depth"))
+
+
+def assign_shards(docs: DataFrame, max_shard_bytes: int = MAX_SHARD_BYTES, doc_col: str = "doc_id", text_col: str = "text", order: list[Column] | None = None, max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> DataFrame:
+    """``docs`` with a column shard_id (in place of one that was there), dealt so that each shard is written by one task, its rows in the order of ``order`` where that is given. The shard follows from the id's hash and the directory, so rows don't have to meet."""
+    kept = [c for c in docs.columns if c != "shard_id"]
+    if order:
+        docs = docs.withColumn("__order", F.struct(*[c.alias(f"c{k}") for k, c in enumerate(order)]))
+    rows = _sized(docs, doc_col, text_col)
+    thin = materialize(rows.select(F.col("__h").alias("h"), F.col("__bytes").alias("n_bytes")), "sized")
+    levels, full = _directories(thin, max_shard_bytes, max_broadcast_cells)
+    dealt = _placed(rows, levels, full, max_shard_bytes).repartition("__shard")
+    dealt = dealt.sortWithinPartitions("__shard", "__order") if order else dealt
+    return dealt.select(*[F.col(f"`{c}`") for c in kept], F.col("__shard").alias("shard_id"))

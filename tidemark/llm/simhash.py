@@ -24,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialize, text_hash
 from tidemark.llm.graph import connected_components
@@ -172,5 +171,4 @@ def keep_one_per_group(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     kept = kept.join(keep.drop("__rows"), kept[doc_col].eqNullSafe(keep["__keep"]) & (F.col("__text") == F.col("__same")), "left_semi")
     if keep.where("__rows > 1").limit(1).count() == 0:
         return kept.drop("__text")
-    turn = F.row_number().over(Window.partitionBy(doc_col, "__text").orderBy(F.lit(1)))
-    return kept.withColumn("__first", turn).where("__first = 1").drop("__first", "__text")
+    return kept.dropDuplicates([doc_col, "__text"]).drop("__text")
