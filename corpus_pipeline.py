@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import materialize, table
 from tidemark.llm.decontaminate import remove_contaminated
 from tidemark.llm.langid import keep_recognised
-from tidemark.llm.mixing import mix
+from tidemark.llm.mixing import mix, stream_order
 from tidemark.llm.sharding import assign_shards
 from tidemark.llm.simhash import keep_one_per_group
 
@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard_id, each shard within its byte limit."""
-    return assign_shards(docs)
+    """All documents with their shard_id, each shard within its byte limit and its rows in the order of the mixed stream."""
+    return assign_shards(docs, order=stream_order(docs))
 
 
 STAGES = [
