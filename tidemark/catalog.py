@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import audit, calibration, cleaning, edge, features, folds, inference, metrics, raw_audit, reports, robustness, snapshots, taxonomy, walkforward
 from tidemark.plans import sql
+from tidemark.session import materialize
 from tidemark.sources import adapters, readers
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,10 +321,14 @@ def a15_murphy_decomposition(spark, d):
 # ---- Folds
 
 
-def _assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _folded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     panel = adapters.panel(spark, d)
-    made = folds.make_folds(panel)
-    return panel, made, folds.assign(panel, made)
+    return panel, folds.make_folds(panel)
+
+
+def _fit_counts(spark: SparkSession, d: str) -> DataFrame:
+    panel, made = _folded(spark, d)
+    return folds.fit_counts(panel, made, [F.col("raw_probability").alias("p"), F.col("observed_outcome").alias("y")])
 
 
 @query(f"WITH {sql.PANEL}, {sql.FOLDS} SELECT * FROM folds")
@@ -333,19 +338,19 @@ def d12_walkforward_folds(spark, d):
 
 @query(f"WITH {sql.ASSIGNED} SELECT fold_id, split, count(*) AS n, count(DISTINCT contract_id) AS contracts, min(forecast_ts) AS first_ts, max(forecast_ts) AS last_ts FROM assigned GROUP BY ALL")
 def d13_assigned_splits(spark, d):
-    return _assigned(spark, d)[2].groupBy("fold_id", "split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("contract_id").alias("contracts"), F.min("forecast_ts").alias("first_ts"), F.max("forecast_ts").alias("last_ts"))
+    return folds.split_counts(*_folded(spark, d))
 
 
 @query(f"""WITH {sql.ASSIGNED}, o AS (SELECT fold_id, count(*) FILTER (k > 1) AS overlapping_rows FROM (SELECT fold_id, row_id, count(DISTINCT split) AS k FROM assigned GROUP BY ALL) GROUP BY fold_id)
 SELECT fold_id, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'validation') AS validation_rows, count(*) FILTER (split = 'test') AS test_rows,
 max(forecast_ts) FILTER (split = 'train') < min(forecast_ts) FILTER (split = 'validation') AND max(forecast_ts) FILTER (split = 'validation') < min(forecast_ts) FILTER (split = 'test') AS ordered, any_value(overlapping_rows) AS overlapping_rows FROM assigned JOIN o USING (fold_id) GROUP BY fold_id""")
 def a24_split_integrity(spark, d):
-    return folds.integrity(_assigned(spark, d)[2])
+    return folds.integrity(*_folded(spark, d))
 
 
 @query(f"WITH {sql.ASSIGNED} SELECT fold_id, event_family_id, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM assigned GROUP BY ALL HAVING count(DISTINCT split) > 1")
 def a25_family_leakage(spark, d):
-    return folds.leakage(_assigned(spark, d)[2])
+    return folds.leakage(*_folded(spark, d))
 
 
 _OVERLAP_SQL = "fit AS (SELECT fold_id, event_family_id, count(*) AS fit_rows FROM assigned WHERE split <> 'test' AND resolution_ts <= test_start GROUP BY ALL), test AS (SELECT fold_id, event_family_id, count(*) AS test_rows FROM assigned WHERE split = 'test' GROUP BY ALL)"
@@ -353,13 +358,13 @@ _OVERLAP_SQL = "fit AS (SELECT fold_id, event_family_id, count(*) AS fit_rows FR
 
 @query(f"WITH {sql.ASSIGNED}, {_OVERLAP_SQL} SELECT * FROM fit JOIN test USING (fold_id, event_family_id)")
 def j22_family_overlap(spark, d):
-    panel, made, _ = _assigned(spark, d)
+    panel, made = _folded(spark, d)
     return folds.family_overlap(panel, made)
 
 
 @query(f"WITH {sql.ASSIGNED} SELECT fold_id, count(*) AS rows, count(*) FILTER (resolution_ts > test_start) AS excluded_future_labels FROM assigned WHERE split <> 'test' GROUP BY ALL")
 def d14_excluded_future_labels(spark, d):
-    panel, made, _ = _assigned(spark, d)
+    panel, made = _folded(spark, d)
     return walkforward.excluded_future_labels(panel, made)
 
 
@@ -374,8 +379,7 @@ levels AS (SELECT fold_id, i AS bin, max(lowest) AS level FROM (SELECT fold_id,
 
 @query(f"WITH {_BINNED_SQL} SELECT fold_id, CAST(bin AS INTEGER) AS bin, {r('level')} AS level FROM levels")
 def m7_binned_reliability(spark, d):
-    panel, made, _ = _assigned(spark, d)
-    fit = calibration.fit_binned(calibration.compress(folds.fit_rows(panel, made), ["fold_id"]), ["fold_id"])
+    fit = calibration.fit_binned(_fit_counts(spark, d), ["fold_id"])
     return fit.select("fold_id", F.posexplode("levels").alias("bin", "level"))
 
 
@@ -387,8 +391,7 @@ fitted AS (SELECT DISTINCT fold_id, p, first_value(level) OVER (PARTITION BY fol
 
 @query(f"WITH {_ISOTONIC_SQL} SELECT fold_id, {r('p')} AS p, {r('least(greatest(level, 0.001), 0.999)')} AS prediction FROM fitted")
 def m6_isotonic(spark, d):
-    panel, made, _ = _assigned(spark, d)
-    data = calibration.compress(folds.fit_rows(panel, made), ["fold_id"])
+    data = materialize(_fit_counts(spark, d), "fit-counts")
     points = data.select("fold_id", "p").distinct()
     found = calibration.predict_isotonic(points.join(F.broadcast(calibration.fit_isotonic(data, ["fold_id"])), "fold_id"), p="p")
     return found.select("fold_id", "p", "prediction")
@@ -396,14 +399,12 @@ def m6_isotonic(spark, d):
 
 @query()
 def m2_platt(spark, d):
-    panel, made, _ = _assigned(spark, d)
-    return calibration.fit_logistic(calibration.compress(folds.fit_rows(panel, made), ["fold_id"]), ["fold_id"]).select("fold_id", "rows", "status", F.col("c")[0].alias("intercept"), F.col("c")[1].alias("slope"))
+    return calibration.fit_logistic(_fit_counts(spark, d), ["fold_id"]).select("fold_id", "rows", "status", F.col("c")[0].alias("intercept"), F.col("c")[1].alias("slope"))
 
 
 @query()
 def m3_beta(spark, d):
-    panel, made, _ = _assigned(spark, d)
-    return calibration.fit_logistic(calibration.compress(folds.fit_rows(panel, made), ["fold_id"]), ["fold_id"], "beta").select("fold_id", "rows", "status", *[F.col("c")[k].alias(f"c{k}") for k in range(3)])
+    return calibration.fit_logistic(_fit_counts(spark, d), ["fold_id"], "beta").select("fold_id", "rows", "status", *[F.col("c")[k].alias(f"c{k}") for k in range(3)])
 
 
 @query()
@@ -414,13 +415,13 @@ def m5_calibration_diagnostic(spark, d):
 
 @query()
 def m8_hierarchical(spark, d):
-    panel, made, _ = _assigned(spark, d)
+    panel, made = _folded(spark, d)
     found = walkforward.evaluate(panel, made, ("raw", "hierarchical_eb"))
     return walkforward.fold_metrics(found)
 
 
 def _walkforward(spark: SparkSession, d: str, models: tuple[str, ...] = ("raw", "binned_reliability")) -> DataFrame:
-    panel, made, _ = _assigned(spark, d)
+    panel, made = _folded(spark, d)
     return walkforward.evaluate(panel, made, models)
 
 
@@ -614,7 +615,7 @@ def d27_staleness_filters(spark, d):
 SELECT model_name, 'all' AS variant, count(*) AS row_count, {r('avg(brier)')} AS mean_brier, {r('avg(log_loss)')} AS mean_log_loss FROM predictions GROUP BY ALL
 UNION ALL SELECT model_name, 'purged', count(*), {r('avg(brier)')}, {r('avg(log_loss)')} FROM predictions p WHERE NOT EXISTS (FROM torn t WHERE t.fold_id = p.fold_id AND t.event_family_id = p.event_family_id) GROUP BY ALL""")
 def d29_family_purge(spark, d):
-    return robustness.family_purge(_predictions(spark, d), _assigned(spark, d)[2])
+    return robustness.family_purge(_predictions(spark, d), *_folded(spark, d))
 
 
 _RULES_SQL = {"no_sports": "is_sports", "no_ambiguous": "taxonomy_ambiguous", "no_low_confidence": "taxonomy_confidence = 'low'", "no_unknown": "coalesce(domain, 'unknown') = 'unknown'", "no_politics": "coalesce(domain = 'politics', false)", "strict": "is_sports OR taxonomy_ambiguous OR taxonomy_confidence = 'low'"}

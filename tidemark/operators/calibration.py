@@ -12,8 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.expr import EPSILON, bin_index, clip, logit, sigmoid
+from tidemark.session import materialize
 
 RIDGE, TOLERANCE, MAX_ITERATIONS, MIN_ROWS = 1e-9, 1e-8, 100, 20
 ALIASES = {"logistic": "platt", "reliability_bin": "binned_reliability", "hierarchical": "hierarchical_eb"}
@@ -52,7 +54,8 @@ def fit_logistic(data: DataFrame, key: list[str], kind: str = "platt", min_rows:
     spark = data.sparkSession
     features, start = _features(kind, epsilon)
     size = len(start)
-    data = data.select(*key, "y", "n", *[x.alias(f"x{i}") for i, x in enumerate(features)], "p").persist()
+    data = data.select(*key, "y", "n", *[x.alias(f"x{i}") for i, x in enumerate(features)], "p")
+    data = materialize(data, "newton")
     gates = {tuple(r[k] for k in key): r for r in gate(data, key, min_rows, epsilon).collect()}
     state = {k: (np.array(start), 0, "running") for k, r in gates.items() if r["status"] == "ok"}
     schema = ", ".join(f"{data.schema[k].name} {data.schema[k].dataType.simpleString()}" for k in key) + ", c array<double>"
@@ -75,7 +78,6 @@ def fit_logistic(data: DataFrame, key: list[str], kind: str = "platt", min_rows:
                 state[k] = (state[k][0], step, "singular_hessian")
                 continue
             state[k] = (state[k][0] + delta, step, "converged" if np.abs(delta).max() < TOLERANCE else "running")
-    data.unpersist()
     out = []
     for k, r in gates.items():
         c, steps, status = state.get(k, (None, 0, f"fallback_{r['status']}"))
@@ -103,24 +105,40 @@ def pool(ends: np.ndarray, totals: np.ndarray, weights: np.ndarray) -> tuple[np.
     return np.array(e), np.array(t, float), np.array(w, float)
 
 
-def fit_isotonic(data: DataFrame, key: list[str], epsilon: float = EPSILON, ranges: int = 64) -> DataFrame:
-    """key, rows, status, thresholds, levels. Equal prices aren't pooled: the zeros of a price come before its ones."""
-    kinds = ", ".join(f"{k} {data.schema[k].dataType.simpleString()}" for k in key)
-    runs = data.select(*key, clip(F.col("p"), epsilon).alias("p"), "y", "n").withColumn("part", bin_index(F.col("p"), ranges))
+MAX_BROADCAST_BLOCKS = 1 << 20
+#: A pandas group holds about so many runs of a fold.
+RANGE_RUNS, PRICE_CELLS, FANIN = 1 << 16, 4096, 64
+
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["p", "y"], kind="stable")
-        e, t, w = pool(pdf["p"].to_numpy(), (pdf["y"] * pdf["n"]).to_numpy(float), pdf["n"].to_numpy(float))
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "part": pdf["part"].iloc[0], "at": np.arange(len(e)), "p": e, "t": t, "w": w})
+def fit_isotonic(data: DataFrame, key: list[str], epsilon: float = EPSILON, range_runs: int = RANGE_RUNS) -> DataFrame:
+    """key, rows, status, thresholds, levels. Equal prices aren't pooled: the zeros of a price come before its ones.
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "at"], kind="stable")
+    A fold's runs are pooled within ranges of price that hold about ``range_runs`` runs each, and the blocks of neighbouring ranges are merged in a tree, which gives the blocks of one pass.
+    """
+    kinds = ", ".join(f"{k} {data.schema[k].dataType.simpleString()}" for k in key)
+    runs = data.select(*key, clip(F.col("p"), epsilon).alias("p"), "y", "n").withColumn("cell", bin_index(F.col("p"), PRICE_CELLS))
+    before = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = runs.groupBy(*key, "cell").count().select(*key, "cell", F.floor(F.coalesce(F.sum("count").over(before), F.lit(0)) / range_runs).cast("int").alias("part"))
+    # A row per fold and filled cell: no more than folds x PRICE_CELLS.
+    blocks = runs.join(F.broadcast(cells), [*key, "cell"]).select(*key, "part", F.col("y").cast("int").alias("at"), "p", (F.col("y") * F.col("n")).cast("double").alias("t"), F.col("n").cast("double").alias("w"))
+    parts = cells.agg(F.max("part").alias("n")).first()["n"]
+    shape = f"{kinds}, part int, at int, p double, t double, w double"
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Blocks of one range end at rising prices; a price may end a block of zeros and one of ones.
+        pdf = pdf.sort_values(["p", "at"], kind="stable")
         e, t, w = pool(pdf["p"].to_numpy(), pdf["t"].to_numpy(), pdf["w"].to_numpy())
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "part": pdf["part"].iloc[0] // FANIN, "at": np.arange(len(e), dtype=np.int32), "p": e, "t": t, "w": w})
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        e, t, w = (merged(pdf)[c].to_numpy() for c in ("p", "t", "w"))
         levels = np.clip(t / w, epsilon, 1 - epsilon)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "rows": [int(w.sum())], "status": ["fitted"], "thresholds": [e.tolist()], "levels": [levels.tolist()]})
 
-    blocks = runs.groupBy(*key, "part").applyInPandas(within, f"{kinds}, part int, at int, p double, t double, w double")
-    return blocks.groupBy(*key).applyInPandas(across, f"{kinds}, rows long, status string, thresholds array<double>, levels array<double>")
+    while (parts or 0) > 0:
+        blocks = blocks.groupBy(*key, "part").applyInPandas(merged, shape)
+        parts //= FANIN
+    return blocks.groupBy(*key).applyInPandas(last, f"{kinds}, rows long, status string, thresholds array<double>, levels array<double>")
 
 
 def fit_binned(data: DataFrame, key: list[str], bins: int = 10, prior: float = 10.0, min_rows: int = MIN_ROWS, epsilon: float = EPSILON) -> DataFrame:
@@ -147,7 +165,8 @@ def fit_hierarchical(data: DataFrame, key: list[str], context: tuple[str, ...],
     """Experimental. Platt, plus shrunken logit offsets of each context level, fitted in turn. Returns (platt parameters, key + column, level, offset); small levels have none. data: compressed with the context columns."""
     spark = data.sparkSession
     base = fit_logistic(compress_again(data, key), key, "platt", epsilon=epsilon)
-    plain = predict_logistic(data.join(F.broadcast(base), key, "left"), "platt", epsilon, p="p").withColumn("eta", logit(clip(F.col("prediction"), epsilon))).persist()
+    plain = predict_logistic(data.join(F.broadcast(base), key, "left"), "platt", epsilon, p="p").withColumn("eta", logit(clip(F.col("prediction"), epsilon)))
+    plain = materialize(plain, "base-fit")
     names = ", ".join(f"{k} {data.schema[k].dataType.simpleString()}" for k in key)
     schema = f"{names}, column string, level string, offset double"
     offsets: dict[tuple, float] = {}
@@ -161,7 +180,6 @@ def fit_hierarchical(data: DataFrame, key: list[str], context: tuple[str, ...],
                 k = (*[r[x] for x in key], column, r["level"])
                 weight = r["n"] / (r["n"] + prior)
                 offsets[k] = offsets.get(k, 0.0) + weight * r["g"] / max(r["h"], 1e-9)
-    plain.unpersist()
     return base, spark.createDataFrame([(*k, float(v)) for k, v in offsets.items()], schema)
 
 
@@ -190,7 +208,12 @@ def predict_logistic(rows: DataFrame, kind: str, epsilon: float = EPSILON, p: st
 def predict_isotonic(rows: DataFrame, epsilon: float = EPSILON, p: str = "raw_probability") -> DataFrame:
     """The level of the first block that ends at or above p; the last block's beyond all."""
     x = clip(F.col(p), epsilon)
-    at = F.size(F.filter("thresholds", lambda t: t < x))
+    # A binary search: each step halves what lies between lo and hi.
+    halve = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+    below = lambda a: F.get("thresholds", halve(a)) < x
+    step = lambda a, _: F.when(a["lo"] >= a["hi"], a).otherwise(F.struct(F.when(below(a), halve(a) + 1).otherwise(a["lo"]).alias("lo"), F.when(below(a), a["hi"]).otherwise(halve(a)).alias("hi")))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("thresholds") + 1)).cast("int"))
+    at = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size("thresholds").alias("hi")), step)["lo"]
     return rows.withColumn("prediction", F.when(F.col("levels").isNull(), x).otherwise(clip(F.col("levels")[F.least(at, F.size("levels") - 1)], epsilon)))
 
 

@@ -46,9 +46,9 @@ def weighting_sensitivity(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def family_purge(rows: DataFrame, assigned: DataFrame) -> DataFrame:
+def family_purge(rows: DataFrame, panel: DataFrame, folds: DataFrame) -> DataFrame:
     """Per model the metrics of all test rows, and of those whose event family is in no other split of their fold. rows: with fold_id."""
-    torn = leakage(assigned).where(F.col("splits").contains("test")).select("fold_id", "event_family_id")
+    torn = leakage(panel, folds).where(F.col("splits").contains("test")).select("fold_id", "event_family_id")
     purged = rows.join(torn, ["fold_id", "event_family_id"], "left_anti")
     return _metrics(rows.withColumn("variant", F.lit("all")), "model_name", "variant").unionByName(_metrics(purged.withColumn("variant", F.lit("purged")), "model_name", "variant"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import EPSILON, brier, clip, log_loss
 from tidemark.operators import calibration as C
-from tidemark.operators.folds import assign, fit_rows
+from tidemark.operators.folds import assign, fit_counts, fold_months, month_of
+from tidemark.session import materialize
 
 KEEP = ["row_id", "contract_id", "event_family_id", "horizon_name", "domain", "forecast_ts", "resolution_ts", "observed_outcome", "raw_probability"]
 
@@ -18,9 +19,9 @@ def evaluate(panel: DataFrame, folds: DataFrame, models: tuple[str, ...] = ("raw
     key = ["fold_id"]
     if missing := [c for c in context if c not in panel.columns and "hierarchical_eb" in models]:
         raise ValueError(f"hierarchical_eb needs {missing}")
-    fit = fit_rows(panel, folds)
-    data = C.compress(fit, key).persist()
-    test = assign(panel, folds).where("split = 'test'").select(*key, *[c for c in KEEP if c in panel.columns])
+    prices = [F.col("raw_probability").alias("p"), F.col("observed_outcome").alias("y")]
+    data = materialize(fit_counts(panel, folds, prices), "fit-counts")
+    test = assign(panel, folds, splits=("test",)).select(*key, *[c for c in KEEP if c in panel.columns])
     out = None
     for model in models:
         if model == "raw":
@@ -28,11 +29,13 @@ def evaluate(panel: DataFrame, folds: DataFrame, models: tuple[str, ...] = ("raw
         elif model in ("platt", "beta"):
             rows = C.predict_logistic(test.join(F.broadcast(C.fit_logistic(data, key, model, epsilon=epsilon)), key, "left"), model, epsilon)
         elif model == "isotonic":
-            rows = C.predict_isotonic(test.join(F.broadcast(C.fit_isotonic(data, key, epsilon)), key, "left"), epsilon)
+            blocks = materialize(C.fit_isotonic(data, key, epsilon), "isotonic")
+            size = blocks.agg(F.coalesce(F.sum(F.size("levels")), F.lit(0)).alias("n")).first()["n"]
+            rows = C.predict_isotonic(test.join(F.broadcast(blocks) if size <= C.MAX_BROADCAST_BLOCKS else blocks, key, "left"), epsilon)
         elif model == "binned_reliability":
             rows = C.predict_binned(test.join(F.broadcast(C.fit_binned(data, key, epsilon=epsilon)), key, "left"), epsilon=epsilon)
         else:
-            base, offsets = C.fit_hierarchical(C.compress(fit, key, context=context), key, context, epsilon=epsilon)
+            base, offsets = C.fit_hierarchical(materialize(fit_counts(panel, folds, [*prices, *context]), "fit-counts"), key, context, epsilon=epsilon)
             plain = C.predict_logistic(test.join(F.broadcast(base), key, "left"), "platt", epsilon)
             moved = C._with_offsets(plain, offsets, key, context)
             rows = moved.withColumn("prediction", clip(C.sigmoid(C.logit(clip(F.col("prediction"), epsilon)) + F.col("shift")), epsilon))
@@ -42,9 +45,11 @@ def evaluate(panel: DataFrame, folds: DataFrame, models: tuple[str, ...] = ("raw
 
 
 def excluded_future_labels(panel: DataFrame, folds: DataFrame) -> DataFrame:
-    """Per fold the train and validation rows that a fit may not see, since they were resolved after the test's start."""
-    rows = assign(panel, folds).where("split <> 'test'")
-    return rows.groupBy("fold_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("resolution_ts") > F.col("test_start")).alias("excluded_future_labels"))
+    """Per fold the train and validation rows that a fit may not see, since they were resolved after the test's start: from counts by month."""
+    monthly = panel.groupBy(month_of("forecast_ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    rows = monthly.join(F.broadcast(fold_months(folds).where("split <> 'test'")), "month").groupBy("fold_id").agg(F.sum("n").alias("rows"))
+    fit = fit_counts(panel, folds, []).withColumnRenamed("n", "fit")
+    return rows.join(fit, "fold_id", "left").select("fold_id", "rows", (F.col("rows") - F.coalesce("fit", F.lit(0))).alias("excluded_future_labels"))
 
 
 def identical_rows(predictions: DataFrame) -> DataFrame:

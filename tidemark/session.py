@@ -1,8 +1,11 @@
-"""Session builder used by the tests and the bench."""
+"""Session builder used by the tests and the bench, and tables written to the folder that a cluster shares."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -19,3 +22,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path below ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary folder; a cluster raises, since its executors couldn't see one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/tidemark/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, which cuts the lineage for tables that several jobs read."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
