@@ -6,10 +6,12 @@ Doubles are rounded to nine digits on both sides, since sums depend on the order
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import expr
 from tidemark.operators import audit, calibration, cleaning, edge, features, folds, inference, metrics, raw_audit, reports, robustness, snapshots, taxonomy, walkforward
 from tidemark.plans import sql
 from tidemark.session import materialize
@@ -58,8 +60,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Snapshots and features
 
 
+#: The default policies, with the window average preferred at two horizons so that both methods occur.
+HORIZONS = tuple(replace(h, prefer_vwap=h.name in ("1d", "6h")) for h in snapshots.HORIZONS)
+
+
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.snapshot_panel(adapters.contracts(spark, d), adapters.prices(spark, d))
+    return snapshots.snapshot_panel(adapters.contracts(spark, d), adapters.prices(spark, d), HORIZONS)
 
 
 @query(f"WITH {sql.SNAPSHOT_PANEL} SELECT * REPLACE ({r('snapshot_price')} AS snapshot_price, {r('last_trade_price')} AS last_trade_price, {r('vwap_price')} AS vwap_price) FROM snapshots")
@@ -75,20 +81,20 @@ def d1_snapshot_brier_by_horizon(spark, d):
 
 @query(f"WITH {sql.MARKET} SELECT contract_id, horizon, forecast_ts, max_staleness::BIGINT AS max_staleness FROM candidates")
 def j1_candidates(spark, d):
-    return snapshots.candidates(adapters.contracts(spark, d)).select("contract_id", "horizon", "forecast_ts", "max_staleness")
+    return snapshots.candidates(adapters.contracts(spark, d), HORIZONS).select("contract_id", "horizon", "forecast_ts", "max_staleness")
 
 
 @query(f"""WITH {sql.SNAPSHOT_PANEL} SELECT c.contract_id, c.horizon, l.source_ts AS last_ts, {r('l.price')} AS last_price, v.vwap_trade_count, v.vwap_volume
 FROM candidates c LEFT JOIN latest l USING (contract_id, horizon) LEFT JOIN vwap v USING (contract_id, horizon)""")
 def j2_asof_and_window(spark, d):
-    found = snapshots.snapshot_stats(snapshots.candidates(adapters.contracts(spark, d)), adapters.prices(spark, d))
+    found = snapshots.snapshot_stats(snapshots.candidates(adapters.contracts(spark, d), HORIZONS), adapters.prices(spark, d))
     return found.select("contract_id", "horizon", F.col("last.source_ts").alias("last_ts"), F.col("last.price").alias("last_price"), "vwap_trade_count", "vwap_volume")
 
 
 @query(f"""WITH {sql.SNAPSHOT_PANEL} SELECT c.horizon, count(*) AS candidates, count(*) FILTER (l.source_ts IS NULL) AS no_price, count(*) FILTER (l.source_ts < c.forecast_ts - to_seconds(c.max_staleness)) AS stale,
 count(*) FILTER (l.source_ts >= c.forecast_ts - to_seconds(c.max_staleness)) AS kept FROM candidates c LEFT JOIN latest l USING (contract_id, horizon) GROUP BY c.horizon""")
 def a23_snapshot_drop_counts(spark, d):
-    return snapshots.drop_counts(adapters.contracts(spark, d), adapters.prices(spark, d))
+    return snapshots.drop_counts(adapters.contracts(spark, d), adapters.prices(spark, d), HORIZONS)
 
 
 @query(f"""WITH {sql.SNAPSHOT_PANEL} SELECT count(*) AS row_count, count(*) FILTER (NOT forecast_ts < resolution_ts) AS bad_order, count(*) FILTER (price_timestamp > forecast_ts) AS future_price,
@@ -315,7 +321,7 @@ def d28_weighting_sensitivity(spark, d):
 SELECT model_name, horizon_name, CAST(n AS BIGINT) AS row_count, {r('base')} AS base_rate, {r('rb')} AS raw_brier, {r('rel')} AS reliability, {r('second - base * base')} AS resolution, {r('base * (1 - base)')} AS uncertainty,
 {r('rel - (second - base * base) + base * (1 - base)')} AS decomposed_brier, {r('rb - (rel - (second - base * base) + base * (1 - base))')} AS residual FROM s""")
 def a15_murphy_decomposition(spark, d):
-    return metrics.murphy(_predictions(spark, d), keys=["model_name", "horizon_name"])
+    return metrics.murphy(_predictions(spark, d), keys=["model_name", "horizon_name"]).drop("filled_bins", "empty_bins", "sparse_bins", "status")
 
 
 # ---- Folds
@@ -447,9 +453,13 @@ def d38_gain_over_time(spark, d):
     return walkforward.gain_over_time(_walkforward(spark, d))
 
 
-@query(f"WITH {sql.PREDICTIONS} SELECT fold_id, count(DISTINCT row_id) AS rows, CAST(3 AS BIGINT) AS models, CAST(0 AS BIGINT) AS bad_rows FROM predictions GROUP BY fold_id")
+@query(f"""WITH {sql.PREDICTIONS}, d AS (SELECT fold_id, row_id, model_name FROM predictions WHERE NOT (model_name = 'sharp' AND cumulative_volume = 3) UNION ALL SELECT fold_id, row_id, model_name FROM predictions WHERE model_name = 'raw' AND cumulative_volume = 5),
+k AS (SELECT fold_id, row_id, count(DISTINCT model_name) AS k, count(*) AS n FROM d GROUP BY ALL) SELECT fold_id, count(*) AS rows, (SELECT count(DISTINCT model_name) FROM d) AS models, count(*) FILTER (k <> (SELECT count(DISTINCT model_name) FROM d) OR n <> k) AS bad_rows FROM k GROUP BY fold_id""")
 def d15_identical_test_rows(spark, d):
-    return walkforward.identical_rows(adapters.predictions(spark, d))
+    """Over predictions of which some rows lack a model and others have one twice."""
+    rows = adapters.predictions(spark, d).select("fold_id", "row_id", "model_name", "cumulative_volume")
+    damaged = rows.where(~((F.col("model_name") == "sharp") & (F.col("cumulative_volume") == 3)))
+    return walkforward.identical_rows(damaged.unionByName(rows.where("model_name = 'raw' AND cumulative_volume = 5")))
 
 
 @query()
@@ -461,13 +471,20 @@ def d14_walkforward_all_models(spark, d):
 
 
 def _inference(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.by_groupings(_predictions(spark, d), {"overall": [], "horizon": ["horizon_name"]})
+    rows = _predictions(spark, d).withColumns({
+        "liquidity_bucket": expr.left_closed_bucket(F.col("liquidity"), [20000.0, 50000.0], ["low", "medium", "high"]),
+        "staleness_bucket": expr.left_closed_bucket(F.col("staleness_seconds"), [600.0, 1800.0, 3600.0], ["fresh", "recent", "old", "stale"]),
+    })
+    return metrics.by_groupings(rows, {"overall": [], "horizon": ["horizon_name"], "domain": ["domain"], "category": ["category"], "liquidity": ["liquidity_bucket"], "staleness": ["staleness_bucket"]})
 
 
-_INFERENCE = sql.PREDICTIONS + """, ig AS (SELECT *, 'overall' AS grouping_name, 'all' AS group_key FROM predictions UNION ALL SELECT *, 'horizon', horizon_name FROM predictions),
+_INFERENCE = sql.PREDICTIONS + """, ig AS (SELECT *, 'overall' AS grouping_name, 'all' AS group_key FROM predictions UNION ALL SELECT *, 'horizon', coalesce(horizon_name, '<missing>') FROM predictions
+  UNION ALL SELECT *, 'domain', coalesce(domain, '<missing>') FROM predictions UNION ALL SELECT *, 'category', coalesce(category, '<missing>') FROM predictions
+  UNION ALL SELECT *, 'liquidity', CASE WHEN liquidity IS NULL THEN 'missing' WHEN liquidity < 20000 THEN 'low' WHEN liquidity < 50000 THEN 'medium' ELSE 'high' END FROM predictions
+  UNION ALL SELECT *, 'staleness', CASE WHEN staleness_seconds IS NULL THEN 'missing' WHEN staleness_seconds < 600 THEN 'fresh' WHEN staleness_seconds < 1800 THEN 'recent' WHEN staleness_seconds < 3600 THEN 'old' ELSE 'stale' END FROM predictions),
 stats AS (SELECT model_name, grouping_name, group_key, event_family_id AS cluster, count(*) AS n, sum(brier) AS b, sum(log_loss) AS l FROM ig GROUP BY ALL)"""
 _POISSON = "CASE " + " ".join(f"WHEN u < {x!r} THEN {k}" for k, x in enumerate([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712])) + " ELSE 7 END"
-_DRAWN = f"""reps AS (SELECT CAST(unnest(range(200)) AS INTEGER) AS replicate), drawn AS (SELECT *, {_POISSON} AS w FROM (SELECT cluster, replicate, CAST('0x' || substr(md5(cluster || '|' || replicate), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT cluster FROM stats), reps))"""
+_DRAWN = f"""reps AS (SELECT CAST(unnest(range(1000)) AS INTEGER) AS replicate), drawn AS (SELECT *, {_POISSON} AS w FROM (SELECT cluster, replicate, CAST('0x' || substr(md5(cluster || '|' || replicate), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT cluster FROM stats), reps))"""
 
 
 @query(f"WITH {_INFERENCE} SELECT model_name, grouping_name, group_key, cluster, n, {r('b')} AS brier, {r('l')} AS log_loss FROM stats")
@@ -488,7 +505,7 @@ def d17_bootstrap_replicates(spark, d):
 @query(f"""WITH {_INFERENCE}, {_DRAWN}, m AS (SELECT model_name, grouping_name, group_key, replicate, sum(w * b) / nullif(sum(w * n), 0) AS brier, sum(w * l) / nullif(sum(w * n), 0) AS log_loss FROM stats JOIN drawn USING (cluster) GROUP BY ALL),
 e AS (SELECT model_name, grouping_name, group_key, sum(n) AS rows, count(*) AS clusters, sum(b) / sum(n) AS brier, sum(l) / sum(n) AS log_loss FROM stats GROUP BY ALL),
 q AS (SELECT model_name, grouping_name, group_key, quantile_cont(brier, [0.025, 0.975]) AS brier, quantile_cont(log_loss, [0.025, 0.975]) AS log_loss FROM m GROUP BY ALL)
-SELECT model_name, grouping_name, group_key, CAST(rows AS BIGINT) AS rows, clusters, 'ok' AS status, metric, {r('estimate')} AS estimate, {r('ci[1]')} AS low, {r('ci[2]')} AS high FROM (
+SELECT model_name, grouping_name, group_key, CAST(rows AS BIGINT) AS rows, clusters, CASE WHEN rows < 30 THEN 'too_few_rows' WHEN clusters < 5 THEN 'too_few_clusters' ELSE 'ok' END AS status, metric, {r('estimate')} AS estimate, CASE WHEN rows >= 30 AND clusters >= 5 THEN {r('ci[1]')} END AS low, CASE WHEN rows >= 30 AND clusters >= 5 THEN {r('ci[2]')} END AS high FROM (
   SELECT e.model_name, e.grouping_name, e.group_key, rows, clusters, 'brier' AS metric, e.brier AS estimate, q.brier AS ci FROM e JOIN q USING (model_name, grouping_name, group_key)
   UNION ALL SELECT e.model_name, e.grouping_name, e.group_key, rows, clusters, 'log_loss', e.log_loss, q.log_loss FROM e JOIN q USING (model_name, grouping_name, group_key))""")
 def d16_score_intervals(spark, d):
@@ -520,10 +537,10 @@ def w10_benjamini_hochberg(spark, d):
     return inference.benjamini_hochberg(inference.sign_p_values(inference.bootstrap_means(paired), paired))
 
 
-@query(f"""WITH {_INFERENCE}, {_DRAWN.replace('range(200)', 'range(20)')}, cells AS (SELECT model_name, grouping_name, group_key, event_family_id AS cluster, least(CAST(floor(predicted_probability * 10) AS INTEGER), 9) AS bin, count(*) AS n, sum(predicted_probability) AS sp, sum(observed_outcome) AS sy FROM ig GROUP BY ALL),
-x AS (SELECT model_name, grouping_name, group_key, replicate, bin, sum(w * n) AS n, abs(sum(w * sp) - sum(w * sy)) AS gap FROM cells JOIN drawn USING (cluster) GROUP BY ALL) SELECT model_name, grouping_name, group_key, replicate, {r('sum(gap) / sum(n)')} AS ece FROM x GROUP BY ALL""")
+@query(f"""WITH {_INFERENCE}, {_DRAWN}, cells AS (SELECT model_name, grouping_name, group_key, event_family_id AS cluster, least(CAST(floor(predicted_probability * 10) AS INTEGER), 9) AS bin, count(*) AS n, sum(predicted_probability) AS sp, sum(observed_outcome) AS sy FROM ig GROUP BY ALL),
+x AS (SELECT model_name, grouping_name, group_key, replicate, bin, sum(w * n) AS n, abs(sum(w * sp) - sum(w * sy)) AS gap FROM cells JOIN drawn USING (cluster) GROUP BY ALL) SELECT model_name, grouping_name, group_key, replicate, {r('sum(gap) / nullif(sum(n), 0)')} AS ece FROM x GROUP BY ALL""")
 def d18_bootstrap_ece(spark, d):
-    return inference.bootstrap_ece(inference.bin_stats(_inference(spark, d)), 20)
+    return inference.bootstrap_ece(inference.bin_stats(_inference(spark, d)))
 
 
 # ---- Edge
@@ -660,10 +677,9 @@ def a19_resolution_gaps(spark, d):
     return raw_audit.resolution_gaps(adapters.panel(spark, d))
 
 
-@query(f"WITH {sql.SNAPSHOT_PANEL} SELECT horizon, count(*) AS n FROM snapshots WHERE horizon <> 'close' AND contract_id IN (SELECT contract_id FROM snapshots WHERE horizon IN ('7d', '3d', '1d') GROUP BY contract_id HAVING count(DISTINCT horizon) = 3) AND horizon IN ('7d', '3d', '1d') GROUP BY horizon")
+@query(f"WITH {sql.SNAPSHOT_PANEL} SELECT horizon, count(*) AS n FROM snapshots WHERE contract_id IN (SELECT contract_id FROM snapshots GROUP BY contract_id HAVING count(DISTINCT horizon) = (SELECT count(DISTINCT horizon) FROM snapshots)) GROUP BY horizon")
 def j25_balanced_subset(spark, d):
-    rows = _snapshots(spark, d).where(F.col("horizon").isin("7d", "3d", "1d"))
-    return raw_audit.balanced(rows).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"))
+    return raw_audit.balanced(_snapshots(spark, d)).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {sql.PANEL} SELECT row_id, {r('staleness_seconds')} AS staleness_seconds FROM panel WHERE staleness_seconds > 3000")
@@ -676,7 +692,7 @@ v AS (SELECT c.contract_id, c.horizon, w.w, sum(p.price * p.volume) / nullif(sum
 o AS (SELECT contract_id, horizon, 'last_trade' AS method, price AS p FROM latest UNION ALL SELECT contract_id, horizon, 'vwap_' || w, p FROM v)
 SELECT c.horizon, max_stale, o.method, count(*) AS row_count, {r("avg(power(o.p - CASE c.outcome WHEN 'yes' THEN 1 ELSE 0 END, 2))")} AS mean_brier FROM candidates c JOIN latest l USING (contract_id, horizon) JOIN o USING (contract_id, horizon), s WHERE date_diff('second', l.source_ts, c.forecast_ts) <= max_stale AND o.p IS NOT NULL GROUP BY ALL""")
 def d10_strict_variants(spark, d):
-    return raw_audit.strict_variants(snapshots.candidates(adapters.contracts(spark, d)), adapters.prices(spark, d))
+    return raw_audit.strict_variants(snapshots.candidates(adapters.contracts(spark, d), HORIZONS), adapters.prices(spark, d))
 
 
 # ---- Reports

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.expr import elapsed_seconds, lockup_cost, reasons, taker_fee
+from tidemark.operators.quantiles import exact_percentiles
 
 
 @dataclass(frozen=True)
@@ -51,8 +53,7 @@ def _in(fee: Fee, at: Column) -> Column:
 
 def fee_entry(schedule: tuple[Fee, ...], at: Column) -> Column:
     """(name, rate) of the last entry that holds at a time; of the last entry at all where none does."""
-    if not schedule:
-        raise ValueError("an empty fee schedule")
+    validate_schedule(schedule)
     as_struct = lambda f: F.struct(F.lit(f.name).alias("name"), F.lit(f.rate).alias("rate"))
     return F.coalesce(*[F.when(_in(f, at), as_struct(f)) for f in reversed(schedule)], as_struct(schedule[-1]))
 
@@ -126,10 +127,10 @@ def _sides(rows: DataFrame, config: EdgeConfig) -> DataFrame:
     return out.withColumn("side_reason", _side_reasons(config)).drop("__t")
 
 
-def simulate(predictions: DataFrame, config: EdgeConfig = EdgeConfig()) -> DataFrame:
-    """Candidates: model_name, row_id, friction_tier, trade_side, costs, edges, passes_threshold (net edge at or above the limit) and simulated results. One narrow pass without a shuffle."""
+def simulate(predictions: DataFrame, config: EdgeConfig = EdgeConfig(), rate: Column | None = None) -> DataFrame:
+    """Candidates (with ``rate`` in place of the schedule, if given): model_name, row_id, friction_tier, trade_side, costs, edges, passes_threshold (net edge at or above the limit) and simulated results. One narrow pass without a shuffle."""
     rows = _sides(_prepared(predictions, config).where("exclusion_reason = ''"), config).where("side_reason = ''")
-    fee = fee_entry(config.schedule, F.col("forecast_ts"))
+    fee = fee_entry(config.schedule, F.col("forecast_ts")) if rate is None else F.struct(F.lit("scenario").alias("name"), rate.alias("rate"))
     rows = rows.withColumn("__fee", fee).withColumns({"fee_name": F.col("__fee.name"), "fee_rate": F.col("__fee.rate")})
     rows = rows.withColumn("fee_cost", taker_fee(F.col("fee_rate"), F.col("entry_price")))
     rows = rows.withColumn("cost_before_lockup", F.col("entry_price") + F.col("fee_cost") + F.col("spread_cost") + F.col("slippage_cost"))
@@ -148,14 +149,24 @@ def excluded(predictions: DataFrame, config: EdgeConfig = EdgeConfig()) -> DataF
     return base.unionByName(side).groupBy("exclusion_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tier_summary(found: DataFrame) -> DataFrame:
-    """Per model, tier and side: counts, means, medians, and the same of the selected candidates."""
-    chosen = lambda c: F.when(F.col("passes_threshold"), F.col(c))
-    return found.groupBy("model_name", "friction_tier", "trade_side").agg(
-        F.count(F.lit(1)).alias("candidates"), F.count_if("passes_threshold").alias("selected"), F.avg(F.col("passes_threshold").cast("double")).alias("selected_share"),
-        F.avg("net_edge").alias("mean_net_edge"), F.median("net_edge").alias("median_net_edge"), F.avg("effective_cost").alias("mean_cost"),
-        F.avg(chosen("net_edge")).alias("selected_mean_net_edge"), F.avg(chosen("realized_net")).alias("selected_mean_realized"), F.sum(chosen("realized_total")).alias("selected_total"),
-    )
+def tier_summary(found: DataFrame, scenarios: dict[float, Column] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Per model, tier, side and ``more``: counts, means, medians, and the same of the selected candidates. With ``scenarios`` (a value and what it selects) a row for each, with its value as scenario; what doesn't depend on the selection is summed once."""
+    key = ["model_name", "friction_tier", "trade_side", *more]
+    options = scenarios or {0.0: F.col("passes_threshold")}
+    chosen = []
+    for k, keeps in enumerate(options.values()):
+        of = lambda c, keeps=keeps: F.when(keeps, F.col(c))
+        chosen += [
+            F.count_if(keeps).alias(f"selected{k}"), F.avg(keeps.cast("double")).alias(f"selected_share{k}"), F.avg(of("net_edge")).alias(f"selected_mean_net_edge{k}"),
+            F.avg(of("realized_net")).alias(f"selected_mean_realized{k}"), F.sum(of("realized_total")).alias(f"selected_total{k}"),
+        ]
+    sums = found.groupBy(*key).agg(F.count(F.lit(1)).alias("candidates"), F.avg("net_edge").alias("mean_net_edge"), F.avg("effective_cost").alias("mean_cost"), *chosen)
+    middle = exact_percentiles(found, key, "net_edge", (0.5,)).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("value").alias("median_net_edge"))
+    sums = sums.join(middle, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], "left").drop(*[f"__{k}" for k in key])
+    names = ("selected", "selected_share", "selected_mean_net_edge", "selected_mean_realized", "selected_total")
+    rows = sums.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(float(x)).alias("scenario"), *[F.col(f"{n}{k}").alias(n) for n in names]) for k, x in enumerate(options)])))
+    out = rows.select(*key, "candidates", "mean_net_edge", "median_net_edge", "mean_cost", "__s.*")
+    return out if scenarios else out.drop("scenario")
 
 
 def capacity_summary(found: DataFrame, limit: float = 3.0) -> DataFrame:
@@ -185,3 +196,42 @@ def cumulative_pnl(found: DataFrame) -> DataFrame:
     totals = chosen.groupBy(*key, "month").agg(F.sum("realized_total").alias("t")).withColumn("earlier", F.coalesce(F.sum("t").over(before), F.lit(0.0))).drop("t")
     rows = chosen.withColumn("part", F.sum("realized_total").over(inside)).join(totals, [*key, "month"])
     return rows.select(*key, "forecast_ts", "row_id", "realized_total", (F.col("earlier") + F.col("part")).alias("cumulative"))
+
+
+class FeeError(ValueError):
+    """A fee schedule that can't be applied."""
+
+
+def validate_schedule(schedule: tuple[Fee, ...]) -> tuple[Fee, ...]:
+    """The schedule, if it has entries, different names, rates from 0 to below 1, ISO dates, and every end after its start. Raises :class:`FeeError`."""
+    if not schedule:
+        raise FeeError("an empty fee schedule")
+    if len({f.name for f in schedule}) < len(schedule):
+        raise FeeError("fee names are repeated")
+    for f in schedule:
+        if not 0 <= f.rate < 1:
+            raise FeeError(f"{f.name}: rate {f.rate}")
+        try:
+            start, end = (dt.date.fromisoformat(x) if x else None for x in (f.start, f.end))
+        except ValueError as bad:
+            raise FeeError(f"{f.name}: {bad}") from bad
+        if start and end and end <= start:
+            raise FeeError(f"{f.name} ends before it starts")
+    return schedule
+
+
+def executability(predictions: DataFrame, found: DataFrame, config: EdgeConfig = EdgeConfig()) -> DataFrame:
+    """One row: the mode, rows and quotes that went in, candidates, those of the NO side, NO prices without a quote and quotes from the future (both 0 in a sound run), and the exclusions as JSON. Never evidence of profits: quotes have no depth."""
+    late = F.col("quote_ts") > F.col("forecast_ts") if "quote_ts" in found.columns else F.lit(False)
+    quoted = F.col("quote_ts").isNotNull() if config.quotes and "quote_ts" in predictions.columns else F.lit(False)
+    no = F.col("trade_side") == "NO"
+    sums = [
+        predictions.agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(quoted).alias("rows_with_quote")),
+        found.agg(F.count(F.lit(1)).alias("candidate_rows"), F.count_if(no).alias("no_side_rows"), F.count_if(no & (F.col("entry_price_source") != "explicit_no_ask_quote")).alias("synthetic_no_rows"), F.count_if(late).alias("future_quote_rows")),
+        excluded(predictions, config).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("exclusion_reason", "n"))))).alias("exclusions")),
+    ]
+    one = sums[0].withColumn("__k", F.lit(1))
+    for more in sums[1:]:  # one row each
+        one = one.join(more.withColumn("__k", F.lit(1)), "__k")
+    mode = "quote_snapshot_proxy" if config.quotes else "transaction_snapshot_proxy"
+    return one.drop("__k").withColumns({"execution_mode": F.lit(mode), "depth_available": F.lit(False), "profit_evidence": F.lit(False)})

@@ -41,11 +41,16 @@ def feature_panel(panel: DataFrame, prices: DataFrame, contracts: DataFrame, mom
         F.when(F.col("volatility_count") >= 2, F.col("deviation")).alias("volatility"),
         month(F.col("forecast_ts")).alias("forecast_month"), month(F.col("open_ts")).alias("listing_month"),
         "contract_volume", "open_interest", F.col("created_ts").isNull().alias("created_missing"), F.col("open_ts").isNull().alias("open_missing"),
+        F.col("contract_volume").isNull().alias("volume_missing"), F.col("open_interest").isNull().alias("open_interest_missing"), (F.coalesce("volatility_count", F.lit(0)) < 2).alias("volatility_missing"),
+        (F.col("vwap_ts").isNull() if "vwap_ts" in panel.columns else F.lit(True)).alias("vwap_missing"), (F.coalesce("cumulative_count", F.lit(0)) == 0).alias("history_missing"),
         (F.coalesce("momentum_count", F.lit(0)) < 2).alias("momentum_missing"), (F.coalesce("liquidity_count", F.lit(0)) == 0).alias("liquidity_missing"),
         F.greatest("price_timestamp", "cumulative_ts", "momentum_ts", "liquidity_ts").alias("max_feature_source_ts"),
     )
 
 
+FLAGS = ["created_missing", "open_missing", "volume_missing", "open_interest_missing", "volatility_missing", "vwap_missing", "history_missing", "momentum_missing", "liquidity_missing"]
+
+
 def feature_invariants(features: DataFrame) -> DataFrame:
     """One row of violation counts."""
     p = F.col("clipped_probability")

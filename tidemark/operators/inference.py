@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.expr import bin_index
+from tidemark.functions.expr import EPSILON, bin_index, clip, logit, sigmoid
+from tidemark.session import materialize
 
 GROUP = ["model_name", "grouping_name", "group_key"]
 
@@ -50,12 +51,32 @@ def poisson(u: Column) -> Column:
     return out
 
 
-def bootstrap_means(stats: DataFrame, replicates: int = 200, metrics: tuple[str, ...] = ("brier", "log_loss")) -> DataFrame:
-    """Per group and replicate the weighted ratio of each metric. A partial sum per task and replicate is all that is shuffled."""
-    drawn = stats.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("w", poisson(uniform(F.col("cluster"), F.col("replicate"))))
-    n = F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))
-    return drawn.groupBy(*GROUP, "replicate").agg(*[(F.sum(F.col("w") * F.col(m)) / n).alias(m) for m in metrics])
+REPLICATES = 1000
+
+
+def draws(clusters: DataFrame, replicates: int = REPLICATES) -> DataFrame:
+    """cluster, replicate, w: the Poisson weights of each cluster, drawn once for all groups and models. clusters: with a column cluster."""
+    each = clusters.select("cluster").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return each.select("cluster", "replicate", poisson(uniform(F.col("cluster"), F.col("replicate"))).cast("int").alias("w"))
+
+
+def _weighted(stats: DataFrame, replicates: int) -> DataFrame:
+    """stats by replicate with w. A cluster's weights are one array that its rows of statistics share; clusters drawn with weight 0 leave before they are summed."""
+    arrays = draws(stats, replicates).groupBy("cluster").agg(F.collect_list(F.when(F.col("w") > 0, F.struct("replicate", "w"))).alias("__d"))
+    return stats.join(arrays, "cluster").withColumn("__x", F.explode("__d")).drop("__d").withColumns({"replicate": F.col("__x.replicate"), "w": F.col("__x.w")}).drop("__x")
+
+
+def _every_replicate(stats: DataFrame, found: DataFrame, replicates: int) -> DataFrame:
+    """found, with rows for the replicates of a group that drew none of its clusters."""
+    every = stats.select(*GROUP).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return every.join(found, [*GROUP, "replicate"], "left")
+
+
+def bootstrap_means(stats: DataFrame, replicates: int = REPLICATES, metrics: tuple[str, ...] = ("brier", "log_loss")) -> DataFrame:
+    """Per group and replicate the weighted ratio of each metric; null where a replicate drew no cluster of the group. A partial sum per task and replicate is all that is shuffled."""
+    n = F.sum(F.col("w") * F.col("n"))
+    found = _weighted(stats, replicates).groupBy(*GROUP, "replicate").agg(*[(F.sum(F.col("w") * F.col(m)) / n).alias(m) for m in metrics])
+    return _every_replicate(stats, found, replicates)
 
 
 def intervals(means: DataFrame, stats: DataFrame, level: float = 0.95, min_rows: int = 30, min_clusters: int = 5, metrics: tuple[str, ...] = ("brier", "log_loss")) -> DataFrame:
@@ -102,9 +123,54 @@ def paired_diagnostics(paired: DataFrame) -> DataFrame:
     return found.select(*GROUP, "clusters", "mean", se.alias("standard_error"), (F.col("mean") / F.nullif(se, F.lit(0.0))).alias("z"))
 
 
-def bootstrap_ece(cells: DataFrame, replicates: int = 100) -> DataFrame:
+def bootstrap_ece(cells: DataFrame, replicates: int = REPLICATES) -> DataFrame:
     """Per group and replicate the calibration error of the weighted clusters, from cluster x bin sums."""
-    drawn = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("w", poisson(uniform(F.col("cluster"), F.col("replicate"))))
+    drawn = _weighted(cells, replicates)
     by_bin = drawn.groupBy(*GROUP, "replicate", "bin").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.abs(F.sum(F.col("w") * F.col("sp")) - F.sum(F.col("w") * F.col("sy"))).alias("gap"))
-    return by_bin.groupBy(*GROUP, "replicate").agg((F.sum("gap") / F.nullif(F.sum("n"), F.lit(0))).alias("ece"))
+    found = by_bin.groupBy(*GROUP, "replicate").agg((F.sum("gap") / F.sum("n")).alias("ece"))
+    return _every_replicate(cells, found, replicates)
+
+
+def paired_ece(cells: DataFrame, replicates: int = REPLICATES, baseline: str = "raw") -> DataFrame:
+    """Per group and replicate ece_difference, the model's calibration error less the baseline's under the same draws."""
+    each = bootstrap_ece(cells, replicates)
+    base = each.where(F.col("model_name") == baseline).select("grouping_name", "group_key", "replicate", F.col("ece").alias("base"))
+    return each.where(F.col("model_name") != baseline).join(base, ["grouping_name", "group_key", "replicate"]).select(*GROUP, "replicate", (F.col("ece") - F.col("base")).alias("ece_difference"))
+
+
+def cluster_scores(rows: DataFrame, fits: DataFrame, p: str = "predicted_probability", y: str = "observed_outcome", cluster: str = "event_family_id", epsilon: float = EPSILON) -> DataFrame:
+    """Per group and cluster the sums of the calibration fit's scores (s0, s1) and information (h00, h01, h11). fits: intercept and slope per group (see :func:`tidemark.operators.calibration.diagnostic`)."""
+    there = fits.where("slope IS NOT NULL").select(*GROUP, "intercept", "slope")
+    x = logit(clip(F.col(p), epsilon))
+    joined = rows.join(there, GROUP).withColumn("__x", x)
+    mu = sigmoid(F.col("intercept") + F.col("slope") * F.col("__x"))
+    joined = joined.withColumn("__mu", mu).withColumns({"__r": F.col(y) - F.col("__mu"), "__w": F.greatest(F.col("__mu") * (1 - F.col("__mu")), F.lit(1e-12))})
+    s = lambda c: F.sum(c)
+    x, r, w = F.col("__x"), F.col("__r"), F.col("__w")
+    return joined.groupBy(*GROUP, F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), s(r).alias("s0"), s(r * x).alias("s1"), s(w).alias("h00"), s(w * x).alias("h01"), s(w * x * x).alias("h11"))
+
+
+def calibration_replicates(scores: DataFrame, fits: DataFrame, replicates: int = REPLICATES) -> DataFrame:
+    """Per group and replicate intercept and slope by influence functions: the fit moved by the inverse information times the weighted scores. Groups whose information is singular have none."""
+    info = scores.groupBy(*GROUP).agg(F.sum("h00").alias("h00"), F.sum("h01").alias("h01"), F.sum("h11").alias("h11"), F.sum("s0").alias("t0"), F.sum("s1").alias("t1"))
+    info = info.withColumn("det", F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")).where(F.abs("det") > 1e-12).join(fits.select(*GROUP, "intercept", "slope"), GROUP)
+    moved = _weighted(scores.select(*GROUP, "cluster", "s0", "s1"), replicates).groupBy(*GROUP, "replicate").agg(F.sum(F.col("w") * F.col("s0")).alias("w0"), F.sum(F.col("w") * F.col("s1")).alias("w1"))
+    rows = _every_replicate(scores, moved, replicates).join(info, GROUP)
+    d0, d1 = F.coalesce("w0", F.lit(0.0)) - F.col("t0"), F.coalesce("w1", F.lit(0.0)) - F.col("t1")
+    return rows.select(
+        *GROUP, "replicate", (F.col("intercept") + (F.col("h11") * d0 - F.col("h01") * d1) / F.col("det")).alias("calibration_intercept"), (F.col("slope") + (F.col("h00") * d1 - F.col("h01") * d0) / F.col("det")).alias("calibration_slope")
+    )
+
+
+def calibration_intervals(rows: DataFrame, fits: DataFrame, replicates: int = REPLICATES, level: float = 0.95, min_rows: int = 30, min_clusters: int = 5) -> DataFrame:
+    """Per group and metric (calibration_intercept, calibration_slope): the fit, its percentile interval and a status."""
+    scores = materialize(cluster_scores(rows, fits), "cluster-scores")
+    names = ("calibration_intercept", "calibration_slope")
+    lo, hi = (1 - level) / 2, (1 + level) / 2
+    ends = calibration_replicates(scores, fits, replicates).groupBy(*GROUP).agg(*[F.percentile(m, F.array(F.lit(lo), F.lit(hi))).alias(f"{m}_ci") for m in names])
+    sizes = scores.groupBy(*GROUP).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"))
+    wide = fits.select(*GROUP, F.col("intercept").alias(names[0]), F.col("slope").alias(names[1]), F.col("status").alias("fit_status")).join(sizes, GROUP, "left").join(ends, GROUP, "left")
+    status = F.when(F.col(names[1]).isNull(), F.col("fit_status")).when(F.col("rows") < min_rows, "too_few_rows").when(F.col("clusters") < min_clusters, "too_few_clusters").otherwise("ok")
+    long = wide.withColumn("status", status).select(*GROUP, "rows", "clusters", "status", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate"), F.col(f"{m}_ci").alias("ci")) for m in names])).alias("x"))
+    ok = F.col("status") == "ok"
+    return long.select(*GROUP, "rows", "clusters", "status", "x.metric", "x.estimate", F.when(ok, F.col("x.ci")[0]).alias("low"), F.when(ok, F.col("x.ci")[1]).alias("high"))

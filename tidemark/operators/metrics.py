@@ -107,20 +107,100 @@ def weighted_metrics(rows: DataFrame, mode: str, bins: int = 10, p: str = "raw_p
     return found.withColumns({"weighting": F.lit(mode), "status": F.when(F.col("total_weight") > 0, "ok").otherwise("zero_total_weight")})
 
 
-def murphy(rows: DataFrame, bins: int = 10, p: str = "predicted_probability", y: str = "observed_outcome", keys: list[str] | None = None) -> DataFrame:
-    """Murphy's decomposition per group: reliability, resolution, uncertainty, what they make, the raw Brier score and the residual of binning."""
+def _murphy_cells(rows: DataFrame, bins: int, p: str, y: str, keys: list[str]) -> DataFrame:
+    """The filled bins with the group's base rate and rows: a few rows per group, whatever its size."""
+    cells = rows.groupBy(*keys, bin_index(F.col(p), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mp"), F.sum(y).alias("sy"), F.sum(brier(F.col(p), F.col(y))).alias("b"))
+    group = Window.partitionBy(*keys)
+    return cells.withColumns({"total": F.sum("n").over(group), "base": F.sum("sy").over(group) / F.sum("n").over(group), "my": F.col("sy") / F.col("n")})
+
+
+def murphy(rows: DataFrame, bins: int = 10, p: str = "predicted_probability", y: str = "observed_outcome", keys: list[str] | None = None, min_count: int = 5, min_rows: int = 30) -> DataFrame:
+    """Murphy's decomposition per group: reliability, resolution (both as sums of squares, which don't cancel), uncertainty, what they make, the raw Brier score, the residual of binning, counts of bins, and a status."""
     keys = keys or KEYS
-    cells = rows.groupBy(*keys, bin_index(F.col(p), bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(p).alias("mp"), F.avg(y).alias("my"), F.sum(y).alias("sy"), F.sum(brier(F.col(p), F.col(y))).alias("b")
-    )
-    sums = cells.groupBy(*keys).agg(
-        F.sum("n").alias("row_count"), (F.sum("sy") / F.sum("n")).alias("base_rate"), (F.sum("b") / F.sum("n")).alias("raw_brier"),
-        (F.sum(F.col("n") * F.pow(F.col("mp") - F.col("my"), F.lit(2))) / F.sum("n")).alias("reliability"), (F.sum(F.col("n") * F.col("my") * F.col("my")) / F.sum("n")).alias("second"),
+    cells = _murphy_cells(rows, bins, p, y, keys)
+    weight = F.col("n") / F.col("total")
+    parts = cells.groupBy(*keys).agg(
+        F.sum("n").alias("row_count"), F.first("base").alias("base_rate"), (F.sum("b") / F.sum("n")).alias("raw_brier"),
+        F.sum(weight * F.pow(F.col("mp") - F.col("my"), F.lit(2))).alias("reliability"), F.sum(weight * F.pow(F.col("my") - F.col("base"), F.lit(2))).alias("resolution"),
+        F.count(F.lit(1)).alias("filled_bins"), (F.lit(bins) - F.count(F.lit(1))).alias("empty_bins"), F.count_if(F.col("n") < min_count).alias("sparse_bins"),
     )
     base = F.col("base_rate")
-    parts = sums.withColumns({"resolution": F.col("second") - base * base, "uncertainty": base * (1 - base)}).drop("second")
     made = F.col("reliability") - F.col("resolution") + F.col("uncertainty")
-    return parts.withColumns({"decomposed_brier": made, "residual": F.col("raw_brier") - made})
+    parts = parts.withColumn("uncertainty", base * (1 - base)).withColumn("decomposed_brier", made)
+    return parts.withColumns({"residual": F.col("raw_brier") - F.col("decomposed_brier"), "status": F.when(F.col("row_count") < min_rows, "too_few_rows").otherwise("ok")})
+
+
+def murphy_bins(rows: DataFrame, bins: int = 10, p: str = "predicted_probability", y: str = "observed_outcome", keys: list[str] | None = None, min_count: int = 5) -> DataFrame:
+    """Each bin's part of the decomposition, empty bins included."""
+    keys = keys or KEYS
+    cells = _murphy_cells(rows, bins, p, y, keys)
+    every = cells.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).alias("e")
+    c = cells.alias("c")
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "bin"]]
+    weight = F.coalesce(F.col("n") / F.col("total"), F.lit(0.0))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return every.join(c, same, "left").select(
+        *[F.col(f"e.{k}").alias(k) for k in [*keys, "bin"]], (F.col("e.bin") / F.lit(float(bins))).alias("lower"), ((F.col("e.bin") + 1) / F.lit(float(bins))).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"), weight.alias("weight"),
+        F.col("mp").alias("mean_p"), F.col("my").alias("mean_y"), zero(weight * F.pow(F.col("mp") - F.col("my"), F.lit(2))).alias("reliability"), zero(weight * F.pow(F.col("my") - F.col("base"), F.lit(2))).alias("resolution"),
+        F.col("n").isNull().alias("is_empty"), F.coalesce(F.col("n") < min_count, F.lit(False)).alias("is_sparse"),
+    )
+
+
+def edge_bin(p: Column, bins: int) -> Column:
+    """The bin by comparing with the edges k / bins, each the start of its bin; the last bin is closed."""
+    return sum((F.when(p >= F.lit(k / bins), 1).otherwise(0) for k in range(1, bins)), F.lit(0)).cast("int")
+
+
+def weighted_bins(rows: DataFrame, weight: Column, keys: list[str], bins: int = 10, p: str = "predicted_probability", y: str = "observed_outcome", min_count: int = 5) -> DataFrame:
+    """ece, empty_bins and sparse_bins under weights, with bins by their edges; with a positive ``min_count`` empty bins count as sparse as well. Null where all weights are zero."""
+    cells = rows.withColumn("__w", weight).groupBy(*keys, edge_bin(F.col(p), bins).alias("__bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__w").alias("w"), F.sum(F.col("__w") * F.col(p)).alias("wp"), F.sum(F.col("__w") * F.col(y)).alias("wy")
+    )
+    empty = F.lit(bins) - F.count(F.lit(1))
+    return cells.groupBy(*keys).agg(
+        (F.sum(F.abs(F.col("wp") - F.col("wy"))) / F.nullif(F.sum("w"), F.lit(0.0))).alias("ece"), empty.alias("empty_bins"), (F.count_if(F.col("n") < min_count) + (empty if min_count > 0 else F.lit(0))).alias("sparse_bins")
+    )
+
+
+def metric_rows(rows: DataFrame, keys: list[str], bins: int = 10, p: str = "predicted_probability", y: str = "observed_outcome", min_count: int = 5) -> DataFrame:
+    """Per group: row_count, mean_brier, mean_log_loss, ece, empty_bins, sparse_bins, from one aggregate by bin. rows: with brier and log_loss."""
+    cells = rows.groupBy(*keys, bin_index(F.col(p), bins).alias("__bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("brier").alias("b"), F.sum("log_loss").alias("l"), F.abs(F.sum(p) - F.sum(y)).alias("gap")
+    )
+    n = F.sum("n")
+    return cells.groupBy(*keys).agg(
+        n.alias("row_count"), (F.sum("b") / n).alias("mean_brier"), (F.sum("l") / n).alias("mean_log_loss"), (F.sum("gap") / n).alias("ece"),
+        (F.lit(bins) - F.count(F.lit(1))).alias("empty_bins"), F.count_if(F.col("n") < min_count).alias("sparse_bins"),
+    )
+
+
+def full_rows(rows: DataFrame, keys: list[str], **options) -> DataFrame:
+    """:func:`metric_rows` with the calibration intercept, slope and their status."""
+    from tidemark.operators import calibration
+
+    fits = calibration.diagnostic(calibration.compress(rows, keys, p=options.get("p", "predicted_probability")), keys)
+    fits = fits.select(*[F.col(k).alias(f"__{k}") for k in keys], "intercept", "slope", F.col("status").alias("calibration_status"))
+    found = metric_rows(rows, keys, **options)
+    return found.join(fits, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+
+
+def by_grouping_sets(rows: DataFrame, groupings: dict[str, list[str]] | None = None) -> DataFrame:
+    """grouping_name, each dimension as a column of its own type (null where the grouping doesn't have it), row_count, mean_brier, mean_log_loss. A null value of a dimension stays apart from a missing dimension by the grouping's name."""
+    groupings = groupings or GROUPINGS
+    dims = sorted({c for cols in groupings.values() for c in cols})
+    number = {sum(1 << (len(dims) - 1 - k) for k, c in enumerate(dims) if c not in cols): name for name, cols in groupings.items()}
+    found = rows.groupingSets([[F.col(c) for c in cols] for cols in groupings.values()], *[F.col(c) for c in dims]).agg(
+        F.grouping_id().alias("__id"), F.count(F.lit(1)).alias("row_count"), F.avg("brier").alias("mean_brier"), F.avg("log_loss").alias("mean_log_loss")
+    )
+    name = F.element_at(F.create_map(*[F.lit(x) for i, n in number.items() for x in (i, n)]), F.col("__id").cast("int"))
+    return found.select(name.alias("grouping_name"), *dims, "row_count", "mean_brier", "mean_log_loss")
+
+
+def skipped_groupings(panel: DataFrame, groupings: dict[str, list[str]]) -> DataFrame:
+    """grouping_name, missing: the groupings that the panel's columns don't allow, and the columns that lack."""
+    _, names = usable_groupings(panel, groupings)
+    rows = [(n, ",".join(c for c in groupings[n] if c not in panel.columns)) for n in names]
+    return panel.sparkSession.createDataFrame(rows, "grouping_name string, missing string")
 
 
 def validate_range(panel: DataFrame, p: str = "raw_probability", y: str = "observed_outcome") -> None:

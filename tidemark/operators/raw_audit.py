@@ -58,3 +58,22 @@ def strict_variants(candidates: DataFrame, prices: DataFrame, stale: tuple[int,
     kept = grid.where((F.col("age") <= F.col("max_stale")) & F.col("p").isNotNull())
     y = F.when(F.col("outcome") == "yes", 1).otherwise(0)
     return kept.groupBy("horizon", "max_stale", "method").agg(F.count(F.lit(1)).alias("row_count"), F.avg(brier(F.col("p"), y)).alias("mean_brier"))
+
+
+def close_semantics(panel: DataFrame, contracts: DataFrame, horizon: str = "close", flag_above: int = 300, limits: tuple[int, ...] = (60, 120, 240)) -> DataFrame:
+    """Per snapshot method of the close horizon: rows, percentiles of the times from forecast, price and last trade to the resolution and to the contract's own times, and shares of stale or late prices."""
+    own = contracts.select("contract_id", F.col("resolution_ts").alias("__end"), F.col("close_time").alias("__close"))
+    rows = panel.where(F.col("horizon") == horizon).join(own, "contract_id", "left")
+    gap = lambda a, b: elapsed_seconds(F.col(a), F.col(b))
+    share = lambda c: F.avg(c.cast("double"))
+    price = F.percentile(gap("price_timestamp", "resolution_ts"), F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
+    stale = F.col("staleness_seconds")
+    found = rows.groupBy("snapshot_method").agg(
+        F.count(F.lit(1)).alias("row_count"), F.median(gap("forecast_ts", "resolution_ts")).alias("median_to_forecast"), price.alias("q"), F.median(gap("last_trade_ts", "resolution_ts")).alias("median_to_last_trade"),
+        share(F.col("price_timestamp") < F.col("forecast_ts")).alias("share_price_before_forecast"), share(F.col("price_timestamp") == F.col("forecast_ts")).alias("share_price_at_forecast"), share(stale > flag_above).alias("share_flagged"),
+        (F.count("__end") > 0).alias("contract_resolution_there"), share(F.col("resolution_ts") == F.col("__end")).alias("share_same_resolution"), F.median(gap("price_timestamp", "__end")).alias("median_contract_end_to_price"),
+        (F.count("__close") > 0).alias("close_time_there"), F.median(gap("__close", "resolution_ts")).alias("median_close_to_resolution"), F.median(gap("price_timestamp", "__close")).alias("median_close_to_price"),
+        *[share(stale > x).alias(f"share_above_{x}") for x in limits],
+    )
+    names = ("median_to_price", "p90_to_price", "p95_to_price", "p99_to_price")
+    return found.select(*[c for c in found.columns if c != "q"], *[F.col("q")[k].alias(n) for k, n in enumerate(names)])

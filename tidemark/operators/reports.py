@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.expr import bin_index
+from tidemark.operators.keys import join_checked
 
 
 def with_deltas(metrics: DataFrame, keys: list[str], value: str = "mean_brier", baseline: str = "raw") -> DataFrame:
@@ -51,3 +52,36 @@ def status_roll_up(checks: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     found = checks.groupBy("phase").agg(n("PASS").alias("passed"), n("PARTIAL").alias("partial"), n("FAIL").alias("failed"))
     return found.withColumn("status", F.when(F.col("failed") > 0, "FAIL").when(F.col("partial") > 0, "PARTIAL").otherwise("PASS"))
+
+
+def merge_reports(scores: DataFrame, *more: DataFrame, keys: tuple[str, ...] = ("model_name", "grouping_name", "group_key")) -> DataFrame:
+    """scores with the columns of further report tables, each joined one to one on the keys; rows without a partner keep nulls. Raises if a table repeats a key."""
+    out = scores
+    for table in more:
+        out = join_checked(out, table, list(keys), "1:1", complete=False)
+    return out
+
+
+def fit_row_recount(predictions: DataFrame, expected: DataFrame) -> DataFrame:
+    """fold_id, model_name, fit_row_count, expected, agrees: what the predictions say their fit saw, against the recount by fold."""
+    said = predictions.select("fold_id", "model_name", "fit_row_count").distinct()
+    joined = said.join(expected.select("fold_id", F.col("n").alias("expected")), "fold_id", "left").withColumn("expected", F.coalesce("expected", F.lit(0)))
+    return joined.withColumn("agrees", F.col("fit_row_count") == F.col("expected"))
+
+
+def method_mix_pivot(panel: DataFrame, methods: list[str], by: str = "horizon_name") -> DataFrame:
+    """A row per horizon and the share of each snapshot method."""
+    counts = panel.groupBy(by).pivot("snapshot_method", methods).agg(F.count(F.lit(1)))
+    total = sum((F.coalesce(F.col(m), F.lit(0)) for m in methods), F.lit(0))
+    return counts.select(by, *[(F.coalesce(F.col(m), F.lit(0)) / total).alias(m) for m in methods])
+
+
+def horizon_bin_pivot(panel: DataFrame, bins: int = 10, p: str = "raw_probability", y: str = "observed_outcome") -> DataFrame:
+    """A row per horizon and the observed rate of each probability bin."""
+    found = panel.withColumn("bin", bin_index(F.col(p), bins)).groupBy("horizon_name").pivot("bin", list(range(bins))).agg(F.avg(y))
+    return found.select("horizon_name", *[F.col(str(k)).alias(f"bin_{k}") for k in range(bins)])
+
+
+def report_order(table: DataFrame, count: str, *ties: str) -> DataFrame:
+    """The table with the largest counts first."""
+    return table.orderBy(F.desc(count), *ties)

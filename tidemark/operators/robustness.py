@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.edge import EdgeConfig, Fee, simulate, tier_summary
+from tidemark.functions.expr import brier, log_loss
+from tidemark.operators.edge import EdgeConfig, simulate, tier_summary
 from tidemark.operators.folds import leakage
-from tidemark.operators.metrics import weighted_metrics
+from tidemark.operators.metrics import metric_rows, weighted_metrics
+from tidemark.operators.snapshots import Horizon, candidates, snapshot_panel
 
 
 def _metrics(rows: DataFrame, *keys: str) -> DataFrame:
@@ -68,11 +68,32 @@ def domain_exclusions(rows: DataFrame) -> DataFrame:
 
 
 def friction_scenarios(predictions: DataFrame, rates: tuple[float, ...] = (0.0, 0.05, 0.07, 0.1), edges: tuple[float, ...] = (0.01, 0.02)) -> DataFrame:
-    """Tier summaries under each fee rate and threshold. A scenario's rate replaces the schedule, which is what a scenario is for."""
+    """Tier summaries under each fee rate and threshold, from one scan. A scenario's rate replaces the schedule, which is what a scenario is for."""
+    rows = simulate(predictions.withColumn("scenario_rate", F.explode(F.array(*map(F.lit, rates)))), EdgeConfig(), rate=F.col("scenario_rate"))
+    return tier_summary(rows, {x: F.col("net_edge") >= x for x in edges}, ("scenario_rate",)).withColumnsRenamed({"scenario_rate": "fee_rate", "scenario": "min_net_edge"})
+
+
+def full_slices(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
+    """model_name, filter_name, the full metric rows of what each filter keeps, and a status; filters that keep nothing stay."""
+    tagged = rows.withColumn("filter_name", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in filters.items()]))))
+    every = rows.select("model_name").distinct().withColumn("filter_name", F.explode(F.array(*map(F.lit, filters))))
+    found = every.join(metric_rows(tagged, ["model_name", "filter_name"]), ["model_name", "filter_name"], "left")
+    return found.withColumn("row_count", F.coalesce("row_count", F.lit(0))).withColumn("status", F.when(F.col("row_count") == 0, "empty_after_filter").otherwise("computed"))
+
+
+def variant_runs(contracts: DataFrame, prices: DataFrame, variants: dict[str, tuple[Horizon, ...]]) -> DataFrame:
+    """Per snapshot variant, in one session: candidates, panel rows, mean scores, and the candidates and selections of the edge screen on the panel's own prices. Every stage runs on each variant's panel."""
     out = None
-    for rate in rates:
-        for edge in edges:
-            config = replace(EdgeConfig(), schedule=(Fee("scenario", rate),), min_net_edge=edge)
-            found = tier_summary(simulate(predictions, config)).withColumns({"fee_rate": F.lit(rate), "min_net_edge": F.lit(edge)})
-            out = found if out is None else out.unionByName(found)
+    for name, horizons in variants.items():
+        panel = snapshot_panel(contracts, prices, horizons)
+        made = candidates(contracts, horizons).agg(F.count(F.lit(1)).alias("candidates"))
+        p, y = F.col("snapshot_price"), F.col("observed_outcome")
+        scores = panel.agg(F.count(F.lit(1)).alias("panel_rows"), F.avg(brier(p, y)).alias("mean_brier"), F.avg(log_loss(p, y)).alias("mean_log_loss"))
+        rows = panel.select(F.lit(name).alias("model_name"), F.concat_ws("|", "contract_id", "horizon").alias("row_id"), p.alias("raw_probability"), p.alias("predicted_probability"), y.alias("observed_outcome"), "forecast_ts", "resolution_ts")
+        screen = simulate(rows).agg(F.count(F.lit(1)).alias("edge_candidates"), F.count_if("passes_threshold").alias("edge_selected"))
+        one = made.withColumn("__k", F.lit(1))
+        for more in (scores, screen):  # one row each
+            one = one.join(more.withColumn("__k", F.lit(1)), "__k")
+        one = one.select(F.lit(name).alias("variant"), *[c for c in one.columns if c != "__k"])
+        out = one if out is None else out.unionByName(one)
     return out

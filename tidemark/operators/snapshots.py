@@ -20,12 +20,16 @@ class Horizon:
     """A horizon with its own policy: how old a last trade may be, and the averaging window."""
 
     name: str
-    max_staleness: str = "3d"
-    vwap_window: str = "1d"
+    max_staleness: str = "7d"
+    vwap_window: str = "6h"
     prefer_vwap: bool = False
 
 
-HORIZONS = (Horizon("7d", "7d", "2d"), Horizon("14d", "7d", "2d"), Horizon("3d", "3d", "1d"), Horizon("1d", "1d", "6h", True), Horizon("6h", "6h", "1h", True), Horizon("1h", "1h", "15m"), Horizon("close", "10m", "5m"))
+# The default policy of each horizon.
+HORIZONS = (
+    Horizon("30d", "7d", "6h"), Horizon("14d", "7d", "6h"), Horizon("7d", "7d", "6h"), Horizon("3d", "3d", "6h"), Horizon("1d", "1d", "1h"),
+    Horizon("6h", "6h", "15m"), Horizon("1h", "1h", "5m"), Horizon("15m", "15m", "5m"), Horizon("close", "5m", "5m"),
+)
 
 
 def override(horizons: tuple[Horizon, ...], max_staleness: str | None = None, vwap_window: str | None = None, prefer_vwap: bool | None = None) -> tuple[Horizon, ...]:

@@ -104,6 +104,25 @@ def audit(classified: DataFrame) -> DataFrame:
     return classified.groupBy(*AUDIT_KEYS).agg(F.count(F.lit(1)).alias("row_count"), *[F.count_distinct(c).alias(n) for c, n in (("contract_id", "contracts"), ("event_id", "events"), ("event_family_id", "families"))])
 
 
+# How sure a family is by its source, and what its source means.
+FAMILY_CONFIDENCE = {"exact": "high", "regex": "medium", "event_id": "low", "contract_id": "low"}
+NOTES = {"manual": "matched by id", "prefix": "matched by a prefix rule", "title": "matched by title words", "event_id_proxy": "no rule matched"}
+
+
+def _mapped(column: str, values: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(column))
+
+
+def full_audit(classified: DataFrame) -> DataFrame:
+    """Rows, contracts and families per combination of all twelve labels."""
+    rows = classified.withColumns({
+        "event_family_confidence": _mapped("event_family_source", FAMILY_CONFIDENCE), "taxonomy_notes": _mapped("taxonomy_source", NOTES),
+        "is_unknown_group": (F.col("domain") == "unknown") | (F.col("category") == "unknown"), "is_ambiguous_group": F.col("taxonomy_ambiguous"),
+    })
+    keys = [*AUDIT_KEYS, "taxonomy_rule_id", "event_family_confidence", "taxonomy_notes", "is_unknown_group", "is_ambiguous_group"]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("contract_id").alias("contracts"), F.count_distinct("event_family_id").alias("families"))
+
+
 def examples(classified: DataFrame, n: int = 25) -> DataFrame:
     """The first n contracts of each (domain, category, source)."""
     w = Window.partitionBy("domain", "category", "taxonomy_source").orderBy("contract_id")

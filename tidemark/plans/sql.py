@@ -13,14 +13,14 @@ PRICES = """prices AS (
          (1 + CAST(floor(value) AS BIGINT) % 99) / 100.0 AS price, 1 + event_id % 50 AS volume FROM events)"""
 
 HORIZONS = """horizons(horizon, horizon_seconds, max_staleness, vwap_window, prefer_vwap) AS (VALUES
-  ('7d', 604800, 604800, 172800, false), ('14d', 1209600, 604800, 172800, false), ('3d', 259200, 259200, 86400, false), ('1d', 86400, 86400, 21600, true),
-  ('6h', 21600, 21600, 3600, true), ('1h', 3600, 3600, 900, false), ('close', 60, 600, 300, false))"""
+  ('30d', 2592000, 604800, 21600, false), ('14d', 1209600, 604800, 21600, false), ('7d', 604800, 604800, 21600, false), ('3d', 259200, 259200, 21600, false), ('1d', 86400, 86400, 3600, true),
+  ('6h', 21600, 21600, 900, true), ('1h', 3600, 3600, 300, false), ('15m', 900, 900, 300, false), ('close', 60, 300, 300, false))"""
 
 CANDIDATES = """candidates AS (
   SELECT contract_id, event_id, outcome, resolution_ts, horizon, horizon_seconds, max_staleness, vwap_window, prefer_vwap,
          resolution_ts - to_seconds(horizon_seconds) AS forecast_ts FROM contracts, horizons)"""
 
-# As the reference pipeline's own steps have it: an as-of join, a staleness filter and a window join.
+# Step by step: an as-of join, a staleness filter and a window join.
 SNAPSHOTS = """latest AS (
   SELECT * FROM (SELECT c.contract_id, c.horizon, p.source_ts, p.price, row_number() OVER (PARTITION BY c.contract_id, c.horizon ORDER BY p.source_ts DESC, p.trade_id DESC) AS rn
   FROM candidates c JOIN prices p ON p.contract_id = c.contract_id AND p.source_ts <= c.forecast_ts) WHERE rn = 1
