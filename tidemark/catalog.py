@@ -677,9 +677,11 @@ def a19_resolution_gaps(spark, d):
     return raw_audit.resolution_gaps(adapters.panel(spark, d))
 
 
-@query(f"WITH {sql.SNAPSHOT_PANEL} SELECT horizon, count(*) AS n FROM snapshots WHERE contract_id IN (SELECT contract_id FROM snapshots GROUP BY contract_id HAVING count(DISTINCT horizon) = (SELECT count(DISTINCT horizon) FROM snapshots)) GROUP BY horizon")
+@query(f"WITH {sql.with_policy(2592000, 21600)} SELECT horizon, count(*) AS n FROM snapshots WHERE contract_id IN (SELECT contract_id FROM snapshots GROUP BY contract_id HAVING count(DISTINCT horizon) = (SELECT count(DISTINCT horizon) FROM snapshots)) GROUP BY horizon")
 def j25_balanced_subset(spark, d):
-    return raw_audit.balanced(_snapshots(spark, d)).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"))
+    """Over snapshots with one overriding staleness for all horizons."""
+    panel = snapshots.snapshot_panel(adapters.contracts(spark, d), adapters.prices(spark, d), snapshots.override(HORIZONS, max_staleness="30d"))
+    return raw_audit.balanced(panel).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {sql.PANEL} SELECT row_id, {r('staleness_seconds')} AS staleness_seconds FROM panel WHERE staleness_seconds > 3000")
@@ -744,3 +746,6 @@ def d35_final_audit(spark, d):
 @query()
 def a35_audit_roll_up(spark, d):
     return reports.status_roll_up(d35_final_audit(spark, d))
+
+
+from tidemark import catalog_checks  # noqa: E402,F401  registers its queries

@@ -141,3 +141,11 @@ def parse_timestamp(value: str | float | dt.datetime) -> dt.datetime:
     if at.tzinfo is None:
         raise ValueError(f"{value!r} has no time zone")
     return at.astimezone(dt.UTC)
+
+
+def timestamp_of(text: Column) -> Column:
+    """:func:`parse_timestamp` as an expression; null for what isn't a time with an offset."""
+    number = text.try_cast("double")
+    seconds = F.when(F.abs(number) >= 1e10, number / 1000).otherwise(number)
+    stamped = F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00")))
+    return F.when(number.isNotNull(), F.timestamp_micros((seconds * 1_000_000).cast("long"))).otherwise(stamped)

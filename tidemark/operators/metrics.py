@@ -203,8 +203,13 @@ def skipped_groupings(panel: DataFrame, groupings: dict[str, list[str]]) -> Data
     return panel.sparkSession.createDataFrame(rows, "grouping_name string, missing string")
 
 
+def range_report(panel: DataFrame, p: str = "raw_probability", y: str = "observed_outcome") -> DataFrame:
+    """One row: bad_probabilities (null or out of 0 to 1), bad_outcomes (anything but 0 and 1)."""
+    return panel.agg(F.count_if(F.col(p).isNull() | ~F.col(p).between(0, 1)).alias("bad_probabilities"), F.count_if(F.col(y).isNull() | ~F.col(y).isin(0, 1)).alias("bad_outcomes"))
+
+
 def validate_range(panel: DataFrame, p: str = "raw_probability", y: str = "observed_outcome") -> None:
     """Raises unless all probabilities are within 0 and 1 and all outcomes are 0 or 1."""
-    found = panel.agg(F.count_if(F.col(p).isNull() | ~F.col(p).between(0, 1)).alias("p"), F.count_if(F.col(y).isNull() | ~F.col(y).isin(0, 1)).alias("y")).first()
-    if found["p"] or found["y"]:
-        raise ValueError(f"{found['p']} probabilities and {found['y']} outcomes are out of range")
+    found = range_report(panel, p, y).first()
+    if found["bad_probabilities"] or found["bad_outcomes"]:
+        raise ValueError(f"{found['bad_probabilities']} probabilities and {found['bad_outcomes']} outcomes are out of range")

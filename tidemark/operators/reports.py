@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.expr import bin_index
 from tidemark.operators.keys import join_checked
+from tidemark.operators.metrics import metric_rows
 
 
 def with_deltas(metrics: DataFrame, keys: list[str], value: str = "mean_brier", baseline: str = "raw") -> DataFrame:
@@ -85,3 +86,24 @@ def horizon_bin_pivot(panel: DataFrame, bins: int = 10, p: str = "raw_probabilit
 def report_order(table: DataFrame, count: str, *ties: str) -> DataFrame:
     """The table with the largest counts first."""
     return table.orderBy(F.desc(count), *ties)
+
+
+def overall_scores(rows: DataFrame, order: list[str]) -> DataFrame:
+    """model_name, place, row_count, mean_brier, mean_log_loss, ece and the differences to the baseline."""
+    found = metric_rows(rows, ["model_name"]).select("model_name", "row_count", "mean_brier", "mean_log_loss", "ece")
+    found = with_deltas(found, [], "mean_brier").withColumnRenamed("delta", "brier_delta")
+    found = with_deltas(found, [], "mean_log_loss").withColumnRenamed("delta", "log_loss_delta")
+    return in_order(found, "model_name", order)
+
+
+def sample_table(panel: DataFrame) -> DataFrame:
+    """One row on what the panel holds."""
+    return panel.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("contract_id").alias("contracts"), F.count_distinct("event_family_id").alias("families"), F.count_distinct("domain").alias("domains"),
+        F.min("forecast_ts").alias("first_ts"), F.max("forecast_ts").alias("last_ts"), F.avg("observed_outcome").alias("outcome_rate"),
+    )
+
+
+def edge_sensitivity(summary: DataFrame) -> DataFrame:
+    """Selected candidates, simulated totals and mean edges by model and friction tier."""
+    return summary.select("model_name", "friction_tier", "selected", F.col("selected_total").alias("simulated_total"), F.col("selected_mean_net_edge").alias("mean_net_edge"))

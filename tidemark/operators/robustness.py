@@ -46,11 +46,16 @@ def weighting_sensitivity(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def family_purge(rows: DataFrame, panel: DataFrame, folds: DataFrame) -> DataFrame:
-    """Per model the metrics of all test rows, and of those whose event family is in no other split of their fold. rows: with fold_id."""
+def purged(rows: DataFrame, panel: DataFrame, folds: DataFrame) -> DataFrame:
+    """All test rows (variant all), and those whose event family is in no other split of their fold (variant purged). rows: with fold_id."""
     torn = leakage(panel, folds).where(F.col("splits").contains("test")).select("fold_id", "event_family_id")
-    purged = rows.join(torn, ["fold_id", "event_family_id"], "left_anti")
-    return _metrics(rows.withColumn("variant", F.lit("all")), "model_name", "variant").unionByName(_metrics(purged.withColumn("variant", F.lit("purged")), "model_name", "variant"))
+    left = rows.join(torn, ["fold_id", "event_family_id"], "left_anti")
+    return rows.withColumn("variant", F.lit("all")).unionByName(left.withColumn("variant", F.lit("purged")))
+
+
+def family_purge(rows: DataFrame, panel: DataFrame, folds: DataFrame) -> DataFrame:
+    """Per model the metrics of both variants."""
+    return _metrics(purged(rows, panel, folds), "model_name", "variant")
 
 
 def domain_exclusions(rows: DataFrame) -> DataFrame:

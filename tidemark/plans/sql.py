@@ -41,6 +41,15 @@ SNAPSHOTS = """latest AS (
 MARKET = ",\n".join([CONTRACTS, PRICES, HORIZONS, CANDIDATES])
 SNAPSHOT_PANEL = MARKET + ",\n" + SNAPSHOTS
 
+
+
+def with_policy(max_staleness: int, vwap_window: int, prefer_vwap: bool = False) -> str:
+    """The snapshot panel with one policy for all horizons."""
+    seconds = {"30d": 2592000, "14d": 1209600, "7d": 604800, "3d": 259200, "1d": 86400, "6h": 21600, "1h": 3600, "15m": 900, "close": 60}
+    rows = ", ".join(f"('{h}', {n}, {max_staleness}, {vwap_window}, {str(prefer_vwap).lower()})" for h, n in seconds.items())
+    return SNAPSHOT_PANEL.replace(HORIZONS, f"horizons(horizon, horizon_seconds, max_staleness, vwap_window, prefer_vwap) AS (VALUES {rows})")
+
+
 PANEL = """panel AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row_id, 'C' || l_orderkey AS contract_id, 'F' || l_suppkey AS event_family_id,
          CASE l_returnflag WHEN 'A' THEN '1d' WHEN 'N' THEN '7d' WHEN 'R' THEN '6h' END AS horizon_name,

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the raw files.
 MARKET_COLUMNS = ["ticker", "event_ticker", "market_type", "title", "yes_sub_title", "no_sub_title", "status", "yes_bid", "yes_ask", "no_bid", "no_ask", "last_price", "volume", "volume_24h", "open_interest", "result", "created_time", "open_time", "close_time", "_fetched_at"]
 TRADE_COLUMNS = ["trade_id", "ticker", "count", "yes_price", "no_price", "taker_side", "created_time", "_fetched_at"]
 QUOTE_COLUMNS = ["ticker", "yes_bid", "yes_ask", "no_bid", "no_ask", "_fetched_at"]
@@ -73,21 +74,39 @@ def canonical(df: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
 
 
 def sniff_columns(spark: SparkSession, path: str) -> list[str]:
-    """The column names of a CSV, TSV, JSON, JSON-lines or parquet file, by its suffix."""
+    """The column names of a CSV, TSV, JSON, JSON-lines or parquet file, by its suffix. Only a JSON document, which has no header, is read as a whole; of JSON lines the first one counts."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("csv", "tsv"):
         return spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path).columns
-    if kind in ("json", "jsonl", "ndjson"):
-        return spark.read.option("multiLine", kind == "json").json(path).columns
+    if kind in ("jsonl", "ndjson"):
+        first = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).select(F.json_object_keys("value").alias("k")).first()
+        return list(first["k"] or []) if first else []
+    if kind == "json":
+        return spark.read.option("multiLine", True).json(path).columns
     if kind == "parquet":
         return spark.read.parquet(path).columns
     raise ValueError(f"no reader for {path}")
 
 
-def inspect_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes, sha256 of each file below a folder, computed where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: A file is digested in one piece; larger ones have sizes but no digest.
+MAX_DIGEST_BYTES = 1 << 30
+
+
+def inspect_files(spark: SparkSession, path: str, pattern: str = "*", fields: tuple[Field, ...] = ()) -> DataFrame:
+    """name, bytes, sha256 (null above MAX_DIGEST_BYTES), columns, missing (of ``fields``) of each file below a folder. Contents are digested where they are read; columns come from headers."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    files = reader.load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    small = files.where(F.col("length") <= MAX_DIGEST_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
+    rows = []
+    for r in files.select("path", name).collect():  # a row per file, without its content
+        try:
+            columns = sniff_columns(spark, r["path"])
+            rows.append((r["path"], columns, resolve_columns(columns, fields).missing))
+        except Exception:  # noqa: BLE001  a file without a reader is listed without columns
+            rows.append((r["path"], None, None))
+    headers = spark.createDataFrame(rows, "path string, columns array<string>, missing array<string>")
+    return files.select("path", name, F.col("length").alias("bytes")).join(small, "path", "left").join(F.broadcast(headers), "path", "left").drop("path")
 
 
 def schema_groups(spark: SparkSession, paths: list[str]) -> tuple[dict[tuple[str, ...], list[str]], list[str]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import subprocess
 from pathlib import Path
 from typing import Any
 
@@ -48,9 +49,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def git_state(folder: str = ".") -> dict[str, Any] | None:
+    """Commit and whether files are changed; None outside a repository."""
+    try:
+        run = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, check=True).stdout.strip()
+        return {"commit": run("rev-parse", "HEAD"), "dirty": bool(run("status", "--porcelain"))}
+    except (OSError, subprocess.CalledProcessError):
+        return None
+
+
+def as_json(value: Any, indent: int | None = None) -> str:
+    return json.dumps(value, indent=indent, sort_keys=True, default=str)
+
+
+def summary(config: dict[str, Any], **facts: Any) -> dict[str, Any]:
+    """The configuration, its checksum and facts about a run."""
+    text = as_json(config)
+    return {"config": json.loads(text), "config_sha256": hashlib.sha256(text.encode()).hexdigest(), **facts}
+
+
 def write_summary(path: str, config: dict[str, Any], **facts: Any) -> dict[str, Any]:
-    """A JSON summary with the configuration's checksum."""
-    text = json.dumps(config, sort_keys=True, default=str)
-    out = {"config": json.loads(text), "config_sha256": hashlib.sha256(text.encode()).hexdigest(), **facts}
-    Path(path).write_text(json.dumps(out, indent=2, sort_keys=True, default=str))
+    """A JSON summary with the configuration's checksum and the state of the repository."""
+    out = summary(config, git=git_state(), **facts)
+    Path(path).write_text(as_json(out, 2))
     return out
