@@ -105,7 +105,7 @@ def d2_snapshot_invariants(spark, d):
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return features.feature_panel(_snapshots(spark, d), adapters.prices(spark, d), adapters.contracts(spark, d))
+    return features.snapshots_with_features(adapters.contracts(spark, d), adapters.prices(spark, d), HORIZONS)
 
 
 _FEATURE_SQL = f"""WITH {sql.SNAPSHOT_PANEL}, joined AS (
@@ -129,6 +129,13 @@ def d6_feature_panel(spark, d):
     return _features(spark, d).select("contract_id", "horizon", "clipped_probability", "logit_probability", *_FEATURES)
 
 
+@query(_FEATURE_SQL + """ SELECT contract_id, horizon, cumulative_count, cumulative_volume, liquidity_count, momentum_missing FROM features""")
+def j12_features_of_a_given_panel(spark, d):
+    """The join from a panel to the prices, where the panel is given."""
+    found = features.feature_panel(_snapshots(spark, d), adapters.prices(spark, d), adapters.contracts(spark, d))
+    return found.select("contract_id", "horizon", "cumulative_count", "cumulative_volume", "liquidity_count", "momentum_missing")
+
+
 @query(_FEATURE_SQL + """ SELECT count(*) AS row_count, count(*) FILTER (max_feature_source_ts > forecast_ts) AS future_source, count(*) FILTER (NOT (cp > 0 AND cp < 1)) AS bad_probability,
 count(*) - count(DISTINCT (contract_id, horizon)) AS duplicate_keys, count(*) FILTER (momentum_missing) AS momentum_missing, count(*) FILTER (liquidity_missing) AS liquidity_missing FROM features""")
 def d7_feature_invariants(spark, d):

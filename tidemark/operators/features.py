@@ -6,35 +6,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import EPSILON, clip, logit, month, plus_seconds
+from tidemark.operators.snapshots import HORIZONS, KEYS, Horizon, candidates, matched_stats, panel_of
 
 DAY = 86400
 
 
-def feature_panel(panel: DataFrame, prices: DataFrame, contracts: DataFrame, momentum: int = DAY, volatility: int = DAY, liquidity: int = 7 * DAY, epsilon: float = EPSILON) -> DataFrame:
-    """``panel`` (contract_id, horizon, forecast_ts, snapshot_price, price_timestamp, ...) with cumulative counts, momentum (last minus first, from two trades on), volatility (sample deviation), liquidity, months and flags. Windows are closed at both ends; rows without trades stay with zeros."""
-    keys = ["contract_id", "horizon"]
-    base = panel.select(*keys, "forecast_ts")
-    trades = prices.select("contract_id", "trade_id", "source_ts", "price", "volume")
-    joined = base.join(trades, "contract_id").where(F.col("source_ts") <= F.col("forecast_ts"))
+def trailing_sums(momentum: int = DAY, volatility: int = DAY, liquidity: int = 7 * DAY) -> list[Column]:
+    """Aggregates over a row's prices up to its forecast. Windows are closed at both ends."""
 
     def within(window: int) -> Column:
         return F.col("source_ts") >= plus_seconds(F.col("forecast_ts"), -window)
 
-    order = F.struct("source_ts", "trade_id")
-    inside = within(momentum)
-    stats = joined.groupBy(*keys).agg(
+    order, inside = F.struct("source_ts", "trade_id"), within(momentum)
+    return [
         F.count(F.lit(1)).alias("cumulative_count"), F.sum("volume").alias("cumulative_volume"), F.max("source_ts").alias("cumulative_ts"),
         F.count(F.when(inside, 1)).alias("momentum_count"), F.max(F.when(inside, F.col("source_ts"))).alias("momentum_ts"),
         F.max_by(F.col("price"), F.when(inside, order)).alias("last_price"), F.min_by(F.col("price"), F.when(inside, order)).alias("first_price"),
         F.count(F.when(within(volatility), 1)).alias("volatility_count"), F.stddev_samp(F.when(within(volatility), F.col("price"))).alias("deviation"),
         F.count(F.when(within(liquidity), 1)).alias("liquidity_count"), F.sum(F.when(within(liquidity), F.col("volume"))).alias("liquidity_volume"), F.max(F.when(within(liquidity), F.col("source_ts"))).alias("liquidity_ts"),
-    )
+    ]
+
+
+SUMS = ["cumulative_count", "cumulative_volume", "cumulative_ts", "momentum_count", "momentum_ts", "last_price", "first_price", "volatility_count", "deviation", "liquidity_count", "liquidity_volume", "liquidity_ts"]
+
+
+def feature_panel(panel: DataFrame, prices: DataFrame, contracts: DataFrame, momentum: int = DAY, volatility: int = DAY, liquidity: int = 7 * DAY, epsilon: float = EPSILON) -> DataFrame:
+    """A given ``panel`` (contract_id, horizon, forecast_ts, snapshot_price, price_timestamp, ...) with its features; rows without trades stay with zeros. Where the panel is made from the same prices, :func:`snapshots_with_features` reads them once for both."""
+    trades = prices.select("contract_id", "trade_id", "source_ts", "price", "volume")
+    joined = panel.select(*KEYS, "forecast_ts").join(trades, "contract_id").where(F.col("source_ts") <= F.col("forecast_ts"))
+    stats = joined.groupBy(*KEYS).agg(*trailing_sums(momentum, volatility, liquidity))
+    return _features(panel.join(stats, KEYS, "left"), contracts, panel.columns, epsilon)
+
+
+def snapshots_with_features(contracts: DataFrame, prices: DataFrame, horizons: tuple[Horizon, ...] = HORIZONS, epsilon: float = EPSILON) -> DataFrame:
+    """The snapshot panel with its features from one join with the prices and one aggregate."""
+    stats = matched_stats(candidates(contracts, horizons), prices, *trailing_sums())
+    rows = panel_of(stats, *SUMS)
+    return _features(rows, contracts, [c for c in rows.columns if c not in SUMS], epsilon)
+
+
+def _features(rows: DataFrame, contracts: DataFrame, columns: list[str], epsilon: float) -> DataFrame:
+    """columns and features: momentum (last minus first, from two trades on), volatility (sample deviation), liquidity, months and flags. rows: with SUMS."""
     facts = contracts.select("contract_id", "created_ts", "open_ts", F.col("volume").alias("contract_volume"), "open_interest")
-    rows = panel.join(stats, keys, "left").join(facts, "contract_id", "left")
+    rows = rows.join(facts, "contract_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     p = clip(F.col("snapshot_price"), epsilon)
     return rows.select(
-        *[panel[c] for c in panel.columns], p.alias("clipped_probability"), logit(p).alias("logit_probability"),
+        *columns, p.alias("clipped_probability"), logit(p).alias("logit_probability"),
         *[zero(c).alias(c) for c in ("cumulative_count", "cumulative_volume", "liquidity_count", "liquidity_volume")],
         F.log(1.0 + zero("liquidity_volume")).alias("public_liquidity_proxy"),
         F.when(F.col("momentum_count") >= 2, F.col("last_price") - F.col("first_price")).alias("momentum"),
@@ -42,7 +60,7 @@ def feature_panel(panel: DataFrame, prices: DataFrame, contracts: DataFrame, mom
         month(F.col("forecast_ts")).alias("forecast_month"), month(F.col("open_ts")).alias("listing_month"),
         "contract_volume", "open_interest", F.col("created_ts").isNull().alias("created_missing"), F.col("open_ts").isNull().alias("open_missing"),
         F.col("contract_volume").isNull().alias("volume_missing"), F.col("open_interest").isNull().alias("open_interest_missing"), (F.coalesce("volatility_count", F.lit(0)) < 2).alias("volatility_missing"),
-        (F.col("vwap_ts").isNull() if "vwap_ts" in panel.columns else F.lit(True)).alias("vwap_missing"), (F.coalesce("cumulative_count", F.lit(0)) == 0).alias("history_missing"),
+        (F.col("vwap_ts").isNull() if "vwap_ts" in columns else F.lit(True)).alias("vwap_missing"), (F.coalesce("cumulative_count", F.lit(0)) == 0).alias("history_missing"),
         (F.coalesce("momentum_count", F.lit(0)) < 2).alias("momentum_missing"), (F.coalesce("liquidity_count", F.lit(0)) == 0).alias("liquidity_missing"),
         F.greatest("price_timestamp", "cumulative_ts", "momentum_ts", "liquidity_ts").alias("max_feature_source_ts"),
     )

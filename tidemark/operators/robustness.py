@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.functions.expr import brier, log_loss
+from tidemark.functions.expr import bin_index, brier, log_loss
 from tidemark.operators.edge import EdgeConfig, simulate, tier_summary
 from tidemark.operators.folds import leakage
-from tidemark.operators.metrics import metric_rows, weighted_metrics
+from tidemark.operators.metrics import metric_rows
 from tidemark.operators.snapshots import Horizon, candidates, snapshot_panel
 
 
@@ -37,13 +38,26 @@ def staleness_filters(rows: DataFrame, maxima: tuple[float, ...] = (3600.0, 1800
     return filter_grid(rows, {f"staleness<={m:g}": F.col("staleness_seconds") <= m for m in maxima})
 
 
-def weighting_sensitivity(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The three weightings side by side. rows: with brier and log_loss."""
-    out = None
-    for mode in ("equal_contract", "equal_event_family", "trade_weighted"):
-        found = weighted_metrics(rows, mode, p="predicted_probability", keys=keys)
-        out = found if out is None else out.unionByName(found)
-    return out
+def weighting_sensitivity(rows: DataFrame, keys: list[str], bins: int = 10, min_count: int = 5, volume: str = "cumulative_volume") -> DataFrame:
+    """Per group and weighting (equal_contract, equal_event_family: 1 / the family's rows in the group, trade_weighted: no weight below zero): row_count, total_weight, mean_brier, mean_log_loss, ece, sparse_bins, status. rows: with brier and log_loss.
+
+    One scan and one aggregate by group, family and bin serve all three: a family's weight is known from its counts.
+    """
+    p, y, w = F.col("predicted_probability"), F.col("observed_outcome"), F.greatest(F.coalesce(F.col(volume).cast("double"), F.lit(0.0)), F.lit(0.0))
+    terms = {"n": F.lit(1.0), "b": F.col("brier"), "l": F.col("log_loss"), "p": p, "y": y.cast("double")}
+    cells = rows.groupBy(*keys, "event_family_id", bin_index(p, bins).alias("bin")).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(x).alias(f"e_{k}") for k, x in terms.items()], *[F.sum(w * x).alias(f"t_{k}") for k, x in terms.items()]
+    )
+    size = F.sum("rows").over(Window.partitionBy(*keys, "event_family_id"))
+    cells = cells.withColumn("size", size).withColumns({f"f_{k}": F.col(f"e_{k}") / F.col("size") for k in terms})
+    by_bin = cells.groupBy(*keys, "bin").agg(F.sum("rows").alias("rows"), *[F.sum(f"{m}_{k}").alias(f"{m}_{k}") for m in "eft" for k in terms])
+    modes = {"e": "equal_contract", "f": "equal_event_family", "t": "trade_weighted"}
+    long = by_bin.select(*keys, "rows", F.explode(F.array(*[F.struct(F.lit(name).alias("weighting"), *[F.col(f"{m}_{k}").alias(k) for k in terms]) for m, name in modes.items()])).alias("x")).select(*keys, "rows", "x.*")
+    total = F.nullif(F.sum("n"), F.lit(0.0))
+    return long.groupBy(*keys, "weighting").agg(
+        F.sum("rows").alias("row_count"), F.sum("n").alias("total_weight"), (F.sum("b") / total).alias("mean_brier"), (F.sum("l") / total).alias("mean_log_loss"), (F.sum(F.abs(F.col("p") - F.col("y"))) / total).alias("ece"),
+        (F.count_if(F.col("rows") < min_count) + (F.lit(bins) - F.count(F.lit(1)) if min_count > 0 else F.lit(0))).alias("sparse_bins"), F.when(F.sum("n") > 0, "ok").otherwise("zero_total_weight").alias("status"),
+    )
 
 
 def purged(rows: DataFrame, panel: DataFrame, folds: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import outcome_number, parse_duration, plus_seconds, seconds_between
@@ -48,25 +48,44 @@ def candidates(contracts: DataFrame, horizons: tuple[Horizon, ...] = HORIZONS) -
     return every.withColumn("forecast_ts", plus_seconds(F.col("resolution_ts"), -F.col("horizon_seconds")))
 
 
-def snapshot_stats(every: DataFrame, prices: DataFrame) -> DataFrame:
-    """Candidates with last (struct source_ts, price, cents, volume: the last trade up to the forecast, ties to the largest trade_id) and the window's sums. Candidates without a price stay."""
-    trades = prices.select("contract_id", "trade_id", "source_ts", "price", "cents", "volume")
-    joined = every.join(trades, "contract_id").where(F.col("source_ts") <= F.col("forecast_ts"))
+KEYS = ["contract_id", "horizon"]
+
+
+def meet_prices(every: DataFrame, prices: DataFrame) -> DataFrame:
+    """Candidates with their contract's prices up to the forecast: the one join of all point-in-time work."""
+    return every.join(prices.select("contract_id", "trade_id", "source_ts", "price", "cents", "volume"), "contract_id").where(F.col("source_ts") <= F.col("forecast_ts"))
+
+
+def window_sums() -> list[Column]:
+    """Aggregates of :func:`meet_prices`: last (the last trade up to the forecast, ties to the largest trade_id) and the sums of the averaging window."""
     inside = F.col("source_ts") >= plus_seconds(F.col("forecast_ts"), -F.col("vwap_window"))
-    keys = ["contract_id", "horizon"]
-    stats = joined.groupBy(*keys).agg(
+    return [
         F.max_by(F.struct("source_ts", "price", "cents", "volume"), F.struct("source_ts", "trade_id")).alias("last"),
         F.sum(F.when(inside, F.col("price") * F.col("volume"))).alias("vwap_money"),
         F.sum(F.when(inside, F.col("volume"))).alias("vwap_volume"),
         F.nullif(F.count(F.when(inside, 1)), F.lit(0)).alias("vwap_trade_count"),
         F.max(F.when(inside, F.col("source_ts"))).alias("vwap_ts"),
-    )
-    return every.join(stats, keys, "left")
+    ]
+
+
+def snapshot_stats(every: DataFrame, prices: DataFrame) -> DataFrame:
+    """Candidates with last (struct source_ts, price, cents, volume) and the window's sums. Candidates without a price stay, for which the sums are joined to them."""
+    return every.join(meet_prices(every, prices).groupBy(*KEYS).agg(*window_sums()), KEYS, "left")
+
+
+def matched_stats(every: DataFrame, prices: DataFrame, *more: Column) -> DataFrame:
+    """Candidates that have a price, with their sums and ``more`` aggregates: the candidate's columns pass through the aggregate, so nothing is joined again."""
+    same = [F.first(c).alias(c) for c in every.columns if c not in KEYS]
+    return meet_prices(every, prices).groupBy(*KEYS).agg(*same, *window_sums(), *more)
 
 
 def snapshot_panel(contracts: DataFrame, prices: DataFrame, horizons: tuple[Horizon, ...] = HORIZONS) -> DataFrame:
     """One row per candidate whose last trade is no older than its horizon allows; the price is the window average where preferred and there, else the last trade."""
-    stats = snapshot_stats(candidates(contracts, horizons), prices)
+    return panel_of(matched_stats(candidates(contracts, horizons), prices))
+
+
+def panel_of(stats: DataFrame, *more: str) -> DataFrame:
+    """The panel's rows and columns from candidates with their sums, and ``more`` of their columns."""
     fresh = stats.where(F.col("last.source_ts") >= plus_seconds(F.col("forecast_ts"), -F.col("max_staleness")))
     vwap = F.col("vwap_money") / F.nullif(F.col("vwap_volume"), F.lit(0))
     use = F.col("prefer_vwap") & F.col("vwap_trade_count").isNotNull()
@@ -78,7 +97,7 @@ def snapshot_panel(contracts: DataFrame, prices: DataFrame, horizons: tuple[Hori
         seconds_between(F.when(use, F.col("vwap_ts")).otherwise(F.col("last.source_ts")), F.col("forecast_ts")).alias("staleness_seconds"),
         F.col("last.price").alias("last_trade_price"), F.col("last.source_ts").alias("last_trade_ts"),
         seconds_between(F.col("last.source_ts"), F.col("forecast_ts")).alias("last_trade_staleness"),
-        vwap.alias("vwap_price"), "vwap_trade_count", "vwap_volume", "vwap_ts",
+        vwap.alias("vwap_price"), "vwap_trade_count", "vwap_volume", "vwap_ts", *more,
     )
 
 
