@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import _FEATURE_SQL, _QUOTES, _RULES_SQL, _TAXONOMY_SQL, HORIZONS, _classified, _features, _fit_counts, _folded, _inference, _predictions, _snapshots, _walkforward, query, r
 from tidemark.functions import expr
-from tidemark.operators import calibration, cleaning, edge, features, folds, inference, keys, metrics, raw_audit, reports, robustness, snapshots, taxonomy
+from tidemark.operators import audit, calibration, cleaning, edge, features, folds, inference, keys, metrics, raw_audit, reports, robustness, snapshots, taxonomy
 from tidemark.plans import sql
 from tidemark.session import shared_path
 from tidemark.sources import adapters, readers, sinks
@@ -376,6 +376,23 @@ def d32_variant_runs(spark, d):
     return robustness.variant_runs(adapters.contracts(spark, d), adapters.prices(spark, d), variants)
 
 
+# ---- Cleaning
+
+
+@query("""WITH q AS (SELECT CASE WHEN event_id % 13 = 0 THEN 'n/a' ELSE CAST(CAST(floor(value) AS BIGINT) % 99 AS VARCHAR) END AS b, CASE WHEN event_id % 11 <> 0 THEN ts END AS t, CASE WHEN event_id % 17 <> 0 THEN 'U' || user_id ELSE '' END AS k FROM events),
+x AS (SELECT *, concat_ws(';', CASE WHEN k = '' THEN 'missing_contract_id' END, CASE WHEN t IS NULL THEN 'missing_quote_ts' END, CASE WHEN b = 'n/a' THEN 'invalid_yes_bid' END, CASE WHEN b = 'n/a' THEN 'yes_bid_above_ask' END) AS reason FROM q)
+SELECT CASE WHEN reason = '' THEN 'kept' ELSE reason END AS reason, count(*) AS n, """ + r("sum(CASE WHEN reason = '' THEN CAST(b AS DOUBLE) / 100 END)") + """ AS bids FROM x GROUP BY 1""")
+def c9_text_quotes(spark, d):
+    """Quotes that come as texts, some of which aren't numbers, without times or contracts. A comparison with what isn't a number counts as failed."""
+    e = F.col("event_id")
+    text = F.when(e % 13 == 0, "n/a").otherwise((F.floor("value") % 99).cast("string"))
+    raw = adapters.table(spark, d, "events").select(
+        F.when(e % 17 != 0, F.concat(F.lit("U"), "user_id")).otherwise("").alias("ticker"), text.alias("yes_bid"), F.lit("100").alias("yes_ask"), F.lit("0").alias("no_bid"), F.lit("100").alias("no_ask"), F.when(e % 11 != 0, F.col("ts").cast("string")).alias("fetched_at")
+    )
+    bad = raw.withColumn("r", cleaning.quote_reasons()).where("r <> ''").groupBy(F.col("r").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("bids"))
+    return bad.unionByName(cleaning.normalize_quotes(raw).agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n"), F.sum("yes_bid").alias("bids")))
+
+
 # ---- Edge with quotes
 
 
@@ -516,3 +533,55 @@ def d33_sample_table(spark, d):
 @query(f"""WITH {sql.EDGE} SELECT model_name, friction_tier, count(*) FILTER (net_edge >= 0.02) AS selected, {r('sum(realized) FILTER (net_edge >= 0.02)')} AS simulated_total, {r('avg(net_edge) FILTER (net_edge >= 0.02)')} AS mean_net_edge FROM edge GROUP BY ALL""")
 def d33_edge_sensitivity(spark, d):
     return reports.edge_sensitivity(edge.tier_summary(edge.simulate(adapters.predictions(spark, d))))
+
+
+# ---- Audits
+
+
+_AUDIT_SQL = {
+    "predictions": {
+        "probability_range": "q IS NULL OR NOT q BETWEEN 0 AND 1", "outcome_binary": "y IS NULL OR y NOT IN (0, 1)", "keys_there": "contract_id IS NULL", "time_order": "coalesce(NOT forecast_ts < t, true)",
+        "raw_is_unchanged": "model_name = 'raw' AND abs(q - raw_probability) > 1e-9", "fold_is_its_month": "fold_id <> 'fold_' || strftime(forecast_ts, '%Y_%m')",
+    },
+    "edge": {
+        "costs_not_negative": "least(fee_cost, spread, slippage, effective_cost) < 0", "cost_covers_price": "effective_cost < entry_price", "price_range": "NOT entry_price BETWEEN 0 AND 1", "no_synthetic_no_price": "false", "sides_known": "false",
+        "edge_adds_up": "horizon_name = '6h'", "result_adds_up": "is_sports", "holding_not_negative": "holding_seconds < 0", "tiers_known": "friction_tier = 'severe'",
+    },
+}
+
+
+def _audit_sql(phase: str, source: str) -> str:
+    parts = [f"SELECT '{phase}' AS phase, '{n}' AS name, count(*) FILTER ({c}) AS n FROM {source}" for n, c in _AUDIT_SQL[phase].items()]
+    return " UNION ALL ".join(parts)
+
+
+@query(f"""WITH {sql.EDGE}, d AS (SELECT row_id, model_name, fold_id, CASE WHEN domain IS NOT NULL THEN contract_id END AS contract_id, forecast_ts, CASE WHEN cumulative_volume = 2 THEN forecast_ts ELSE resolution_ts END AS t, raw_probability, CASE WHEN is_sports THEN 2 ELSE observed_outcome END AS y,
+  CASE WHEN liquidity IS NULL THEN predicted_probability + 1 ELSE predicted_probability END AS q, cumulative_volume FROM predictions), dd AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE cumulative_volume = 4), checks AS (
+{_audit_sql('predictions', 'dd')} UNION ALL SELECT 'predictions', 'key_is_unique', (SELECT count(*) FROM dd) - (SELECT count(*) FROM (SELECT DISTINCT model_name, fold_id, row_id FROM dd)) UNION ALL {_audit_sql('edge', 'edge')} UNION ALL SELECT 'edge', 'key_is_unique', CAST(0 AS BIGINT))
+SELECT *, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM checks""")
+def d35_row_checks(spark, d):
+    """Over predictions and candidates that are damaged in known places."""
+    rows = adapters.predictions(spark, d)
+    broken = rows.withColumns({
+        "contract_id": F.when(F.col("domain").isNotNull(), F.col("contract_id")), "resolution_ts": F.when(F.col("cumulative_volume") == 2, F.col("forecast_ts")).otherwise(F.col("resolution_ts")),
+        "observed_outcome": F.when(F.col("is_sports"), 2).otherwise(F.col("observed_outcome")), "predicted_probability": F.when(F.col("liquidity").isNull(), F.col("predicted_probability") + 1).otherwise(F.col("predicted_probability")),
+    })
+    candidates = edge.simulate(rows).withColumns({
+        "net_edge": F.when(F.col("horizon_name") == "6h", F.col("net_edge") + 1).otherwise(F.col("net_edge")), "realized_net": F.when(F.col("is_sports"), F.col("realized_net") + 1).otherwise(F.col("realized_net")),
+        "friction_tier": F.when(F.col("friction_tier") == "severe", "unheard").otherwise(F.col("friction_tier")),
+    })
+    return audit.row_checks("predictions", broken.unionByName(broken.where("cumulative_volume = 4"))).unionByName(audit.row_checks("edge", candidates))
+
+
+@query(f"""WITH {sql.SNAPSHOT_PANEL}, s AS (SELECT *, CASE WHEN horizon = '1h' THEN price_timestamp + INTERVAL 2 HOUR ELSE price_timestamp END AS pt, CASE WHEN horizon = '6h' THEN resolution_ts + INTERVAL 1 SECOND ELSE resolution_ts END AS rt, CASE WHEN contract_id LIKE '%1' THEN snapshot_price + 1 ELSE snapshot_price END AS sp FROM snapshots) SELECT 'snapshots' AS phase, name, n, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+SELECT count(*) FILTER (rt IS NULL) AS resolution_there, count(*) FILTER (close_time IS NULL) AS close_time_there, count(*) FILTER (observed_outcome IS NULL) AS outcome_binary, count(*) FILTER (NOT forecast_ts < rt) AS time_order, count(*) FILTER (pt > forecast_ts) AS no_future_price, count(*) FILTER (last_trade_ts > forecast_ts) AS no_future_trade,
+count(*) FILTER (vwap_ts > forecast_ts) AS no_future_window, count(*) FILTER (sp IS NULL OR NOT sp BETWEEN 0 AND 1) AS price_range, count(*) FILTER (staleness_seconds < 0) AS staleness_not_negative, count(*) FILTER (snapshot_method NOT IN ('last_trade', 'vwap')) AS method_known, count(*) FILTER (horizon = 'never') AS horizon_known,
+count(*) FILTER (snapshot_method = 'vwap' AND vwap_trade_count IS NULL) AS window_needs_trades, count(*) FILTER (epoch_us(rt) - epoch_us(forecast_ts) <> CAST(horizon_seconds AS BIGINT) * 1000000) AS horizon_distance, count(*) - count(DISTINCT (contract_id, horizon)) AS key_is_unique FROM s)
+UNPIVOT (n FOR name IN (resolution_there, close_time_there, outcome_binary, time_order, no_future_price, no_future_trade, no_future_window, price_range, staleness_not_negative, method_known, horizon_known, window_needs_trades, horizon_distance, key_is_unique))""")
+def d35_snapshot_checks(spark, d):
+    """Over snapshots with prices from the future, moved resolutions and prices out of range."""
+    rows = _snapshots(spark, d).withColumns({
+        "price_timestamp": F.when(F.col("horizon") == "1h", F.expr("price_timestamp + interval 2 hours")).otherwise(F.col("price_timestamp")), "resolution_ts": F.when(F.col("horizon") == "6h", F.expr("resolution_ts + interval 1 second")).otherwise(F.col("resolution_ts")),
+        "snapshot_price": F.when(F.col("contract_id").endswith("1"), F.col("snapshot_price") + 1).otherwise(F.col("snapshot_price")),
+    })
+    return audit.row_checks("snapshots", rows)

@@ -1,39 +1,84 @@
-"""Checks over finished tables, each PASS, PARTIAL or FAIL."""
+"""Checks over finished tables, each PASS, PARTIAL or FAIL.
+
+A row check is a condition that no row may meet; all checks of a table are one aggregate over it. A key check counts
+rows that repeat a key, and a table check compares counts between tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import feature_invariants
-from tidemark.operators.snapshots import invariants
-from tidemark.operators.taxonomy import summary
+from tidemark.operators.snapshots import HORIZONS
+from tidemark.operators.taxonomy import FAMILY_CONFIDENCE, NOTES, summary
 from tidemark.operators.walkforward import identical_rows
 
+TABLES = ("snapshots", "features", "taxonomy", "predictions", "decomposition", "edge")
+# What each table must never hold, by the check's name. A null condition counts as met.
+ROW_CHECKS = {
+    "snapshots": {
+        "resolution_there": "resolution_ts IS NULL", "close_time_there": "close_time IS NULL", "outcome_binary": "observed_outcome IS NULL OR observed_outcome NOT IN (0, 1)",
+        "time_order": "NOT (forecast_ts < resolution_ts)", "no_future_price": "price_timestamp > forecast_ts", "no_future_trade": "last_trade_ts > forecast_ts", "no_future_window": "coalesce(vwap_ts > forecast_ts, false)",
+        "price_range": "snapshot_price IS NULL OR NOT snapshot_price BETWEEN 0 AND 1", "staleness_not_negative": "staleness_seconds < 0", "method_known": "snapshot_method NOT IN ('last_trade', 'vwap')",
+        "horizon_known": "horizon NOT IN (" + ", ".join(f"'{h.name}'" for h in HORIZONS) + ")", "window_needs_trades": "snapshot_method = 'vwap' AND coalesce(vwap_trade_count, 0) = 0", "horizon_distance": "unix_micros(cast(resolution_ts AS timestamp)) - unix_micros(cast(forecast_ts AS timestamp)) <> horizon_seconds * 1000000",
+    },
+    "features": {
+        "no_future_source": "max_feature_source_ts > forecast_ts", "probability_open": "clipped_probability IS NULL OR NOT (clipped_probability > 0 AND clipped_probability < 1)", "counts_not_negative": "least(cumulative_count, cumulative_volume, liquidity_count, liquidity_volume) < 0",
+        "liquidity_within_history": "liquidity_count > cumulative_count", "momentum_flag_agrees": "(momentum IS NULL) <> momentum_missing", "volatility_flag_agrees": "(volatility IS NULL) <> volatility_missing", "month_agrees": "forecast_month <> date_format(forecast_ts, 'yyyy-MM')", "close_time_there": "close_time IS NULL",
+    },
+    "taxonomy": {
+        "family_there": "event_family_id IS NULL", "domain_there": "domain IS NULL OR category IS NULL", "source_known": "taxonomy_source NOT IN (" + ", ".join(f"'{s}'" for s in NOTES) + ")", "family_source_known": "event_family_source NOT IN (" + ", ".join(f"'{s}'" for s in FAMILY_CONFIDENCE) + ")",
+        "ambiguous_is_labelled": "taxonomy_ambiguous <> (domain = 'ambiguous')", "ambiguous_is_no_sport": "taxonomy_ambiguous AND is_sports", "confidence_known": "taxonomy_confidence NOT IN ('manual', 'high', 'medium', 'low', 'ambiguous')",
+    },
+    "predictions": {
+        "probability_range": "predicted_probability IS NULL OR NOT predicted_probability BETWEEN 0 AND 1", "outcome_binary": "observed_outcome IS NULL OR observed_outcome NOT IN (0, 1)", "keys_there": "row_id IS NULL OR contract_id IS NULL OR fold_id IS NULL OR model_name IS NULL",
+        "time_order": "NOT (forecast_ts < resolution_ts)", "raw_is_unchanged": "model_name = 'raw' AND abs(predicted_probability - raw_probability) > 1e-9", "fold_is_its_month": "fold_id <> concat('fold_', date_format(forecast_ts, 'yyyy_MM'))",
+    },
+    "edge": {
+        "costs_not_negative": "least(fee_cost, spread_cost, slippage_cost, capital_lockup_cost, effective_cost) < 0", "cost_covers_price": "effective_cost < entry_price", "price_range": "NOT entry_price BETWEEN 0 AND 1", "no_synthetic_no_price": "trade_side = 'NO' AND entry_price_source <> 'explicit_no_ask_quote'",
+        "sides_known": "trade_side NOT IN ('YES', 'NO')", "edge_adds_up": "abs(side_probability - effective_cost - net_edge) > 1e-12", "result_adds_up": "abs(side_outcome - effective_cost - realized_net) > 1e-12", "holding_not_negative": "holding_seconds < 0", "tiers_known": "friction_tier NOT IN ('fee_only', 'moderate', 'severe')",
+    },
+    "decomposition": {
+        "identity": "abs(decomposed_brier - (reliability - resolution + uncertainty)) > 1e-12", "residual": "abs(raw_brier - decomposed_brier - residual) > 1e-12", "parts_not_negative": "least(reliability, resolution, uncertainty) < 0", "rows_there": "row_count <= 0",
+    },
+}
+# The columns that name a row.
+KEYS = {"snapshots": ["contract_id", "horizon"], "features": ["contract_id", "horizon"], "taxonomy": ["contract_id"], "predictions": ["model_name", "fold_id", "row_id"], "edge": ["model_name", "row_id", "friction_tier", "trade_side"]}
+
+
+def _counts(table: DataFrame, phase: str, sums: dict[str, Column]) -> DataFrame:
+    one = table.agg(*[c.alias(n) for n, c in sums.items()])
+    return one.select(F.lit(phase).alias("phase"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("long").alias("n")) for n in sums])).alias("x")).select("phase", "x.*")
+
+
+def row_checks(phase: str, table: DataFrame) -> DataFrame:
+    """phase, name, n, status: of each row check of a table, rows that break it, and of its key the rows that repeat one. One scan; the key is counted by a grouping."""
+    sums = {n: F.count_if(F.coalesce(F.expr(c), F.lit(True))) for n, c in ROW_CHECKS[phase].items()}
+    out = _counts(table, phase, sums)
+    if phase in KEYS:
+        repeated = table.groupBy(*KEYS[phase]).agg(F.count(F.lit(1)).alias("k"))
+        out = out.unionByName(_counts(repeated, phase, {"key_is_unique": F.coalesce(F.sum(F.col("k") - 1), F.lit(0))}))
+    return out.withColumn("status", F.when(F.col("n") == 0, "PASS").otherwise("FAIL"))
+
 
 def final_audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """phase, name, status, detail. tables: snapshots, features, taxonomy, predictions, decomposition, edge. Stops after the checks for being there if one is missing."""
-    expected = ("snapshots", "features", "taxonomy", "predictions", "decomposition", "edge")
-    any_table = next(iter(tables.values()))
-    spark = any_table.sparkSession
-    checks = [("existence", name, "PASS" if name in tables else "FAIL", "") for name in expected]
-    if all(c[2] == "PASS" for c in checks):
-        for phase, found in (("snapshots", invariants(tables["snapshots"])), ("features", feature_invariants(tables["features"]))):
-            for name, n in found.first().asDict().items():
-                if name not in ("row_count", "momentum_missing", "liquidity_missing"):
-                    checks.append((phase, name, "FAIL" if n else "PASS", str(n)))
-        shares = summary(tables["taxonomy"]).first()
-        checks.append(("taxonomy", "missing_family", "FAIL" if shares["missing_family"] else "PASS", str(shares["missing_family"])))
-        checks.append(("taxonomy", "family_rules", "PARTIAL" if shares["regex_family_share"] <= 0.01 else "PASS", f"{shares['regex_family_share']:.4f}"))
-        bad = identical_rows(tables["predictions"]).agg(F.coalesce(F.sum("bad_rows"), F.lit(0)).alias("n")).first()["n"]
-        checks.append(("walkforward", "identical_rows", "FAIL" if bad else "PASS", str(bad)))
-        p = F.col("predicted_probability")
-        out = tables["predictions"].agg(F.count_if(p.isNull() | ~p.between(0, 1)).alias("n")).first()["n"]
-        checks.append(("walkforward", "value_ranges", "FAIL" if out else "PASS", str(out)))
-        made = F.col("reliability") - F.col("resolution") + F.col("uncertainty")
-        off = tables["decomposition"].agg(F.count_if(F.abs(F.col("decomposed_brier") - made) > 1e-12).alias("n")).first()["n"]
-        checks.append(("decomposition", "identity", "FAIL" if off else "PASS", str(off)))
-        e = tables["edge"].agg(F.count_if((F.col("fee_cost") < 0) | (F.col("effective_cost") < 0)).alias("cost"), F.count_if((F.col("trade_side") == "NO") & (F.col("entry_price_source") != "explicit_no_ask_quote")).alias("no")).first()
-        checks.append(("edge", "costs_not_negative", "FAIL" if e["cost"] else "PASS", str(e["cost"])))
-        checks.append(("edge", "no_synthetic_no_price", "FAIL" if e["no"] else "PASS", str(e["no"])))
-    return spark.createDataFrame(checks, "phase string, name string, status string, detail string")
+    """phase, name, status, detail. tables: TABLES. Stops after the checks for being there if one is missing."""
+    spark = next(iter(tables.values())).sparkSession
+    there = spark.createDataFrame([("existence", n, "PASS" if n in tables else "FAIL", "") for n in TABLES], "phase string, name string, status string, detail string")
+    if set(TABLES) - set(tables):
+        return there
+    out = None
+    for phase in TABLES:
+        found = row_checks(phase, tables[phase])
+        out = found if out is None else out.unionByName(found)
+    # Between tables: features keep the snapshots' rows, candidates come from prediction rows.
+    signed = tables["features"].select(F.lit(1).alias("x")).unionByName(tables["snapshots"].select(F.lit(-1).alias("x")))
+    sizes = _counts(signed, "features", {"keeps_rows": F.abs(F.coalesce(F.sum("x"), F.lit(0)))})
+    known = tables["edge"].join(tables["predictions"].select("model_name", "row_id"), ["model_name", "row_id"], "left_anti")
+    identical = _counts(identical_rows(tables["predictions"]), "walkforward", {"identical_rows": F.coalesce(F.sum("bad_rows"), F.lit(0)), "models_agree": F.count_distinct("models") - 1})
+    more = sizes.unionByName(_counts(known, "edge", {"rows_are_predicted": F.count(F.lit(1))})).unionByName(identical)
+    out = out.unionByName(more.withColumn("status", F.when(F.col("n") == 0, "PASS").otherwise("FAIL")))
+    shares = summary(tables["taxonomy"])
+    by_rule = shares.select(F.lit("taxonomy").alias("phase"), F.lit("family_rules").alias("name"), F.when(F.col("regex_family_share") <= 0.01, "PARTIAL").otherwise("PASS").alias("status"), F.format_number("regex_family_share", 4).alias("detail"))
+    coverage = shares.select(F.lit("taxonomy").alias("phase"), F.lit("coverage").alias("name"), F.when(F.col("unknown_share") >= 0.5, "PARTIAL").otherwise("PASS").alias("status"), F.format_number("unknown_share", 4).alias("detail"))
+    return there.unionByName(out.select("phase", "name", "status", F.col("n").cast("string").alias("detail"))).unionByName(by_rule).unionByName(coverage)

@@ -71,21 +71,29 @@ def trade_exclusions(trades: DataFrame, contracts: DataFrame) -> DataFrame:
     return _tagged_trades(trades, contracts).groupBy(F.coalesce("reason", F.lit("cleaned_rows")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+QUOTE_SIDES = ("yes_bid", "yes_ask", "no_bid", "no_ask")
+
+
+def _cents(c: str) -> Column:
+    """A quote in cents; texts count if they are numbers, anything else is null."""
+    return F.col(c).try_cast("double")
+
+
 def quote_reasons() -> Column:
-    ok = lambda c: F.col(c).between(0, 100)
+    ok = lambda c: _cents(c).between(0, 100)
     return reasons(
         (~_filled("ticker"), "missing_contract_id"),
-        (F.col("fetched_at").isNull(), "missing_quote_ts"),
-        *[(~ok(c), f"invalid_{c}") for c in ("yes_bid", "yes_ask", "no_bid", "no_ask")],
-        (F.col("yes_bid") > F.col("yes_ask"), "yes_bid_above_ask"),
-        (F.col("no_bid") > F.col("no_ask"), "no_bid_above_ask"),
+        (F.col("fetched_at").try_cast("timestamp_ntz").isNull(), "missing_quote_ts"),
+        *[(~ok(c), f"invalid_{c}") for c in QUOTE_SIDES],
+        (_cents("yes_bid") > _cents("yes_ask"), "yes_bid_above_ask"),
+        (_cents("no_bid") > _cents("no_ask"), "no_bid_above_ask"),
     )
 
 
 def normalize_quotes(raw: DataFrame) -> DataFrame:
-    """Valid quotes as shares of 1, with their constants."""
-    sides = [(F.col(c) / 100.0).alias(c) for c in ("yes_bid", "yes_ask", "no_bid", "no_ask")]
-    return raw.where(quote_reasons() == "").select(F.col("ticker").alias("contract_id"), F.col("fetched_at").alias("quote_ts"), *sides, F.lit("market_snapshot").alias("quote_source"), F.lit(False).alias("depth_available"))
+    """Valid quotes as shares of 1, with their constants; times are UTC."""
+    sides = [(_cents(c) / 100.0).alias(c) for c in QUOTE_SIDES]
+    return raw.where(quote_reasons() == "").select(F.col("ticker").alias("contract_id"), F.col("fetched_at").try_cast("timestamp_ntz").alias("quote_ts"), *sides, F.lit("market_snapshot").alias("quote_source"), F.lit(False).alias("depth_available"))
 
 
 def quote_exclusions(raw: DataFrame) -> DataFrame:

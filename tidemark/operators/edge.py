@@ -61,16 +61,24 @@ def fee_entry(schedule: tuple[Fee, ...], at: Column) -> Column:
 def asof_quotes(rows: DataFrame, quotes: DataFrame, ts: str = "forecast_ts") -> DataFrame:
     """Each row with its contract's latest quote up to its time, an equal time included, and the quote's age in seconds; of quotes at one time the largest (yes_ask, yes_bid).
 
-    Rows and quotes are one union that is sorted by contract and time; the quote is a running last value, so the work is one shuffle and no pairs.
+    Rows and quotes are one union that is sorted by contract, day and time; the quote is a running last value within the day, or the last quote of the days before, which a second window takes over one row per contract and day. A contract's history never meets in one task, and no pairs are made.
     """
     names = rows.columns
     sides = [c for c in ("yes_bid", "yes_ask", "no_bid", "no_ask") if c in quotes.columns]
     q = F.struct("quote_ts", *sides)
+    day = F.to_date("__t").alias("__day")
     left = rows.select("contract_id", F.col(ts).alias("__t"), F.lit(1).alias("__kind"), F.struct(*names).alias("__row"))
     right = quotes.select("contract_id", F.col("quote_ts").alias("__t"), F.lit(0).alias("__kind"), q.alias("__q"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    order = Window.partitionBy("contract_id").orderBy("__t", "__kind", "__q.yes_ask", "__q.yes_bid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("__last", F.last("__q", ignorenulls=True).over(order)).where("__kind = 1").select("__row.*", "__last.*")
+    both = left.unionByName(right, allowMissingColumns=True).select("*", day)
+    order = Window.partitionBy("contract_id", "__day").orderBy("__t", "__kind", "__q.yes_ask", "__q.yes_bid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.withColumn("__today", F.last("__q", ignorenulls=True).over(order)).where("__kind = 1")
+    # The last quote of each day, and with it the days that only have rows.
+    when = F.when(F.col("__kind") == 0, F.struct("__t", F.col("__q.yes_ask").alias("a"), F.col("__q.yes_bid").alias("b")))
+    days = both.groupBy("contract_id", "__day").agg(F.max_by("__q", when).alias("__end"))
+    earlier = Window.partitionBy("contract_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("contract_id", "__day", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("contract_id", "__day")]
+    out = placed.alias("r").join(days.alias("d"), same, "left").withColumn("__last", F.coalesce("__today", "__before")).select("__row.*", "__last.*")
     return out.withColumn("quote_staleness_seconds", elapsed_seconds(F.col("quote_ts"), F.col(ts)))
 
 
@@ -184,18 +192,31 @@ def fee_audit(found: DataFrame, schedule: tuple[Fee, ...]) -> DataFrame:
     return entries.join(counts, "fee_name", "left").select("fee_name", "fee_rate", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Rows of one time are told apart by so many first characters of their ids.
+HEAD = 4
+
+
 def cumulative_pnl(found: DataFrame) -> DataFrame:
-    """Selected candidates with their running total by model and tier, in the order of (forecast_ts, row_id).
+    """Selected candidates with their running total by model, tier and side, in the order of (forecast_ts, row_id).
 
-    A group may hold most rows, so its running sum is made in two steps: within the group's months, and over the months' totals.
+    A group may hold most rows, so its running sum is made in steps: over the rows of one time whose ids start alike,
+    over these stretches of one time, over the times of a month, and over months. Only sums meet in the later steps.
     """
-    chosen = found.where("passes_threshold").withColumn("month", F.date_trunc("month", "forecast_ts"))
     key = ["model_name", "friction_tier", "trade_side"]
-    inside = Window.partitionBy(*key, "month").orderBy("forecast_ts", "row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*key).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    totals = chosen.groupBy(*key, "month").agg(F.sum("realized_total").alias("t")).withColumn("earlier", F.coalesce(F.sum("t").over(before), F.lit(0.0))).drop("t")
-    rows = chosen.withColumn("part", F.sum("realized_total").over(inside)).join(totals, [*key, "month"])
-    return rows.select(*key, "forecast_ts", "row_id", "realized_total", (F.col("earlier") + F.col("part")).alias("cumulative"))
+    chosen = found.where("passes_threshold").select(*key, "forecast_ts", "row_id", "realized_total")
+    chosen = chosen.withColumns({"month": F.date_trunc("month", "forecast_ts"), "cell": F.col("forecast_ts"), "head": F.substring("row_id", 1, HEAD)})
+    run = lambda *by: Window.partitionBy(*key, *by)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    heads = chosen.groupBy(*key, "month", "cell", "head").agg(F.sum("realized_total").alias("t"))
+    heads = heads.withColumn("h", F.coalesce(F.sum("t").over(before(run("month", "cell").orderBy("head"))), F.lit(0.0)))
+    cells_ = heads.groupBy(*key, "month", "cell").agg(F.sum("t").alias("t"))
+    cells_ = cells_.withColumn("c", F.coalesce(F.sum("t").over(before(run("month").orderBy("cell"))), F.lit(0.0)))
+    months = cells_.groupBy(*key, "month").agg(F.sum("t").alias("t")).withColumn("m", F.coalesce(F.sum("t").over(before(run().orderBy("month"))), F.lit(0.0)))
+    starts = heads.drop("t").join(cells_.drop("t"), [*key, "month", "cell"]).join(months.drop("t"), [*key, "month"])
+    starts = starts.select(*key, "month", "cell", "head", (F.col("h") + F.col("c") + F.col("m")).alias("start"))
+    inside = run("month", "cell", "head").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = chosen.withColumn("part", F.sum("realized_total").over(inside)).join(starts, [*key, "month", "cell", "head"])
+    return rows.select(*key, "forecast_ts", "row_id", "realized_total", (F.col("start") + F.col("part")).alias("cumulative"))
 
 
 class FeeError(ValueError):
