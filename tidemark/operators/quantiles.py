@@ -1,33 +1,56 @@
-"""Exact percentiles of large groups in bounded memory."""
+"""Exact percentiles of large groups in bounded memory: a sketch brackets the ranks, a second pass counts within the brackets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import materialize
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...], cells: int = 4096) -> DataFrame:
-    """keys, point, value: percentiles with linear interpolation, as ``percentile`` gives them; nulls don't count.
+MAX_BROADCAST_GROUPS = 1 << 16
+#: The sketch's ranks are off by at most a group's rows over this number.
+ACCURACY = 5000
 
-    A first aggregate counts values in ``cells`` ranges between each group's ends; only the ranges that hold the wanted ranks are read again, as counts of their distinct values. No task holds a group's values.
+
+def sketch(value: str, points: tuple[float, ...]) -> list[Column]:
+    """Aggregates for :func:`resolve`: __n, the count of values that aren't null, and __ends, for each point two values of which one is not above and one not below its rank."""
+    x = F.col(value).cast("double")
+    ends = [min(1.0, max(0.0, q + side * 2.5 / ACCURACY)) for q in points for side in (-1, 1)]
+    return [F.count(x).alias("__n"), F.percentile_approx(x, F.array(*map(F.lit, ends)), ACCURACY).alias("__ends"), F.min(x).alias("__min"), F.max(x).alias("__max")]
+
+
+def resolve(df: DataFrame, sketches: DataFrame, keys: list[str], value: str, points: tuple[float, ...]) -> DataFrame:
+    """keys, point, value: exact percentiles with linear interpolation. sketches: keys and the columns of :func:`sketch`, a row per group, written.
+
+    Values below a bracket are one count; the bracket itself holds a group's rows over ACCURACY a few times, as counts of distinct values.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(k).alias(f"__v{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("x"))
     key = [f"__k{i}" for i in range(len(keys))]
-    ends = rows.groupBy(*key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"), *[F.first(f"__v{i}").alias(f"__v{i}") for i in range(len(keys))])
-    width = (F.col("hi") - F.col("lo")) / cells
-    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
-    placed = rows.select(*key, "x").join(ends.select(*key, "lo", "hi"), key).withColumn("cell", cell)
-    counts = placed.groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = ends.select(*key, "n", F.explode(F.array(*map(F.lit, points))).alias("point")).withColumn("at", F.col("point") * (F.col("n") - 1))
-    ranks = ranks.withColumn("rank", F.explode(F.array(F.floor("at"), F.ceil("at")))).distinct()
-    wanted = counts.withColumn("start", before).join(ranks, key).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("c")))
-    need = wanted.select(*key, "cell", "start").distinct()
-    values = placed.join(F.broadcast(need), [*key, "cell"]).groupBy(*key, "cell", "start", "x").agg(F.count(F.lit(1)).alias("c"))
-    inner = Window.partitionBy(*key, "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("from", F.col("start") + F.coalesce(F.sum("c").over(inner), F.lit(0)))
-    found = values.drop("start").join(wanted.select(*key, "cell", "point", "at", "rank"), [*key, "cell"]).where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("from") + F.col("c")))
-    pair = found.groupBy(*key, "point", "at").agg(F.min_by("x", "rank").alias("a"), F.max_by("x", "rank").alias("b"))
-    out = pair.join(ends.select(*key, *[F.col(f"__v{i}").alias(k) for i, k in enumerate(keys)]), key)
-    return out.select(*keys, "point", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("value"))
+    # Small groups are their own bracket; the lowest and highest ranks have one end of the values on their side.
+    bracket = F.transform(F.sequence(F.lit(0), F.lit(len(points) - 1)), lambda i: F.struct(
+        F.element_at(F.array(*map(F.lit, points)), i + 1).alias("point"),
+        F.when((F.col("__n") <= 2 * ACCURACY) | F.element_at(F.array(*[F.lit(q * ACCURACY <= 3) for q in points]), i + 1), F.col("__min")).otherwise(F.get("__ends", i * 2)).alias("lo"),
+        F.when((F.col("__n") <= 2 * ACCURACY) | F.element_at(F.array(*[F.lit((1 - q) * ACCURACY <= 3) for q in points]), i + 1), F.col("__max")).otherwise(F.get("__ends", i * 2 + 1)).alias("hi"),
+    ))
+    groups = sketches.where("__n > 0").select(*[F.col(k).alias(b) for k, b in zip(keys, key, strict=True)], "__n", bracket.alias("__b"))
+    few = sketches.count() <= MAX_BROADCAST_GROUPS
+    rows = df.select(*keys, F.col(value).cast("double").alias("__x")).where("__x IS NOT NULL")
+    rows = rows.join(F.broadcast(groups) if few else groups, [F.col(k).eqNullSafe(F.col(b)) for k, b in zip(keys, key, strict=True)])
+    one = F.explode("__b") if len(points) > 1 else F.get("__b", F.lit(0))
+    each = rows.select(*key, "__n", "__x", one.alias("b")).where("__x <= b.hi")
+    counts = each.groupBy(*key, "__n", "b.point", F.when(F.col("__x") >= F.col("b.lo"), F.col("__x")).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    # What lies below a bracket has no value and comes first.
+    before = Window.partitionBy(*key, "point").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("from", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("at", F.col("point") * (F.col("__n") - 1))
+    down, up, end = F.floor("at"), F.ceil("at"), F.col("from") + F.col("c")
+    holds = lambda r: (r >= F.col("from")) & (r < end)
+    pair = placed.groupBy(*key, "point", "at").agg(F.max(F.when(holds(down), F.col("x"))).alias("a"), F.max(F.when(holds(up), F.col("x"))).alias("b"))
+    found = F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))
+    # A bracket that missed its rank would be a fault of the sketch, never a value.
+    checked = F.when(found.isNull(), F.raise_error(F.lit("a percentile lies outside its bracket"))).otherwise(found)
+    return pair.select(*[F.col(b).alias(k) for k, b in zip(keys, key, strict=True)], "point", checked.cast("double").alias("value"))
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...]) -> DataFrame:
+    """keys, point, value: percentiles with linear interpolation, as ``percentile`` gives them; nulls don't count."""
+    return resolve(df, materialize(df.groupBy(*keys).agg(*sketch(value, points)), "sketches"), keys, value, points)
