@@ -557,7 +557,7 @@ def _audit_sql(phase: str, source: str) -> str:
 
 @query(f"""WITH {sql.EDGE}, d AS (SELECT row_id, model_name, fold_id, CASE WHEN domain IS NOT NULL THEN contract_id END AS contract_id, forecast_ts, CASE WHEN cumulative_volume = 2 THEN forecast_ts ELSE resolution_ts END AS t, raw_probability, CASE WHEN is_sports THEN 2 ELSE observed_outcome END AS y,
   CASE WHEN liquidity IS NULL THEN predicted_probability + 1 ELSE predicted_probability END AS q, cumulative_volume FROM predictions), dd AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE cumulative_volume = 4), checks AS (
-{_audit_sql('predictions', 'dd')} UNION ALL SELECT 'predictions', 'key_is_unique', (SELECT count(*) FROM dd) - (SELECT count(*) FROM (SELECT DISTINCT model_name, fold_id, row_id FROM dd)) UNION ALL {_audit_sql('edge', 'edge')} UNION ALL SELECT 'edge', 'key_is_unique', CAST(0 AS BIGINT))
+{_audit_sql('predictions', 'dd')} UNION ALL SELECT 'predictions', 'key_is_unique', (SELECT count(*) FROM dd) - (SELECT count(*) FROM (SELECT DISTINCT model_name, fold_id, row_id FROM dd)) UNION ALL {_audit_sql('edge', 'edge')} UNION ALL SELECT 'edge', 'key_is_unique', (SELECT count(*) FROM edge) - (SELECT count(*) FROM (SELECT DISTINCT model_name, row_id, friction_tier FROM edge)))
 SELECT *, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM checks""")
 def d35_row_checks(spark, d):
     """Over predictions and candidates that are damaged in known places."""
