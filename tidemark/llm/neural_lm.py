@@ -28,7 +28,7 @@ def initial_weights(counts: np.ndarray, n_end: float, n_other: float, seed: int
         sums = slots.sum(1)
         of_class = np.concatenate([np.log([n_end + 1, n_other + 1]), np.where(sums > 0, np.log(sums), NEVER)])
     w = {
-        "e": random.normal(0, 0.3, (3 * d, VOCABULARY + 2)),
+        "e": random.normal(0, 0.3, (3 * d, VOCABULARY + 2)).T,
         "u": random.normal(0, d**-0.5, (3 * d, d)),
         "b": np.zeros((d, 1)),
         "k": random.normal(0, 0.1, (CLASSES + 2, d)),
@@ -36,7 +36,7 @@ def initial_weights(counts: np.ndarray, n_end: float, n_other: float, seed: int
         "v": random.normal(0, 0.1, (CLASSES, CLASS_WORDS, d)),
         "vb": of_word[:, :, None],
     }
-    return {name: x.astype(np.float32) for name, x in w.items()}
+    return {name: np.ascontiguousarray(x, np.float32) for name, x in w.items()}
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -51,11 +51,11 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def _step(w: dict[str, np.ndarray], h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The next state, with the gates (update, reset), the inner candidate and the candidate that led to it."""
+def _advance(w: dict[str, np.ndarray], h: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The next state, with the gates (update, reset), the inner candidate and the candidate that led to it. inputs: the vectors of the tokens before, one a column; they are overwritten."""
     d = HIDDEN
-    a, c = np.take(w["e"], before, axis=1), w["u"] @ h
-    gates = a[: 2 * d]
+    c = w["u"] @ h
+    gates = inputs[: 2 * d]
     gates += c[: 2 * d]
     gates *= 0.5
     np.tanh(gates, out=gates)
@@ -64,7 +64,7 @@ def _step(w: dict[str, np.ndarray], h: np.ndarray, before: np.ndarray) -> tuple[
     inner = c[2 * d :]
     inner += w["b"]
     n = gates[d:] * inner
-    n += a[2 * d :]
+    n += inputs[2 * d :]
     np.tanh(n, out=n)
     new = h - n
     new *= gates[:d]
@@ -72,86 +72,121 @@ def _step(w: dict[str, np.ndarray], h: np.ndarray, before: np.ndarray) -> tuple[
     return new, gates, inner, n
 
 
-def _log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(0)
-    scores -= np.log(np.exp(scores).sum(0))
-    return scores
+def _vectors(w: dict[str, np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """The vectors of tokens (..., lane) as columns (..., 3 * hidden, lane)."""
+    return np.ascontiguousarray(np.swapaxes(np.take(w["e"], tokens, axis=0), -1, -2))
+
+
+def _step(w: dict[str, np.ndarray], h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_advance` after the tokens ``before``."""
+    return _advance(w, h, _vectors(w, before))
+
 
+class _Words:
+    """The targets that are words, sorted by class: their places, numbers in the class, and where each class begins and ends among them."""
 
-def _by_class(targets: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(class, places, numbers in the class) of the targets that are words."""
-    places = np.flatnonzero(targets > OTHER)
-    words = targets[places].astype(np.int64) - 2
-    classes = words // CLASS_WORDS
-    order = np.argsort(classes, kind="stable")
-    places, words, classes = places[order], words[order], classes[order]
-    cuts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1], True]) if len(classes) else np.zeros(1, np.int64)
-    return [(int(classes[a]), places[a:b], words[a:b] % CLASS_WORDS) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    def __init__(self, targets: np.ndarray):
+        places = np.flatnonzero(targets > OTHER)
+        words = targets[places].astype(np.int64) - 2
+        classes = (words // CLASS_WORDS).astype(np.uint16)
+        order = np.argsort(classes, kind="stable")
+        classes = classes[order]
+        cuts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1], True]).tolist() if len(classes) else [0]
+        self.places, self.words = places[order], words[order] % CLASS_WORDS
+        self.parts = [(int(classes[a]), slice(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def scores(self, w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+        """Of each target (column) all words of its class (row). h: their states (hidden, target)."""
+        out = np.empty((CLASS_WORDS, len(self.words)), h.dtype)
+        for k, part in self.parts:
+            np.add(w["v"][k] @ h[:, part], w["vb"][k], out=out[:, part])
+        return out
 
 
 def _class_of(targets: np.ndarray) -> np.ndarray:
     return np.where(targets > OTHER, 2 + (targets.astype(np.int64) - 2) // CLASS_WORDS, targets)
 
 
+def _softmax(scores: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column of scores, which become probabilities times a sum: the log probability of the wanted row, and the sum."""
+    scores -= scores.max(0)
+    picked = scores[wanted, np.arange(len(wanted))]
+    np.exp(scores, out=scores)
+    sums = scores.sum(0)
+    return picked - np.log(sums), sums
+
+
+def _errors(scores: np.ndarray, wanted: np.ndarray, scale: np.ndarray) -> float:
+    """The scaled loss of the wanted rows; scores become its gradient by them."""
+    logs, sums = _softmax(scores, wanted)
+    scores *= scale / sums
+    scores[wanted, np.arange(len(wanted))] -= scale
+    return -float((logs * scale).sum())
+
+
+def _class_scores(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    out = w["k"] @ h
+    out += w["kb"]
+    return out
+
+
 def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probabilities of targets from their states (hidden, token)."""
-    m = np.arange(len(targets))
-    out = _log_softmax(w["k"] @ h + w["kb"])[_class_of(targets), m]
-    for k, places, words in _by_class(targets):
-        out[places] += _log_softmax(w["v"][k] @ h[:, places] + w["vb"][k])[words, np.arange(len(places))]
+    out = _softmax(_class_scores(w, h), _class_of(targets))[0]
+    of = _Words(targets)
+    out[of.places] += _softmax(of.scores(w, h[:, of.places]), of.words)[0]
     return out
 
 
 def gradients(w: dict[str, np.ndarray], h: np.ndarray, before: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss of a window (step, lane), its gradients by backpropagation through the window, and the states after it."""
     (steps, lanes), d = targets.shape, HIDDEN
-    states, trace = np.empty((steps, d, lanes), np.float32), []
+    going = (before != END).astype(np.float32)  # a text starts from zero
+    gates = _vectors(w, before)
+    starts, inners, news, states = (np.empty((steps, d, lanes), np.float32) for _ in range(4))
     for t in range(steps):
-        start = h * (before[t] != END)  # a text starts from zero
-        h, gates, inner, n = _step(w, start, before[t])
-        trace.append((start, gates, inner, n))
+        np.multiply(h, going[t], out=starts[t])
+        h, _, inners[t], news[t] = _advance(w, starts[t], gates[t])
         states[t] = h
     at = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(d, -1)
     flat_targets, scale = targets.ravel(), (weight / max(1e-9, weight.sum())).ravel().astype(np.float32)
-    m = np.arange(steps * lanes)
-    logs = _log_softmax(w["k"] @ at + w["kb"])
-    classes = _class_of(flat_targets)
-    loss = -float((logs[classes, m] * scale).sum())
-    error = np.exp(logs)
-    error[classes, m] -= 1
-    error *= scale
-    g = {"k": error @ at.T, "kb": error.sum(1, keepdims=True), "v": np.zeros_like(w["v"]), "vb": np.zeros_like(w["vb"]), "u": np.zeros_like(w["u"]), "b": np.zeros_like(w["b"])}
+    error = _class_scores(w, at)
+    loss = _errors(error, _class_of(flat_targets), scale)
+    g = {"k": error @ at.T, "kb": error.sum(1, keepdims=True), "v": np.zeros_like(w["v"]), "vb": np.zeros_like(w["vb"]), "u": np.zeros_like(w["u"])}
     back = w["k"].T @ error
-    for k, places, words in _by_class(flat_targets):
-        mine, own = at[:, places], np.arange(len(places))
-        logs = _log_softmax(w["v"][k] @ mine + w["vb"][k])
-        loss -= float((logs[words, own] * scale[places]).sum())
-        error = np.exp(logs)
-        error[words, own] -= 1
-        error *= scale[places]
-        g["v"][k], g["vb"][k] = error @ mine.T, error.sum(1, keepdims=True)
-        back[:, places] += w["v"][k].T @ error
+    of = _Words(flat_targets)
+    mine = at[:, of.places]
+    error = of.scores(w, mine)
+    loss += _errors(error, of.words, scale[of.places])
+    for k, part in of.parts:
+        own = error[:, part]
+        g["v"][k], g["vb"][k] = own @ mine[:, part].T, own.sum(1, keepdims=True)
+        mine[:, part] = w["v"][k].T @ own
+    back[:, of.places] += mine
     back = back.reshape(d, steps, lanes)
-    carry, inputs = np.zeros((d, lanes), np.float32), np.empty((3 * d, steps, lanes), np.float32)
+    # What each step multiplies the gradient of its state with, for all steps at once.
+    z, r = gates[:, :d], gates[:, d : 2 * d]
+    to_z, to_n, to_r = (starts - news) * z * (1 - z), (1 - z) * (1 - news * news), inners * r * (1 - r)
+    inputs, reset, carry = np.empty((steps, 3 * d, lanes), np.float32), np.empty((3 * d, lanes), np.float32), np.zeros((d, lanes), np.float32)
     for t in reversed(range(steps)):
-        start, gates, inner, n = trace[t]
-        z, r = gates[:d], gates[d:]
         carry += back[:, t]
-        dn = carry * (1 - z) * (1 - n * n)
-        da = inputs[:, t]
-        da[:d] = carry * (start - n) * z * (1 - z)
-        da[d : 2 * d] = dn * inner * r * (1 - r)
-        da[2 * d :] = dn
-        dc = da.copy()
-        dc[2 * d :] *= r
-        g["u"] += dc @ start.T
-        g["b"] += dc[2 * d :].sum(1, keepdims=True)
-        carry = (carry * z + w["u"].T @ dc) * (before[t] != END)
-    seen = before.ravel()
+        inner = inputs[t]
+        np.multiply(carry, to_z[t], out=inner[:d])
+        dn = np.multiply(carry, to_n[t], out=inner[2 * d :])
+        np.multiply(dn, to_r[t], out=inner[d : 2 * d])
+        reset[: 2 * d] = inner[: 2 * d]
+        np.multiply(dn, r[t], out=reset[2 * d :])
+        g["u"] += reset @ starts[t].T
+        carry *= z[t]
+        carry += w["u"].T @ reset
+        carry *= going[t]
+    g["b"] = np.einsum("tdl,tdl->d", inputs[:, 2 * d :], r)[:, None]
+    rows = inputs.transpose(0, 2, 1).reshape(-1, 3 * d)
+    seen = before.ravel().astype(np.uint16)
     order = np.argsort(seen, kind="stable")
     names, firsts = np.unique(seen[order], return_index=True)
     g["e"] = np.zeros_like(w["e"])
-    g["e"][:, names] = np.add.reduceat(inputs.reshape(3 * d, -1)[:, order], firsts, axis=1)
+    g["e"][names] = np.add.reduceat(rows[order], firsts, axis=0)
     return loss, g, h
 
 
