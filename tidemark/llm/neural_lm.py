@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASSES, CLASS_WORDS = 16, 32, 64
+HIDDEN, CLASSES, CLASS_WORDS = 16, 64, 64
 VOCABULARY = CLASSES * CLASS_WORDS
 LANES, STEPS, RATE = 256, 16, 0.01
 END, OTHER = 0, 1
