@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.alignment import align_documents
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.langid import predict_language
@@ -13,10 +14,12 @@ from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.lmscore import score_documents
 from tidemark.llm.media import read_features, store
 from tidemark.llm.mixing import schedule
+from tidemark.llm.neighbours import nearest
 from tidemark.llm.pii import BASE, KINDS, find_pii
 from tidemark.llm.sharding import shard_ids
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tokencount import token_counts
+from tidemark.llm.whitening import whiten
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +132,32 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.uid, q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i])))) AS score FROM v AS q JOIN v ON v.uid <> q.uid WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score, vec_id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_progressive_jpeg": op1_progressive_jpeg,
@@ -141,8 +170,11 @@ def queries() -> dict:
         "op8_lm_scores": op8_lm_scores,
         "op9_language_id": op9_language_id,
         "op10_simhash_near_dup": op10_simhash_near_dup,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_extendible_sharding": OP5_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_extendible_sharding": OP5_SQL, "op13_nearest_neighbours": OP13_SQL}
