@@ -22,6 +22,12 @@ def sides():
     return a, sentencepiece.SentencePieceProcessor(model_file=B), alignment.byte_vocabulary(A), alignment.piece_model(B)[1]
 
 
+@pytest.fixture(scope="module")
+def segmented(sides):
+    data, _, pieces = alignment.piece_model(B)
+    return alignment.Cutter(alignment.safe_breaks(sides[2], pieces)), sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
 def plain(sides, text):
     """ids and groups of a whole text, or None."""
     a_side, b_side, a_bytes, b_bytes = sides
@@ -62,10 +68,10 @@ def test_breaks(sides):
 
 @settings(max_examples=600, deadline=None)
 @given(st.text(alphabet=ALPHABET, min_size=1, max_size=40))
-def test_segments_make_the_whole(sides, text):
+def test_segments_make_the_whole(sides, segmented, text):
     a_side, b_side = sides[:2]
-    own = sentencepiece.SentencePieceProcessor(model_proto=alignment.piece_model(B)[0])
-    parts = alignment.Cutter(alignment.safe_breaks(sides[2], alignment.piece_model(B)[2]))(" " + text)
+    cutter, own = segmented
+    parts = cutter(" " + text)
     assert "".join(parts) == " " + text
     assert [x for s in parts for x in a_side.encode(s, add_special_tokens=False).ids] == a_side.encode(" " + text, add_special_tokens=False).ids
     assert [x for s in parts for x in own.encode(s)] == b_side.encode(text)

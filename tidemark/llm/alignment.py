@@ -4,8 +4,9 @@ Both tokenizers read a space and the text. It is cut before runs of white space,
 from both vocabularies that no token can reach over the cut; so a document's tokens are those of its segments, one
 after the other. Each distinct segment of the corpus is tokenised and aligned once:
 
-1. Tasks cut texts into segments and number them within blocks (BLOCK_BYTES of text or BLOCK_SEGMENTS distinct
-   segments; a longer text is a block of its own). A block has each of its segments once.
+1. Tasks cut texts into segments and number them within blocks (BLOCK_BYTES of text; a longer text is a block of its
+   own). A block has each of its segments once. Documents are bucketed by block and segments by themselves, so that
+   neither is shuffled again.
 2. Distinct segments are tokenised and aligned.
 3. The alignments are joined back to the blocks by segment; with them a block counts in how many of its documents
    each pair of ids is linked, and the counts are summed.
@@ -16,29 +17,36 @@ No key gathers a corpus: a block's rows are bounded, and a segment has one row a
 
 Defined cases: null and empty texts, and texts that the tokens of either side don't spell (those with U+2581, which
 the piece vocabulary has for a space), have no tokens, zeros and an empty ``groups``; strings of special tokens are
-plain text; repeated rows each count as a document; an empty table gives an empty table; other columns are ignored.
+plain text; repeated rows each count as a document; an empty table gives an empty table; other columns are ignored. The tables
+in the shared folder stay until the application's folder is cleared, since the result reads them.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import unicodedata
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidemark.llm.common import discard, materialize
+from tidemark.llm.common import materialize, work_dir
 from tidemark.llm.tokencount import _byte_letters
 
-BLOCK_BYTES, BLOCK_SEGMENTS = 8 << 20, 1 << 16
+BLOCK_BYTES = 16 << 20
+#: Groups with more links than this are linked by different ids, with how often each occurs.
+MAX_PRODUCT = 4096
 #: White space that a cut may stand before, if both vocabularies allow it.
 WHITE = " \n\t\r\x0b\x0c"
 #: Nothing of these classes is taken for the end of a word, whatever a tokenizer takes for white space.
@@ -70,13 +78,14 @@ def piece_model(path: str) -> tuple[bytes, list[bytes], list[str]]:
     return model.SerializeToString(), data, [p.piece.replace("▁", " ") for p in model.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
 
 
-def _some(characters: set[str] | str) -> str:
+def _some(characters: frozenset[str] | str) -> str:
     return "".join(map(re.escape, sorted(characters)))
 
 
-def odd_characters() -> set[str]:
+@cache
+def odd_characters() -> frozenset[str]:
     """White space in the widest sense, and what a piece vocabulary writes for it: no cut stands behind one of these."""
-    return {"▁"} | {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() or unicodedata.category(c) in _ODD}
+    return frozenset({"▁"}) | {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() or unicodedata.category(c) in _ODD}
 
 
 def safe_breaks(a: list[bytes], b: list[str]) -> str:
@@ -91,38 +100,58 @@ def safe_breaks(a: list[bytes], b: list[str]) -> str:
 
 
 class Cutter:
-    """Cuts a text before runs of white space that begin with one of ``breaks``."""
+    """Cuts a text before runs of white space that begin with one of ``breaks`` and stand behind something else than white space."""
 
     def __init__(self, breaks: str):
-        odd = odd_characters()
+        self.odd = odd_characters() - set(breaks)
         self.plain = re.compile(f"[{_some(breaks)}]*[^{_some(breaks)}]+|[{_some(breaks)}]+") if breaks else None
-        self.other = re.compile(f"[{_some(odd - set(breaks))}]")
-        self.cut = re.compile(f"(?<=[^{_some(odd)}])(?=[{_some(breaks)}])") if breaks else None
 
     def __call__(self, text: str) -> list[str]:
         if self.plain is None:
             return [text]
-        return self.cut.split(text) if self.other.search(text) else self.plain.findall(text)
+        parts = self.plain.findall(text)
+        if self.odd.isdisjoint(text):
+            return parts
+        joined: list[list[str]] = []
+        for part in parts:
+            if joined and joined[-1][-1][-1] in self.odd:
+                joined[-1].append(part)
+            else:
+                joined.append([part])
+        return ["".join(x) for x in joined]
 
 
-def align_ids(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups of ids between the places where tokens of both sides end."""
-    ends_a, ends_b = list(accumulate(a_sizes[x] for x in a)), list(accumulate(b_sizes[x] for x in b))
-    groups, i, j, from_a, from_b = [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        if ends_a[i] == ends_b[j]:
-            groups.append((a[from_a : i + 1], b[from_b : j + 1]))
-            i, j = i + 1, j + 1
-            from_a, from_b = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    return groups
+class _Numbers(dict):
+    """Numbers segments as they come."""
 
+    def __missing__(self, segment: str) -> int:
+        self[segment] = n = len(self)
+        return n
 
-def written(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+
+def _packed(numbers: np.ndarray, segments: int) -> bytes:
+    """Numbers below ``segments`` in two, three (low halves first) or four bytes each."""
+    if segments > 1 << 24:
+        return numbers.tobytes()
+    low = numbers.astype(np.uint16).tobytes()
+    return low if segments <= 1 << 16 else low + (numbers >> 16).astype(np.uint8).tobytes()
+
+
+def _numbers(data: bytes, segments: int) -> np.ndarray:
+    if segments > 1 << 24:
+        return np.frombuffer(data, np.uint32)
+    if segments <= 1 << 16:
+        return np.frombuffer(data, np.uint16)
+    n = len(data) // 3
+    return np.frombuffer(data, np.uint16, n) + (np.frombuffer(data, np.uint8, n, 2 * n).astype(np.uint32) << 16)
+
+
+def _bucketed(df: DataFrame, tag: str, buckets: int, by: str, partition: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed and sorted by a column: what meets another of as many buckets isn't shuffled."""
+    name = f"tidemark_{tag}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, by).sortBy(by).option("path", f"{work_dir(df.sparkSession)}/{name}").option("compression", "zstd")
+    (writer.partitionBy(partition) if partition else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def _blocks(docs: DataFrame, cutter: Cutter, doc_col: str, text_col: str) -> DataFrame:
@@ -130,8 +159,7 @@ def _blocks(docs: DataFrame, cutter: Cutter, doc_col: str, text_col: str) -> Dat
     kind = docs.schema[doc_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number = TaskContext.get().partitionId() << 32, 0
-        index: dict[str, int] = {}
+        base, number, index = TaskContext.get().partitionId() << 32, 0, _Numbers()
         ids, data, held, doc_type = [], [], 0, None
 
         def flush() -> pa.RecordBatch:
@@ -139,7 +167,7 @@ def _blocks(docs: DataFrame, cutter: Cutter, doc_col: str, text_col: str) -> Dat
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(["doc"] * n + ["seg"] * m), pa.array([base + number] * (n + m), pa.int64()), pa.array([None] * n + list(range(m)), pa.int64()),
-                    pa.array(ids + [None] * m, doc_type), pa.array(data + [None] * m, pa.binary()), pa.array([None] * n + list(index), pa.string()),
+                    pa.array(ids + [None] * m, doc_type), pa.array([_packed(x, m) for x in data] + [None] * m, pa.binary()), pa.array([None] * n + list(index), pa.string()),
                 ],
                 ["kind", "block", "k", "doc", "data", "seg"],
             )
@@ -148,90 +176,113 @@ def _blocks(docs: DataFrame, cutter: Cutter, doc_col: str, text_col: str) -> Dat
             doc_type = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = cutter(f" {text}") if text else []
-                new = [s for s in dict.fromkeys(parts) if s not in index]
-                size = len(text or "")
-                if ids and (held + size > BLOCK_BYTES or len(index) + len(new) > BLOCK_SEGMENTS):
+                if ids and held + len(text or "") > BLOCK_BYTES:
                     yield flush()
-                    index, ids, data, held, number = {}, [], [], 0, number + 1
-                    new = list(dict.fromkeys(parts))
-                for s in new:
-                    index[s] = len(index)
-                # Two bytes a number, four in a block that one text fills.
+                    index, ids, data, held, number = _Numbers(), [], [], 0, number + 1
                 ids.append(doc)
-                data.append(np.fromiter(map(index.__getitem__, parts), np.uint16 if len(index) <= BLOCK_SEGMENTS else np.uint32, len(parts)).tobytes())
-                held += size
+                data.append(np.fromiter(map(index.__getitem__, parts), np.uint32, len(parts)))
+                held += len(text or "")
         if ids:
             yield flush()
 
     return docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"kind string, block long, k long, doc {kind}, data binary, seg string")
 
 
-def _numbers(data: bytes, segments: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if segments <= BLOCK_SEGMENTS else np.uint32)
+class Aligner:
+    """Aligns batches of segments. A pair of ids is the number a * (size of the second vocabulary) + b."""
+
+    def __init__(self, a_spec: str, a_bytes: list[bytes], b_model: bytes, b_bytes: list[bytes]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.a, self.b = Tokenizer.from_str(a_spec), sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        self.a.encode_special_tokens = True
+        self.bytes = (a_bytes, b_bytes)
+        self.sizes = tuple(np.array([len(x) for x in side]) for side in self.bytes)
+        self.digits = tuple(np.array([len(str(k)) for k in range(len(side))]) for side in self.bytes)
+        self.names = {(side, end): np.array([f"{k}{end}" for k in range(len(self.bytes[side]))], object) for side, ends in ((0, ",|"), (1, (",", ";", ""))) for end in ends}
+
+    def _ids(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each segment has."""
+        n = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())), n
+
+    def _spelt(self, side: int, ids: np.ndarray, n: np.ndarray, data: list[bytes]) -> np.ndarray:
+        """Which segments the ids spell."""
+        sizes, of = self.sizes[side][ids], np.repeat(np.arange(len(n)), n)
+        ok = np.bincount(of, sizes, len(n)) == np.array([len(x) for x in data])
+        ok &= np.bincount(of, sizes == 0, len(n)) == 0
+        found = list(map(self.bytes[side].__getitem__, ids.tolist()))
+        if ok.all() and b"".join(found) == b"".join(data):
+            return ok
+        ends = np.cumsum(n)
+        return ok & np.array([b"".join(found[e - k : e]) == x for e, k, x in zip(ends.tolist(), n.tolist(), data, strict=True)], bool)
+
+    def __call__(self, texts: list[str]) -> dict[str, pa.Array]:
+        total = len(texts)
+        (a, n_a), (b, n_b) = self._ids([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]), self._ids(self.b.encode(texts, num_threads=1))
+        data = [x.encode() for x in texts]
+        ok = self._spelt(0, a, n_a, data) & self._spelt(1, b, n_b, data)
+        a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
+        n_a, n_b = n_a * ok, n_b * ok
+        of_a, of_b = np.repeat(np.arange(total), n_a), np.repeat(np.arange(total), n_b)
+        # Both sides spell the same bytes, so a place where both end is a cut, and each segment's end is one.
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        cut_a, cut_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        group_a, group_b, of = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b, of_a[cut_a]
+        size_a, size_b = np.bincount(group_a, minlength=len(of)), np.bincount(group_b, minlength=len(of))
+        out = {"ok": pa.array(ok), "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(np.bincount(of, minlength=total))}
+        out["n_links"] = pa.array(np.bincount(of, size_a * size_b, total).astype(np.int64))
+        out |= {"groups": self._written(total, a, b, of_a, of_b, cut_a, cut_b, group_a, group_b, np.cumsum(n_b)[ok] - 1)}
+        return out | self._pairs(total, a, b, of, size_a, size_b)
+
+    def _written(self, total, a, b, of_a, of_b, cut_a, cut_b, group_a, group_b, last_b) -> pa.Array:
+        last = np.zeros(len(b), bool)
+        last[last_b] = True
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        of_side = [np.where(cut_a, self.names[0, "|"][a], self.names[0, ","][a]), np.where(last, self.names[1, ""][b], np.where(cut_b, self.names[1, ";"][b], self.names[1, ","][b]))]
+        whole = "".join(np.concatenate(of_side)[order].tolist()).encode()
+        sizes = np.bincount(of_a, self.digits[0][a] + 1, total) + np.bincount(of_b, self.digits[1][b] + ~last, total)
+        return pa.StringArray.from_buffers(total, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(whole))
+
+    def _pairs(self, total, a, b, of, size_a, size_b) -> dict[str, pa.Array]:
+        product, from_a, from_b, width = size_a * size_b, np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b, len(self.bytes[1])
+        small = np.flatnonzero(product <= MAX_PRODUCT)
+        group = np.repeat(small, product[small])
+        place = np.arange(len(group)) - np.repeat(np.cumsum(product[small]) - product[small], product[small])
+        codes = [a[from_a[group] + place // size_b[group]] * width + b[from_b[group] + place % size_b[group]]]
+        owners, times = [of[group]], [np.ones(len(group), np.int64)]
+        for g in np.flatnonzero(product > MAX_PRODUCT):  # of long groups each pair of different ids once
+            (x, n), (y, m) = (np.unique(ids[at : at + size], return_counts=True) for ids, at, size in ((a, from_a[g], size_a[g]), (b, from_b[g], size_b[g])))
+            codes.append((x[:, None] * width + y).ravel())
+            times.append((n[:, None] * m).ravel())
+            owners.append(np.full(len(codes[-1]), of[g]))
+        code, owner, time = map(np.concatenate, (codes, owners, times))
+        order = np.lexsort((code, owner))
+        code, owner, time = code[order], owner[order], time[order]
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]) if len(code) else np.zeros(0, np.int64)
+        time = np.add.reduceat(time, first) if len(first) else time
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(owner[first], minlength=total))].astype(np.int32))
+        return {"pairs": pa.ListArray.from_arrays(offsets, pa.array(code[first])), "times": pa.ListArray.from_arrays(offsets, pa.array(time))}
+
+
+_ALIGNER: dict[str, Aligner] = {}
 
 
 def align_segments(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Each row of ``segments`` (seg) with sid, ok (both sides spell it), counts, groups, and its linked pairs of ids (a * 2^32 + b) with how often each is linked."""
-    a_bytes, (b_model, b_bytes, _) = byte_vocabulary(a_path), piece_model(b_path)
+    """Each row of ``segments`` (seg) with ok (both sides spell it), counts, groups, and its linked pairs of ids with how often each is linked."""
+    a_bytes, (b_model, b_bytes, _), key = byte_vocabulary(a_path), piece_model(b_path), uuid.uuid4().hex
     with open(a_path, encoding="utf-8") as f:
         a_spec = f.read()
     shared = segments.sparkSession.sparkContext.broadcast((a_spec, a_bytes, b_model, b_bytes))  # two vocabularies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        a_spec, a_bytes, b_model, b_bytes = shared.value
-        a_side, b_side = Tokenizer.from_str(a_spec), sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        a_side.encode_special_tokens = True
-        a_sizes, b_sizes = [len(x) for x in a_bytes], [len(x) for x in b_bytes]
-        sid = TaskContext.get().partitionId() << 40
+        if key not in _ALIGNER:  # lives as long as the Python worker
+            _ALIGNER.clear()
+            _ALIGNER[key] = Aligner(*shared.value)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found_a = [x.ids for x in a_side.encode_batch_fast(texts, add_special_tokens=False)]
-            found_b = b_side.encode(texts, num_threads=1)
-            ok, sizes, groups, pairs, times, ends = [], [], [], [], [], [0]
-            for text, a, b in zip(texts, found_a, found_b, strict=True):
-                spelt = text.encode()
-                ok.append(b"".join([a_bytes[x] for x in a]) == spelt and b"".join([b_bytes[x] for x in b]) == spelt)
-                if not ok[-1]:
-                    sizes.append((0, 0, 0, 0))
-                    groups.append("")
-                elif len(a) == 1 or len(b) == 1:
-                    made = [(a, b)]
-                    sizes.append((len(a), len(b), 1, len(a) * len(b)))
-                    groups.append(written(made))
-                    linked = Counter((x << 32) + y for x in a for y in b)
-                    pairs += linked
-                    times += linked.values()
-                else:
-                    made = align_ids(a, b, a_sizes, b_sizes)
-                    sizes.append((len(a), len(b), len(made), sum(len(x) * len(y) for x, y in made)))
-                    groups.append(written(made))
-                    linked = Counter()
-                    for x, y in made:
-                        y_times = Counter(y).items()
-                        for one, n in Counter(x).items():
-                            for other, m in y_times:
-                                linked[(one << 32) + other] += n * m
-                    pairs += linked
-                    times += linked.values()
-                ends.append(len(pairs))
-            counts = np.array(sizes, np.int64).reshape(-1, 4).T
-            offsets = pa.array(ends, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(sid + np.arange(len(texts))), batch.column(0), pa.array(ok, pa.bool_()), *map(pa.array, counts), pa.array(groups, pa.string()),
-                    pa.ListArray.from_arrays(offsets, pa.array(pairs, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
-                ],
-                ["sid", "seg", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"],
-            )
-            sid += len(texts)
+            found = _ALIGNER[key](batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found.values()], ["seg", *found])
 
-    return segments.select("seg").mapInArrow(run, "sid long, seg string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>")
+    return segments.select("seg").mapInArrow(run, "seg string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>")
 
 
 def _count_pairs(docs: pa.Table, segments: pa.Table) -> pa.Table:
@@ -274,25 +325,26 @@ def _compose(docs: pa.Table, segments: pa.Table) -> pa.Table:
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups: a row per row. ``a_path``: a byte-level file of the tokenizers library; ``b_path``: a piece vocabulary of sentencepiece."""
-    cutter = Cutter(safe_breaks(byte_vocabulary(a_path), piece_model(b_path)[2]))
-    blocks = materialize(_blocks(docs, cutter, doc_col, text_col), "align-blocks", "kind")
+    cutter, buckets = Cutter(safe_breaks(byte_vocabulary(a_path), piece_model(b_path)[2])), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = len(piece_model(b_path)[1])
+    blocks = _bucketed(_blocks(docs, cutter, doc_col, text_col), "blocks", buckets, "block", "kind")
     texts = blocks.where("kind = 'doc'").select("block", "doc", "data")
-    parts = blocks.where("kind = 'seg'").select(F.col("block").alias("of"), "k", "seg")
-    segments = materialize(align_segments(parts.select("seg").distinct(), a_path, b_path), "align-segments")
+    parts = blocks.where("kind = 'seg'").select(F.col("block").alias("of"), "k", "seg").repartition(buckets, "seg")
+    parts = _bucketed(parts, "parts", buckets, "seg")
+    # Its tasks have a bucket each and keep the column, so nothing is shuffled.
+    segments = _bucketed(align_segments(parts.select("seg").distinct(), a_path, b_path), "segments", buckets, "seg")
 
     own = parts.join(segments.select("seg", "ok", "pairs"), "seg").select("of", "k", "ok", "pairs")
     counted = texts.select("block", "data").groupBy("block").cogroup(own.groupBy("of")).applyInArrow(_count_pairs, "pair long, n long")
     counts = materialize(counted.groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
-    best = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))  # an id of the first vocabulary a row
-    known = counts.join(F.broadcast(best), F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-
-    links = segments.select("sid", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("sid", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    # A pair of a segment that only uncounted texts have (their tokens don't spell them) has no count.
-    sums = links.join(known, "pair").groupBy("sid").agg(F.sum(F.col("times") * F.col("n")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
-    scored = segments.drop("pairs", "times").join(sums, "sid", "left").drop("sid").na.fill(0, ["count_sum", "n_best"])
-    scored = materialize(scored, "align-scored")
-    discard(segments)
-    discard(counts)
+    a_id = F.floor(F.col("pair") / width).cast("long")
+    best = counts.groupBy(a_id.alias("a")).agg(F.max("n").alias("most"))  # an id of the first vocabulary a row
+    known = counts.join(F.broadcast(best), a_id == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
+
+    links = segments.select("seg", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("seg", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    # A pair that only texts without tokens have is in no count; those texts have zeros anyway.
+    sums = links.join(known, "pair").groupBy("seg").agg(F.sum(F.col("times") * F.col("n")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
+    scored = segments.drop("pairs", "times").join(sums, "seg", "left").na.fill(0, ["count_sum", "n_best"])
     found = texts.groupBy("block").cogroup(parts.join(scored, "seg").drop("seg").groupBy("of")).applyInArrow(
         _compose, f"doc {texts.schema['doc'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     )
