@@ -1,29 +1,31 @@
-"""Trailing features of snapshot rows, all from one join with the prices and one aggregate."""
+"""Trailing features of snapshot rows, from the states of contract days."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import EPSILON, clip, logit, month, plus_seconds
-from tidemark.operators.snapshots import HORIZONS, KEYS, Horizon, candidates, matched_stats, panel_of
+from tidemark.functions.expr import EPSILON, clip, logit, month
+from tidemark.operators.asof import HISTORY, KEYS, deviation, window_states
+from tidemark.operators.snapshots import HORIZONS, Horizon, candidates, panel_of, snapshot_stats
 
 DAY = 86400
 
 
-def trailing_sums(momentum: int = DAY, volatility: int = DAY, liquidity: int = 7 * DAY) -> list[Column]:
-    """Aggregates over a row's prices up to its forecast. Windows are closed at both ends."""
+def _windows(*seconds: int) -> dict[str, int]:
+    return {f"last_{s}": s for s in seconds}
 
-    def within(window: int) -> Column:
-        return F.col("source_ts") >= plus_seconds(F.col("forecast_ts"), -window)
 
-    order, inside = F.struct("source_ts", "trade_id"), within(momentum)
+def trailing_sums(momentum: int = DAY, volatility: int = DAY, liquidity: int = 7 * DAY) -> list[Column]:
+    """Columns of :func:`window_states` over the three windows and the history."""
+    of_m, of_v, of_l, all_ = (F.col(x) for x in (*(f"last_{s}" for s in (momentum, volatility, liquidity)), HISTORY))
+    count = lambda x: F.coalesce(x["n"], F.lit(0))
+    ts = lambda x: x["last"]["source_ts"]
     return [
-        F.count(F.lit(1)).alias("cumulative_count"), F.sum("volume").alias("cumulative_volume"), F.max("source_ts").alias("cumulative_ts"),
-        F.count(F.when(inside, 1)).alias("momentum_count"), F.max(F.when(inside, F.col("source_ts"))).alias("momentum_ts"),
-        F.max_by(F.col("price"), F.when(inside, order)).alias("last_price"), F.min_by(F.col("price"), F.when(inside, order)).alias("first_price"),
-        F.count(F.when(within(volatility), 1)).alias("volatility_count"), F.stddev_samp(F.when(within(volatility), F.col("price"))).alias("deviation"),
-        F.count(F.when(within(liquidity), 1)).alias("liquidity_count"), F.sum(F.when(within(liquidity), F.col("volume"))).alias("liquidity_volume"), F.max(F.when(within(liquidity), F.col("source_ts"))).alias("liquidity_ts"),
+        count(all_).alias("cumulative_count"), all_["volume"].alias("cumulative_volume"), ts(all_).alias("cumulative_ts"),
+        count(of_m).alias("momentum_count"), ts(of_m).alias("momentum_ts"), of_m["last"]["price"].alias("last_price"), of_m["first"]["price"].alias("first_price"),
+        count(of_v).alias("volatility_count"), deviation(f"last_{volatility}").alias("deviation"),
+        count(of_l).alias("liquidity_count"), of_l["volume"].alias("liquidity_volume"), ts(of_l).alias("liquidity_ts"),
     ]
 
 
@@ -32,15 +34,14 @@ SUMS = ["cumulative_count", "cumulative_volume", "cumulative_ts", "momentum_coun
 
 def feature_panel(panel: DataFrame, prices: DataFrame, contracts: DataFrame, momentum: int = DAY, volatility: int = DAY, liquidity: int = 7 * DAY, epsilon: float = EPSILON) -> DataFrame:
     """A given ``panel`` (contract_id, horizon, forecast_ts, snapshot_price, price_timestamp, ...) with its features; rows without trades stay with zeros. Where the panel is made from the same prices, :func:`snapshots_with_features` reads them once for both."""
-    trades = prices.select("contract_id", "trade_id", "source_ts", "price", "volume")
-    joined = panel.select(*KEYS, "forecast_ts").join(trades, "contract_id").where(F.col("source_ts") <= F.col("forecast_ts"))
-    stats = joined.groupBy(*KEYS).agg(*trailing_sums(momentum, volatility, liquidity))
+    states = window_states(panel, prices, _windows(momentum, volatility, liquidity))
+    stats = states.select(*KEYS, *trailing_sums(momentum, volatility, liquidity))
     return _features(panel.join(stats, KEYS, "left"), contracts, panel.columns, epsilon)
 
 
 def snapshots_with_features(contracts: DataFrame, prices: DataFrame, horizons: tuple[Horizon, ...] = HORIZONS, epsilon: float = EPSILON) -> DataFrame:
-    """The snapshot panel with its features from one join with the prices and one aggregate."""
-    stats = matched_stats(candidates(contracts, horizons), prices, *trailing_sums())
+    """The snapshot panel with its features from the same states."""
+    stats = snapshot_stats(candidates(contracts, horizons), prices, _windows(DAY, 7 * DAY), tuple(trailing_sums()), "inner")
     rows = panel_of(stats, *SUMS)
     return _features(rows, contracts, [c for c in rows.columns if c not in SUMS], epsilon)
 

@@ -1,13 +1,20 @@
 """Clustered inference: statistics per event family in Spark, resampling over the families.
 
 Bootstrap weights are Poisson(1), drawn for each (cluster, replicate) from a hash, so that a replicate is a weighted
-sum over cluster statistics: no cluster meets another in a task, and any engine gets the same replicates.
+sum over cluster statistics: blocks of clusters are multiplied by their weights where they are, only the products meet,
+and any engine gets the same replicates.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,12 +49,15 @@ def uniform(cluster: Column, replicate: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+#: Poisson(1) is at most k up to POISSON_STEPS[k]; weights end at 7.
+POISSON_STEPS = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(7)))
+
+
 def poisson(u: Column) -> Column:
     """Poisson(1) by inversion, up to 7."""
-    out, total = F.lit(0), 0.0
-    for k in range(7):
-        total += math.exp(-1) / math.factorial(k)
-        out = out + F.when(u >= total, 1).otherwise(0)
+    out = F.lit(0)
+    for step in POISSON_STEPS:
+        out = out + F.when(u >= step, 1).otherwise(0)
     return out
 
 
@@ -60,23 +70,102 @@ def draws(clusters: DataFrame, replicates: int = REPLICATES) -> DataFrame:
     return each.select("cluster", "replicate", poisson(uniform(F.col("cluster"), F.col("replicate"))).cast("int").alias("w"))
 
 
-def _weighted(stats: DataFrame, replicates: int) -> DataFrame:
-    """stats by replicate with w. A cluster's weights are one array that its rows of statistics share; clusters drawn with weight 0 leave before they are summed."""
-    arrays = draws(stats, replicates).groupBy("cluster").agg(F.collect_list(F.when(F.col("w") > 0, F.struct("replicate", "w"))).alias("__d"))
-    return stats.join(arrays, "cluster").withColumn("__x", F.explode("__d")).drop("__d").withColumns({"replicate": F.col("__x.replicate"), "w": F.col("__x.w")}).drop("__x")
-
-
-def _every_replicate(stats: DataFrame, found: DataFrame, replicates: int) -> DataFrame:
-    """found, with rows for the replicates of a group that drew none of its clusters."""
-    every = stats.select(*GROUP).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return every.join(found, [*GROUP, "replicate"], "left")
+#: Replicates of a slab, which bounds what a task holds; clusters whose weights are drawn at a time; and partial sums that are added in one task.
+SLAB, CHUNK, FAN_IN = 256, 256, 64
+
+
+def _weights(clusters: list[str | None], first: int, last: int) -> np.ndarray:
+    """The weights of :func:`draws` for some clusters (rows) in the replicates from ``first`` up to, not with, ``last``."""
+    numbers = [str(r).encode() for r in range(first, last)]
+    data = []
+    for cluster in clusters:
+        start = hashlib.md5(b"" if cluster is None else cluster.encode() + b"|")
+        for number in numbers:
+            h = start.copy()
+            h.update(number)
+            data.append(h.digest())
+    u = np.frombuffer(b"".join(data), ">u4")[::4] / 4294967296.0
+    return np.searchsorted(POISSON_STEPS, u, side="right").reshape(len(clusters), len(numbers)).astype(np.float64)
+
+
+def _multiply(keys: int, replicates: int):
+    """Sorted rows (slab, cluster, keys, values) to partial sums by replicate: (keys, slab, part, sums), once for each slab and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slab, sums, last, part = None, {}, (None, None), TaskContext.get().partitionId()
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if sums:
+                held = zip(*sums, strict=True)
+                columns = [pa.array(c, batch.schema.field(2 + k).type) for k, c in enumerate(held)]
+                n = len(sums)
+                arrays = pa.array([x.ravel() for x in sums.values()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([slab] * n, pa.int32()), pa.array([part] * n, pa.int32()), arrays], [*batch.schema.names[2 : 2 + keys], "slab", "part", "sums"])
+                sums.clear()
+
+        batch = None
+        for batch in batches:
+            slabs, clusters = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            names = list(zip(*[batch.column(2 + k).to_pylist() for k in range(keys)], strict=True))
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2 + keys :]])
+            news = np.flatnonzero([k == 0 or slabs[k] != slabs[k - 1] or clusters[k] != clusters[k - 1] for k in range(len(clusters))])
+            ends = np.r_[news[1:], len(clusters)]
+            at = 0
+            while at < len(news):
+                stop = at
+                while stop < len(news) and stop - at < CHUNK and slabs[news[stop]] == slabs[news[at]]:
+                    stop += 1
+                if slabs[news[at]] != slab:
+                    yield from result()
+                    slab = int(slabs[news[at]])
+                first, some = slab * SLAB, [clusters[k] for k in news[at:stop]]
+                # The first cluster's rows may have begun in the batch before.
+                drawn = last[1] if last[0] == (slab, some) else _weights(some, first, min(first + SLAB, replicates))
+                last = ((slab, some[-1:]), drawn[-1:])
+                rows = slice(news[at], ends[stop - 1])
+                owner = np.repeat(np.arange(stop - at), ends[at:stop] - news[at:stop])
+                by_name: dict[tuple, list[int]] = {}
+                for k, name in enumerate(names[rows]):
+                    by_name.setdefault(name, []).append(k)
+                for name, mine in by_name.items():
+                    product = values[:, rows][:, mine] @ drawn[owner[mine]]
+                    sums[name] = sums[name] + product if name in sums else product
+                at = stop
+        if batch is not None:
+            yield from result()
+
+    return run
+
+
+def replicate_sums(stats: DataFrame, keys: list[str], values: list[str], replicates: int = REPLICATES) -> DataFrame:
+    """keys, replicate, values: the sums of each replicate, weighted by :func:`draws`; every replicate of every key.
+
+    Tasks multiply blocks of clusters by their weights, which they draw in place, and hand on one partial matrix for each key and slab of replicates; these are added in a tree. Rows of statistics and partial matrices are all that is shuffled. stats: with a column cluster.
+    """
+    slabs = -(-replicates // SLAB)
+    rows = stats.select(F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), F.col("cluster").cast("string").alias("cluster"), *keys, *[F.col(v).cast("double").alias(v) for v in values])
+    rows = rows.repartition("slab", "cluster").sortWithinPartitions("slab", "cluster")
+    typed = ", ".join(f"{k} {stats.schema[k].dataType.simpleString()}" for k in keys)
+    parts, width = rows.mapInArrow(_multiply(len(keys), replicates), f"{typed}, slab int, part int, sums array<double>"), rows.rdd.getNumPartitions()
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = np.sum([np.asarray(x) for x in table.sort_by("part").column("sums").to_pylist()], axis=0)
+        one = table.slice(0, 1).drop_columns(["sums", "__at"])
+        return one.set_column(one.schema.get_field_index("part"), "part", pa.array([key[-1].as_py()], pa.int32())).append_column("sums", pa.array([total], pa.list_(pa.float64())))
+
+    while width > 1:
+        parts = parts.withColumn("__at", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy(*keys, "slab", "__at").applyInArrow(add, f"{typed}, slab int, part int, sums array<double>")
+        width = -(-width // FAN_IN)
+    # A matrix has the values one after the other, each over the slab's replicates.
+    size = F.least(F.lit(SLAB), F.lit(replicates) - F.col("slab") * SLAB)
+    each = parts.select(*keys, "slab", "sums", size.alias("size")).select(*keys, "slab", "sums", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
+    return each.select(*keys, (F.col("slab") * SLAB + F.col("at")).alias("replicate"), *[F.get("sums", F.col("size") * k + F.col("at")).alias(v) for k, v in enumerate(values)])
 
 
 def bootstrap_means(stats: DataFrame, replicates: int = REPLICATES, metrics: tuple[str, ...] = ("brier", "log_loss")) -> DataFrame:
-    """Per group and replicate the weighted ratio of each metric; null where a replicate drew no cluster of the group. A partial sum per task and replicate is all that is shuffled."""
-    n = F.sum(F.col("w") * F.col("n"))
-    found = _weighted(stats, replicates).groupBy(*GROUP, "replicate").agg(*[(F.sum(F.col("w") * F.col(m)) / n).alias(m) for m in metrics])
-    return _every_replicate(stats, found, replicates)
+    """Per group and replicate the weighted ratio of each metric; null where a replicate drew no cluster of the group."""
+    found = replicate_sums(stats, GROUP, ["n", *metrics], replicates)
+    return found.select(*GROUP, "replicate", *[(F.col(m) / F.nullif(F.col("n"), F.lit(0.0))).alias(m) for m in metrics])
 
 
 def intervals(means: DataFrame, stats: DataFrame, level: float = 0.95, min_rows: int = 30, min_clusters: int = 5, metrics: tuple[str, ...] = ("brier", "log_loss")) -> DataFrame:
@@ -124,11 +213,9 @@ def paired_diagnostics(paired: DataFrame) -> DataFrame:
 
 
 def bootstrap_ece(cells: DataFrame, replicates: int = REPLICATES) -> DataFrame:
-    """Per group and replicate the calibration error of the weighted clusters, from cluster x bin sums."""
-    drawn = _weighted(cells, replicates)
-    by_bin = drawn.groupBy(*GROUP, "replicate", "bin").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.abs(F.sum(F.col("w") * F.col("sp")) - F.sum(F.col("w") * F.col("sy"))).alias("gap"))
-    found = by_bin.groupBy(*GROUP, "replicate").agg((F.sum("gap") / F.sum("n")).alias("ece"))
-    return _every_replicate(cells, found, replicates)
+    """Per group and replicate the calibration error of the weighted clusters, from cluster x bin sums: these are contracted over the clusters for each bin and replicate before the absolute value."""
+    by_bin = replicate_sums(cells, [*GROUP, "bin"], ["n", "sp", "sy"], replicates)
+    return by_bin.groupBy(*GROUP, "replicate").agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.nullif(F.sum("n"), F.lit(0.0))).alias("ece"))
 
 
 def paired_ece(cells: DataFrame, replicates: int = REPLICATES, baseline: str = "raw") -> DataFrame:
@@ -154,9 +241,8 @@ def calibration_replicates(scores: DataFrame, fits: DataFrame, replicates: int =
     """Per group and replicate intercept and slope by influence functions: the fit moved by the inverse information times the weighted scores. Groups whose information is singular have none."""
     info = scores.groupBy(*GROUP).agg(F.sum("h00").alias("h00"), F.sum("h01").alias("h01"), F.sum("h11").alias("h11"), F.sum("s0").alias("t0"), F.sum("s1").alias("t1"))
     info = info.withColumn("det", F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")).where(F.abs("det") > 1e-12).join(fits.select(*GROUP, "intercept", "slope"), GROUP)
-    moved = _weighted(scores.select(*GROUP, "cluster", "s0", "s1"), replicates).groupBy(*GROUP, "replicate").agg(F.sum(F.col("w") * F.col("s0")).alias("w0"), F.sum(F.col("w") * F.col("s1")).alias("w1"))
-    rows = _every_replicate(scores, moved, replicates).join(info, GROUP)
-    d0, d1 = F.coalesce("w0", F.lit(0.0)) - F.col("t0"), F.coalesce("w1", F.lit(0.0)) - F.col("t1")
+    rows = replicate_sums(scores, GROUP, ["s0", "s1"], replicates).join(info, GROUP)
+    d0, d1 = F.col("s0") - F.col("t0"), F.col("s1") - F.col("t1")
     return rows.select(
         *GROUP, "replicate", (F.col("intercept") + (F.col("h11") * d0 - F.col("h01") * d1) / F.col("det")).alias("calibration_intercept"), (F.col("slope") + (F.col("h00") * d1 - F.col("h01") * d0) / F.col("det")).alias("calibration_slope")
     )

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.expr import brier, elapsed_seconds, plus_seconds, seconds_between
+from tidemark.functions.expr import brier, elapsed_seconds, seconds_between
+from tidemark.operators.asof import HISTORY, window_states
 
 
 def staleness_table(panel: DataFrame, column: str = "staleness_seconds", by: str = "horizon_name", limits: tuple[int, ...] = (300, 1800, 3600)) -> DataFrame:
@@ -47,11 +48,10 @@ def stale_flags(panel: DataFrame, limit: int = 3000) -> DataFrame:
 
 
 def strict_variants(candidates: DataFrame, prices: DataFrame, stale: tuple[int, ...] = (600, 3600, 21600, 86400, 259200), windows: tuple[int, ...] = (3600, 21600, 86400, 172800)) -> DataFrame:
-    """Per horizon, staleness limit and method (last_trade, or a window average): rows and mean Brier score of the snapshots that fit. One join with the prices and one aggregate for all variants."""
-    joined = candidates.join(prices.select("contract_id", "trade_id", "source_ts", "price", "volume"), "contract_id").where(F.col("source_ts") <= F.col("forecast_ts"))
-    inside = lambda w: F.col("source_ts") >= plus_seconds(F.col("forecast_ts"), -w)
-    sums = [x for w in windows for x in (F.sum(F.when(inside(w), F.col("price") * F.col("volume"))).alias(f"m{w}"), F.sum(F.when(inside(w), F.col("volume"))).alias(f"v{w}"))]
-    rows = joined.groupBy("contract_id", "horizon").agg(F.first("outcome").alias("outcome"), F.first("forecast_ts").alias("forecast_ts"), F.max_by(F.struct("source_ts", "price"), F.struct("source_ts", "trade_id")).alias("last"), *sums)
+    """Per horizon, staleness limit and method (last_trade, or a window average): rows and mean Brier score of the snapshots that fit. All variants come from the same states of contract days."""
+    states = window_states(candidates, prices, {f"w{w}": w for w in windows})
+    sums = [x for w in windows for x in (F.col(f"w{w}.money").alias(f"m{w}"), F.col(f"w{w}.volume").alias(f"v{w}"))]
+    rows = candidates.select("contract_id", "horizon", "outcome", "forecast_ts").join(states.select("contract_id", "horizon", F.col(HISTORY)["last"].alias("last"), *sums), ["contract_id", "horizon"])
     age = seconds_between(F.col("last.source_ts"), F.col("forecast_ts"))
     options = [F.struct(F.lit("last_trade").alias("method"), F.col("last.price").alias("p"))] + [F.struct(F.lit(f"vwap_{w}").alias("method"), (F.col(f"m{w}") / F.nullif(F.col(f"v{w}"), F.lit(0))).alias("p")) for w in windows]
     grid = rows.select("horizon", "outcome", age.alias("age"), F.explode(F.array(*options)).alias("o")).select("horizon", "outcome", "age", "o.*").withColumn("max_stale", F.explode(F.array(*map(F.lit, stale))))

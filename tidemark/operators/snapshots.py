@@ -1,8 +1,8 @@
-"""Point-in-time snapshots: one join and one aggregate for all as-of and window work.
+"""Point-in-time snapshots of candidates (contract by horizon).
 
-Candidates (contract by horizon) meet a contract's prices once, on the contract and with ``source_ts <= forecast_ts``;
-the last trade, the window averages and all counts are conditional aggregates over that join. Nothing is broadcast but
-the horizon list.
+The last trade, the window averages and all counts come from the states of contract days that
+:mod:`tidemark.operators.asof` merges; no candidate meets its contract's history. Nothing is broadcast but the horizon
+list.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import outcome_number, parse_duration, plus_seconds, seconds_between
+from tidemark.operators.asof import HISTORY, KEYS, window_states
 
 
 @dataclass(frozen=True)
@@ -48,40 +49,25 @@ def candidates(contracts: DataFrame, horizons: tuple[Horizon, ...] = HORIZONS) -
     return every.withColumn("forecast_ts", plus_seconds(F.col("resolution_ts"), -F.col("horizon_seconds")))
 
 
-KEYS = ["contract_id", "horizon"]
-
-
-def meet_prices(every: DataFrame, prices: DataFrame) -> DataFrame:
-    """Candidates with their contract's prices up to the forecast: the one join of all point-in-time work."""
-    return every.join(prices.select("contract_id", "trade_id", "source_ts", "price", "cents", "volume"), "contract_id").where(F.col("source_ts") <= F.col("forecast_ts"))
+#: The averaging window of a candidate's policy.
+VWAP = "vwap"
 
 
 def window_sums() -> list[Column]:
-    """Aggregates of :func:`meet_prices`: last (the last trade up to the forecast, ties to the largest trade_id) and the sums of the averaging window."""
-    inside = F.col("source_ts") >= plus_seconds(F.col("forecast_ts"), -F.col("vwap_window"))
-    return [
-        F.max_by(F.struct("source_ts", "price", "cents", "volume"), F.struct("source_ts", "trade_id")).alias("last"),
-        F.sum(F.when(inside, F.col("price") * F.col("volume"))).alias("vwap_money"),
-        F.sum(F.when(inside, F.col("volume"))).alias("vwap_volume"),
-        F.nullif(F.count(F.when(inside, 1)), F.lit(0)).alias("vwap_trade_count"),
-        F.max(F.when(inside, F.col("source_ts"))).alias("vwap_ts"),
-    ]
-
-
-def snapshot_stats(every: DataFrame, prices: DataFrame) -> DataFrame:
-    """Candidates with last (struct source_ts, price, cents, volume) and the window's sums. Candidates without a price stay, for which the sums are joined to them."""
-    return every.join(meet_prices(every, prices).groupBy(*KEYS).agg(*window_sums()), KEYS, "left")
+    """Columns of :func:`window_states`: last (the last trade up to the forecast, ties to the largest trade_id) and the sums of the averaging window."""
+    of = F.col(VWAP)
+    return [F.col(HISTORY)["last"].alias("last"), of["money"].alias("vwap_money"), of["volume"].alias("vwap_volume"), of["n"].alias("vwap_trade_count"), of["last"]["source_ts"].alias("vwap_ts")]
 
 
-def matched_stats(every: DataFrame, prices: DataFrame, *more: Column) -> DataFrame:
-    """Candidates that have a price, with their sums and ``more`` aggregates: the candidate's columns pass through the aggregate, so nothing is joined again."""
-    same = [F.first(c).alias(c) for c in every.columns if c not in KEYS]
-    return meet_prices(every, prices).groupBy(*KEYS).agg(*same, *window_sums(), *more)
+def snapshot_stats(every: DataFrame, prices: DataFrame, windows: dict[str, int] | None = None, more: tuple[Column, ...] = (), how: str = "left") -> DataFrame:
+    """Candidates with last (struct source_ts, trade_id, price, cents, volume) and the averaging window's sums, and ``more`` columns over further ``windows``. Candidates without a price stay, unless ``how`` is inner."""
+    states = window_states(every, prices, {VWAP: F.col("vwap_window"), **(windows or {})})
+    return every.join(states.select(*KEYS, *window_sums(), *more), KEYS, how)
 
 
 def snapshot_panel(contracts: DataFrame, prices: DataFrame, horizons: tuple[Horizon, ...] = HORIZONS) -> DataFrame:
     """One row per candidate whose last trade is no older than its horizon allows; the price is the window average where preferred and there, else the last trade."""
-    return panel_of(matched_stats(candidates(contracts, horizons), prices))
+    return panel_of(snapshot_stats(candidates(contracts, horizons), prices, how="inner"))
 
 
 def panel_of(stats: DataFrame, *more: str) -> DataFrame:
