@@ -124,6 +124,42 @@ def test_without_training_documents(make):
     assert lmscore.score_documents(make([])).count() == 0
 
 
-def test_lm_beats_the_frequencies_on_held_out_documents(spark):
-    got = [r for r in lmscore.score_documents(table(spark, "/root/testdata/sf0.01", "documents")).collect() if r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+def test_lm_beats_the_frequencies_on_any_partitions(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    monkeypatch.setattr(lmscore, "ROUND_TOKENS", 1 << 20)
+    scores = []
+    for n in (1, 8, 100):
+        got = lmscore.score_documents(docs.repartition(n)).collect()
+        held = [r for r in got if r.held_out]
+        tokens = sum(r.n_tokens for r in held)
+        assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.05
+        scores.append({r.doc_id: r.score for r in got})
+    for other in scores[1:]:
+        assert all(other[k] == pytest.approx(v, rel=1e-3) for k, v in scores[0].items())
+
+
+def test_lm_learns_with_many_workers(spark):
+    """Averaged workers, and more text, make the model better."""
+    rng = np.random.default_rng(2)
+    chain = rng.permutation(40)  # each word tells the next
+    texts = []
+    for k in range(600):
+        words = [int(rng.integers(40))]
+        for _ in range(99):
+            words.append(int(chain[words[-1]]) if rng.random() < 0.9 else int(rng.integers(40)))
+        texts.append((k, np.array([2 + w for w in words] + [0], np.uint16).tobytes()))
+    rows = spark.createDataFrame(texts, "doc long, tokens binary").repartition(5)
+    start = neural_lm.initial_weights(np.full(40, 1500.0), 600, 1)
+    tried = [np.frombuffer(t, np.uint16) for _, t in texts[:60]]
+    loss = lambda w: -neural_lm.score(w, tried).mean() / 101
+    few = loss(lmscore._train(rows.where("doc < 150"), start, 15_150, 4, 0.03, round_tokens=1000))
+    many = loss(lmscore._train(rows, start, 60_600, 4, 0.03, round_tokens=4000))
+    assert many < few < loss(start) - 0.2
+
+
+def test_sample_is_bounded_for_null_and_repeated_ids(spark):
+    one = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "repeat('the and that with ', 200) AS text", "'en' AS lang")
+    assert len(langid.training_windows(one)) <= langid.WINDOWS_PER_DOC
+    many = spark.range(3000).selectExpr("CAST(IF(id % 2 = 0, NULL, 7) AS LONG) AS doc_id", "repeat(concat('word', id, ' '), 200) AS text", "'en' AS lang")
+    found = langid.training_windows(many)
+    assert len(found) <= langid.DOCS_PER_LANGUAGE * langid.WINDOWS_PER_DOC and len({w for _, w in found}) > 1000

@@ -3,10 +3,12 @@
 Texts are cut into windows of WINDOW bytes; the states of both directions start at zero in each window, and every byte
 of the text gets label probabilities from the two states at its place. A document's probabilities are their mean over
 all its bytes. The weights come from backpropagation through time over a bounded sample of labelled rows (parameters
-``docs_per_language`` and ``windows_per_doc``), chosen by a hash of the id among the rows to learn from.
+``docs_per_language`` and ``windows_per_doc``), chosen by a hash of id and text among the rows to learn from. Rows equal
+in label, id and text are one row there, so null and repeated ids add no windows: a label gives at most
+docs_per_language * windows_per_doc windows, 1,800 of WINDOW bytes (115 kB) with the defaults; 1,000 labels give 115 MB.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows without a label are never learned
-from; without any row to learn from all is ``und``; repeated rows are treated alike; an empty table gives an empty
+from; without any row to learn from all is ``und``; repeated rows get one prediction each and are learned from once; an empty table gives an empty
 table; other columns are ignored by :func:`predict_language`. Labels, sources and ids are no input of a prediction.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import fold_column
+from tidemark.llm.common import fold_column, text_hash
 
 WINDOW, LANES, HIDDEN, PAD = 64, 4096, 8, 256
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_LANGUAGES, PARTS = 300, 6, 1000, 64
@@ -172,13 +174,13 @@ class ByteGru:
 
 
 def training_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
-    """(label, window) of the sample: per label the ``docs_per_language`` rows first by a hash of the id, from each up to ``windows_per_doc`` windows spread over the text."""
-    rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    """(label, window) of the sample: per label the ``docs_per_language`` rows first by a hash of id and text, from each up to ``windows_per_doc`` windows spread over the text."""
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), text_hash(F.col(text_col)).alias("key"))
+    keys = rows.select("doc", "lang", "key").distinct().withColumn("h", F.xxhash64("doc", "key")).withColumn("part", F.pmod("h", F.lit(PARTS)))
     # Ranked by label and part of the hash first: the second ranking gets PARTS * docs_per_language rows of a label at most, however many tasks there are.
-    ids = rows.where("lang IS NOT NULL").select("doc", "lang", F.xxhash64("doc").alias("h")).withColumn("part", F.pmod("h", F.lit(PARTS)))
-    for keys in (("lang", "part"), ("lang",)):
-        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc"))).where(F.col("n") <= docs_per_language)
-    ids = ids.select(F.col("doc").alias("id"), F.col("lang").alias("of"))
+    for by in (("lang", "part"), ("lang",)):
+        keys = keys.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc", "key"))).where(F.col("n") <= docs_per_language)
+    keys = keys.select(F.col("doc").alias("id"), F.col("lang").alias("of"), F.col("key").alias("hash"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +197,9 @@ def training_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE
                     parts.append(data[k * WINDOW : (k + 1) * WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["key", "lang", "data"])
 
-    # At most docs_per_language ids a label: a broadcast of a known size.
-    chosen = rows.join(F.broadcast(ids), rows["doc"].eqNullSafe(ids["id"]) & (rows["lang"] == ids["of"])).select("doc", "text", "lang")
+    # At most docs_per_language rows a label: a broadcast of a known size. Repeated rows are one again before they are cut.
+    chosen = rows.join(F.broadcast(keys), rows["doc"].eqNullSafe(keys["id"]) & (rows["lang"] == keys["of"]) & (rows["key"] == keys["hash"]))
+    chosen = chosen.groupBy("doc", "lang", "key").agg(F.max("text").alias("text")).select("doc", "text", "lang")
     return [(r["lang"], bytes(r["data"])) for r in sorted(chosen.mapInArrow(cut, "key string, lang string, data binary").collect(), key=lambda r: (r["key"], r["lang"], r["data"]))]
 
 

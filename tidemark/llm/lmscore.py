@@ -1,9 +1,13 @@
 """Scores of whole documents under a word frequency model and a gated recurrent language model.
 
 Everything is gathered from all training documents: word counts (a shuffle), and the recurrent model's weights, which
-come from one pass over every training token in ROUNDS rounds. A round trains on its own part of the documents, in
-each Spark partition from the same weights, and the partitions' weights are averaged by their tokens in Spark. The
-most frequent words (HEAD at most) go to all executors; all rarer words meet their counts in a shuffled join.
+come from one pass over every training token in ROUNDS rounds. The documents are dealt to rounds and workers by a hash
+of id and tokens. How many workers there are follows from the training tokens alone (one for ROUND_TOKENS of them a
+round), so each makes as many steps in a round at any size of the corpus, and the model is the same however the input
+is partitioned. In a round every worker learns from its documents, in the order of their hashes and from the same
+weights; the workers' weights are averaged by their tokens in Spark, and the average change, with MOMENTUM of the last
+round's, is the next round's start. Documents equal in id and text share a worker, which streams them. The most
+frequent words (HEAD at most) go to all executors; all rarer words meet their counts in a shuffled join.
 
 A word outside the recurrent model's vocabulary has the probability of "other" in its place times its smoothed share
 of all such words, so that both scores are sums over the same tokens.
@@ -28,7 +32,7 @@ from tidemark.llm import neural_lm
 from tidemark.llm.common import fold_column, materialize
 from tidemark.llm.simhash import word_chunks
 
-HEAD, ROUNDS = 1 << 17, 4
+HEAD, ROUNDS, ROUND_TOKENS, MOMENTUM = 1 << 17, 8, 1 << 20, 0.3
 #: A task hands on its counts whenever it holds so many words.
 COUNTER_WORDS = 200_000
 #: Training texts that a task puts side by side, in tokens.
@@ -115,47 +119,70 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint16)
 
 
-def _train_round(texts: DataFrame, weights: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
-    """The weights averaged over the partitions of ``texts`` (tokens), each trained on its own from the same start."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
-    parts = texts.rdd.getNumPartitions()
+def _train_round(texts: DataFrame, weights: dict[str, np.ndarray], workers: int, rate: float) -> dict[str, np.ndarray]:
+    """The weights averaged over the workers, each trained from ``weights`` on its own rows of ``texts`` (worker, h, tokens)."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, stream, held, learned, model = neural_lm.Trainer({k: x.copy() for k, x in shared.value.items()}, rate), [], 0, 0, 0
+        trainer, stream, held, learned, mine = None, [], 0, 0, None
+
+        def learn() -> None:
+            nonlocal stream, held, learned
+            if held:
+                trainer.learn(np.concatenate(stream))
+                learned, stream, held = learned + held, [], 0
+
+        def result() -> Iterator[pa.RecordBatch]:
+            learn()
+            if learned:
+                values = neural_lm.flat(trainer.w)
+                blocks = [values[k : k + BLOCK] for k in range(0, len(values), BLOCK)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(blocks)), pa.int32()), pa.array([mine] * len(blocks), pa.int32()), pa.array([float(learned)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))],
+                    ["block", "model", "weight", "x"],
+                )
+
         for batch in batches:
-            for data, model in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for worker, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if worker != mine:
+                    yield from result()
+                    trainer, mine, learned = neural_lm.Trainer({k: x.copy() for k, x in shared.value.items()}, rate), worker, 0
                 stream.append(_numbers(data))
                 held += len(stream[-1])
                 if held >= STREAM_TOKENS:
-                    trainer.learn(np.concatenate(stream))
-                    learned, stream, held = learned + held, [], 0
-        if held:
-            trainer.learn(np.concatenate(stream))
-            learned += held
-        if learned:
-            values = neural_lm.flat(trainer.w)
-            blocks = [values[k : k + BLOCK] for k in range(0, len(values), BLOCK)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(blocks)), pa.int32()), pa.array([model] * len(blocks), pa.int32()), pa.array([float(learned)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))],
-                ["block", "model", "weight", "x"],
-            )
+                    learn()
+        yield from result()
 
     def average(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("model")  # sums of the same order each time
         w = table.column("weight").to_numpy()
         x = np.stack([np.asarray(v, np.float64) for v in table.column("x").to_pylist()])
         mean = (w[:, None] * x).sum(0) / w.sum()
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([key[1].as_py()], pa.int32()), "weight": pa.array([float(w.sum())]), "x": pa.array([mean], pa.list_(pa.float32()))})
 
     schema = "block int, model int, weight double, x array<float>"
-    models = texts.select("tokens", F.spark_partition_id().alias("part")).mapInArrow(train, schema)
-    while parts > 1:  # at most FAN_IN models meet in a task, however many there are
-        models = models.withColumn("model", F.expr(f"cast(model div {FAN_IN} as int)")).groupBy("block", "model").applyInArrow(average, schema)
-        parts = -(-parts // FAN_IN)
+    dealt = texts.repartition(workers, "worker").sortWithinPartitions("worker", "h", "tokens")
+    models = dealt.select("worker", "tokens").mapInArrow(train, schema)
+    while workers > 1:  # at most FAN_IN models meet in a task, however many there are
+        models = models.withColumn("group", F.expr(f"cast(model div {FAN_IN} as int)")).groupBy("block", "group").applyInArrow(average, schema)
+        workers = -(-workers // FAN_IN)
     found = sorted(models.select("block", "x").collect())  # one model's weights
     return neural_lm.unflat(np.concatenate([np.asarray(r["x"]) for r in found]), weights) if found else weights
 
 
+def _train(texts: DataFrame, weights: dict[str, np.ndarray], tokens: int, rounds: int, rate: float, momentum: float = MOMENTUM, round_tokens: int = ROUND_TOKENS) -> dict[str, np.ndarray]:
+    """The weights after ``rounds`` rounds over ``texts`` (doc, tokens), which hold so many tokens."""
+    workers = max(1, math.ceil(tokens / (rounds * round_tokens)))
+    h = F.xxhash64("doc", "tokens")
+    dealt = texts.select("tokens", h.alias("h"), F.pmod(h, F.lit(rounds)).alias("round"), F.pmod(F.floor(h / rounds), F.lit(workers)).cast("int").alias("worker"))
+    moved = {k: np.zeros_like(x) for k, x in weights.items()}
+    for k in range(rounds):
+        found = _train_round(dealt.where(F.col("round") == k).drop("round"), weights, workers, rate * (1 - k / rounds))
+        moved = {name: (found[name] - x) + momentum * moved[name] for name, x in weights.items()}
+        weights = {name: x + moved[name] for name, x in weights.items()}
+    return weights
+
+
 def _recurrent_scores(encoded: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(weights)
 
@@ -184,9 +211,7 @@ def score_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     model_n = head_n[: neural_lm.VOCABULARY]
     n_other, other_types = sums["n"] - model_n.sum(), sums["v"] - len(model_n)
     weights = neural_lm.initial_weights(model_n, n_ends, n_other)
-    texts = encoded.where(~held).select("tokens", F.pmod(F.xxhash64("doc", "uid"), F.lit(rounds)).alias("round"))
-    for k in range(rounds):
-        weights = _train_round(texts.where(F.col("round") == k), weights, rate * (1 - k / rounds))
+    weights = _train(encoded.where(~held).select("doc", "tokens"), weights, int(n_train), rounds, rate)
     recurrent = _recurrent_scores(encoded, weights)
 
     rare = encoded.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("uid", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("k"))
