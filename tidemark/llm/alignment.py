@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import materialize, work_dir
+from tidemark.llm.common import materialize, shuffles_freed, work_dir
 from tidemark.llm.tokencount import _byte_letters
 
 BLOCK_BYTES = 16 << 20
@@ -325,18 +325,21 @@ def _compose(docs: pa.Table, segments: pa.Table) -> pa.Table:
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups: a row per row. ``a_path``: a byte-level file of the tokenizers library; ``b_path``: a piece vocabulary of sentencepiece."""
-    cutter, buckets = Cutter(safe_breaks(byte_vocabulary(a_path), piece_model(b_path)[2])), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    cutter, buckets = Cutter(safe_breaks(byte_vocabulary(a_path), piece_model(b_path)[2])), int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = len(piece_model(b_path)[1])
     blocks = _bucketed(_blocks(docs, cutter, doc_col, text_col), "blocks", buckets, "block", "kind")
     texts = blocks.where("kind = 'doc'").select("block", "doc", "data")
     parts = blocks.where("kind = 'seg'").select(F.col("block").alias("of"), "k", "seg").repartition(buckets, "seg")
-    parts = _bucketed(parts, "parts", buckets, "seg")
+    with shuffles_freed(spark):
+        parts = _bucketed(parts, "parts", buckets, "seg")
     # Its tasks have a bucket each and keep the column, so nothing is shuffled.
     segments = _bucketed(align_segments(parts.select("seg").distinct(), a_path, b_path), "segments", buckets, "seg")
 
     own = parts.join(segments.select("seg", "ok", "pairs"), "seg").select("of", "k", "ok", "pairs")
     counted = texts.select("block", "data").groupBy("block").cogroup(own.groupBy("of")).applyInArrow(_count_pairs, "pair long, n long")
-    counts = materialize(counted.groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
+    with shuffles_freed(spark):
+        counts = materialize(counted.groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
     a_id = F.floor(F.col("pair") / width).cast("long")
     best = counts.groupBy(a_id.alias("a")).agg(F.max("n").alias("most"))  # an id of the first vocabulary a row
     known = counts.join(F.broadcast(best), a_id == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
