@@ -1,9 +1,17 @@
-"""Sources: projected scans, schemas with aliases, file inspection. All through Spark's readers, so any store works."""
+"""Sources: projected scans, schemas with aliases, file inspection in tasks."""
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,25 +96,67 @@ def sniff_columns(spark: SparkSession, path: str) -> list[str]:
     raise ValueError(f"no reader for {path}")
 
 
-#: A file is digested in one piece; larger ones have sizes but no digest.
-MAX_DIGEST_BYTES = 1 << 30
+#: Bytes that a task holds of a file at a time.
+PIECE_BYTES = 8 << 20
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it (``file:/a b``), and the path there."""
+    scheme, _, rest = path.partition(":")
+    return fs.FileSystem.from_uri(f"{scheme}://{quote('/' + rest.lstrip('/'))}" if not rest.startswith("//") else quote(path, safe=":/"))
+
+
+def _digest(files: fs.FileSystem, path: str) -> str:
+    h = hashlib.sha256()
+    with files.open_input_stream(path) as stream:
+        while piece := stream.read(PIECE_BYTES):
+            h.update(piece)
+    return h.hexdigest()
+
+
+def _header(files: fs.FileSystem, path: str) -> tuple[list[str] | None, int | None]:
+    """Columns, and the rows of a parquet file, from a footer or a first line; a JSON document has no header and is parsed."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "parquet":
+        with files.open_input_file(path) as f:
+            footer = parquet.ParquetFile(f)
+            return footer.schema_arrow.names, footer.metadata.num_rows
+    if kind not in ("csv", "tsv", "jsonl", "ndjson", "json"):
+        return None, None
+    with files.open_input_stream(path, compression=None) as stream, io.TextIOWrapper(stream, encoding="utf-8", newline="") as lines:
+        if kind in ("csv", "tsv"):
+            return next(csv.reader(lines, delimiter="\t" if kind == "tsv" else ","), []), None
+        value = json.load(lines) if kind == "json" else json.loads(next((x for x in lines if x.strip()), "{}"))
+    if isinstance(value, list):
+        value = {k: None for row in value if isinstance(row, dict) for k in row}
+    return (list(value) if isinstance(value, dict) else None), None
 
 
 def inspect_files(spark: SparkSession, path: str, pattern: str = "*", fields: tuple[Field, ...] = ()) -> DataFrame:
-    """name, bytes, sha256 (null above MAX_DIGEST_BYTES), columns, missing (of ``fields``) of each file below a folder. Contents are digested where they are read; columns come from headers."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    files = reader.load(path)
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    small = files.where(F.col("length") <= MAX_DIGEST_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
-    rows = []
-    for r in files.select("path", name).collect():  # a row per file, without its content
-        try:
-            columns = sniff_columns(spark, r["path"])
-            rows.append((r["path"], columns, resolve_columns(columns, fields).missing))
-        except Exception:  # noqa: BLE001  a file without a reader is listed without columns
-            rows.append((r["path"], None, None))
-    headers = spark.createDataFrame(rows, "path string, columns array<string>, missing array<string>")
-    return files.select("path", name, F.col("length").alias("bytes")).join(small, "path", "left").join(F.broadcast(headers), "path", "left").drop("path")
+    """name, bytes, sha256, rows (of parquet), columns, missing (of ``fields``) of each file below a folder.
+
+    Tasks do all of it: a task streams a file through its digest in pieces, whatever its size, and reads its footer or first line. A file without a reader, or one that can't be read, has no columns. Spark doesn't list empty files. Stores that only the JVM can open (see :mod:`pyarrow.fs` for those that Python can) give sizes alone.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+    def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for where, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest = columns = rows = None
+                try:
+                    files, inner = _opened(where)
+                    digest = _digest(files, inner)
+                    columns, rows = _header(files, inner)
+                except (OSError, ValueError):  # it stays in the list without what couldn't be read
+                    pass
+                missing = None if columns is None else resolve_columns(columns, fields).missing
+                out.append((where.rsplit("/", 1)[-1], size, digest, rows, columns, missing))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["name", "bytes", "sha256", "rows", "columns", "missing"])
+
+    spread = listed.repartition(spark.sparkContext.defaultParallelism, "path")
+    return spread.mapInArrow(inspect, "name string, bytes long, sha256 string, rows long, columns array<string>, missing array<string>")
 
 
 def schema_groups(spark: SparkSession, paths: list[str]) -> tuple[dict[tuple[str, ...], list[str]], list[str]]:
