@@ -285,20 +285,54 @@ def align_segments(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return segments.select("seg").mapInArrow(run, "seg string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>")
 
 
-def _count_pairs(docs: pa.Table, segments: pa.Table) -> pa.Table:
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block (of) to a row a block, whose compressed columns are a small part of the rows' bytes."""
+    of, held = None, []
+
+    def result() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["of", "columns"])
+
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        cuts = [*np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]).tolist(), len(blocks)] if len(blocks) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and blocks[a] != of:
+                yield result()
+                held = []
+            of = int(blocks[a])
+            held.append(batch.slice(a, b - a).select(batch.schema.names[1:]))
+    if held:
+        yield result()
+
+
+def _to_blocks(rows: DataFrame) -> DataFrame:
+    """of, columns: what :func:`_rows` reads."""
+    return rows.sortWithinPartitions("of").mapInArrow(_columns, "of long, columns binary")
+
+
+def _rows(packed: pa.Table) -> pa.Table | None:
+    """The block's rows, in the order of k; None without any."""
+    parts = [pa.ipc.open_stream(x).read_all() for x in packed.column("columns").to_pylist()]
+    return pa.concat_tables(parts).combine_chunks().sort_by("k") if parts else None
+
+
+def _count_pairs(docs: pa.Table, packed: pa.Table) -> pa.Table:
     """Of a block: in how many of its documents each pair is linked."""
-    if not len(segments):  # all its texts are empty
+    segments = _rows(packed)
+    if segments is None:  # all its texts are empty
         return pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    order = np.argsort(segments.column("k").to_numpy())
     rows = segments.column("pairs").combine_chunks()
     starts = rows.offsets.to_numpy()
     values = rows.values.to_numpy()[starts[0] : starts[-1]]
     codes, local = np.unique(values, return_inverse=True)
-    first, size = (starts[:-1] - starts[0])[order], np.diff(starts)[order]
-    ok = segments.column("ok").to_numpy()[order]
+    first, size = starts[:-1] - starts[0], np.diff(starts)
+    ok = segments.column("ok").to_numpy()
     counts = np.zeros(len(codes), np.int64)
     for data in docs.column("data").to_pylist():
-        held = np.unique(_numbers(data, len(order)))
+        held = np.unique(_numbers(data, len(ok)))
         if len(held) and ok[held].all():
             n = size[held]
             counts[np.unique(local[np.repeat(first[held] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])] += 1
@@ -306,16 +340,15 @@ def _count_pairs(docs: pa.Table, segments: pa.Table) -> pa.Table:
     return pa.table({"pair": pa.array(codes[seen], pa.int64()), "n": pa.array(counts[seen], pa.int64())})
 
 
-def _compose(docs: pa.Table, segments: pa.Table) -> pa.Table:
+def _compose(docs: pa.Table, packed: pa.Table) -> pa.Table:
     """The block's documents from the alignments of their segments."""
-    order = np.argsort(segments.column("k").to_numpy())
+    segments = _rows(packed)
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    columns = np.stack([segments.column(c).to_numpy()[order] for c in names]) if len(order) else np.zeros((len(names), 0), np.int64)
-    ok = segments.column("ok").to_numpy()[order]
-    groups = segments.column("groups").take(pa.array(order)).to_pylist()
+    columns = np.stack([segments.column(c).to_numpy() for c in names]) if segments else np.zeros((len(names), 0), np.int64)
+    ok, groups = (segments.column("ok").to_numpy(), segments.column("groups").to_pylist()) if segments else (np.zeros(0, bool), [])
     sums, texts = [], []
     for data in docs.column("data").to_pylist():
-        held = _numbers(data, len(order))
+        held = _numbers(data, len(ok))
         good = len(held) > 0 and bool(ok[held].all())
         sums.append(columns[:, held].sum(1) if good else np.zeros(len(names), np.int64))
         texts.append(";".join(map(groups.__getitem__, held.tolist())) if good else "")
@@ -337,7 +370,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, doc_col: str = "d
     segments = _bucketed(align_segments(parts.select("seg").distinct(), a_path, b_path), "segments", buckets, "seg")
 
     own = parts.join(segments.select("seg", "ok", "pairs"), "seg").select("of", "k", "ok", "pairs")
-    counted = texts.select("block", "data").groupBy("block").cogroup(own.groupBy("of")).applyInArrow(_count_pairs, "pair long, n long")
+    counted = texts.select("block", "data").groupBy("block").cogroup(_to_blocks(own).groupBy("of")).applyInArrow(_count_pairs, "pair long, n long")
     with shuffles_freed(spark):
         counts = materialize(counted.groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
     a_id = F.floor(F.col("pair") / width).cast("long")
@@ -347,8 +380,11 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, doc_col: str = "d
     links = segments.select("seg", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("seg", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     # A pair that only texts without tokens have is in no count; those texts have zeros anyway.
     sums = links.join(known, "pair").groupBy("seg").agg(F.sum(F.col("times") * F.col("n")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
-    scored = segments.drop("pairs", "times").join(sums, "seg", "left").na.fill(0, ["count_sum", "n_best"])
-    found = texts.groupBy("block").cogroup(parts.join(scored, "seg").drop("seg").groupBy("of")).applyInArrow(
+    with shuffles_freed(spark):
+        sums = _bucketed(sums, "sums", buckets, "seg")
+    scored = parts.join(segments.drop("pairs", "times"), "seg").join(sums, "seg", "left").na.fill(0, ["count_sum", "n_best"])
+    own = scored.select("of", "k", "ok", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    found = texts.groupBy("block").cogroup(_to_blocks(own).groupBy("of")).applyInArrow(
         _compose, f"doc {texts.schema['doc'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     )
     return found.withColumnRenamed("doc", doc_col)
