@@ -421,18 +421,17 @@ def _inference_sql() -> str:
     return f"WITH {_INFERENCE}, {_DRAWN}"
 
 
-@query(_inference_sql() + f""", cells AS (SELECT model_name, grouping_name, group_key, event_family_id AS cluster, least(CAST(floor(predicted_probability * 10) AS INTEGER), 9) AS bin, count(*) AS n, sum(predicted_probability) AS sp, sum(observed_outcome) AS sy FROM ig WHERE grouping_name IN ('overall', 'horizon') GROUP BY ALL),
+@query(_inference_sql() + f""", cells AS (SELECT model_name, grouping_name, group_key, event_family_id AS cluster, least(CAST(floor(predicted_probability * 10) AS INTEGER), 9) AS bin, count(*) AS n, sum(predicted_probability) AS sp, sum(observed_outcome) AS sy FROM ig GROUP BY ALL),
 x AS (SELECT model_name, grouping_name, group_key, replicate, bin, sum(w * n) AS n, abs(sum(w * sp) - sum(w * sy)) AS gap FROM cells JOIN drawn USING (cluster) GROUP BY ALL), e AS (SELECT model_name, grouping_name, group_key, replicate, sum(gap) / nullif(sum(n), 0) AS ece FROM x GROUP BY ALL)
 SELECT a.model_name, a.grouping_name, a.group_key, a.replicate, {r('a.ece - b.ece')} AS ece_difference FROM e a JOIN e b ON b.model_name = 'raw' AND b.grouping_name = a.grouping_name AND b.group_key = a.group_key AND b.replicate = a.replicate WHERE a.model_name <> 'raw'""")
 def d18_paired_ece(spark, d):
-    rows = _inference(spark, d).where("grouping_name IN ('overall', 'horizon')")
-    return inference.paired_ece(inference.bin_stats(rows))
+    return inference.paired_ece(inference.bin_stats(_inference(spark, d)))
 
 
 @query()
 def d19_calibration_intervals(spark, d):
-    """Intercept and slope per model, overall and by horizon, with intervals from influence functions."""
-    rows = _inference(spark, d).where("grouping_name IN ('overall', 'horizon')")
+    """Intercept and slope per model and group, with intervals from influence functions."""
+    rows = _inference(spark, d)
     fits = calibration.diagnostic(calibration.compress(rows, inference.GROUP, p="predicted_probability"), inference.GROUP)
     return inference.calibration_intervals(rows, fits)
 

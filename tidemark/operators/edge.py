@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.expr import elapsed_seconds, lockup_cost, reasons, taker_fee
-from tidemark.operators.quantiles import exact_percentiles
+from tidemark.operators.quantiles import with_percentiles
+from tidemark.operators.scan import running_last, running_sum
 
 
 @dataclass(frozen=True)
@@ -61,25 +61,15 @@ def fee_entry(schedule: tuple[Fee, ...], at: Column) -> Column:
 def asof_quotes(rows: DataFrame, quotes: DataFrame, ts: str = "forecast_ts") -> DataFrame:
     """Each row with its contract's latest quote up to its time, an equal time included, and the quote's age in seconds; of quotes at one time the largest (yes_ask, yes_bid).
 
-    Rows and quotes are one union that is sorted by contract, day and time; the quote is a running last value within the day, or the last quote of the days before, which a second window takes over one row per contract and day. A contract's history never meets in one task, and no pairs are made.
+    Rows and quotes are one union, sorted by contract and time in ranges, and the quote is the last one of a scan over them. A contract's history never meets in one task, and no pairs are made.
     """
-    names = rows.columns
     sides = [c for c in ("yes_bid", "yes_ask", "no_bid", "no_ask") if c in quotes.columns]
-    q = F.struct("quote_ts", *sides)
-    day = F.to_date("__t").alias("__day")
-    left = rows.select("contract_id", F.col(ts).alias("__t"), F.lit(1).alias("__kind"), F.struct(*names).alias("__row"))
-    right = quotes.select("contract_id", F.col("quote_ts").alias("__t"), F.lit(0).alias("__kind"), q.alias("__q"))
-    both = left.unionByName(right, allowMissingColumns=True).select("*", day)
-    order = Window.partitionBy("contract_id", "__day").orderBy("__t", "__kind", "__q.yes_ask", "__q.yes_bid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = both.withColumn("__today", F.last("__q", ignorenulls=True).over(order)).where("__kind = 1")
-    # The last quote of each day, and with it the days that only have rows.
-    when = F.when(F.col("__kind") == 0, F.struct("__t", F.col("__q.yes_ask").alias("a"), F.col("__q.yes_bid").alias("b")))
-    days = both.groupBy("contract_id", "__day").agg(F.max_by("__q", when).alias("__end"))
-    earlier = Window.partitionBy("contract_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("contract_id", "__day", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("contract_id", "__day")]
-    out = placed.alias("r").join(days.alias("d"), same, "left").withColumn("__last", F.coalesce("__today", "__before")).select("__row.*", "__last.*")
-    return out.withColumn("quote_staleness_seconds", elapsed_seconds(F.col("quote_ts"), F.col(ts)))
+    left = rows.select("contract_id", F.col(ts).alias("__t"), F.lit(1).alias("__kind"), F.struct(*rows.columns).alias("__row"))
+    right = quotes.select("contract_id", F.col("quote_ts").alias("__t"), F.lit(0).alias("__kind"), F.struct("quote_ts", *sides).alias("__q"), F.col("yes_ask").alias("__ask"), F.col("yes_bid").alias("__bid"))
+    # A number spreads rows of one time over ranges.
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("__id", F.monotonically_increasing_id())
+    found = running_last(both, ["contract_id"], ["__t", "__kind", "__ask", "__bid", "__id"], "__q", "__last").where("__kind = 1")
+    return found.select("__row.*", "__last.*").withColumn("quote_staleness_seconds", elapsed_seconds(F.col("quote_ts"), F.col(ts)))
 
 
 def base_reasons(config: EdgeConfig) -> Column:
@@ -135,18 +125,20 @@ def _sides(rows: DataFrame, config: EdgeConfig) -> DataFrame:
     return out.withColumn("side_reason", _side_reasons(config)).drop("__t")
 
 
-def simulate(predictions: DataFrame, config: EdgeConfig = EdgeConfig(), rate: Column | None = None) -> DataFrame:
-    """Candidates (with ``rate`` in place of the schedule, if given): model_name, row_id, friction_tier, trade_side, costs, edges, passes_threshold (net edge at or above the limit) and simulated results. One narrow pass without a shuffle."""
+def simulate(predictions: DataFrame, config: EdgeConfig = EdgeConfig(), rates: tuple[float, ...] = ()) -> DataFrame:
+    """Candidates (under each of ``rates`` in place of the schedule, if given): model_name, row_id, friction_tier, trade_side, costs, edges, passes_threshold (net edge at or above the limit) and simulated results. One narrow pass without a shuffle."""
     rows = _sides(_prepared(predictions, config).where("exclusion_reason = ''"), config).where("side_reason = ''")
-    fee = fee_entry(config.schedule, F.col("forecast_ts")) if rate is None else F.struct(F.lit("scenario").alias("name"), rate.alias("rate"))
-    rows = rows.withColumn("__fee", fee).withColumns({"fee_name": F.col("__fee.name"), "fee_rate": F.col("__fee.rate")})
+    if rates:  # what doesn't depend on the rate is done before
+        rows = rows.withColumns({"fee_name": F.lit("scenario"), "fee_rate": F.explode(F.array(*map(F.lit, rates)))})
+    else:
+        rows = rows.withColumn("__fee", fee_entry(config.schedule, F.col("forecast_ts"))).withColumns({"fee_name": F.col("__fee.name"), "fee_rate": F.col("__fee.rate")}).drop("__fee")
     rows = rows.withColumn("fee_cost", taker_fee(F.col("fee_rate"), F.col("entry_price")))
     rows = rows.withColumn("cost_before_lockup", F.col("entry_price") + F.col("fee_cost") + F.col("spread_cost") + F.col("slippage_cost"))
     lock = lockup_cost(F.col("cost_before_lockup"), config.annual_rate, F.col("holding_seconds")) if config.lockup else F.lit(0.0)
     rows = rows.withColumn("capital_lockup_cost", lock).withColumn("effective_cost", F.col("cost_before_lockup") + F.col("capital_lockup_cost")).where("effective_cost >= 0")
     rows = rows.withColumns({"gross_edge": F.col("side_probability") - F.col("entry_price"), "net_edge": F.col("side_probability") - F.col("effective_cost"), "realized_net": F.col("side_outcome") - F.col("effective_cost")})
     rows = rows.withColumns({"passes_threshold": F.col("net_edge") >= config.min_net_edge, "realized_total": F.col("realized_net") * config.contracts})
-    return rows.drop("__fee", "exclusion_reason", "side_reason")
+    return rows.drop("exclusion_reason", "side_reason")
 
 
 def excluded(predictions: DataFrame, config: EdgeConfig = EdgeConfig()) -> DataFrame:
@@ -164,16 +156,19 @@ def tier_summary(found: DataFrame, scenarios: dict[float, Column] | None = None,
     chosen = []
     for k, keeps in enumerate(options.values()):
         of = lambda c, keeps=keeps: F.when(keeps, F.col(c))
-        chosen += [
-            F.count_if(keeps).alias(f"selected{k}"), F.avg(keeps.cast("double")).alias(f"selected_share{k}"), F.avg(of("net_edge")).alias(f"selected_mean_net_edge{k}"),
-            F.avg(of("realized_net")).alias(f"selected_mean_realized{k}"), F.sum(of("realized_total")).alias(f"selected_total{k}"),
-        ]
-    sums = found.groupBy(*key).agg(F.count(F.lit(1)).alias("candidates"), F.avg("net_edge").alias("mean_net_edge"), F.avg("effective_cost").alias("mean_cost"), *chosen)
-    middle = exact_percentiles(found, key, "net_edge", (0.5,)).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("value").alias("median_net_edge"))
-    sums = sums.join(middle, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], "left").drop(*[f"__{k}" for k in key])
-    names = ("selected", "selected_share", "selected_mean_net_edge", "selected_mean_realized", "selected_total")
-    rows = sums.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(float(x)).alias("scenario"), *[F.col(f"{n}{k}").alias(n) for n in names]) for k, x in enumerate(options)])))
-    out = rows.select(*key, "candidates", "mean_net_edge", "median_net_edge", "mean_cost", "__s.*")
+        chosen += [F.count_if(keeps).alias(f"selected{k}"), F.sum(of("net_edge")).alias(f"net{k}"), F.sum(of("realized_net")).alias(f"realized{k}"), F.sum(of("realized_total")).alias(f"selected_total{k}")]
+    sums = with_percentiles(found, key, "net_edge", {"median_net_edge": 0.5}, F.count(F.lit(1)).alias("candidates"), F.sum("net_edge").alias("net"), F.sum("effective_cost").alias("cost"), *chosen)
+    n = F.col("candidates")
+
+    def scenario(k: int, x: float) -> Column:
+        m = F.nullif(F.col(f"selected{k}"), F.lit(0))
+        return F.struct(
+            F.lit(float(x)).alias("scenario"), F.col(f"selected{k}").alias("selected"), (F.col(f"selected{k}") / n).alias("selected_share"), (F.col(f"net{k}") / m).alias("selected_mean_net_edge"),
+            (F.col(f"realized{k}") / m).alias("selected_mean_realized"), F.col(f"selected_total{k}").alias("selected_total"),
+        )
+
+    rows = sums.withColumn("__s", F.explode(F.array(*[scenario(k, x) for k, x in enumerate(options)])))
+    out = rows.select(*key, "candidates", (F.col("net") / n).alias("mean_net_edge"), "median_net_edge", (F.col("cost") / n).alias("mean_cost"), "__s.*")
     return out if scenarios else out.drop("scenario")
 
 
@@ -192,31 +187,11 @@ def fee_audit(found: DataFrame, schedule: tuple[Fee, ...]) -> DataFrame:
     return entries.join(counts, "fee_name", "left").select("fee_name", "fee_rate", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-#: Rows of one time are told apart by so many first characters of their ids.
-HEAD = 4
-
-
 def cumulative_pnl(found: DataFrame) -> DataFrame:
-    """Selected candidates with their running total by model, tier and side, in the order of (forecast_ts, row_id).
-
-    A group may hold most rows, so its running sum is made in steps: over the rows of one time whose ids start alike,
-    over these stretches of one time, over the times of a month, and over months. Only sums meet in the later steps.
-    """
+    """Selected candidates with their running total by model, tier and side, in the order of (forecast_ts, row_id)."""
     key = ["model_name", "friction_tier", "trade_side"]
     chosen = found.where("passes_threshold").select(*key, "forecast_ts", "row_id", "realized_total")
-    chosen = chosen.withColumns({"month": F.date_trunc("month", "forecast_ts"), "cell": F.col("forecast_ts"), "head": F.substring("row_id", 1, HEAD)})
-    run = lambda *by: Window.partitionBy(*key, *by)
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    heads = chosen.groupBy(*key, "month", "cell", "head").agg(F.sum("realized_total").alias("t"))
-    heads = heads.withColumn("h", F.coalesce(F.sum("t").over(before(run("month", "cell").orderBy("head"))), F.lit(0.0)))
-    cells_ = heads.groupBy(*key, "month", "cell").agg(F.sum("t").alias("t"))
-    cells_ = cells_.withColumn("c", F.coalesce(F.sum("t").over(before(run("month").orderBy("cell"))), F.lit(0.0)))
-    months = cells_.groupBy(*key, "month").agg(F.sum("t").alias("t")).withColumn("m", F.coalesce(F.sum("t").over(before(run().orderBy("month"))), F.lit(0.0)))
-    starts = heads.drop("t").join(cells_.drop("t"), [*key, "month", "cell"]).join(months.drop("t"), [*key, "month"])
-    starts = starts.select(*key, "month", "cell", "head", (F.col("h") + F.col("c") + F.col("m")).alias("start"))
-    inside = run("month", "cell", "head").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = chosen.withColumn("part", F.sum("realized_total").over(inside)).join(starts, [*key, "month", "cell", "head"])
-    return rows.select(*key, "forecast_ts", "row_id", "realized_total", (F.col("start") + F.col("part")).alias("cumulative"))
+    return running_sum(chosen, key, ["forecast_ts", "row_id"], "realized_total", "cumulative")
 
 
 class FeeError(ValueError):

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.session import materialize
+from tidemark.operators.scan import running_sum
 
 
 class JoinError(ValueError):
@@ -76,14 +75,9 @@ def flag_counts(df: DataFrame, flags: list[str]) -> DataFrame:
 
 
 def positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``position``, its place from 0 in a total order. Rows are sorted by ranges; a range's start is the sum of the rows before it, so no task sees all rows."""
-    placed = materialize(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__at", 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    # A row per sorted range, as many as shuffle partitions.
-    joined = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    return joined.select(*[F.col(c) for c in df.columns], (F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
+    """``df`` with ``position``, its place from 0 in a total order: a running count over sorted ranges."""
+    placed = running_sum(df.withColumn("__one", F.lit(1)), [], order, "__one", "__count")
+    return placed.select(*df.columns, (F.col("__count") - 1).cast("long").alias("position"))
 
 
 def first_rows(df: DataFrame, order: list[str | Column], n: int | None) -> DataFrame:

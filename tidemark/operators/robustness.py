@@ -88,8 +88,8 @@ def domain_exclusions(rows: DataFrame) -> DataFrame:
 
 def friction_scenarios(predictions: DataFrame, rates: tuple[float, ...] = (0.0, 0.05, 0.07, 0.1), edges: tuple[float, ...] = (0.01, 0.02)) -> DataFrame:
     """Tier summaries under each fee rate and threshold, from one scan. A scenario's rate replaces the schedule, which is what a scenario is for."""
-    rows = simulate(predictions.withColumn("scenario_rate", F.explode(F.array(*map(F.lit, rates)))), EdgeConfig(), rate=F.col("scenario_rate"))
-    return tier_summary(rows, {x: F.col("net_edge") >= x for x in edges}, ("scenario_rate",)).withColumnsRenamed({"scenario_rate": "fee_rate", "scenario": "min_net_edge"})
+    rows = simulate(predictions, EdgeConfig(), rates)
+    return tier_summary(rows, {x: F.col("net_edge") >= x for x in edges}, ("fee_rate",)).withColumnRenamed("scenario", "min_net_edge")
 
 
 def full_slices(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
