@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr
-from tidemark.operators import calibration, edge, folds, inference, keys, metrics, quantiles, reports, snapshots, walkforward
+from tidemark.operators import calibration, edge, folds, inference, keys, metrics, quantiles, reports, robustness, snapshots, walkforward
 from tidemark.sources import readers, sinks
 
 EPS = 0.001
@@ -259,3 +259,40 @@ def test_files(spark, tmp_path):
     assert out["config_sha256"] == sinks.summary({"a": 2, "b": 1})["config_sha256"] and json.loads((tmp_path / "s.json").read_text())["rows"] == 3
     with pytest.raises(ValueError):
         sinks.to_markdown(spark.range(sinks.MAX_REPORT_ROWS + 1))
+
+
+def test_paired_rows_are_one_to_one(spark):
+    schema = "model_name string, grouping_name string, group_key string, row_id string, event_family_id string, brier double, log_loss double"
+    rows = lambda model, ids: [(model, "overall", "all", i, f"f{i}", 0.5 if model == "raw" else 0.25, 1.0) for i in ids]
+    sound = inference.paired_stats(spark.createDataFrame(rows("raw", "abc") + rows("x", "cab"), schema)).collect()
+    assert len(sound) == 3 and all(r.n == 1 and r.brier == -0.25 for r in sound)
+    for ids in ("ab", "abcc", "aac", "abd", "abcd", ""):
+        with pytest.raises(keys.JoinError):
+            inference.paired_stats(spark.createDataFrame(rows("raw", "abc") + rows("x", ids) + rows("y", "abc"), schema)).collect() if ids else inference.paired_stats(spark.createDataFrame(rows("x", "abc"), schema))
+
+
+def test_binned_statuses(spark):
+    df = spark.createDataFrame([("a", 0.05, 1, 40), ("a", 0.55, 0, 3), ("b", 0.05, 1, 40), ("b", 0.95, 0, 30), ("c", 0.5, 1, 4)], "k string, p double, y int, n long")
+    found = {r.k: r for r in calibration.fit_binned(df, ["k"], min_rows=20).collect()}
+    assert (found["a"].status, found["a"].sparse_bins, found["a"].empty_bins, found["a"].bin_counts[5]) == ("fitted_with_sparse_bins", 1, 8, 3)
+    assert (found["b"].status, found["b"].sparse_bins) == ("fitted", 0) and (found["c"].status, found["c"].levels) == ("fallback_too_few_rows", None)
+
+
+def test_metric_rows_with_fits(spark):
+    """Slices, filters and exclusions against plain numpy, with a filter that keeps nothing."""
+    rng = random.Random(9)
+    raw = [(m, "vwap" if k % 3 else "last_trade", p, int(rng.random() < p), float(k % 50), "sports" if k % 4 == 0 else None, k % 4 == 0) for m in ("raw", "x") for k in range(600) for p in [rng.choice([0.1, 0.25, 0.5, 0.8])]]
+    df = spark.createDataFrame([(*r, (r[2] - r[3]) ** 2, 0.0, False, "high") for r in raw], "model_name string, snapshot_method string, predicted_probability double, observed_outcome int, liquidity double, domain string, is_sports boolean, brier double, log_loss double, taxonomy_ambiguous boolean, taxonomy_confidence string")
+
+    def fits(r, mine):
+        c, _, _ = plain_newton([x[2] for x in mine], [x[3] for x in mine])
+        assert r.row_count == len(mine) and math.isclose(r.intercept, c[0], rel_tol=1e-6, abs_tol=1e-8) and math.isclose(r.slope, c[1], rel_tol=1e-6)
+
+    for r in robustness.method_slices(df, full=True).collect():
+        fits(r, [x for x in raw if (x[0], x[1]) == (r.model_name, r.snapshot_method)])
+    found = {(r.model_name, r.filter_name): r for r in robustness.liquidity_filters(df, (0.0, 25.0, 1e9), full=True).collect()}
+    assert (found["x", "liquidity>=1e+09"].row_count, found["x", "liquidity>=1e+09"].status, found["x", "liquidity>=1e+09"].slope) == (0, "empty_after_filter", None)
+    fits(found["raw", "liquidity>=25"], [x for x in raw if x[0] == "raw" and x[4] >= 25])
+    out = {(r.model_name, r.filter_name): r for r in robustness.domain_exclusions(df, full=True).collect()}
+    fits(out["x", "no_sports"], [x for x in raw if x[0] == "x" and not x[6]])
+    assert out["x", "no_ambiguous"].status == "not_applicable"

@@ -390,10 +390,16 @@ seg AS (SELECT a.fold_id, a.bin AS lo, z.bin AS hi, sum(m.w * m.v) / sum(m.w) AS
 levels AS (SELECT fold_id, i AS bin, max(lowest) AS level FROM (SELECT fold_id, lo, i, min(avg) AS lowest FROM seg, (SELECT unnest(range(10)) AS i) WHERE lo <= i AND hi >= i GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query(f"WITH {_BINNED_SQL} SELECT fold_id, CAST(bin AS INTEGER) AS bin, {r('level')} AS level FROM levels")
+@query(
+    f"""WITH {_BINNED_SQL}, k AS (SELECT fold_id, 10 - count(*) AS empty_bins, count(*) FILTER (n < 300) AS sparse_bins FROM c GROUP BY ALL)
+SELECT fold_id, CAST(bin AS INTEGER) AS bin, {r('level')} AS level, CAST(coalesce(n, 0) AS BIGINT) AS bin_count, CAST(empty_bins AS INTEGER) AS empty_bins, CAST(sparse_bins AS INTEGER) AS sparse_bins,
+CASE WHEN sparse_bins > 0 THEN 'fitted_with_sparse_bins' ELSE 'fitted' END AS status FROM levels LEFT JOIN c USING (fold_id, bin) JOIN k USING (fold_id)"""
+)
 def m7_binned_reliability(spark, d):
-    fit = calibration.fit_binned(_fit_counts(spark, d), ["fold_id"])
-    return fit.select("fold_id", F.posexplode("levels").alias("bin", "level"))
+    """With a limit for sparse bins that the first folds don't reach."""
+    fit = calibration.fit_binned(_fit_counts(spark, d), ["fold_id"], min_rows=0, min_bin_count=300)
+    each = fit.select("fold_id", "status", "bin_counts", "empty_bins", "sparse_bins", F.posexplode("levels").alias("bin", "level"))
+    return each.select("fold_id", "bin", "level", F.get("bin_counts", F.col("bin")).alias("bin_count"), "empty_bins", "sparse_bins", "status")
 
 
 _ISOTONIC_SQL = _FIT_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY p, y) AS i, sum(n) OVER w AS cn, sum(n * y) OVER w AS cs FROM runs WINDOW w AS (PARTITION BY fold_id ORDER BY p, y)),

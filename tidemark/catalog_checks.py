@@ -488,6 +488,37 @@ def d33_edge_sensitivity(spark, d):
     return reports.edge_sensitivity(edge.tier_summary(edge.simulate(adapters.predictions(spark, d))))
 
 
+# ---- Metric rows with the calibration fit: SQL has no such fit, and tests compare it with plain numpy
+
+
+@query()
+def d8_full_evaluation(spark, d):
+    """The raw panel's metric rows of every grouping, with intercept, slope and the fit's status."""
+    return metrics.full_rows(metrics.by_groupings(metrics.scored(adapters.panel(spark, d))), metrics.KEYS, p="raw_probability")
+
+
+@query()
+def d26_full_method_slices(spark, d):
+    return robustness.method_slices(_predictions(spark, d), full=True)
+
+
+@query()
+def d27_full_filters(spark, d):
+    rows = _predictions(spark, d)
+    return robustness.liquidity_filters(rows, full=True).unionByName(robustness.staleness_filters(rows, full=True))
+
+
+@query()
+def d29_full_family_purge(spark, d):
+    panel, made = _folded(spark, d)
+    return robustness.family_purge(_predictions(spark, d), panel, made, full=True)
+
+
+@query()
+def d30_full_exclusions(spark, d):
+    return robustness.domain_exclusions(_predictions(spark, d), full=True)
+
+
 # ---- Audits
 
 

@@ -141,24 +141,25 @@ def fit_isotonic(data: DataFrame, key: list[str], epsilon: float = EPSILON, rang
     return blocks.groupBy(*key).applyInPandas(last, f"{kinds}, rows long, status string, thresholds array<double>, levels array<double>")
 
 
-def fit_binned(data: DataFrame, key: list[str], bins: int = 10, prior: float = 10.0, min_rows: int = MIN_ROWS, epsilon: float = EPSILON) -> DataFrame:
-    """key, rows, status, levels: bin rates drawn to the overall rate by ``prior`` rows, then monotone over the bins. Empty bins have the overall rate."""
+def fit_binned(data: DataFrame, key: list[str], bins: int = 10, prior: float = 10.0, min_rows: int = MIN_ROWS, epsilon: float = EPSILON, min_bin_count: int = 30) -> DataFrame:
+    """key, rows, status, levels, bin_counts, empty_bins, sparse_bins: bin rates drawn to the overall rate by ``prior`` rows, then monotone over the bins. Empty bins have the overall rate; the status tells whether a filled bin has fewer than ``min_bin_count`` rows."""
     kinds = ", ".join(f"{k} {data.schema[k].dataType.simpleString()}" for k in key)
     cells = data.groupBy(*key, bin_index(F.greatest(F.least(F.col("p"), F.lit(1.0)), F.lit(0.0)), bins).alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("s"))
 
     def levels(pdf: pd.DataFrame) -> pd.DataFrame:
         n, s = np.zeros(bins), np.zeros(bins)
         n[pdf["bin"]], s[pdf["bin"]] = pdf["n"], pdf["s"]
-        rows = int(n.sum())
+        rows, empty, sparse = int(n.sum()), int((n == 0).sum()), int(((n > 0) & (n < min_bin_count)).sum())
         if rows < min_rows:
             out, status = None, "fallback_too_few_rows"
         else:
             rate = np.clip((s + prior * s.sum() / n.sum()) / (n + prior), epsilon, 1 - epsilon)
             e, t, w = pool(np.arange(bins), rate * (n + prior), n + prior)
-            out, status = np.clip((t / w)[np.searchsorted(e, np.arange(bins))], epsilon, 1 - epsilon).tolist(), "fitted"
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "rows": [rows], "status": [status], "levels": [out]})
+            out, status = np.clip((t / w)[np.searchsorted(e, np.arange(bins))], epsilon, 1 - epsilon).tolist(), "fitted_with_sparse_bins" if sparse else "fitted"
+        counts = n.astype(int).tolist()
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "rows": [rows], "status": [status], "levels": [out], "bin_counts": [counts], "empty_bins": [empty], "sparse_bins": [sparse]})
 
-    return cells.groupBy(*key).applyInPandas(levels, f"{kinds}, rows long, status string, levels array<double>")
+    return cells.groupBy(*key).applyInPandas(levels, f"{kinds}, rows long, status string, levels array<double>, bin_counts array<long>, empty_bins int, sparse_bins int")
 
 
 def fit_hierarchical(data: DataFrame, key: list[str], context: tuple[str, ...], min_level_rows: int = 30, prior: float = 50.0, sweeps: int = 5, epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.expr import EPSILON, bin_index, clip, logit, sigmoid
+from tidemark.operators.keys import JoinError
 from tidemark.session import materialize
 
 GROUP = ["model_name", "grouping_name", "group_key"]
@@ -181,10 +182,24 @@ def intervals(means: DataFrame, stats: DataFrame, level: float = 0.95, min_rows:
 
 
 def paired_stats(rows: DataFrame, baseline: str = "raw", cluster: str = "event_family_id") -> DataFrame:
-    """Per group and cluster: n and the summed score differences of each model to the baseline on the same rows."""
-    raw = rows.where(F.col("model_name") == baseline).select("row_id", "grouping_name", "group_key", F.col("brier").alias("b0"), F.col("log_loss").alias("l0"))
-    both = rows.where(F.col("model_name") != baseline).join(raw, ["row_id", "grouping_name", "group_key"])
-    return both.groupBy(*GROUP, F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("brier") - F.col("b0")).alias("brier"), F.sum(F.col("log_loss") - F.col("l0")).alias("log_loss"))
+    """Per group and cluster: n and the summed score differences of each model to the baseline on the same rows.
+
+    Raises :class:`tidemark.operators.keys.JoinError` unless every model has each of the baseline's rows once: in each group both sides have as many rows as the join makes, and the same sum of their ids' hashes.
+    """
+    on = ["row_id", "grouping_name", "group_key"]
+    raw = rows.where(F.col("model_name") == baseline).select(*on, F.col("brier").alias("b0"), F.col("log_loss").alias("l0"))
+    both = rows.where(F.col("model_name") != baseline).join(raw, on)
+    stats = both.groupBy(*GROUP, F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("brier") - F.col("b0")).alias("brier"), F.sum(F.col("log_loss") - F.col("l0")).alias("log_loss"))
+    stats = materialize(stats, "paired")
+    sizes = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("own"), F.sum(F.xxhash64("row_id").cast("decimal(20,0)")).alias("mark"))
+    base = sizes.where(F.col("model_name") == baseline).select("grouping_name", "group_key", F.col("own").alias("theirs"), F.col("mark").alias("their_mark"))
+    met = stats.groupBy(*GROUP).agg(F.sum("n").alias("met"))
+    # A row a model and group: as many as the report has.
+    found = sizes.where(F.col("model_name") != baseline).join(base, ["grouping_name", "group_key"], "full").join(met, GROUP, "left")
+    same = (F.col("own") == F.col("theirs")) & (F.col("own") == F.col("met")) & (F.col("mark") == F.col("their_mark"))
+    if bad := found.where(~F.coalesce(same, F.lit(False))).first():
+        raise JoinError(f"rows of {bad['model_name']} in {bad['grouping_name']} {bad['group_key']} aren't those of {baseline}: {bad['own']} rows, {bad['theirs']} of {baseline}, {bad['met']} pairs")
+    return stats
 
 
 def sign_p_values(means: DataFrame, paired: DataFrame, metrics: tuple[str, ...] = ("brier", "log_loss")) -> DataFrame:

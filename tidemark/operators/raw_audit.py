@@ -8,13 +8,15 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.expr import brier, elapsed_seconds, seconds_between
 from tidemark.operators.asof import HISTORY, window_states
+from tidemark.operators.quantiles import with_percentiles
 
 
 def staleness_table(panel: DataFrame, column: str = "staleness_seconds", by: str = "horizon_name", limits: tuple[int, ...] = (300, 1800, 3600)) -> DataFrame:
     """Exact percentiles (linear) and the shares above limits."""
-    points = F.percentile(column, F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95, 0.99))))
-    found = panel.where(F.col(column).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("row_count"), points.alias("q"), *[F.avg((F.col(column) > x).cast("double")).alias(f"share_above_{x}") for x in limits])
-    return found.select(by, "row_count", *[F.col("q")[i].alias(n) for i, n in enumerate(("median", "p75", "p90", "p95", "p99"))], *[f"share_above_{x}" for x in limits])
+    points = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    above = [F.count_if(F.col(column) > x).alias(f"__above_{x}") for x in limits]
+    found = with_percentiles(panel.where(F.col(column).isNotNull()), [by], column, points, F.count(F.lit(1)).alias("row_count"), *above)
+    return found.select(by, "row_count", *points, *[(F.col(f"__above_{x}") / F.col("row_count")).alias(f"share_above_{x}") for x in limits])
 
 
 def method_mix(panel: DataFrame, by: str = "horizon_name") -> DataFrame:
@@ -32,7 +34,9 @@ def orientation(panel: DataFrame, p: str = "raw_probability") -> DataFrame:
 def resolution_gaps(panel: DataFrame, by: str = "horizon_name") -> DataFrame:
     """Percentiles of the time from forecast to resolution, and the share within a day."""
     gap = elapsed_seconds(F.col("forecast_ts"), F.col("resolution_ts"))
-    return panel.withColumn("gap", gap).groupBy(by).agg(F.median("gap").alias("median_gap"), F.percentile("gap", 0.9).alias("p90_gap"), F.avg((F.col("gap") <= 86400).cast("double")).alias("share_within_day"))
+    sums = [F.count("gap").alias("__n"), F.count_if(F.col("gap") <= 86400).alias("__within")]
+    found = with_percentiles(panel.withColumn("gap", gap), [by], "gap", {"median_gap": 0.5, "p90_gap": 0.9}, *sums)
+    return found.select(by, "median_gap", "p90_gap", (F.col("__within") / F.nullif(F.col("__n"), F.lit(0))).alias("share_within_day"))
 
 
 def balanced(panel: DataFrame, by: str = "horizon") -> DataFrame:
@@ -66,14 +70,20 @@ def close_semantics(panel: DataFrame, contracts: DataFrame, horizon: str = "clos
     rows = panel.where(F.col("horizon") == horizon).join(own, "contract_id", "left")
     gap = lambda a, b: elapsed_seconds(F.col(a), F.col(b))
     share = lambda c: F.avg(c.cast("double"))
-    price = F.percentile(gap("price_timestamp", "resolution_ts"), F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
     stale = F.col("staleness_seconds")
     found = rows.groupBy("snapshot_method").agg(
-        F.count(F.lit(1)).alias("row_count"), F.median(gap("forecast_ts", "resolution_ts")).alias("median_to_forecast"), price.alias("q"), F.median(gap("last_trade_ts", "resolution_ts")).alias("median_to_last_trade"),
-        share(F.col("price_timestamp") < F.col("forecast_ts")).alias("share_price_before_forecast"), share(F.col("price_timestamp") == F.col("forecast_ts")).alias("share_price_at_forecast"), share(stale > flag_above).alias("share_flagged"),
-        (F.count("__end") > 0).alias("contract_resolution_there"), share(F.col("resolution_ts") == F.col("__end")).alias("share_same_resolution"), F.median(gap("price_timestamp", "__end")).alias("median_contract_end_to_price"),
-        (F.count("__close") > 0).alias("close_time_there"), F.median(gap("__close", "resolution_ts")).alias("median_close_to_resolution"), F.median(gap("price_timestamp", "__close")).alias("median_close_to_price"),
+        F.count(F.lit(1)).alias("row_count"), share(F.col("price_timestamp") < F.col("forecast_ts")).alias("share_price_before_forecast"), share(F.col("price_timestamp") == F.col("forecast_ts")).alias("share_price_at_forecast"),
+        share(stale > flag_above).alias("share_flagged"), (F.count("__end") > 0).alias("contract_resolution_there"), share(F.col("resolution_ts") == F.col("__end")).alias("share_same_resolution"), (F.count("__close") > 0).alias("close_time_there"),
         *[share(stale > x).alias(f"share_above_{x}") for x in limits],
     )
-    names = ("median_to_price", "p90_to_price", "p95_to_price", "p99_to_price")
-    return found.select(*[c for c in found.columns if c != "q"], *[F.col("q")[k].alias(n) for k, n in enumerate(names)])
+    # All gaps are one column with the gap's name as a further key.
+    gaps = {
+        "to_forecast": gap("forecast_ts", "resolution_ts"), "to_price": gap("price_timestamp", "resolution_ts"), "to_last_trade": gap("last_trade_ts", "resolution_ts"),
+        "contract_end_to_price": gap("price_timestamp", "__end"), "close_to_resolution": gap("__close", "resolution_ts"), "close_to_price": gap("price_timestamp", "__close"),
+    }
+    long = rows.select("snapshot_method", F.explode(F.array(*[F.struct(F.lit(n).alias("gap"), g.alias("seconds")) for n, g in gaps.items()])).alias("x")).select("snapshot_method", "x.*")
+    each = with_percentiles(long, ["snapshot_method", "gap"], "seconds", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    wide = each.groupBy(F.col("snapshot_method").alias("__method")).agg(
+        *[F.max(F.when(F.col("gap") == n, F.col("median"))).alias(f"median_{n}") for n in gaps], *[F.max(F.when(F.col("gap") == "to_price", F.col(p))).alias(f"{p}_to_price") for p in ("p90", "p95", "p99")]
+    )
+    return found.join(wide, F.col("snapshot_method").eqNullSafe(F.col("__method")), "left").drop("__method")

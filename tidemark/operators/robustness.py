@@ -9,33 +9,36 @@ from pyspark.sql.window import Window
 from tidemark.functions.expr import bin_index, brier, log_loss
 from tidemark.operators.edge import EdgeConfig, simulate, tier_summary
 from tidemark.operators.folds import leakage
-from tidemark.operators.metrics import metric_rows
+from tidemark.operators.metrics import full_rows, metric_rows
 from tidemark.operators.snapshots import Horizon, candidates, snapshot_panel
 
 
-def _metrics(rows: DataFrame, *keys: str) -> DataFrame:
+def _metrics(rows: DataFrame, *keys: str, full: bool = False) -> DataFrame:
+    """Means by ``keys``; with ``full`` the whole metric rows, the calibration fit's intercept, slope and status among them."""
+    if full:
+        return full_rows(rows, list(keys))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.avg("brier").alias("mean_brier"), F.avg("log_loss").alias("mean_log_loss"))
 
 
-def method_slices(rows: DataFrame) -> DataFrame:
-    return _metrics(rows, "model_name", "snapshot_method")
+def method_slices(rows: DataFrame, full: bool = False) -> DataFrame:
+    return _metrics(rows, "model_name", "snapshot_method", full=full)
 
 
-def filter_grid(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
+def filter_grid(rows: DataFrame, filters: dict[str, Column], full: bool = False) -> DataFrame:
     """Per model and filter: metrics of the rows it keeps; a filter that keeps none has status empty_after_filter. One pass for all filters."""
     names = list(filters)
     tagged = rows.withColumn("filter_name", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in filters.items()]))))
     models = rows.select("model_name").distinct().withColumn("filter_name", F.explode(F.array(*map(F.lit, names))))
-    found = models.join(_metrics(tagged, "model_name", "filter_name"), ["model_name", "filter_name"], "left")
+    found = models.join(_metrics(tagged, "model_name", "filter_name", full=full), ["model_name", "filter_name"], "left")
     return found.withColumn("row_count", F.coalesce("row_count", F.lit(0))).withColumn("status", F.when(F.col("row_count") == 0, "empty_after_filter").otherwise("ok"))
 
 
-def liquidity_filters(rows: DataFrame, minima: tuple[float, ...] = (0.0, 20000.0, 60000.0, 1e9)) -> DataFrame:
-    return filter_grid(rows, {f"liquidity>={m:g}": F.col("liquidity") >= m for m in minima})
+def liquidity_filters(rows: DataFrame, minima: tuple[float, ...] = (0.0, 20000.0, 60000.0, 1e9), full: bool = False) -> DataFrame:
+    return filter_grid(rows, {f"liquidity>={m:g}": F.col("liquidity") >= m for m in minima}, full)
 
 
-def staleness_filters(rows: DataFrame, maxima: tuple[float, ...] = (3600.0, 1800.0, 600.0, -1.0)) -> DataFrame:
-    return filter_grid(rows, {f"staleness<={m:g}": F.col("staleness_seconds") <= m for m in maxima})
+def staleness_filters(rows: DataFrame, maxima: tuple[float, ...] = (3600.0, 1800.0, 600.0, -1.0), full: bool = False) -> DataFrame:
+    return filter_grid(rows, {f"staleness<={m:g}": F.col("staleness_seconds") <= m for m in maxima}, full)
 
 
 def weighting_sensitivity(rows: DataFrame, keys: list[str], bins: int = 10, min_count: int = 5, volume: str = "cumulative_volume") -> DataFrame:
@@ -67,12 +70,12 @@ def purged(rows: DataFrame, panel: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.withColumn("variant", F.lit("all")).unionByName(left.withColumn("variant", F.lit("purged")))
 
 
-def family_purge(rows: DataFrame, panel: DataFrame, folds: DataFrame) -> DataFrame:
+def family_purge(rows: DataFrame, panel: DataFrame, folds: DataFrame, full: bool = False) -> DataFrame:
     """Per model the metrics of both variants."""
-    return _metrics(purged(rows, panel, folds), "model_name", "variant")
+    return _metrics(purged(rows, panel, folds), "model_name", "variant", full=full)
 
 
-def domain_exclusions(rows: DataFrame) -> DataFrame:
+def domain_exclusions(rows: DataFrame, full: bool = False) -> DataFrame:
     """Per model and rule: metrics of the rows outside the excluded ones; a rule that excludes none is not_applicable."""
     rules = {
         "no_sports": F.col("is_sports"), "no_ambiguous": F.col("taxonomy_ambiguous"), "no_low_confidence": F.col("taxonomy_confidence") == "low",
@@ -80,7 +83,7 @@ def domain_exclusions(rows: DataFrame) -> DataFrame:
     }
     rules["strict"] = rules["no_sports"] | rules["no_ambiguous"] | rules["no_low_confidence"]
     hit = {k: F.coalesce(c, F.lit(False)) for k, c in rules.items()}
-    kept = filter_grid(rows, {k: ~c for k, c in hit.items()})
+    kept = filter_grid(rows, {k: ~c for k, c in hit.items()}, full)
     out = rows.groupBy("model_name").agg(*[F.count_if(c).alias(k) for k, c in hit.items()])
     out = out.select("model_name", F.explode(F.array(*[F.struct(F.lit(k).alias("filter_name"), F.col(k).alias("excluded")) for k in hit])).alias("x")).select("model_name", "x.*")
     return kept.drop("status").join(out, ["model_name", "filter_name"]).withColumn("status", F.when(F.col("excluded") == 0, "not_applicable").when(F.col("row_count") == 0, "empty_after_filter").otherwise("ok"))
@@ -92,11 +95,11 @@ def friction_scenarios(predictions: DataFrame, rates: tuple[float, ...] = (0.0,
     return tier_summary(rows, {x: F.col("net_edge") >= x for x in edges}, ("fee_rate",)).withColumnRenamed("scenario", "min_net_edge")
 
 
-def full_slices(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
+def full_slices(rows: DataFrame, filters: dict[str, Column], full: bool = False) -> DataFrame:
     """model_name, filter_name, the full metric rows of what each filter keeps, and a status; filters that keep nothing stay."""
     tagged = rows.withColumn("filter_name", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in filters.items()]))))
     every = rows.select("model_name").distinct().withColumn("filter_name", F.explode(F.array(*map(F.lit, filters))))
-    found = every.join(metric_rows(tagged, ["model_name", "filter_name"]), ["model_name", "filter_name"], "left")
+    found = every.join((full_rows if full else metric_rows)(tagged, ["model_name", "filter_name"]), ["model_name", "filter_name"], "left")
     return found.withColumn("row_count", F.coalesce("row_count", F.lit(0))).withColumn("status", F.when(F.col("row_count") == 0, "empty_after_filter").otherwise("computed"))
 
 
