@@ -222,3 +222,15 @@ def test_sharding_repeated_rows_use_pages(make):
     placed = sharding.assign_shards(make(docs), 100)
     assert placed.count() == 531 and placed.columns == [c for c in make(docs).columns if c != "shard_id"] + ["shard_id"]
     assert sharding.shard_ids(make([]), 100).count() == 0
+
+
+def test_overflow_pages_stay_in_their_partitions(spark):
+    """A repeated id beyond a shard's limit, with shuffled joins on the directory: its rows are paged where they were read."""
+    rows = spark.range(4000).selectExpr("CAST(7 AS LONG) AS doc_id", "repeat('x', 100) AS text").repartition(4)
+    got = sharding.shard_ids(rows, 5000, max_broadcast_cells=0)
+    found = got.collect()
+    pages = {}
+    for r in found:
+        pages.setdefault(r.shard_id, []).append(r.n_bytes)
+    assert len(found) == 4000 and all(sum(x) <= 5000 for x in pages.values())
+    assert len({p.split(":")[2].split(".")[0] for p in pages}) > 1

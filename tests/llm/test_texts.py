@@ -63,11 +63,23 @@ def test_context_flips_a_result():
     assert low < plain < high and low == 0.4
 
 
+def test_every_country_of_the_registry():
+    """An IBAN with the right check digits is found in each country, and not with others or another length."""
+    for country, length in pii.IBAN_LENGTH.items():
+        body = "1" * (length - 4)
+        rest = int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        iban = f"{country}{98 - rest:02d}{body}"
+        assert [x[:3] for x in pii.spans_of(f"iban {iban} ok") if x[0] == "iban"] == [("iban", 5, 5 + length)], country
+        assert not [x for x in pii.spans_of(f"iban {country}{(98 - rest) % 97 + 1:02d}{body}") if x[0] == "iban" and (98 - rest) % 97 + 1 != 98 - rest]
+        assert not [x for x in pii.spans_of(f"iban {iban}1") if x[0] == "iban"]
+
+
 def test_query_has_scores(spark):
     from tidemark.llm import queries
 
     rows = queries.op6_pii(spark, "/root/testdata/sf0.001").collect()
     assert any(r.scores for r in rows)
+    assert list(rows[0].asDict())[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     assert all(len(r.scores.split(",")) == len(r.spans.split(",")) for r in rows)
 
 

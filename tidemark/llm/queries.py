@@ -109,9 +109,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(of((k,))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = {k: F.size(of((k,))).cast("long").alias(f"n_{k}") for k in KINDS}
     scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
-    return found.select("doc_id", *counts, F.sha2(listed(of(BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), scores.alias("scores"))
+    more = [c for k, c in counts.items() if k not in BASE]
+    return found.select("doc_id", *[counts[k] for k in BASE], F.sha2(listed(of(BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), scores.alias("scores"), *more)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

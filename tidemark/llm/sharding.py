@@ -64,6 +64,8 @@ def _directories(rows: DataFrame, limit: int, max_broadcast_cells: int) -> tuple
 
 def _placed(rows: DataFrame, levels: list[tuple[int, DataFrame, bool]], full: bool, limit: int) -> DataFrame:
     """rows (with __h and __bytes) with __shard and __depth: each row looks its prefix up, level by level; only overflow pages need the rows of a bucket together, and those of one input partition at a time."""
+    if full:  # numbered where they are read, before a join brings the rows of an id together
+        rows = rows.withColumn("__part", F.spark_partition_id())
     depth = F.lit(None).cast("int")
     for k, (bits, found, small) in enumerate(levels):
         found = found.select(F.col("cell").alias(f"__cell{k}"), F.col("depth").cast("int").alias(f"__depth{k}"))
@@ -73,13 +75,13 @@ def _placed(rows: DataFrame, levels: list[tuple[int, DataFrame, bool]], full: bo
     placed = rows.withColumn("__shard", F.expr(f"concat(__depth, ':', shiftright(__h, {HASH_BITS} - __depth))"))
     if not full:
         return placed
-    return placed.where("__depth IS NOT NULL").unionByName(_pages(rows.where("__depth IS NULL"), limit))
+    return placed.where("__depth IS NOT NULL").drop("__part").unionByName(_pages(rows.where("__depth IS NULL"), limit))
 
 
 def _pages(full: DataFrame, limit: int) -> DataFrame:
-    """Overflow pages of buckets that have used up all bits. Numbering runs within input partitions, so no bucket meets in one task."""
+    """Overflow pages of buckets that have used up all bits. Numbering runs within the partitions that rows were read in (__part), so no bucket meets in one task."""
     part = Window.partitionBy("__h", "__part")
-    numbered = full.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.row_number().over(part.orderBy("__bytes")) - 1).withColumn("__most", F.max("__bytes").over(part))
+    numbered = full.withColumn("__row", F.row_number().over(part.orderBy("__bytes")) - 1).withColumn("__most", F.max("__bytes").over(part))
     page = F.floor(F.col("__row") / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("__most"), F.lit(1)))))
     paged = numbered.withColumn("__depth", F.lit(HASH_BITS)).withColumn("__shard", F.concat(F.lit(f"{HASH_BITS}:"), F.col("__h"), F.lit(":"), F.col("__part"), F.lit("."), page))
     return paged.drop("__part", "__row", "__most")
