@@ -7,7 +7,7 @@ import pytest
 
 from tidemark.functions import expr
 from tidemark.operators import edge, metrics
-from tidemark.sources import readers
+from tidemark.sources import readers, sinks
 
 
 @pytest.mark.parametrize(("text", "size", "again"), [("7d", 604800, "7d"), ("6h", 21600, "6h"), ("90m", 5400, "90m"), ("close", 60, "1m"), ("48h", 172800, "2d")])
@@ -58,3 +58,50 @@ def test_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
     assert found["b.csv"].columns == ["id", "the price"] and found["b.csv"].missing == ["price"]
     assert all(found[n].columns == ["id", "price"] and found[n].missing == [] for n in ("c.tsv", "d.jsonl", "e.json"))
     assert found["broken.parquet"].columns is None and found["big.bin"].columns is None and found["big.bin"].rows is None
+
+
+def test_batches_are_appended_once(spark, tmp_path):
+    path = str(tmp_path / "table")
+    ids = lambda: sorted(r.id for r in sinks.read_batches(spark, path).collect())
+    with pytest.raises(ValueError):
+        sinks.read_batches(spark, path)
+    assert sinks.append_batch(spark.range(3), path, "a") and sinks.append_batch(spark.range(3, 5), path, "b")
+    assert not sinks.append_batch(spark.range(100, 200), path, "a")  # sent again: no effect, whatever it holds
+    assert ids() == [0, 1, 2, 3, 4]
+    spark.range(50, 60).write.parquet(f"{path}/data/c-lost")  # a job that was lost before its commit
+    assert ids() == [0, 1, 2, 3, 4]
+    assert sinks.append_batch(spark.range(5, 6), path, "c") and ids() == [0, 1, 2, 3, 4, 5]
+    assert sinks.sweep_batches(spark, path) == 1 and sinks.sweep_batches(spark, path) == 0 and ids() == [0, 1, 2, 3, 4, 5]
+    for bad in ("", "../x", "a/b", ".hidden"):
+        with pytest.raises(ValueError):
+            sinks.append_batch(spark.range(1), path, bad)
+
+
+def test_only_one_of_two_writers_commits(spark, tmp_path, monkeypatch):
+    """A second writer of the same batch that finds no manifest at first, and one as it commits."""
+    path, real, seen = str(tmp_path / "race"), sinks._files, []
+
+    def files(session, where):
+        found = real(session, where)
+        if where.endswith("/a") and not seen:
+            seen.append(1)
+            sinks_path = f"{path}/data/a-first"
+            session.range(2).write.parquet(sinks_path)
+            class Late:
+                def __getattr__(self, name):
+                    return getattr(found[1], name)
+
+                def exists(self, which, first=[True]):  # noqa: B006
+                    if first and first.pop():
+                        out = found[1].create(found[0], False)
+                        out.write(bytearray(b"a-first"))
+                        out.close()
+                        return False
+                    return found[1].exists(which)
+
+            return found[0], Late()
+        return found
+
+    monkeypatch.setattr(sinks, "_files", files)
+    assert not sinks.append_batch(spark.range(10), path, "a")
+    assert sorted(r.id for r in sinks.read_batches(spark, path).collect()) == [0, 1] and sinks.sweep_batches(spark, path) == 0

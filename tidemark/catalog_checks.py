@@ -46,6 +46,18 @@ def s3_read_quotes(spark, d):
     return readers.read_quotes(spark, _market_files(spark, d)).groupBy("ticker").agg(F.max("no_bid").alias("no_bid"))
 
 
+@query(f"WITH {sql.PANEL} SELECT row_id, contract_id, horizon_name, forecast_ts, {r('raw_probability')} AS raw_probability, observed_outcome FROM panel")
+def s12_append(spark, d):
+    """The panel in three batches, one of which is sent twice, and a batch that was staged and never committed."""
+    rows = adapters.panel(spark, d).select("row_id", "contract_id", "horizon_name", "forecast_ts", "raw_probability", "observed_outcome")
+    path = shared_path(spark, "appended")
+    batch = lambda k: rows.where(F.pmod(F.xxhash64("row_id"), F.lit(3)) == k)
+    for k in (0, 1, 1, 2):
+        sinks.append_batch(batch(k), path, f"batch-{k}")
+    batch(2).write.parquet(f"{path}/data/batch-3-lost")
+    return sinks.read_batches(spark, path)
+
+
 #: Which tables have a name and a region's key.
 _FIELDS = {"region": ("n_name", "n_regionkey"), "nation": ("n_name", "n_regionkey")}
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

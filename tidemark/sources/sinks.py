@@ -1,14 +1,17 @@
-"""Sinks: distributed parquet, and small report tables as CSV, Markdown or LaTeX with a JSON summary."""
+"""Sinks: distributed parquet, batches that are appended once, and small report tables as CSV, Markdown or LaTeX with a JSON summary."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import subprocess
+import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 MAX_REPORT_ROWS = 10_000
 
@@ -18,6 +21,67 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+#: Folders of an appended table: the batches' files, and a manifest for each batch that counts.
+_DATA, _MANIFESTS = "data", "_manifests"
+
+
+def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """A path of the store and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def append_batch(df: DataFrame, path: str, batch_id: str) -> bool:
+    """Appends a batch to a table; whether it had any effect. A batch whose id was committed before has none, so a job that was cut off or run twice can send its batches again.
+
+    The rows are staged in a folder of their own; the batch counts from the moment its manifest is there, which names that folder and which only one writer can create. Readers (:func:`read_batches`) see whole batches only, whatever a lost job has left behind.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch_id):
+        raise ValueError(f"a batch id has letters, digits, dots, dashes and underscores: {batch_id!r}")
+    spark = df.sparkSession
+    manifest, files = _files(spark, f"{path}/{_MANIFESTS}/{batch_id}")
+    if files.exists(manifest):
+        return False
+    folder = f"{batch_id}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{_DATA}/{folder}")
+    try:
+        out = files.create(manifest, False)
+    except Py4JJavaError as error:
+        if not files.exists(manifest):
+            raise error
+        staged, files = _files(spark, f"{path}/{_DATA}/{folder}")  # another writer was first
+        files.delete(staged, True)
+        return False
+    out.write(bytearray(folder.encode()))
+    out.close()
+    return True
+
+
+def committed_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders of all batches that count: a short line a batch."""
+    manifests, files = _files(spark, f"{path}/{_MANIFESTS}")
+    return sorted(r["value"] for r in spark.read.text(str(manifests)).collect()) if files.exists(manifests) else []
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed batches, and nothing else. Raises without any."""
+    folders = committed_folders(spark, path)
+    if not folders:
+        raise ValueError(f"no batch was committed to {path}")
+    return spark.read.parquet(*[f"{path}/{_DATA}/{x}" for x in folders])
+
+
+def sweep_batches(spark: SparkSession, path: str) -> int:
+    """Deletes what lost jobs have staged and not committed, and tells how many folders went. Not to be run while batches are written."""
+    data, files = _files(spark, f"{path}/{_DATA}")
+    known, gone = set(committed_folders(spark, path)), 0
+    for status in files.listStatus(data) if files.exists(data) else ():
+        if status.getPath().getName() not in known:
+            files.delete(status.getPath(), True)
+            gone += 1
+    return gone
+
+
 def _cell(x: Any) -> str:
     return "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
 
