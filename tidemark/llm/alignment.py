@@ -44,7 +44,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import materialize, shuffles_freed, work_dir
 from tidemark.llm.tokencount import _byte_letters
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Groups with more links than this are linked by different ids, with how often each occurs.
 MAX_PRODUCT = 4096
 #: White space that a cut may stand before, if both vocabularies allow it.
