@@ -81,14 +81,26 @@ def plain_isotonic(pairs):
     return [b[0] for b in blocks], [min(max(t / w, EPS), 1 - EPS) for _, t, w in blocks]
 
 
-@pytest.mark.parametrize("runs", [1 << 16, 50, 3])
-def test_isotonic_in_ranges_and_trees(spark, runs, monkeypatch):
+@pytest.fixture
+def ranges(spark, request):
+    """So many sorted ranges, none of them put together."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 30], indirect=True)
+def test_isotonic_in_ranges_and_trees(spark, ranges, monkeypatch):
     monkeypatch.setattr(calibration, "FANIN", 4)
     rng = random.Random(9)
     data = {f: [(q := rng.random() ** 2, int(rng.random() < q)) for _ in range(700)] for f in ("a", "b")}
     data["b"] += [(0.5, 0), (0.5, 1), (0.5, 1), (0.0, 1), (1.0, 0)]
+    data["close"] = [(0.5 + k * 1e-9, int(rng.random() < 0.3 + k / 2000)) for k in range(600)]  # prices that no grid tells apart
     df = spark.createDataFrame([(f, p, y) for f, x in data.items() for p, y in x], "fold_id string, raw_probability double, observed_outcome int")
-    fits = calibration.fit_isotonic(calibration.compress(df, ["fold_id"]), ["fold_id"], range_runs=runs)
+    fits = calibration.fit_isotonic(calibration.compress(df, ["fold_id"]), ["fold_id"])
     for r in fits.collect():
         thresholds, levels = plain_isotonic(data[r.fold_id])
         # Blocks of equal means may be cut differently; what they predict is the same.
@@ -103,7 +115,8 @@ def test_isotonic_in_ranges_and_trees(spark, runs, monkeypatch):
         assert math.isclose(r.prediction, levels[min(np.searchsorted(thresholds, x), len(levels) - 1)], rel_tol=1e-9)
 
 
-def test_hierarchical_against_numpy(spark):
+@pytest.mark.parametrize("max_state", [1 << 20, 0])
+def test_hierarchical_against_numpy(spark, max_state):
     rng = random.Random(4)
     raw = []
     for _ in range(1500):
@@ -112,7 +125,7 @@ def test_hierarchical_against_numpy(spark):
         raw.append(("f", p, int(rng.random() < min(0.98, p + {"x": 0.15, "y": -0.05, "z": 0.0, None: 0.0}[level])), level))
     raw += [("f", 0.5, 1, "rare")] * 5
     df = spark.createDataFrame(raw, "fold_id string, raw_probability double, observed_outcome int, domain string")
-    base, offsets = calibration.fit_hierarchical(calibration.compress(df, ["fold_id"], context=("domain",)), ["fold_id"], ("domain",))
+    base, offsets = calibration.fit_hierarchical(calibration.compress(df, ["fold_id"], context=("domain",)), ["fold_id"], ("domain",), max_state=max_state)
     c, _, _ = plain_newton([r[1] for r in raw], [r[2] for r in raw])
     assert np.allclose(base.first().c, c, rtol=1e-7)
     p, y = np.array([r[1] for r in raw]), np.array([r[2] for r in raw])
@@ -128,6 +141,18 @@ def test_hierarchical_against_numpy(spark):
     assert set(got) == {"x", "y", "z"} and all(math.isclose(got[k], found[k], rel_tol=1e-6, abs_tol=1e-9) for k in got)
 
 
+def test_backfitting_in_a_task_and_over_the_cluster_agree(spark):
+    """Two context columns, several folds, null and small levels: the sweeps inside a task and those of Spark's aggregates."""
+    rng = random.Random(12)
+    raw = [(f, rng.choice([0.1, 0.4, 0.7]), int(rng.random() < 0.45), rng.choice(["x", "y", None]), rng.choice(["1d", "7d"])) for f in ("a", "b") for _ in range(500)] + [("c", 0.5, 1, "x", "1d")] * 3
+    df = spark.createDataFrame(raw, "fold_id string, raw_probability double, observed_outcome int, domain string, horizon_name string")
+    data = calibration.compress(df, ["fold_id"], context=("domain", "horizon_name"))
+    rows = lambda n: {(r.fold_id, r.column, r.level): r.offset for r in calibration.fit_hierarchical(data, ["fold_id"], ("domain", "horizon_name"), max_state=n)[1].collect()}
+    inside, outside, mixed = rows(1 << 20), rows(0), rows(8)
+    assert len(inside) == 8 and set(inside) == set(outside) == set(mixed)
+    assert all(math.isclose(inside[k], x[k], rel_tol=1e-9, abs_tol=1e-12) for x in (outside, mixed) for k in inside)
+
+
 def test_exact_percentiles(spark):
     rng = random.Random(1)
     data = {"a": [rng.gauss(0, 5) for _ in range(60_001)], "b": [7.0] * 50, "c": [1.0], None: [rng.choice([0.0, 1.0, 1.5]) for _ in range(400)], "e": [None, 2.0, 4.0]}

@@ -412,7 +412,7 @@ fitted AS (SELECT DISTINCT fold_id, p, first_value(level) OVER (PARTITION BY fol
 def m6_isotonic(spark, d):
     data = materialize(_fit_counts(spark, d), "fit-counts")
     points = data.select("fold_id", "p").distinct()
-    found = calibration.predict_isotonic(points.join(F.broadcast(calibration.fit_isotonic(data, ["fold_id"])), "fold_id"), p="p")
+    found = calibration.predict_isotonic(points.join(calibration.broadcast_if_small(materialize(calibration.fit_isotonic(data, ["fold_id"]), "isotonic")), "fold_id"), p="p")
     return found.select("fold_id", "p", "prediction")
 
 

@@ -2,17 +2,20 @@
 
 Logistic fits (Platt, beta, the calibration diagnostic) are Newton steps whose gradient and Hessian are one aggregate
 per step over the compressed rows (fold, p, y, n); the driver solves a 2 x 2 or 3 x 3 system per fold. Isotonic fits
-pool violators within ranges of p and then the blocks of all ranges, which gives the same blocks as one pass.
+join the convex minorants of sorted ranges, which gives the same blocks as one pass.
 Predictions are expressions over a broadcast table of parameters, one row per fold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.expr import EPSILON, bin_index, clip, logit, sigmoid
 from tidemark.session import materialize
@@ -106,38 +109,95 @@ def pool(ends: np.ndarray, totals: np.ndarray, weights: np.ndarray) -> tuple[np.
 
 
 MAX_BROADCAST_BLOCKS = 1 << 20
-#: A pandas group holds about so many runs of a fold.
-RANGE_RUNS, PRICE_CELLS, FANIN = 1 << 16, 4096, 64
+#: Ranges whose minorants are joined in one task.
+FANIN = 64
+Blocks = tuple[list[float], list[int], list[float], list[float]]
+
+
+def _push(blocks: Blocks, end: float, outcome: int, total: float, weight: float) -> bool:
+    """Puts a block behind the others and pools while the left mean is strictly above the right; whether any was pooled."""
+    e, y, t, w = blocks
+    n = len(t)
+    while t and t[-1] * weight > total * w[-1]:
+        total, weight = total + t.pop(), weight + w.pop()
+        e.pop()
+        y.pop()
+    for x, v in zip(blocks, (end, outcome, total, weight), strict=True):
+        x.append(v)
+    return len(t) <= n
+
+
+def join_blocks(left: Blocks, right: Blocks) -> Blocks:
+    """Joins the blocks (ends, outcome of the end, totals, weights) of two neighbouring ranges in ``left``: their joint minorant. Only blocks under the common tangent are pooled; from the first block of the right side that stands as it is on, the right side is taken over whole."""
+    for k, block in enumerate(zip(*right, strict=True)):
+        if not _push(left, *block):
+            for x, rest in zip(left, right, strict=True):
+                x.extend(rest[k + 1 :])
+            break
+    return left
+
 
+def broadcast_if_small(blocks: DataFrame) -> DataFrame:
+    """A written table of blocks (levels), for a broadcast if it has MAX_BROADCAST_BLOCKS at most."""
+    size = blocks.agg(F.coalesce(F.sum(F.size("levels")), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(blocks) if size <= MAX_BROADCAST_BLOCKS else blocks
 
-def fit_isotonic(data: DataFrame, key: list[str], epsilon: float = EPSILON, range_runs: int = RANGE_RUNS) -> DataFrame:
+
+def fit_isotonic(data: DataFrame, key: list[str], epsilon: float = EPSILON) -> DataFrame:
     """key, rows, status, thresholds, levels. Equal prices aren't pooled: the zeros of a price come before its ones.
 
-    A fold's runs are pooled within ranges of price that hold about ``range_runs`` runs each, and the blocks of neighbouring ranges are merged in a tree, which gives the blocks of one pass.
+    Runs are sorted by key, price and outcome in ranges, however close their prices are. A task keeps the minorant of a key's runs in its range, which is its blocks, batch by batch; the minorants of neighbouring ranges are joined in a tree, and blocks are all that is shuffled.
     """
     kinds = ", ".join(f"{k} {data.schema[k].dataType.simpleString()}" for k in key)
-    runs = data.select(*key, clip(F.col("p"), epsilon).alias("p"), "y", "n").withColumn("cell", bin_index(F.col("p"), PRICE_CELLS))
-    before = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = runs.groupBy(*key, "cell").count().select(*key, "cell", F.floor(F.coalesce(F.sum("count").over(before), F.lit(0)) / range_runs).cast("int").alias("part"))
-    # A row per fold and filled cell: no more than folds x PRICE_CELLS.
-    blocks = runs.join(F.broadcast(cells), [*key, "cell"]).select(*key, "part", F.col("y").cast("int").alias("at"), "p", (F.col("y") * F.col("n")).cast("double").alias("t"), F.col("n").cast("double").alias("w"))
-    parts = cells.agg(F.max("part").alias("n")).first()["n"]
     shape = f"{kinds}, part int, at int, p double, t double, w double"
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Blocks of one range end at rising prices; a price may end a block of zeros and one of ones.
-        pdf = pdf.sort_values(["p", "at"], kind="stable")
-        e, t, w = pool(pdf["p"].to_numpy(), pdf["t"].to_numpy(), pdf["w"].to_numpy())
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "part": pdf["part"].iloc[0] // FANIN, "at": np.arange(len(e), dtype=np.int32), "p": e, "t": t, "w": w})
+    runs = data.select(*key, clip(F.col("p"), epsilon).cast("double").alias("p"), F.col("y").cast("int").alias("y"), F.col("n").cast("double").alias("n"))
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, mine, held, kinds = TaskContext.get().partitionId(), None, ([], [], [], []), []
+
+        def result() -> pa.RecordBatch:
+            n = len(held[0])
+            columns = [*[pa.array([v] * n, kind) for v, kind in zip(mine, kinds, strict=True)], pa.array([part] * n, pa.int32()), pa.array(held[1], pa.int32()), *[pa.array(held[k], pa.float64()) for k in (0, 2, 3)]]
+            return pa.RecordBatch.from_arrays(columns, [*key, "part", "at", "p", "t", "w"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in range(len(key))]
+            keys = list(zip(*[batch.column(k).to_pylist() for k in range(len(key))], strict=True))
+            p, y, n = (batch.column(len(key) + k).to_numpy() for k in range(3))
+            cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)] if keys else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if keys[a] != mine:
+                    if mine is not None:
+                        yield result()
+                    mine, held = keys[a], ([], [], [], [])
+                for end, outcome, weight in zip(p[a:b].tolist(), y[a:b].tolist(), n[a:b].tolist(), strict=True):
+                    _push(held, end, outcome, outcome * weight, weight)
+        if mine is not None:
+            yield result()
+
+    blocks = runs.orderBy(*key, "p", "y").mapInArrow(pooled, shape)
+    parts = max(1, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = materialize(blocks, "blocks")
+
+    def merged(pdf: pd.DataFrame) -> Blocks:
+        held: Blocks = ([], [], [], [])
+        for _, one in pdf.groupby("part", sort=True):
+            one = one.sort_values(["p", "at"], kind="stable")
+            held = join_blocks(held, tuple(one[c].tolist() for c in ("p", "at", "t", "w")))
+        return held
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        e, y, t, w = merged(pdf)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "part": pdf["part"].iloc[0] // FANIN, "at": np.array(y, np.int32), "p": e, "t": t, "w": w})
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, t, w = (merged(pdf)[c].to_numpy() for c in ("p", "t", "w"))
-        levels = np.clip(t / w, epsilon, 1 - epsilon)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "rows": [int(w.sum())], "status": ["fitted"], "thresholds": [e.tolist()], "levels": [levels.tolist()]})
+        e, _, t, w = merged(pdf)
+        levels = np.clip(np.array(t) / np.array(w), epsilon, 1 - epsilon)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "rows": [int(sum(w))], "status": ["fitted"], "thresholds": [e], "levels": [levels.tolist()]})
 
-    while (parts or 0) > 0:
-        blocks = blocks.groupBy(*key, "part").applyInPandas(merged, shape)
-        parts //= FANIN
+    while parts > FANIN:
+        blocks = blocks.groupBy(*key, F.floor(F.col("part") / FANIN).alias("__at")).applyInPandas(joined, shape)
+        parts = -(-parts // FANIN)
     return blocks.groupBy(*key).applyInPandas(last, f"{kinds}, rows long, status string, thresholds array<double>, levels array<double>")
 
 
@@ -162,26 +222,60 @@ def fit_binned(data: DataFrame, key: list[str], bins: int = 10, prior: float = 1
     return cells.groupBy(*key).applyInPandas(levels, f"{kinds}, rows long, status string, levels array<double>, bin_counts array<long>, empty_bins int, sparse_bins int")
 
 
-def fit_hierarchical(data: DataFrame, key: list[str], context: tuple[str, ...], min_level_rows: int = 30, prior: float = 50.0, sweeps: int = 5, epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
-    """Experimental. Platt, plus shrunken logit offsets of each context level, fitted in turn. Returns (platt parameters, key + column, level, offset); small levels have none. data: compressed with the context columns."""
-    spark = data.sparkSession
+#: Compressed rows of a key that one task sweeps over; keys with more are swept over by Spark, an aggregate a step.
+MAX_STATE = 1 << 20
+
+
+def fit_hierarchical(data: DataFrame, key: list[str], context: tuple[str, ...], min_level_rows: int = 30, prior: float = 50.0, sweeps: int = 5, epsilon: float = EPSILON, max_state: int = MAX_STATE) -> tuple[DataFrame, DataFrame]:
+    """Experimental. Platt, plus shrunken logit offsets of each context level, fitted in turn. Returns (platt parameters, key + column, level, offset); small levels have none. data: compressed with the context columns.
+
+    A key's state is its counts by logit, outcome and levels; the sweeps run inside it where it has at most ``max_state`` rows. Nothing goes through the driver.
+    """
     base = fit_logistic(compress_again(data, key), key, "platt", epsilon=epsilon)
-    plain = predict_logistic(data.join(F.broadcast(base), key, "left"), "platt", epsilon, p="p").withColumn("eta", logit(clip(F.col("prediction"), epsilon)))
-    plain = materialize(plain, "base-fit")
+    plain = predict_logistic(data.join(F.broadcast(base.select(*key, "c")), key, "left"), "platt", epsilon, p="p")
+    levels = [F.col(c).cast("string").alias(c) for c in context]
+    state = materialize(plain.groupBy(*key, logit(clip(F.col("prediction"), epsilon)).alias("eta"), F.col("y").cast("double").alias("y"), *levels).agg(F.sum("n").cast("double").alias("n")), "states")
     names = ", ".join(f"{k} {data.schema[k].dataType.simpleString()}" for k in key)
     schema = f"{names}, column string, level string, offset double"
-    offsets: dict[tuple, float] = {}
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        eta, y, n = (pdf[c].to_numpy(float) for c in ("eta", "y", "n"))
+        shift, found = np.zeros(len(pdf)), {}
+        coded = {c: pd.factorize(pdf[c]) for c in context}  # a null level is -1
+        offsets = {c: np.zeros(len(u)) for c, (_, u) in coded.items()}
+        for _ in range(sweeps):
+            for c, (codes, names_) in coded.items():
+                there = codes >= 0
+                mu = 1 / (1 + np.exp(-np.clip(eta + shift, -700, 700)))
+                sums = [np.bincount(codes[there], x[there], len(names_)) for x in (n, n * (y - mu), n * mu * (1 - mu))]
+                step = np.where(sums[0] >= min_level_rows, sums[0] / (sums[0] + prior) * sums[1] / np.maximum(sums[2], 1e-9), 0.0)
+                offsets[c] += step
+                shift[there] += step[codes[there]]
+                found[c] = sums[0] >= min_level_rows
+        rows = [(c, level, offsets[c][k]) for c, (_, names_) in coded.items() for k, level in enumerate(names_) if len(names_) and found[c][k]]
+        texts = {k: pd.Series([pdf[k].iloc[0]] * len(rows), dtype=object) for k in key} | {c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("column", "level"))}
+        return pd.DataFrame({**texts, "offset": np.array([r[2] for r in rows], float)})
+
+    sizes = state.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows"))
+    large = sizes.where(F.col("__rows") > max_state).select(*key)
+    offsets = state.join(F.broadcast(sizes.where(F.col("__rows") <= max_state).select(*key)), key).groupBy(*key).applyInPandas(sweep, schema)
+    if large.limit(1).count():
+        offsets = offsets.unionByName(_swept(materialize(state.join(F.broadcast(large), key), "states"), key, context, min_level_rows, prior, sweeps, schema))
+    return base, offsets
+
+
+def _swept(state: DataFrame, key: list[str], context: tuple[str, ...], min_level_rows: int, prior: float, sweeps: int, schema: str) -> DataFrame:
+    """The offsets of keys whose state is too large for a task: an aggregate and a written table of offsets for each step."""
+    offsets = state.sparkSession.createDataFrame([], schema)
     for _ in range(sweeps):
         for column in context:
-            now = spark.createDataFrame([(*k, float(v)) for k, v in offsets.items()], schema)
-            rows = _with_offsets(plain, now, key, tuple(c for c in context))
             mu = sigmoid(F.col("eta") + F.col("shift"))
-            sums = rows.where(F.col(column).isNotNull()).groupBy(*key, F.col(column).cast("string").alias("level")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("y") - mu)).alias("g"), F.sum(F.col("n") * mu * (1 - mu)).alias("h"))
-            for r in sums.where(F.col("n") >= min_level_rows).collect():  # one row per fold and level
-                k = (*[r[x] for x in key], column, r["level"])
-                weight = r["n"] / (r["n"] + prior)
-                offsets[k] = offsets.get(k, 0.0) + weight * r["g"] / max(r["h"], 1e-9)
-    return base, spark.createDataFrame([(*k, float(v)) for k, v in offsets.items()], schema)
+            rows = _with_offsets(state, offsets, key, context).where(F.col(column).isNotNull())
+            sums = rows.groupBy(*key, F.col(column).alias("level")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("y") - mu)).alias("g"), F.sum(F.col("n") * mu * (1 - mu)).alias("h"))
+            step = F.col("n") / (F.col("n") + prior) * F.col("g") / F.greatest(F.col("h"), F.lit(1e-9))
+            steps = sums.where(F.col("n") >= min_level_rows).select(*key, F.lit(column).alias("column"), "level", step.alias("offset"))
+            offsets = materialize(offsets.unionByName(steps).groupBy(*key, "column", "level").agg(F.sum("offset").alias("offset")), "offsets")
+    return offsets
 
 
 def compress_again(data: DataFrame, key: list[str]) -> DataFrame:
@@ -189,11 +283,12 @@ def compress_again(data: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _with_offsets(rows: DataFrame, offsets: DataFrame, key: list[str], context: tuple[str, ...]) -> DataFrame:
-    """rows with shift, the sum of their levels' offsets; levels without one add nothing. The offsets (folds x levels) are broadcast."""
+    """rows with shift, the sum of their levels' offsets; levels without one add nothing. The offsets (keys x levels) are written and counted, and broadcast if they are MAX_BROADCAST_BLOCKS at most."""
     shift = F.lit(0.0)
+    near = F.broadcast if offsets.count() <= MAX_BROADCAST_BLOCKS else (lambda x: x)
     for column in context:
         mine = offsets.where(F.col("column") == column).select(*key, F.col("level").alias(f"__{column}"), F.col("offset").alias(f"__o_{column}"))
-        rows = rows.withColumn(f"__{column}", F.col(column).cast("string")).join(F.broadcast(mine), [*key, f"__{column}"], "left").drop(f"__{column}")
+        rows = rows.withColumn(f"__{column}", F.col(column).cast("string")).join(near(mine), [*key, f"__{column}"], "left").drop(f"__{column}")
         shift = shift + F.coalesce(f"__o_{column}", F.lit(0.0))
     return rows.withColumn("shift", shift).drop(*[f"__o_{c}" for c in context])
 

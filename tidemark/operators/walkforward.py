@@ -30,12 +30,12 @@ def evaluate(panel: DataFrame, folds: DataFrame, models: tuple[str, ...] = ("raw
             rows = C.predict_logistic(test.join(F.broadcast(C.fit_logistic(data, key, model, epsilon=epsilon)), key, "left"), model, epsilon)
         elif model == "isotonic":
             blocks = materialize(C.fit_isotonic(data, key, epsilon), "isotonic")
-            size = blocks.agg(F.coalesce(F.sum(F.size("levels")), F.lit(0)).alias("n")).first()["n"]
-            rows = C.predict_isotonic(test.join(F.broadcast(blocks) if size <= C.MAX_BROADCAST_BLOCKS else blocks, key, "left"), epsilon)
+            rows = C.predict_isotonic(test.join(C.broadcast_if_small(blocks), key, "left"), epsilon)
         elif model == "binned_reliability":
             rows = C.predict_binned(test.join(F.broadcast(C.fit_binned(data, key, epsilon=epsilon)), key, "left"), epsilon=epsilon)
         else:
             base, offsets = C.fit_hierarchical(materialize(fit_counts(panel, folds, [*prices, *context]), "fit-counts"), key, context, epsilon=epsilon)
+            offsets = materialize(offsets, "offsets")
             plain = C.predict_logistic(test.join(F.broadcast(base), key, "left"), "platt", epsilon)
             moved = C._with_offsets(plain, offsets, key, context)
             rows = moved.withColumn("prediction", clip(C.sigmoid(C.logit(clip(F.col("prediction"), epsilon)) + F.col("shift")), epsilon))
