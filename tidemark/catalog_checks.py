@@ -348,7 +348,9 @@ def _variant_sql(name: str, stale: int, window: int, prefer: bool) -> str:
     full = f"({cost} + {cost} * 0.05::DOUBLE * (date_diff('microsecond', forecast_ts, resolution_ts) / 1e6) / (365 * 86400.0::DOUBLE))"
     loss = f"-(observed_outcome * ln(least(greatest({p}, 0.001), 0.999)) + (1 - observed_outcome) * ln(1 - least(greatest({p}, 0.001), 0.999)))"
     return f"""SELECT * FROM (WITH {sql.with_policy(stale, window, prefer)}, tiers(spread, slippage) AS (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (0.005::DOUBLE, 0.005::DOUBLE), (0.01::DOUBLE, 0.015::DOUBLE)), edge AS (SELECT {p} - {full} AS net FROM snapshots, tiers WHERE {p} BETWEEN 0.01 AND 0.99)
-SELECT '{name}' AS variant, (SELECT count(*) FROM candidates) AS candidates, (SELECT count(*) FROM snapshots) AS panel_rows, {r(f"(SELECT avg(power({p} - observed_outcome, 2)) FROM snapshots)")} AS mean_brier, {r(f"(SELECT avg({loss}) FROM snapshots)")} AS mean_log_loss, (SELECT count(*) FROM edge) AS edge_candidates, (SELECT count(*) FROM edge WHERE net >= 0.02) AS edge_selected)"""
+SELECT '{name}' AS variant, (SELECT count(*) FROM candidates) AS candidates, (SELECT count(*) FROM snapshots) AS panel_rows, {r(f"(SELECT avg(power({p} - observed_outcome, 2)) FROM snapshots)")} AS mean_brier, {r(f"(SELECT avg({loss}) FROM snapshots)")} AS mean_log_loss, (SELECT count(*) FROM edge) AS edge_candidates, (SELECT count(*) FROM edge WHERE net >= 0.02) AS edge_selected,
+{r(f"(SELECT sum(gap) / sum(n) FROM (SELECT count(*) AS n, abs(sum({p}) - sum(observed_outcome)) AS gap FROM snapshots GROUP BY least(CAST(floor({p} * 10) AS INTEGER), 9)))")} AS ece,
+{r("(SELECT avg(v) FROM (SELECT coalesce(sum(p.volume), 0) AS v FROM snapshots s LEFT JOIN prices p ON p.contract_id = s.contract_id AND p.source_ts <= s.forecast_ts AND p.source_ts >= s.forecast_ts - INTERVAL 7 DAY GROUP BY s.contract_id, s.horizon))")} AS mean_liquidity)"""
 
 
 @query(" UNION ALL ".join(_variant_sql(n, *v[3:]) for n, v in _VARIANTS.items()))

@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.expr import bin_index, brier, log_loss
 from tidemark.operators.edge import EdgeConfig, simulate, tier_summary
+from tidemark.operators.features import DAY, SUMS, trailing_sums
 from tidemark.operators.folds import leakage
 from tidemark.operators.metrics import full_rows, metric_rows
-from tidemark.operators.snapshots import Horizon, candidates, snapshot_panel
+from tidemark.operators.snapshots import Horizon, panel_of, snapshot_stats, variant_candidates
+from tidemark.session import materialize
 
 
 def _metrics(rows: DataFrame, *keys: str, full: bool = False) -> DataFrame:
@@ -103,19 +105,21 @@ def full_slices(rows: DataFrame, filters: dict[str, Column], full: bool = False)
     return found.withColumn("row_count", F.coalesce("row_count", F.lit(0))).withColumn("status", F.when(F.col("row_count") == 0, "empty_after_filter").otherwise("computed"))
 
 
+def variant_panels(contracts: DataFrame, prices: DataFrame, variants: dict[str, tuple[Horizon, ...]]) -> DataFrame:
+    """The snapshot panels of all variants with their trailing sums, from one scan of the prices: days' states serve every policy, and the variant is a column (and part of horizon) from the candidates on."""
+    stats = snapshot_stats(variant_candidates(contracts, variants), prices, {f"last_{s}": s for s in (DAY, 7 * DAY)}, tuple(trailing_sums()), "inner")
+    return panel_of(stats, "variant", *SUMS)
+
+
 def variant_runs(contracts: DataFrame, prices: DataFrame, variants: dict[str, tuple[Horizon, ...]]) -> DataFrame:
-    """Per snapshot variant, in one session: candidates, panel rows, mean scores, and the candidates and selections of the edge screen on the panel's own prices. Every stage runs on each variant's panel."""
-    out = None
-    for name, horizons in variants.items():
-        panel = snapshot_panel(contracts, prices, horizons)
-        made = candidates(contracts, horizons).agg(F.count(F.lit(1)).alias("candidates"))
-        p, y = F.col("snapshot_price"), F.col("observed_outcome")
-        scores = panel.agg(F.count(F.lit(1)).alias("panel_rows"), F.avg(brier(p, y)).alias("mean_brier"), F.avg(log_loss(p, y)).alias("mean_log_loss"))
-        rows = panel.select(F.lit(name).alias("model_name"), F.concat_ws("|", "contract_id", "horizon").alias("row_id"), p.alias("raw_probability"), p.alias("predicted_probability"), y.alias("observed_outcome"), "forecast_ts", "resolution_ts")
-        screen = simulate(rows).agg(F.count(F.lit(1)).alias("edge_candidates"), F.count_if("passes_threshold").alias("edge_selected"))
-        one = made.withColumn("__k", F.lit(1))
-        for more in (scores, screen):  # one row each
-            one = one.join(more.withColumn("__k", F.lit(1)), "__k")
-        one = one.select(F.lit(name).alias("variant"), *[c for c in one.columns if c != "__k"])
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Per snapshot variant: candidates, panel rows, mean scores, calibration error, mean trailing volume, and the candidates and selections of the edge screen on the panel's own prices. The variant is a key of every stage, and the panels are made and written once."""
+    panel = materialize(variant_panels(contracts, prices, variants), "variants")
+    made = variant_candidates(contracts, variants).groupBy("variant").agg(F.count(F.lit(1)).alias("candidates"))
+    p, y = F.col("snapshot_price"), F.col("observed_outcome")
+    scored = panel.withColumns({"brier": brier(p, y), "log_loss": log_loss(p, y)})
+    scores = metric_rows(scored, ["variant"], p="snapshot_price").select("variant", F.col("row_count").alias("panel_rows"), "mean_brier", "mean_log_loss", "ece")
+    features = panel.groupBy("variant").agg(F.avg(F.coalesce("liquidity_volume", F.lit(0)).cast("double")).alias("mean_liquidity"))
+    rows = panel.select(F.col("variant").alias("model_name"), F.concat_ws("|", "contract_id", "horizon").alias("row_id"), p.alias("raw_probability"), p.alias("predicted_probability"), y.alias("observed_outcome"), "forecast_ts", "resolution_ts")
+    screen = simulate(rows).groupBy(F.col("model_name").alias("variant")).agg(F.count(F.lit(1)).alias("edge_candidates"), F.count_if("passes_threshold").alias("edge_selected"))
+    found = made.join(scores, "variant", "left").join(features, "variant", "left").join(screen, "variant", "left")
+    return found.na.fill(0, ["panel_rows", "edge_candidates", "edge_selected"])

@@ -43,9 +43,14 @@ def override(horizons: tuple[Horizon, ...], max_staleness: str | None = None, vw
 
 def candidates(contracts: DataFrame, horizons: tuple[Horizon, ...] = HORIZONS) -> DataFrame:
     """Each contract at each horizon, with forecast_ts = resolution_ts - horizon and the horizon's policy."""
-    rows = [(h.name, parse_duration(h.name), parse_duration(h.max_staleness), parse_duration(h.vwap_window), h.prefer_vwap) for h in horizons]
-    grid = contracts.sparkSession.createDataFrame(rows, "horizon string, horizon_seconds long, max_staleness long, vwap_window long, prefer_vwap boolean")
-    every = contracts.select("contract_id", "event_id", "outcome", "close_time", "resolution_ts").crossJoin(F.broadcast(grid))
+    return variant_candidates(contracts, {"": horizons}).drop("variant")
+
+
+def variant_candidates(contracts: DataFrame, variants: dict[str, tuple[Horizon, ...]]) -> DataFrame:
+    """:func:`candidates` of each variant (a name and its policies), with a column variant; but for the empty name, ``horizon`` has it before the horizon's own name and a bar."""
+    rows = [(v, f"{v}|{h.name}" if v else h.name, parse_duration(h.name), parse_duration(h.max_staleness), parse_duration(h.vwap_window), h.prefer_vwap) for v, horizons in variants.items() for h in horizons]
+    grid = contracts.sparkSession.createDataFrame(rows, "variant string, horizon string, horizon_seconds long, max_staleness long, vwap_window long, prefer_vwap boolean")
+    every = contracts.select("contract_id", "event_id", "outcome", "close_time", "resolution_ts").crossJoin(F.broadcast(grid))  # variants x horizons, as many as were named
     return every.withColumn("forecast_ts", plus_seconds(F.col("resolution_ts"), -F.col("horizon_seconds")))
 
 
