@@ -181,15 +181,17 @@ def intervals(means: DataFrame, stats: DataFrame, level: float = 0.95, min_rows:
     return long.select(*GROUP, "rows", "clusters", "status", "x.metric", "x.estimate", F.when(ok, F.col("x.ci")[0]).alias("low"), F.when(ok, F.col("x.ci")[1]).alias("high"))
 
 
-def paired_stats(rows: DataFrame, baseline: str = "raw", cluster: str = "event_family_id") -> DataFrame:
+def paired_stats(rows: DataFrame, baseline: str = "raw", cluster: str = "event_family_id", one_to_one: bool = True) -> DataFrame:
     """Per group and cluster: n and the summed score differences of each model to the baseline on the same rows.
 
-    Raises :class:`tidemark.operators.keys.JoinError` unless every model has each of the baseline's rows once: in each group both sides have as many rows as the join makes, and the same sum of their ids' hashes.
+    With ``one_to_one``, raises :class:`tidemark.operators.keys.JoinError` unless every model has each of the baseline's rows once: in each group both sides have as many rows as the join makes, and the same sum of their ids' hashes.
     """
     on = ["row_id", "grouping_name", "group_key"]
     raw = rows.where(F.col("model_name") == baseline).select(*on, F.col("brier").alias("b0"), F.col("log_loss").alias("l0"))
     both = rows.where(F.col("model_name") != baseline).join(raw, on)
     stats = both.groupBy(*GROUP, F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("brier") - F.col("b0")).alias("brier"), F.sum(F.col("log_loss") - F.col("l0")).alias("log_loss"))
+    if not one_to_one:
+        return stats
     stats = materialize(stats, "paired")
     sizes = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("own"), F.sum(F.xxhash64("row_id").cast("decimal(20,0)")).alias("mark"))
     base = sizes.where(F.col("model_name") == baseline).select("grouping_name", "group_key", F.col("own").alias("theirs"), F.col("mark").alias("their_mark"))
