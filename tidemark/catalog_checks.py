@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog import _FEATURE_SQL, _QUOTES, _RULES_SQL, _TAXONOMY_SQL, HORIZONS, _classified, _features, _fit_counts, _folded, _inference, _predictions, _snapshots, _walkforward, query, r
+from tidemark.catalog import _FEATURE_SQL, _QUOTES, _RULES_SQL, _TAXONOMY_SQL, HORIZONS, _classified, _features, _folded, _inference, _predictions, _snapshots, _walkforward, query, r
 from tidemark.functions import expr
 from tidemark.operators import audit, calibration, cleaning, edge, features, folds, inference, keys, metrics, raw_audit, reports, robustness, snapshots, taxonomy
 from tidemark.plans import sql
