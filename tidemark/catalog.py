@@ -483,12 +483,18 @@ def d14_walkforward_all_models(spark, d):
 # ---- Inference
 
 
-def _inference(spark: SparkSession, d: str) -> DataFrame:
-    rows = _predictions(spark, d).withColumns({
+_INFERENCE_GROUPINGS = {"overall": [], "horizon": ["horizon_name"], "domain": ["domain"], "category": ["category"], "liquidity": ["liquidity_bucket"], "staleness": ["staleness_bucket"]}
+
+
+def _inference_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _predictions(spark, d).withColumns({
         "liquidity_bucket": expr.left_closed_bucket(F.col("liquidity"), [20000.0, 50000.0], ["low", "medium", "high"]),
         "staleness_bucket": expr.left_closed_bucket(F.col("staleness_seconds"), [600.0, 1800.0, 3600.0], ["fresh", "recent", "old", "stale"]),
     })
-    return metrics.by_groupings(rows, {"overall": [], "horizon": ["horizon_name"], "domain": ["domain"], "category": ["category"], "liquidity": ["liquidity_bucket"], "staleness": ["staleness_bucket"]})
+
+
+def _inference(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.by_groupings(_inference_rows(spark, d), _INFERENCE_GROUPINGS)
 
 
 _INFERENCE = sql.PREDICTIONS + """, ig AS (SELECT *, 'overall' AS grouping_name, 'all' AS group_key FROM predictions UNION ALL SELECT *, 'horizon', coalesce(horizon_name, '<missing>') FROM predictions
@@ -531,7 +537,7 @@ _PAIRED = _INFERENCE + """, pairs AS (SELECT a.model_name, a.grouping_name, a.gr
 
 def _paired(spark: SparkSession, d: str) -> DataFrame:
     """Without the check that rows pair one to one: lineitem has a row twice at the smallest size."""
-    return inference.paired_stats(_inference(spark, d), one_to_one=False)
+    return inference.paired_stats(_inference_rows(spark, d), one_to_one=False, groupings=_INFERENCE_GROUPINGS)
 
 
 @query(f"WITH {_PAIRED} SELECT model_name, grouping_name, group_key, cluster, n, {r('b')} AS brier, {r('l')} AS log_loss FROM pairs")

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.expr import EPSILON, bin_index, clip, logit, sigmoid
 from tidemark.operators.keys import JoinError
+from tidemark.operators.metrics import by_groupings, group_key
 from tidemark.session import materialize
 
 GROUP = ["model_name", "grouping_name", "group_key"]
@@ -181,19 +182,84 @@ def intervals(means: DataFrame, stats: DataFrame, level: float = 0.95, min_rows:
     return long.select(*GROUP, "rows", "clusters", "status", "x.metric", "x.estimate", F.when(ok, F.col("x.ci")[0]).alias("low"), F.when(ok, F.col("x.ci")[1]).alias("high"))
 
 
-def paired_stats(rows: DataFrame, baseline: str = "raw", cluster: str = "event_family_id", one_to_one: bool = True) -> DataFrame:
-    """Per group and cluster: n and the summed score differences of each model to the baseline on the same rows.
-
-    With ``one_to_one``, raises :class:`tidemark.operators.keys.JoinError` unless every model has each of the baseline's rows once: in each group both sides have as many rows as the join makes, and the same sum of their ids' hashes.
+#: Models whose rows are marked by the bits of a number; row ids that are broadcast; and scores up to which sums of whole parts can't overflow.
+MAX_MARKED, MAX_BROADCAST_IDS, MAX_SCORE = 62, 1 << 20, 64.0
+#: Units of the two whole numbers that stand for a score in a sum: 2^-20, and 2^-52 for the rest.
+COARSE, FINE = 1 << 20, 1 << 32
+
+
+def _torn_ids(rows: DataFrame, on: list[str], models: list[str], same: list[Column]) -> DataFrame:
+    """__id (a hash of ``on``) of rows that don't have each of ``models`` once, with both scores, in range, and with ``same`` alike. Hashes that ids share are among them; a number a row is all that is shuffled."""
+    mark = F.coalesce(*[F.when(F.col("model_name") == m, F.lit(1 << k).cast("long")) for k, m in enumerate(models)])
+    there = (F.abs("brier") <= MAX_SCORE) & (F.abs("log_loss") <= MAX_SCORE)
+    marked = rows.select(F.xxhash64(*on).alias("__id"), F.when(there, mark).alias("mark"), F.xxhash64(*same).alias("same"))
+    found = marked.groupBy("__id").agg(F.count(F.lit(1)).alias("n"), F.count("mark").alias("full"), F.bit_or("mark").alias("marks"), F.min("same").alias("a"), F.max("same").alias("b"))
+    size = len(models)
+    return found.where((F.col("n") != size) | (F.col("full") != size) | (F.col("marks") != (1 << size) - 1) | (F.col("a") != F.col("b"))).select("__id")
+
+
+def _joined_stats(rows: DataFrame, on: list[str], baseline: str, cluster: str) -> DataFrame:
+    """The pairs' differences by a join of rows with those of the baseline; rows meet before they are repeated by grouping. rows: with __g, an array of (grouping_name, group_key)."""
+    raw = rows.where(F.col("model_name") == baseline).select(*on, F.col("__g").alias("__h"), F.col("brier").alias("b0"), F.col("log_loss").alias("l0"))
+    both = rows.where(F.col("model_name") != baseline).join(raw, on).select("model_name", F.col(cluster).alias("cluster"), F.explode(F.array_intersect("__g", "__h")).alias("__g"), (F.col("brier") - F.col("b0")).alias("b"), (F.col("log_loss") - F.col("l0")).alias("l"))
+    both = both.where("__g.grouping_name IS NOT NULL AND __g.group_key IS NOT NULL")
+    return both.groupBy("model_name", "__g.grouping_name", "__g.group_key", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("brier"), F.sum("l").alias("log_loss"))
+
+
+def _summed_stats(rows: DataFrame, models: list[str], baseline: str, cluster: str, groupings: dict[str, list[str]] | None) -> DataFrame:
+    """The same for rows that pair one to one, as differences of sums. Scores are added up as whole numbers of 2^-52, so no order of the rows shows in a sum, and equal models differ by exactly zero."""
+    number = F.coalesce(*[F.when(F.col("model_name") == m, F.lit(k)) for k, m in enumerate(models)])
+    coarse = lambda c: F.floor(F.col(c) * float(COARSE))
+    parts = {x: v for c in ("brier", "log_loss") for x, v in ((f"__{c[0]}", coarse(c)), (f"__{c[0]}f", F.floor((F.col(c) * float(COARSE) - coarse(c)) * float(FINE))))}
+    rows = rows.withColumns({"__m": number, **parts}).drop("brier", "log_loss")
+    if groupings is not None:
+        rows = by_groupings(rows, groupings)
+    sums = []
+    for k in range(len(models)):
+        mine = F.col("__m") == k
+        sums += [F.count_if(mine).alias(f"n{k}"), *[F.sum(F.when(mine, F.col(x))).alias(f"{x}{k}") for x in parts]]
+    wide = rows.where("grouping_name IS NOT NULL AND group_key IS NOT NULL").groupBy("grouping_name", "group_key", F.col(cluster).alias("cluster")).agg(*sums)
+    base = models.index(baseline)
+    less = lambda x, k: F.col(f"{x}{k}") - F.col(f"{x}{base}")
+    score = lambda c, k: (less(f"__{c[0]}", k) + less(f"__{c[0]}f", k) / float(FINE)) / float(COARSE)
+    each = [F.struct(F.lit(m).alias("model_name"), F.col(f"n{k}").alias("n"), *[score(c, k).alias(c) for c in ("brier", "log_loss")]) for k, m in enumerate(models) if k != base]
+    return wide.withColumn("x", F.explode(F.array(*each))).select("x.model_name", "grouping_name", "group_key", "cluster", "x.n", "x.brier", "x.log_loss").where("n > 0")
+
+
+def paired_stats(rows: DataFrame, baseline: str = "raw", cluster: str = "event_family_id", one_to_one: bool = True, groupings: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per group and cluster: n and the summed score differences of each model to the baseline on the same rows. rows: as by_groupings gives them, or before it with its ``groupings``.
+
+    Where every model has a row once, in the same groups and cluster, the pairs' differences are those of the sums, and no row meets another. Which rows these are not (some model lacks them or has them twice, a score is null, a group differs) is counted first; these alone are joined.
+
+    With ``one_to_one``, raises :class:`tidemark.operators.keys.JoinError` unless every model has each of the baseline's rows once: in each group both sides have as many rows as are paired, and the same sum of their ids' hashes.
     """
-    on = ["row_id", "grouping_name", "group_key"]
-    raw = rows.where(F.col("model_name") == baseline).select(*on, F.col("brier").alias("b0"), F.col("log_loss").alias("l0"))
-    both = rows.where(F.col("model_name") != baseline).join(raw, on)
-    stats = both.groupBy(*GROUP, F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("brier") - F.col("b0")).alias("brier"), F.sum(F.col("log_loss") - F.col("l0")).alias("log_loss"))
+    keys = ["grouping_name", "group_key"]
+    on = ["row_id"] if groupings is not None else ["row_id", *keys]
+    sets = list((groupings or {}).items())
+    array = F.array(*[F.struct(F.lit(name).alias(keys[0]), group_key(cols).alias(keys[1])) for name, cols in sets]) if groupings is not None else F.array(F.struct(*keys))
+    # Rows without an id or a model pair with none.
+    named = rows.where("model_name IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in on))
+    models = sorted({r[0] for r in named.select("model_name").distinct().collect()} | {baseline})
+    columns = sorted({c for _, cols in sets for c in cols} - {*on, "model_name", cluster, "brier", "log_loss"}) if groupings is not None else keys
+    narrow = named.select("model_name", "brier", "log_loss", F.col(cluster), *dict.fromkeys([*on, *columns]))
+    if len(models) < 2 or len(models) > MAX_MARKED:
+        stats = _joined_stats(narrow.withColumn("__g", array), on, baseline, cluster)
+    else:
+        torn = materialize(_torn_ids(narrow, on, models, [F.col(cluster), *map(F.col, columns)]), "torn")
+        size = torn.count()
+        if size:
+            near = F.broadcast(torn) if size <= MAX_BROADCAST_IDS else torn
+            tagged = narrow.withColumn("__id", F.xxhash64(*on))
+            sound, rest = tagged.join(near, "__id", "left_anti"), tagged.join(near, "__id", "left_semi")
+            parts = _summed_stats(sound, models, baseline, cluster, groupings).unionByName(_joined_stats(rest.withColumn("__g", array), on, baseline, cluster))
+            stats = parts.groupBy(*GROUP, "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "brier", "log_loss")])
+        else:
+            stats = _summed_stats(narrow, models, baseline, cluster, groupings)
     if not one_to_one:
         return stats
     stats = materialize(stats, "paired")
-    sizes = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("own"), F.sum(F.xxhash64("row_id").cast("decimal(20,0)")).alias("mark"))
+    grouped = rows if groupings is None else by_groupings(rows, groupings)
+    sizes = grouped.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("own"), F.sum(F.xxhash64("row_id").cast("decimal(20,0)")).alias("mark"))
     base = sizes.where(F.col("model_name") == baseline).select("grouping_name", "group_key", F.col("own").alias("theirs"), F.col("mark").alias("their_mark"))
     met = stats.groupBy(*GROUP).agg(F.sum("n").alias("met"))
     # A row a model and group: as many as the report has.

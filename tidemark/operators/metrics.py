@@ -22,10 +22,11 @@ def group_key(columns: list[str], missing: str = "<missing>") -> Column:
 
 
 def by_groupings(panel: DataFrame, groupings: dict[str, list[str]] | None = None) -> DataFrame:
-    """Each row once per grouping, with grouping_name and group_key: one pass and one shuffle for all groupings, as grouping sets have it."""
-    sets = [F.struct(F.lit(name).alias("name"), group_key(cols).alias("key")) for name, cols in (groupings or GROUPINGS).items()]
-    out = panel.withColumn("__g", F.explode(F.array(*sets)))
-    return out.withColumns({"grouping_name": F.col("__g.name"), "group_key": F.col("__g.key")}).drop("__g")
+    """Each row once per grouping, with grouping_name and group_key: one pass and one shuffle for all groupings, as grouping sets have it. Rows are repeated by a number, and a repeated row makes its own key alone."""
+    sets = list((groupings or GROUPINGS).items())
+    out = panel.withColumn("__g", F.explode(F.array(*[F.lit(k) for k in range(len(sets))])))
+    pick = lambda values: F.coalesce(*[F.when(F.col("__g") == k, v) for k, v in enumerate(values)])
+    return out.withColumns({"grouping_name": pick([F.lit(name) for name, _ in sets]), "group_key": pick([group_key(cols) for _, cols in sets])}).drop("__g")
 
 
 def usable_groupings(panel: DataFrame, groupings: dict[str, list[str]]) -> tuple[dict[str, list[str]], list[str]]:
