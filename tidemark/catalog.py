@@ -557,7 +557,7 @@ t AS (SELECT model_name, grouping_name, group_key, 'brier' AS metric, any_value(
 p AS (SELECT *, least(1.0, 2 * tail) AS pv FROM t), k AS (SELECT *, row_number() OVER (ORDER BY pv, model_name, grouping_name, group_key, metric) AS rank, count(*) OVER () AS m FROM p)
 SELECT model_name, grouping_name, group_key, metric, {r('estimate')} AS estimate, {r('pv')} AS p_value, {r('least(1.0, min(pv * m / rank) OVER (ORDER BY rank DESC))')} AS q_value FROM k""")
 def w10_benjamini_hochberg(spark, d):
-    paired = _paired(spark, d)
+    paired = materialize(_paired(spark, d), "paired")
     return inference.benjamini_hochberg(inference.sign_p_values(inference.bootstrap_means(paired), paired))
 
 
