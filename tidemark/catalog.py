@@ -528,7 +528,7 @@ SELECT model_name, grouping_name, group_key, CAST(rows AS BIGINT) AS rows, clust
   SELECT e.model_name, e.grouping_name, e.group_key, rows, clusters, 'brier' AS metric, e.brier AS estimate, q.brier AS ci FROM e JOIN q USING (model_name, grouping_name, group_key)
   UNION ALL SELECT e.model_name, e.grouping_name, e.group_key, rows, clusters, 'log_loss', e.log_loss, q.log_loss FROM e JOIN q USING (model_name, grouping_name, group_key))""")
 def d16_score_intervals(spark, d):
-    stats = inference.cluster_stats(_inference(spark, d))
+    stats = materialize(inference.cluster_stats(_inference(spark, d)), "cluster-stats")
     return inference.intervals(inference.bootstrap_means(stats), stats)
 
 
@@ -564,7 +564,7 @@ def w10_benjamini_hochberg(spark, d):
 @query(f"""WITH {_INFERENCE}, {_DRAWN}, cells AS (SELECT model_name, grouping_name, group_key, event_family_id AS cluster, least(CAST(floor(predicted_probability * 10) AS INTEGER), 9) AS bin, count(*) AS n, sum(predicted_probability) AS sp, sum(observed_outcome) AS sy FROM ig GROUP BY ALL),
 x AS (SELECT model_name, grouping_name, group_key, replicate, bin, sum(w * n) AS n, abs(sum(w * sp) - sum(w * sy)) AS gap FROM cells JOIN drawn USING (cluster) GROUP BY ALL) SELECT model_name, grouping_name, group_key, replicate, {r('sum(gap) / nullif(sum(n), 0)')} AS ece FROM x GROUP BY ALL""")
 def d18_bootstrap_ece(spark, d):
-    return inference.bootstrap_ece(inference.bin_stats(_inference(spark, d)))
+    return inference.bootstrap_ece(inference.bin_stats(_inference_rows(spark, d), groupings=_INFERENCE_GROUPINGS))
 
 
 # ---- Edge

@@ -27,16 +27,53 @@ from tidemark.session import materialize
 GROUP = ["model_name", "grouping_name", "group_key"]
 
 
+#: Models up to which each has columns of its own in one aggregate.
+MAX_WIDE = 16
+
+
 def cluster_stats(rows: DataFrame, cluster: str = "event_family_id") -> DataFrame:
-    """Per group and cluster: n and the sums of both scores."""
+    """Per group and cluster: n and the sums of both scores. Models are columns of one aggregate where they are few, which leaves a fraction of the groups."""
     if cluster == "row_id":
         raise ValueError("rows aren't independent: resample clusters")
-    return rows.groupBy(*GROUP, F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum("brier").alias("brier"), F.sum("log_loss").alias("log_loss"))
+    models = [r[0] for r in rows.select("model_name").distinct().limit(MAX_WIDE + 1).collect()]
+    if not 0 < len(models) <= MAX_WIDE:
+        return rows.groupBy(*GROUP, F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum("brier").alias("brier"), F.sum("log_loss").alias("log_loss"))
+    sums = []
+    for k, m in enumerate(models):
+        mine = F.col("model_name").eqNullSafe(F.lit(m))
+        sums += [F.count_if(mine).alias(f"n{k}"), *[F.sum(F.when(mine, F.col(c))).alias(f"{c}{k}") for c in ("brier", "log_loss")]]
+    wide = rows.groupBy("grouping_name", "group_key", F.col(cluster).alias("cluster")).agg(*sums)
+    each = [F.struct(F.lit(m).cast("string").alias("model_name"), *[F.col(f"{c}{k}").alias(c) for c in ("n", "brier", "log_loss")]) for k, m in enumerate(models)]
+    return wide.withColumn("x", F.explode(F.array(*each))).select("x.model_name", "grouping_name", "group_key", "cluster", "x.n", "x.brier", "x.log_loss").where("n > 0")
+
 
+#: Rows of a cluster above which it isn't brought together by row.
+MAX_CLUSTER_ROWS = 1 << 20
 
-def bin_stats(rows: DataFrame, bins: int = 10, p: str = "predicted_probability", y: str = "observed_outcome", cluster: str = "event_family_id") -> DataFrame:
-    """Per group, cluster and bin: n and the sums of probabilities and outcomes."""
-    return rows.groupBy(*GROUP, F.col(cluster).alias("cluster"), bin_index(F.col(p), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"))
+
+def bin_stats(rows: DataFrame, bins: int = 10, p: str = "predicted_probability", y: str = "observed_outcome", cluster: str = "event_family_id", groupings: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per group, cluster and bin: n and the sums of probabilities and outcomes. rows: as by_groupings gives them, or before it with its ``groupings``.
+
+    With ``groupings`` a row is shuffled once, to its cluster, and repeated by grouping there: a cluster has about as many cells as rows, so partial sums would be no fewer than rows. Clusters of many rows, of which there are few, are summed where they are.
+    """
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*GROUP, "cluster", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"))
+
+    narrow = rows.withColumns({"cluster": F.col(cluster).cast("string"), "bin": bin_index(F.col(p), bins)})
+    if groupings is None:
+        return summed(narrow)
+    narrow = narrow.select("cluster", "bin", *dict.fromkeys(["model_name", p, y, *[c for cols in groupings.values() for c in cols]]))
+    counts = narrow.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    large = [r[0] for r in counts.where(F.col("n") > MAX_CLUSTER_ROWS).collect()]  # one for each 2^20 rows at most
+    is_large = F.lit(False)
+    if named := [c for c in large if c is not None]:
+        is_large = F.coalesce(F.col("cluster").isin(named), F.lit(False))
+    if None in large:
+        is_large = is_large | F.col("cluster").isNull()
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = summed(by_groupings(narrow.where(~is_large).repartition(width, "cluster"), groupings))
+    return found.unionByName(summed(by_groupings(narrow.where(is_large), groupings))) if large else found
 
 
 def kish(stats: DataFrame) -> DataFrame:
@@ -72,8 +109,8 @@ def draws(clusters: DataFrame, replicates: int = REPLICATES) -> DataFrame:
     return each.select("cluster", "replicate", poisson(uniform(F.col("cluster"), F.col("replicate"))).cast("int").alias("w"))
 
 
-#: Replicates of a slab, which bounds what a task holds; clusters whose weights are drawn at a time; and partial sums that are added in one task.
-SLAB, CHUNK, FAN_IN = 256, 256, 64
+#: Replicates of a partial matrix, which bounds a row; clusters whose weights are drawn at a time; partial sums that are added in one task; and bytes of sums that a task holds before it hands them on.
+SLAB, CHUNK, FAN_IN, HELD_BYTES = 256, 256, 64, 128 << 20
 
 
 def _weights(clusters: list[str | None], first: int, last: int) -> np.ndarray:
@@ -90,51 +127,69 @@ def _weights(clusters: list[str | None], first: int, last: int) -> np.ndarray:
     return np.searchsorted(POISSON_STEPS, u, side="right").reshape(len(clusters), len(numbers)).astype(np.float64)
 
 
+def _codes(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row, equal where the columns are, and the first row of each number."""
+    codes = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        found = c.dictionary_encode(null_encoding="encode")
+        # Numbers stay below the rows' count, so they can't overflow.
+        codes = np.unique(codes * max(1, len(found.dictionary)) + found.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    return codes, np.unique(codes, return_index=True)[1]
+
+
 def _multiply(keys: int, replicates: int):
-    """Sorted rows (slab, cluster, keys, values) to partial sums by replicate: (keys, slab, part, sums), once for each slab and key."""
+    """Rows (cluster, keys, values) sorted by cluster to partial sums by replicate: (keys, slab, part, sums), once for each slab and key, or again when HELD_BYTES were held."""
+    slab, chunk, held_bytes = SLAB, CHUNK, HELD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slab, sums, last, part = None, {}, (None, None), TaskContext.get().partitionId()
+        sums: dict[tuple, np.ndarray] = {}
+        last, drawn, part = None, None, TaskContext.get().partitionId()
 
-        def result() -> Iterator[pa.RecordBatch]:
-            if sums:
-                held = zip(*sums, strict=True)
-                columns = [pa.array(c, batch.schema.field(2 + k).type) for k, c in enumerate(held)]
-                n = len(sums)
-                arrays = pa.array([x.ravel() for x in sums.values()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([slab] * n, pa.int32()), pa.array([part] * n, pa.int32()), arrays], [*batch.schema.names[2 : 2 + keys], "slab", "part", "sums"])
-                sums.clear()
+        def result(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            columns = [pa.array(c, schema.field(1 + k).type) for k, c in enumerate(zip(*sums, strict=True))]
+            n = len(sums)
+            for at, first in enumerate(range(0, replicates, slab)):
+                arrays = pa.array([x[:, first : first + slab].ravel() for x in sums.values()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([at] * n, pa.int32()), pa.array([part] * n, pa.int32()), arrays], [*schema.names[1 : 1 + keys], "slab", "part", "sums"])
+            sums.clear()
 
         batch = None
         for batch in batches:
-            slabs, clusters = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            names = list(zip(*[batch.column(2 + k).to_pylist() for k in range(keys)], strict=True))
-            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2 + keys :]])
-            news = np.flatnonzero([k == 0 or slabs[k] != slabs[k - 1] or clusters[k] != clusters[k - 1] for k in range(len(clusters))])
-            ends = np.r_[news[1:], len(clusters)]
-            at = 0
-            while at < len(news):
-                stop = at
-                while stop < len(news) and stop - at < CHUNK and slabs[news[stop]] == slabs[news[at]]:
-                    stop += 1
-                if slabs[news[at]] != slab:
-                    yield from result()
-                    slab = int(slabs[news[at]])
-                first, some = slab * SLAB, [clusters[k] for k in news[at:stop]]
+            if not batch.num_rows:
+                continue
+            clusters = batch.column(0).dictionary_encode(null_encoding="encode")
+            index, names = clusters.indices.to_numpy(zero_copy_only=False), clusters.dictionary.to_pylist()
+            news = np.r_[0, np.flatnonzero(index[1:] != index[:-1]) + 1]
+            ends = np.r_[news[1:], len(index)]
+            codes, firsts = _codes(batch.columns[1 : 1 + keys])
+            owned = list(zip(*[c.take(pa.array(firsts)).to_pylist() for c in batch.columns[1 : 1 + keys]], strict=True))
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1 + keys :]])
+            for at in range(0, len(news), chunk):
+                some = [names[index[k]] for k in news[at : at + chunk]]
                 # The first cluster's rows may have begun in the batch before.
-                drawn = last[1] if last[0] == (slab, some) else _weights(some, first, min(first + SLAB, replicates))
-                last = ((slab, some[-1:]), drawn[-1:])
-                rows = slice(news[at], ends[stop - 1])
-                owner = np.repeat(np.arange(stop - at), ends[at:stop] - news[at:stop])
-                by_name: dict[tuple, list[int]] = {}
-                for k, name in enumerate(names[rows]):
-                    by_name.setdefault(name, []).append(k)
-                for name, mine in by_name.items():
-                    product = values[:, rows][:, mine] @ drawn[owner[mine]]
-                    sums[name] = sums[name] + product if name in sums else product
-                at = stop
-        if batch is not None:
-            yield from result()
+                drawn = drawn if last is not None and [last] == [(x,) for x in some] else _weights(some, 0, replicates)
+                last, width = (some[0],) if len(some) == 1 else None, len(some)
+                rows = slice(news[at], ends[at + width - 1])
+                owner = np.repeat(np.arange(width), ends[at : at + width] - news[at : at + width])
+                mine, place = np.unique(codes[rows], return_inverse=True)
+                if len(mine) * width <= 8 * len(owner):  # most keys have most clusters: one product for all
+                    dense = np.zeros((len(values), len(mine), width))
+                    np.add.at(dense, (slice(None), place, owner), values[:, rows])
+                    products = (dense.reshape(-1, width) @ drawn).reshape(len(values), len(mine), replicates)
+                else:
+                    order = np.argsort(place, kind="stable")
+                    cuts = np.searchsorted(place[order], np.arange(len(mine) + 1))
+                    products = np.stack([values[:, rows][:, o] @ drawn[owner[o]] for o in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))], 1)
+                for k, code in enumerate(mine):
+                    name = owned[code]
+                    if name in sums:
+                        sums[name] += products[:, k]
+                    else:
+                        sums[name] = products[:, k].copy()
+                if len(sums) * len(values) * replicates * 8 > held_bytes:
+                    yield from result(batch.schema)
+        if sums:
+            yield from result(batch.schema)
 
     return run
 
@@ -142,22 +197,25 @@ def _multiply(keys: int, replicates: int):
 def replicate_sums(stats: DataFrame, keys: list[str], values: list[str], replicates: int = REPLICATES) -> DataFrame:
     """keys, replicate, values: the sums of each replicate, weighted by :func:`draws`; every replicate of every key.
 
-    Tasks multiply blocks of clusters by their weights, which they draw in place, and hand on one partial matrix for each key and slab of replicates; these are added in a tree. Rows of statistics and partial matrices are all that is shuffled. stats: with a column cluster.
+    Tasks multiply blocks of clusters by their weights, which they draw in place, and hand on one partial matrix for each key and slab of replicates; these are added in a tree. Each row of the statistics is shuffled once, whatever the replicates; else partial matrices are all that is. stats: with a column cluster.
     """
-    slabs = -(-replicates // SLAB)
-    rows = stats.select(F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), F.col("cluster").cast("string").alias("cluster"), *keys, *[F.col(v).cast("double").alias(v) for v in values])
-    rows = rows.repartition("slab", "cluster").sortWithinPartitions("slab", "cluster")
+    rows = stats.select(F.col("cluster").cast("string").alias("cluster"), *keys, *[F.col(v).cast("double").alias(v) for v in values])
+    # By number, since asking the plan for its partitions would run it.
+    width = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(width, "cluster").sortWithinPartitions("cluster")
     typed = ", ".join(f"{k} {stats.schema[k].dataType.simpleString()}" for k in keys)
-    parts, width = rows.mapInArrow(_multiply(len(keys), replicates), f"{typed}, slab int, part int, sums array<double>"), rows.rdd.getNumPartitions()
+    parts = rows.mapInArrow(_multiply(len(keys), replicates), f"{typed}, slab int, part int, sums array<double>")
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.sum([np.asarray(x) for x in table.sort_by("part").column("sums").to_pylist()], axis=0)
         one = table.slice(0, 1).drop_columns(["sums", "__at"])
         return one.set_column(one.schema.get_field_index("part"), "part", pa.array([key[-1].as_py()], pa.int32())).append_column("sums", pa.array([total], pa.list_(pa.float64())))
 
-    while width > 1:
+    while True:
         parts = parts.withColumn("__at", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy(*keys, "slab", "__at").applyInArrow(add, f"{typed}, slab int, part int, sums array<double>")
         width = -(-width // FAN_IN)
+        if width <= 1:
+            break
     # A matrix has the values one after the other, each over the slab's replicates.
     size = F.least(F.lit(SLAB), F.lit(replicates) - F.col("slab") * SLAB)
     each = parts.select(*keys, "slab", "sums", size.alias("size")).select(*keys, "slab", "sums", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
@@ -303,14 +361,15 @@ def bootstrap_ece(cells: DataFrame, replicates: int = REPLICATES) -> DataFrame:
 
 def paired_ece(cells: DataFrame, replicates: int = REPLICATES, baseline: str = "raw") -> DataFrame:
     """Per group and replicate ece_difference, the model's calibration error less the baseline's under the same draws."""
-    each = bootstrap_ece(cells, replicates)
+    each = materialize(bootstrap_ece(cells, replicates), "ece")
     base = each.where(F.col("model_name") == baseline).select("grouping_name", "group_key", "replicate", F.col("ece").alias("base"))
     return each.where(F.col("model_name") != baseline).join(base, ["grouping_name", "group_key", "replicate"]).select(*GROUP, "replicate", (F.col("ece") - F.col("base")).alias("ece_difference"))
 
 
 def cluster_scores(rows: DataFrame, fits: DataFrame, p: str = "predicted_probability", y: str = "observed_outcome", cluster: str = "event_family_id", epsilon: float = EPSILON) -> DataFrame:
     """Per group and cluster the sums of the calibration fit's scores (s0, s1) and information (h00, h01, h11). fits: intercept and slope per group (see :func:`tidemark.operators.calibration.diagnostic`)."""
-    there = fits.where("slope IS NOT NULL").select(*GROUP, "intercept", "slope")
+    # A row a group, made by the driver: without the broadcast all rows of a group would meet in one task.
+    there = F.broadcast(fits.where("slope IS NOT NULL").select(*GROUP, "intercept", "slope"))
     x = logit(clip(F.col(p), epsilon))
     joined = rows.join(there, GROUP).withColumn("__x", x)
     mu = sigmoid(F.col("intercept") + F.col("slope") * F.col("__x"))
