@@ -133,11 +133,13 @@ def _header(files: fs.FileSystem, path: str) -> tuple[list[str] | None, int | No
 
 
 def inspect_files(spark: SparkSession, path: str, pattern: str = "*", fields: tuple[Field, ...] = ()) -> DataFrame:
-    """name, bytes, sha256, rows (of parquet), columns, missing (of ``fields``) of each file below a folder.
+    """name, bytes, sha256, rows (of parquet), columns, missing (of ``fields``), entry (the file or folder right below ``path`` that it belongs to) of each file below a folder.
 
     Tasks do all of it: a task streams a file through its digest in pieces, whatever its size, and reads its footer or first line. A file without a reader, or one that can't be read, has no columns. Spark doesn't list empty files. Stores that only the JVM can open (see :mod:`pyarrow.fs` for those that Python can) give sizes alone.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,12 +153,13 @@ def inspect_files(spark: SparkSession, path: str, pattern: str = "*", fields: tu
                 except (OSError, ValueError):  # it stays in the list without what couldn't be read
                     pass
                 missing = None if columns is None else resolve_columns(columns, fields).missing
-                out.append((where.rsplit("/", 1)[-1], size, digest, rows, columns, missing))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["name", "bytes", "sha256", "rows", "columns", "missing"])
+                name = where.rsplit("/", 1)[-1]
+                out.append((name, size, digest, rows, columns, missing, where[len(root) :].split("/", 1)[0] if where.startswith(root) else name))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], ["name", "bytes", "sha256", "rows", "columns", "missing", "entry"])
 
     spread = listed.repartition(spark.sparkContext.defaultParallelism, "path")
-    return spread.mapInArrow(inspect, "name string, bytes long, sha256 string, rows long, columns array<string>, missing array<string>")
+    return spread.mapInArrow(inspect, "name string, bytes long, sha256 string, rows long, columns array<string>, missing array<string>, entry string")
 
 
 def schema_groups(spark: SparkSession, paths: list[str]) -> tuple[dict[tuple[str, ...], list[str]], list[str]]:
