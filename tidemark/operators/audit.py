@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.snapshots import HORIZONS
 from tidemark.operators.taxonomy import FAMILY_CONFIDENCE, NOTES, summary
-from tidemark.operators.walkforward import identical_rows
+from tidemark.session import materialize
 
 TABLES = ("snapshots", "features", "taxonomy", "predictions", "decomposition", "edge")
 # What each table must never hold, by the check's name. A null condition counts as met.
@@ -42,8 +42,12 @@ ROW_CHECKS = {
         "identity": "abs(decomposed_brier - (reliability - resolution + uncertainty)) > 1e-12", "residual": "abs(raw_brier - decomposed_brier - residual) > 1e-12", "parts_not_negative": "least(reliability, resolution, uncertainty) < 0", "rows_there": "row_count <= 0",
     },
 }
-# The columns that name a row.
-KEYS = {"snapshots": ["contract_id", "horizon"], "features": ["contract_id", "horizon"], "taxonomy": ["contract_id"], "predictions": ["model_name", "fold_id", "row_id"], "edge": ["model_name", "row_id", "friction_tier", "trade_side"]}
+# The columns that name a row; a row's id comes before what tells the rows of one id apart.
+KEYS = {"snapshots": ["contract_id", "horizon"], "features": ["contract_id", "horizon"], "taxonomy": ["contract_id"], "predictions": ["fold_id", "row_id", "model_name"], "edge": ["model_name", "row_id", "friction_tier", "trade_side"]}
+ID_COLUMNS = {"snapshots": 1, "features": 1, "taxonomy": 1, "predictions": 2, "edge": 2}
+ID = ["__h", "__i"]
+#: Partitions of ids for each one of a usual shuffle: ids are counted in memory.
+SPREAD = 4
 
 
 def _counts(table: DataFrame, phase: str, sums: dict[str, Column]) -> DataFrame:
@@ -51,32 +55,66 @@ def _counts(table: DataFrame, phase: str, sums: dict[str, Column]) -> DataFrame:
     return one.select(F.lit(phase).alias("phase"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("long").alias("n")) for n in sums])).alias("x")).select("phase", "x.*")
 
 
-def row_checks(phase: str, table: DataFrame) -> DataFrame:
-    """phase, name, n, status: of each row check of a table, rows that break it, and of its key the rows that repeat one. One scan; the key is counted by a grouping."""
+def _ids(table: DataFrame, keys: list[str], rest: list[str], **more: Column) -> DataFrame:
+    """__h and __i, the 128 bits of two hashes in place of ``keys`` and of which of them are null; __code, a hash of ``rest`` (null if all are); and ``more``. Rows of one id are of a few bytes, and those that follow one another fewer still."""
+    nulls = lambda names: [F.col(c).isNull() for c in names]
+    code = F.when(F.greatest(*[F.col(c).isNotNull() for c in rest], F.lit(False)), F.xxhash64(*rest, *nulls(rest))) if rest else F.lit(0).cast("long")
+    return table.select(F.xxhash64(*keys, *nulls(keys)).alias("__h"), F.xxhash64(F.lit(1), *keys, *nulls(keys)).alias("__i"), code.alias("__code"), *[c.alias(n) for n, c in more.items()])
+
+
+def _met(ids: DataFrame) -> DataFrame:
+    """Rows of an id in one partition. They aren't counted before: as a rule ids differ, and a table of all that a task has would only be spilled."""
+    return ids.repartition(SPREAD * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__h")
+
+
+def row_checks(phase: str, table: DataFrame, keys: bool = True) -> DataFrame:
+    """phase, name, n, status: of each row check of a table, rows that break it, and of its key the rows that repeat one (if ``keys``). One scan; keys are counted by their hashes."""
     sums = {n: F.count_if(F.coalesce(F.expr(c), F.lit(True))) for n, c in ROW_CHECKS[phase].items()}
     out = _counts(table, phase, sums)
-    if phase in KEYS:
-        repeated = table.groupBy(*KEYS[phase]).agg(F.count(F.lit(1)).alias("k"))
-        out = out.unionByName(_counts(repeated, phase, {"key_is_unique": F.coalesce(F.sum(F.col("k") - 1), F.lit(0))}))
+    if keys and phase in KEYS:
+        size = ID_COLUMNS[phase]
+        each = _met(_ids(table, KEYS[phase][:size], KEYS[phase][size:])).groupBy(*ID, "__code").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(_counts(each, phase, {"key_is_unique": F.coalesce(F.sum(F.col("n") - 1), F.lit(0))}))
     return out.withColumn("status", F.when(F.col("n") == 0, "PASS").otherwise("FAIL"))
 
 
+def _prediction_ids(predictions: DataFrame) -> DataFrame:
+    """The predictions' repeated keys and their agreement between models (as :func:`tidemark.operators.walkforward.identical_rows` has it) from one shuffle of ids."""
+    each = _met(_ids(predictions, ["fold_id", "row_id"], ["model_name"])).groupBy(*ID, "__code").agg(F.count(F.lit(1)).alias("n"))
+    rows = each.groupBy(*ID).agg(F.count("__code").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("repeated"))
+    models = F.broadcast(predictions.agg(F.count_distinct("model_name").alias("models")))
+    one = rows.crossJoin(models).agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated"), F.count_if((F.col("k") != F.col("models")) | (F.col("n") != F.col("k"))).alias("bad"), (F.count_distinct("models") - 1).alias("agree"))
+    named = [F.struct(F.lit(p).alias("phase"), F.lit(n).alias("name"), F.col(c).cast("long").alias("n")) for p, n, c in (("predictions", "key_is_unique", "repeated"), ("walkforward", "identical_rows", "bad"), ("walkforward", "models_agree", "agree"))]
+    return one.select(F.explode(F.array(*named)).alias("x")).select("x.*")
+
+
+def _edge_ids(edge: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The candidates' repeated keys, and those without a prediction (a null in the id has none), from one shuffle of both tables' ids."""
+    id_, rest = KEYS["edge"][:2], KEYS["edge"][2:]
+    mine = _ids(edge, id_, rest, mine=F.lit(True), whole=F.col(id_[0]).isNotNull() & F.col(id_[1]).isNotNull())
+    theirs = _ids(predictions, id_, [], mine=F.lit(False), whole=F.lit(True))
+    each = _met(mine.unionByName(theirs)).groupBy(*ID, "__code", "mine", "whole").agg(F.count(F.lit(1)).alias("n"))
+    rows = each.groupBy(*ID).agg(F.sum(F.when(F.col("mine"), F.col("n"))).alias("n"), F.sum(F.when(F.col("mine"), F.col("n") - 1)).alias("repeated"), F.bool_or(~F.col("mine")).alias("predicted"), F.bool_and("whole").alias("whole"))
+    lost = F.when(~(F.col("predicted") & F.col("whole")), F.col("n"))
+    return _counts(rows, "edge", {"key_is_unique": F.coalesce(F.sum("repeated"), F.lit(0)), "rows_are_predicted": F.coalesce(F.sum(lost), F.lit(0))})
+
+
 def final_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """phase, name, status, detail. tables: TABLES. Stops after the checks for being there if one is missing."""
     spark = next(iter(tables.values())).sparkSession
     there = spark.createDataFrame([("existence", n, "PASS" if n in tables else "FAIL", "") for n in TABLES], "phase string, name string, status string, detail string")
     if set(TABLES) - set(tables):
         return there
+    # Both panels are read by several checks.
+    tables = tables | {n: materialize(tables[n], n) for n in ("snapshots", "features")}
     out = None
     for phase in TABLES:
-        found = row_checks(phase, tables[phase])
+        found = row_checks(phase, tables[phase], keys=phase not in ("predictions", "edge"))
         out = found if out is None else out.unionByName(found)
     # Between tables: features keep the snapshots' rows, candidates come from prediction rows.
     signed = tables["features"].select(F.lit(1).alias("x")).unionByName(tables["snapshots"].select(F.lit(-1).alias("x")))
     sizes = _counts(signed, "features", {"keeps_rows": F.abs(F.coalesce(F.sum("x"), F.lit(0)))})
-    known = tables["edge"].join(tables["predictions"].select("model_name", "row_id"), ["model_name", "row_id"], "left_anti")
-    identical = _counts(identical_rows(tables["predictions"]), "walkforward", {"identical_rows": F.coalesce(F.sum("bad_rows"), F.lit(0)), "models_agree": F.count_distinct("models") - 1})
-    more = sizes.unionByName(_counts(known, "edge", {"rows_are_predicted": F.count(F.lit(1))})).unionByName(identical)
+    more = sizes.unionByName(_edge_ids(tables["edge"], tables["predictions"])).unionByName(_prediction_ids(tables["predictions"]))
     out = out.unionByName(more.withColumn("status", F.when(F.col("n") == 0, "PASS").otherwise("FAIL")))
     shares = summary(tables["taxonomy"])
     by_rule = shares.select(F.lit("taxonomy").alias("phase"), F.lit("family_rules").alias("name"), F.when(F.col("regex_family_share") <= 0.01, "PARTIAL").otherwise("PASS").alias("status"), F.format_number("regex_family_share", 4).alias("detail"))
