@@ -269,7 +269,7 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {sql.GROUPED} SELECT grouping_name, group_key, count(*) AS row_count, count(DISTINCT contract_id) AS contracts, count(DISTINCT event_family_id) AS families, {r('avg(brier)')} AS mean_brier, {r('avg(log_loss)')} AS mean_log_loss FROM grouped GROUP BY ALL")
 def a5_equal_contract_metrics(spark, d):
-    return metrics.equal_contract(_grouped(spark, d))
+    return metrics.equal_contract(metrics.scored(adapters.panel(spark, d)), metrics.GROUPINGS)
 
 
 @query(f"""WITH {sql.GROUPED}, f AS (SELECT grouping_name, group_key, event_family_id, count(*) AS n, avg(brier) AS b, avg(log_loss) AS l FROM grouped GROUP BY ALL)
@@ -302,7 +302,7 @@ def a10_expected_calibration_error(spark, d):
 @query(f"""WITH {sql.GROUPED}, {_ECE_SQL}, k AS (SELECT grouping_name, group_key, count(*) AS row_count, count(DISTINCT contract_id) AS contracts, count(DISTINCT event_family_id) AS families, avg(brier) AS b, avg(log_loss) AS l FROM grouped GROUP BY ALL)
 SELECT grouping_name, group_key, row_count, contracts, families, {r('b')} AS mean_brier, {r('l')} AS mean_log_loss, {r('ece')} AS ece FROM k LEFT JOIN ece USING (grouping_name, group_key)""")
 def d8_raw_evaluation(spark, d):
-    return metrics.metric_table(_grouped(spark, d))
+    return metrics.metric_table(metrics.scored(adapters.panel(spark, d)), groupings=metrics.GROUPINGS)
 
 
 _WEIGHTED_SQL = f"""WITH {sql.PREDICTIONS}, w AS (

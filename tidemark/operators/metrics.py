@@ -38,9 +38,24 @@ def usable_groupings(panel: DataFrame, groupings: dict[str, list[str]]) -> tuple
 KEYS = ["grouping_name", "group_key"]
 
 
-def equal_contract(rows: DataFrame) -> DataFrame:
-    """The primary aggregation: each row counts the same. rows: as by_groupings(scored(...)) gives them."""
-    return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("contract_id").alias("contracts"), F.count_distinct("event_family_id").alias("families"), F.avg("brier").alias("mean_brier"), F.avg("log_loss").alias("mean_log_loss"))
+def _distinct_counts(rows: DataFrame, groupings: dict[str, list[str]]) -> DataFrame:
+    """Per group the distinct contracts and families. A row is shuffled once to its contract, as narrow as it goes, and repeated by grouping there; families are few to a task and are counted where they are."""
+    dims = list(dict.fromkeys(c for cols in groupings.values() for c in cols))
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rows.where("contract_id IS NOT NULL").select(*dict.fromkeys(["contract_id", *dims])).repartition(width, "contract_id")
+    contracts = by_groupings(pairs, groupings).groupBy(*KEYS, "contract_id").agg(F.lit(1).alias("x")).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("contracts"))
+    families = by_groupings(rows.select(*dict.fromkeys(["event_family_id", *dims])), groupings).groupBy(*KEYS, "event_family_id").agg(F.lit(1).alias("x")).groupBy(*KEYS).agg(F.count("event_family_id").alias("families"))
+    return families.join(contracts, KEYS, "left").withColumn("contracts", F.coalesce("contracts", F.lit(0)))
+
+
+def equal_contract(rows: DataFrame, groupings: dict[str, list[str]] | None = None) -> DataFrame:
+    """The primary aggregation: each row counts the same. rows: as by_groupings(scored(...)) gives them, or before it with its ``groupings``."""
+    means = [F.avg("brier").alias("mean_brier"), F.avg("log_loss").alias("mean_log_loss")]
+    if groupings is not None:
+        dims = list(dict.fromkeys(c for cols in groupings.values() for c in cols))
+        found = by_groupings(rows.select(*dict.fromkeys(["brier", "log_loss", *dims])), groupings).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("row_count"), *means)
+        return found.join(_distinct_counts(rows, groupings), KEYS).select(*KEYS, "row_count", "contracts", "families", "mean_brier", "mean_log_loss")
+    return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("contract_id").alias("contracts"), F.count_distinct("event_family_id").alias("families"), *means)
 
 
 def equal_family(rows: DataFrame) -> DataFrame:
@@ -76,8 +91,10 @@ def ece(rows: DataFrame, bins: int = 10, p: str = "raw_probability", y: str = "o
     return cells.groupBy(*keys).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
 
 
-def metric_table(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """Equal-contract metrics with the calibration error."""
+def metric_table(rows: DataFrame, bins: int = 10, groupings: dict[str, list[str]] | None = None) -> DataFrame:
+    """Equal-contract metrics with the calibration error. rows: as for :func:`equal_contract`."""
+    if groupings is not None:
+        return equal_contract(rows, groupings).join(ece(by_groupings(rows, groupings), bins), KEYS, "left")
     return equal_contract(rows).join(ece(rows, bins), KEYS, "left")
 
 
