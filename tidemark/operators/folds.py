@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 FOLD_SCHEMA = "fold_id string, train_start timestamp_ntz, val_start timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz"
 
 
+#: Partitions of contracts for each one of a usual shuffle: a partition's contracts are counted in memory.
+SPREAD = 4
+
+
 def _next(month: dt.datetime, n: int = 1) -> dt.datetime:
     k = month.year * 12 + month.month - 1 + n
     return dt.datetime(k // 12, k % 12 + 1, 1)
@@ -84,8 +88,9 @@ def fit_counts(panel: DataFrame, folds: DataFrame, values: list[Column | str], t
 
 
 def split_counts(panel: DataFrame, folds: DataFrame, ts: str = "forecast_ts") -> DataFrame:
-    """fold_id, split, n, contracts (distinct), first_ts, last_ts of the assigned rows, from one aggregate by contract and month: a contract is in a train part if its first month is."""
-    each = panel.groupBy("contract_id", month_of(ts).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    """fold_id, split, n, contracts (distinct), first_ts, last_ts of the assigned rows, from one aggregate by contract and month: a contract is in a train part if its first month is. Rows go to their contract as they are, since contracts have few rows and a table of all that a task has would be no smaller."""
+    width = SPREAD * int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = panel.select("contract_id", ts).repartition(width, "contract_id").groupBy("contract_id", month_of(ts).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
     each = each.withColumn("new", (F.col("month") == F.min("month").over(Window.partitionBy("contract_id"))).cast("long"))
     monthly = each.groupBy("month").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("new").alias("new"))
     rows = monthly.join(F.broadcast(fold_months(folds)), "month").groupBy("fold_id", "split").agg(F.sum("n").alias("n"), F.sum("new").alias("new"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
