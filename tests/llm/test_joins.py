@@ -188,6 +188,23 @@ def test_line_runs(spark):
     assert sorted(tuple(r) for r in runs.compacted().collect()) == [(1, 1, 3, 4), (2, 2, 1, 1), (3, 3, 2, 4), (5, 5, 1, 5)]
 
 
+def test_line_dedup_tables(make, spark, monkeypatch):
+    """The keys have no file for each batch and task, and batches are written once: what a run with many partitions costs."""
+    files, tables, made, write = [], [], linededup.materialize, linededup.LineRuns._write
+
+    def counted(df, tag, *more):
+        files.append((tag, len((out := made(df, tag, *more)).inputFiles())))
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counted)
+    monkeypatch.setattr(linededup.LineRuns, "_write", lambda self, rows: tables.append(1) or write(self, rows))
+    docs = [(k, "\n".join(f"{'A line that is long enough to be a key.'} {k % 7} {i}" for i in range(20))) for k in range(60)]
+    got = linededup.dedup_lines(make(docs).repartition(8), n_batches=4).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=str) == brute_lines(docs)
+    assert max(n for tag, n in files if tag == "line-keys") <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(tables) <= 5
+
+
 def brute_shards(rows, limit):
     """rows: (id, bytes) with different ids; depth and prefix by splitting."""
     todo, out = [(0, 0, [(k, int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16), n) for k, n in rows])], {}

@@ -1,11 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table of (h1, h2, n_docs, last_doc), one row per line key, bucketed and sorted by the two 64-bit hashes of
-the key. Each batch of documents is merge-anti-joined with the runs: keys that no run holds make a new run at level 0,
-so that every key is in one run alone; the counts of known keys go to an update table, which holds repeated lines only.
-Once a level holds ``fanout`` runs they are compacted into one run of the next. Batch, runs and updates have the same
-buckets, so a batch meets the runs without a shuffle. :func:`dedup_lines` feeds all documents in batches and then
-drops the lines that runs and updates condemn together.
+the key. Each batch of documents is merge-anti-joined with the runs and written once: keys that no run holds are a new
+run at level 0, so that every key is in one run alone; the others, marked as known, are updates of counts. Once a level
+holds ``fanout`` runs they are compacted into one run of the next, and with it if that fills it. Batches and runs have
+the same buckets, so a batch meets the runs without a shuffle. :func:`dedup_lines` feeds all documents in batches and
+then drops the lines that runs and updates condemn together.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points never drop; a null
 id counts as one document that is never the keeper; repeated rows with one id count once and are treated alike; an
@@ -49,21 +49,24 @@ def _python_hashes(key: bytes) -> tuple[int, int]:
 
 
 class LineRuns:
-    """The levels of runs, of which no two share a key, and the updates of their counts. ``fanout`` runs of a level are compacted into one of the next."""
+    """The levels of runs, of which no two share a key, and the updates of their counts: the rows of batches that are marked as known. ``fanout`` runs of a level are compacted into one of the next."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.updates: list[str] = []
+        self.batches: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
+        """A table of h1, h2, known, n_docs, last_doc."""
         name = f"tidemark_run_{uuid.uuid4().hex}"
         path = f"{work_dir(self.spark)}/{name}"
-        sorted_rows = rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-        sorted_rows.option("path", path).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         return name
 
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).where("NOT known").drop("known")
+
     def _drop(self, name: str) -> None:
         run = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")
@@ -71,54 +74,58 @@ class LineRuns:
 
     def _merged(self, names: list[str]) -> DataFrame:
         """One table of runs that share no key: a merge of sorted buckets."""
-        merged = self.spark.table(names[0])
+        merged = self._run(names[0])
         for name in names[1:]:
-            a, b = merged.alias("a"), self.spark.table(name).alias("b")
+            a, b = merged.alias("a"), self._run(name).alias("b")
             both = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full_outer")
             merged = both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("h1", "h2", "n_docs", "last_doc")])
-        return merged
-
-    def add(self, keys: DataFrame) -> None:
-        """Takes a batch's keys (doc, h1, h2, distinct) against the runs: the new ones become a run, the counts of the known ones an update. Compacts the levels that are full."""
-        batch = self._write(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc")))
-        if self.names():
-            run = self._write(self.anti_join(self.spark.table(batch)))
-            self.updates.append(self._write(self.spark.table(batch).join(self.spark.table(run).select("h1", "h2"), ["h1", "h2"], "left_anti")))
-            self._drop(batch)
-        else:
-            run = batch
+        return merged.repartition(self.buckets, "h1", "h2").withColumn("known", F.lit(False))
+
+    def add(self, keys: DataFrame, compact: bool = True) -> None:
+        """Takes a batch's keys (doc, h1, h2, distinct) against the runs: the new ones become a run, the counts of the known ones an update. Compacts the levels that are full, in one merge if one fills the next; the last batch needs none, since no other meets its run."""
+        run = self._write(self.split(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))))
+        self.batches.append(run)
+        self.levels = self.levels or [[]]
+        self.levels[0].append(run)
+        full: list[str] = []
         level = 0
-        while True:
+        while compact and len(self.levels[level]) + (level > 0) >= self.fanout:
+            full, self.levels[level] = self.levels[level] + full, []
+            level += 1
             if len(self.levels) == level:
                 self.levels.append([])
-            self.levels[level].append(run)
-            if len(self.levels[level]) < self.fanout:
-                return
-            full, self.levels[level] = self.levels[level], []
-            run = self._write(self._merged(full))
+        if full:
+            self.levels[level].append(self._write(self._merged(full)))
             for name in full:
-                self._drop(name)
-            level += 1
+                if name not in self.batches:
+                    self._drop(name)
 
     def names(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
+    def split(self, keys: DataFrame) -> DataFrame:
+        """The rows of ``keys`` with ``known``: whether a run holds the key. Each run is met by a merge."""
+        known = F.lit(False)
+        for k, name in enumerate(self.names()):
+            keys = keys.join(self._run(name).select("h1", "h2", F.lit(True).alias(f"__{k}")), ["h1", "h2"], "left")
+            known = known | F.col(f"__{k}").isNotNull()
+        return keys.withColumn("known", known).drop(*[f"__{k}" for k in range(len(self.names()))])
+
     def anti_join(self, keys: DataFrame) -> DataFrame:
         """The rows of ``keys`` whose key no run holds."""
-        for name in self.names():
-            keys = keys.join(self.spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        return keys
+        return self.split(keys).where("NOT known").drop("known")
 
     def compacted(self, min_docs: int = 1) -> DataFrame | None:
         """h1, h2, n_docs, last_doc of all keys in at least ``min_docs`` documents; None without any run. A run meets the sums of the updates, which are as many as the repeated keys."""
         out = None
         more = None
-        for name in self.updates:
-            more = self.spark.table(name) if more is None else more.unionByName(self.spark.table(name))
+        for name in self.batches[1:]:
+            update = self.spark.table(name).where("known")
+            more = update if more is None else more.unionByName(update)
         if more is not None:
             more = more.groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
         for name in self.names():
-            run = self.spark.table(name)
+            run = self._run(name)
             if more is not None:
                 run = run.join(more, ["h1", "h2"], "left")
                 run = run.select("h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
@@ -128,9 +135,9 @@ class LineRuns:
 
     def drop(self) -> None:
         """Drops all tables and their files."""
-        for name in [*self.names(), *self.updates]:
+        for name in {*self.names(), *self.batches}:
             self._drop(name)
-        self.levels, self.updates = [], []
+        self.levels, self.batches = [], []
 
 
 def dedup_lines(
@@ -148,13 +155,14 @@ def dedup_lines(
     A condemned key that holds at least 1 / ``max_broadcast_keys`` of all key rows is broadcast; there can't be more of them than that. The others are joined by a shuffle, in which no key has more rows than this share.
     """
     spark = docs.sparkSession
-    parts = F.pmod(F.xxhash64("doc"), F.lit(n_batches or MAX_BATCHES)).cast("int")
-    keys = materialize(line_keys(docs, min_chars, doc_col, text_col).withColumn("batch", parts), "line-keys", "batch")
+    keys = materialize(line_keys(docs, min_chars, doc_col, text_col), "line-keys")
     n_keys = keys.count()
     batches = n_batches or min(MAX_BATCHES, max(MIN_BATCHES, -(-n_keys // BATCH_KEYS)))
     runs = LineRuns(spark, fanout)
+    # Each batch filters all keys, which are a few bytes a line: a folder for each batch would take a file for each batch and task.
+    part = F.pmod(F.xxhash64("doc"), F.lit(batches))
     for batch in range(batches):
-        runs.add(keys.where((F.col("batch") % batches) == batch).select("doc", "h1", "h2"))
+        runs.add(keys.where(part == batch), compact=batch + 1 < batches)
     condemned = materialize(runs.compacted(min_docs), "condemned")
     runs.drop()
     heavy = F.col("n_docs") * max_broadcast_keys >= n_keys
