@@ -435,13 +435,13 @@ def m5_calibration_diagnostic(spark, d):
 @query()
 def m8_hierarchical(spark, d):
     panel, made = _folded(spark, d)
-    found = walkforward.evaluate(panel, made, ("raw", "hierarchical_eb"))
+    found = walkforward.evaluate(panel, made, ("raw", "hierarchical_eb"), counted=True)
     return walkforward.fold_metrics(found)
 
 
-def _walkforward(spark: SparkSession, d: str, models: tuple[str, ...] = ("raw", "binned_reliability")) -> DataFrame:
+def _walkforward(spark: SparkSession, d: str, models: tuple[str, ...] = ("raw", "binned_reliability"), counted: bool = False) -> DataFrame:
     panel, made = _folded(spark, d)
-    return walkforward.evaluate(panel, made, models)
+    return walkforward.evaluate(panel, made, models, counted=counted)
 
 
 _WALK_SQL = f"""WITH {_BINNED_SQL}, walk AS (
@@ -452,18 +452,18 @@ _WALK_SQL = f"""WITH {_BINNED_SQL}, walk AS (
 
 @query(_WALK_SQL + f"SELECT fold_id, model_name, row_count, {r('b')} AS mean_brier, {r('l')} AS mean_log_loss FROM fm")
 def d14_walkforward_fold_metrics(spark, d):
-    return walkforward.fold_metrics(_walkforward(spark, d))
+    return walkforward.fold_metrics(_walkforward(spark, d, counted=True))
 
 
 @query(_WALK_SQL + f"""SELECT 'fold_macro' AS aggregation, model_name, CAST(sum(row_count) AS BIGINT) AS row_count, {r('avg(b)')} AS mean_brier, {r('avg(l)')} AS mean_log_loss, count(DISTINCT fold_id) AS folds FROM fm GROUP BY model_name
 UNION ALL SELECT 'pooled', model_name, CAST(sum(row_count) AS BIGINT), {r('sum(b * row_count) / sum(row_count)')}, {r('sum(l * row_count) / sum(row_count)')}, NULL FROM fm GROUP BY model_name""")
 def a14_aggregate_metrics(spark, d):
-    return walkforward.aggregate_metrics(_walkforward(spark, d))
+    return walkforward.aggregate_metrics(_walkforward(spark, d, counted=True))
 
 
 @query(_WALK_SQL + f"SELECT f.fold_id, f.model_name, f.row_count, {r('r.b - f.b')} AS gain FROM fm f JOIN fm r ON r.fold_id = f.fold_id AND r.model_name = 'raw' WHERE f.model_name <> 'raw'")
 def d38_gain_over_time(spark, d):
-    return walkforward.gain_over_time(_walkforward(spark, d))
+    return walkforward.gain_over_time(_walkforward(spark, d, counted=True))
 
 
 @query(f"""WITH {sql.PREDICTIONS}, d AS (SELECT fold_id, row_id, model_name FROM predictions WHERE NOT (model_name = 'sharp' AND cumulative_volume = 3) UNION ALL SELECT fold_id, row_id, model_name FROM predictions WHERE model_name = 'raw' AND cumulative_volume = 5),
@@ -477,7 +477,7 @@ def d15_identical_test_rows(spark, d):
 
 @query()
 def d14_walkforward_all_models(spark, d):
-    return walkforward.aggregate_metrics(_walkforward(spark, d, ("raw", "platt", "beta", "isotonic", "binned_reliability", "hierarchical_eb")))
+    return walkforward.aggregate_metrics(_walkforward(spark, d, ("raw", "platt", "beta", "isotonic", "binned_reliability", "hierarchical_eb"), counted=True))
 
 
 # ---- Inference

@@ -27,12 +27,13 @@ def _next(month: dt.datetime, n: int = 1) -> dt.datetime:
 
 def make_folds(panel: DataFrame, months: int = 1, min_train_months: int = 1, ts: str = "forecast_ts") -> DataFrame:
     """A fold per test month: train from the first month to the validation month, validation the month before the test month. The last month goes if it isn't complete; a fold needs rows in all three parts. The driver sees one count per month."""
-    counts = {r["m"]: r["n"] for r in panel.groupBy(F.date_format(ts, "yyyy-MM").alias("m")).agg(F.count(F.lit(1)).alias("n")).where("m IS NOT NULL").collect()}
-    if not counts:
+    months_there = panel.groupBy(month_of(ts).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("t")).where("m IS NOT NULL").collect()
+    if not months_there:
         return panel.sparkSession.createDataFrame([], FOLD_SCHEMA)
-    start, last = (dt.datetime.strptime(m, "%Y-%m") for m in (min(counts), max(counts)))
-    latest = panel.agg(F.max(ts).alias("t")).first()["t"].replace(tzinfo=None)
-    n = lambda a, b: sum(v for m, v in counts.items() if a <= dt.datetime.strptime(m, "%Y-%m") < b)
+    counts = {r["m"]: r["n"] for r in months_there}
+    start, last = min(counts), max(counts)
+    latest = max(r["t"] for r in months_there).replace(tzinfo=None)
+    n = lambda a, b: sum(v for m, v in counts.items() if a <= m < b)
     rows, test = [], _next(start, min_train_months + months)
     while test <= last:
         val, end = _next(test, -months), _next(test, months)
@@ -87,6 +88,24 @@ def fit_counts(panel: DataFrame, folds: DataFrame, values: list[Column | str], t
     return once.join(F.broadcast(fit_months(folds)), "usable").groupBy("fold_id", *names).agg(F.sum("n").alias("n"))
 
 
+def month_counts(panel: DataFrame, values: list[Column | str], ts: str = "forecast_ts", resolved: str = "resolution_ts") -> DataFrame:
+    """usable, month, ``values``, n: the panel reduced by the two months that tell a row's part in every fold, from which :func:`fitted_counts` and :func:`tested_counts` are made without the panel."""
+    return panel.groupBy(usable_from(ts, resolved).alias("usable"), month_of(ts).alias("month"), *values).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fitted_counts(counts: DataFrame, folds: DataFrame, names: list[str]) -> DataFrame:
+    """fold_id, ``names``, n: as :func:`fit_counts` has them, from :func:`month_counts`."""
+    start = folds.agg(F.min("train_start").alias("__start"))
+    once = counts.join(F.broadcast(start), F.col("month") >= F.col("__start")).groupBy("usable", *names).agg(F.sum("n").alias("n"))
+    return once.join(F.broadcast(fit_months(folds)), "usable").groupBy("fold_id", *names).agg(F.sum("n").alias("n"))
+
+
+def tested_counts(counts: DataFrame, folds: DataFrame, names: list[str]) -> DataFrame:
+    """fold_id, ``names``, n: the rows that each fold is tested on, counted, from :func:`month_counts`."""
+    tests = fold_months(folds).where("split = 'test'").select("fold_id", "month")
+    return counts.join(F.broadcast(tests), "month").groupBy("fold_id", *names).agg(F.sum("n").alias("n"))
+
+
 def split_counts(panel: DataFrame, folds: DataFrame, ts: str = "forecast_ts") -> DataFrame:
     """fold_id, split, n, contracts (distinct), first_ts, last_ts of the assigned rows, from one aggregate by contract and month: a contract is in a train part if its first month is. Rows go to their contract as they are, since contracts have few rows and a table of all that a task has would be no smaller."""
     width = SPREAD * int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
