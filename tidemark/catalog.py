@@ -582,7 +582,7 @@ def d22_edge_candidates(spark, d):
 @query(f"""WITH {sql.EDGE} SELECT model_name, friction_tier, 'YES' AS trade_side, count(*) AS candidates, count(*) FILTER (net_edge >= 0.02) AS selected, {r('avg((net_edge >= 0.02)::INT)')} AS selected_share, {r('avg(net_edge)')} AS mean_net_edge, {r('median(net_edge)')} AS median_net_edge, {r('avg(effective_cost)')} AS mean_cost,
 {r('avg(net_edge) FILTER (net_edge >= 0.02)')} AS selected_mean_net_edge, {r('avg(realized) FILTER (net_edge >= 0.02)')} AS selected_mean_realized, {r('sum(realized) FILTER (net_edge >= 0.02)')} AS selected_total FROM edge GROUP BY ALL""")
 def a26_edge_tier_summary(spark, d):
-    return edge.tier_summary(_edge(spark, d))
+    return edge.tier_summary(edge.simulate_counts(adapters.predictions(spark, d)), weight="n")
 
 
 @query(f"WITH {sql.EDGE} SELECT model_name, friction_tier, count(*) FILTER (net_edge >= 0.02) AS selected, count(*) FILTER (net_edge >= 0.02 AND cumulative_volume >= 3) AS selected_with_volume, CAST(coalesce(sum(cumulative_volume) FILTER (net_edge >= 0.02), 0) AS BIGINT) AS selected_volume FROM edge GROUP BY ALL")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import elapsed_seconds, lockup_cost, reasons, taker_fee
 from tidemark.operators.quantiles import with_percentiles
 from tidemark.operators.scan import running_last, running_sum
+from tidemark.session import materialize
 
 
 @dataclass(frozen=True)
@@ -127,11 +128,30 @@ def _sides(rows: DataFrame, config: EdgeConfig) -> DataFrame:
 
 def simulate(predictions: DataFrame, config: EdgeConfig = EdgeConfig(), rates: tuple[float, ...] = ()) -> DataFrame:
     """Candidates (under each of ``rates`` in place of the schedule, if given): model_name, row_id, friction_tier, trade_side, costs, edges, passes_threshold (net edge at or above the limit) and simulated results. One narrow pass without a shuffle."""
-    rows = _sides(_prepared(predictions, config).where("exclusion_reason = ''"), config).where("side_reason = ''")
+    return _simulated(_eligible(predictions, config, rates), config, rates)
+
+
+def simulate_counts(predictions: DataFrame, config: EdgeConfig = EdgeConfig(), rates: tuple[float, ...] = ()) -> DataFrame:
+    """The candidates of :func:`simulate` with their costs, edges and results, those that agree in all as one row with ``n``. Predictions are counted and written before tiers, sides and rates repeat them; summaries scan the counts."""
+    quoted = ("yes_ask", "no_ask", "quote_ts", "quote_staleness_seconds") if config.quotes else ()
+    names = ["model_name", "raw_probability", "predicted_probability", "observed_outcome", "holding_seconds", *quoted, *(() if rates else ("fee_name", "fee_rate"))]
+    rows = _eligible(predictions, config, rates)
+    counts = rows.groupBy(*[c for c in names if c in rows.columns]).agg(F.count(F.lit(1)).alias("n"))
+    return _simulated(materialize(counts.withColumns({"exclusion_reason": F.lit("")}), "candidates"), config, rates)
+
+
+def _eligible(predictions: DataFrame, config: EdgeConfig, rates: tuple[float, ...]) -> DataFrame:
+    """Rows without a reason against them, with their fee, which doesn't depend on tier and side, unless ``rates`` replace it."""
+    rows = _prepared(predictions, config).where("exclusion_reason = ''")
+    if rates:
+        return rows
+    return rows.withColumn("__fee", fee_entry(config.schedule, F.col("forecast_ts"))).withColumns({"fee_name": F.col("__fee.name"), "fee_rate": F.col("__fee.rate")}).drop("__fee")
+
+
+def _simulated(rows: DataFrame, config: EdgeConfig, rates: tuple[float, ...]) -> DataFrame:
+    rows = _sides(rows, config).where("side_reason = ''")
     if rates:  # what doesn't depend on the rate is done before
         rows = rows.withColumns({"fee_name": F.lit("scenario"), "fee_rate": F.explode(F.array(*map(F.lit, rates)))})
-    else:
-        rows = rows.withColumn("__fee", fee_entry(config.schedule, F.col("forecast_ts"))).withColumns({"fee_name": F.col("__fee.name"), "fee_rate": F.col("__fee.rate")}).drop("__fee")
     rows = rows.withColumn("fee_cost", taker_fee(F.col("fee_rate"), F.col("entry_price")))
     rows = rows.withColumn("cost_before_lockup", F.col("entry_price") + F.col("fee_cost") + F.col("spread_cost") + F.col("slippage_cost"))
     lock = lockup_cost(F.col("cost_before_lockup"), config.annual_rate, F.col("holding_seconds")) if config.lockup else F.lit(0.0)
@@ -149,15 +169,16 @@ def excluded(predictions: DataFrame, config: EdgeConfig = EdgeConfig()) -> DataF
     return base.unionByName(side).groupBy("exclusion_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tier_summary(found: DataFrame, scenarios: dict[float, Column] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """Per model, tier, side and ``more``: counts, means, medians, and the same of the selected candidates. With ``scenarios`` (a value and what it selects) a row for each, with its value as scenario; what doesn't depend on the selection is summed once."""
+def tier_summary(found: DataFrame, scenarios: dict[float, Column] | None = None, more: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """Per model, tier, side and ``more``: counts, means, medians, and the same of the selected candidates. With ``weight`` a row of ``found`` stands for so many (:func:`simulate_counts`). With ``scenarios`` (a value and what it selects) a row for each, with its value as scenario; what doesn't depend on the selection is summed once."""
     key = ["model_name", "friction_tier", "trade_side", *more]
     options = scenarios or {0.0: F.col("passes_threshold")}
+    n = F.col(weight) if weight else F.lit(1).cast("long")
     chosen = []
     for k, keeps in enumerate(options.values()):
-        of = lambda c, keeps=keeps: F.when(keeps, F.col(c))
-        chosen += [F.count_if(keeps).alias(f"selected{k}"), F.sum(of("net_edge")).alias(f"net{k}"), F.sum(of("realized_net")).alias(f"realized{k}"), F.sum(of("realized_total")).alias(f"selected_total{k}")]
-    sums = with_percentiles(found, key, "net_edge", {"median_net_edge": 0.5}, F.count(F.lit(1)).alias("candidates"), F.sum("net_edge").alias("net"), F.sum("effective_cost").alias("cost"), *chosen)
+        of = lambda c, keeps=keeps: F.when(keeps, F.col(c) * n)
+        chosen += [F.sum(F.when(keeps, n).otherwise(0)).alias(f"selected{k}"), F.sum(of("net_edge")).alias(f"net{k}"), F.sum(of("realized_net")).alias(f"realized{k}"), F.sum(of("realized_total")).alias(f"selected_total{k}")]
+    sums = with_percentiles(found, key, "net_edge", {"median_net_edge": 0.5}, F.sum(n).alias("candidates"), F.sum(F.col("net_edge") * n).alias("net"), F.sum(F.col("effective_cost") * n).alias("cost"), *chosen, weight=weight)
     n = F.col("candidates")
 
     def scenario(k: int, x: float) -> Column:

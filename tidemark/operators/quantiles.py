@@ -27,10 +27,11 @@ def cell_of(x: Column) -> Column:
     return F.when(F.isnan(x), end + 1).when(F.abs(x) == float("inf"), F.when(x > 0, end).otherwise(-end)).when(x < 0, -1 - size).otherwise(size)
 
 
-def cells(df: DataFrame, keys: list[str], value: str, *sums: Column) -> DataFrame:
-    """keys, __cell, __c (values that aren't null), __lo, __hi and ``sums`` by group and cell: the first scan."""
+def cells(df: DataFrame, keys: list[str], value: str, *sums: Column, weight: str | None = None) -> DataFrame:
+    """keys, __cell, __c (values that aren't null; with ``weight`` a row stands for so many), __lo, __hi and ``sums`` by group and cell: the first scan."""
     x = F.col(value).cast("double")
-    return df.groupBy(*keys, cell_of(x).alias("__cell")).agg(F.count(x).alias("__c"), F.min(x).alias("__lo"), F.max(x).alias("__hi"), *sums)
+    count = F.coalesce(F.sum(F.when(x.isNotNull(), F.col(weight))), F.lit(0)) if weight else F.count(x)
+    return df.groupBy(*keys, cell_of(x).alias("__cell")).agg(count.alias("__c"), F.min(x).alias("__lo"), F.max(x).alias("__hi"), *sums)
 
 
 def _holding(counts: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -39,8 +40,8 @@ def _holding(counts: DataFrame, by: list[str], order: str) -> DataFrame:
     return counts.withColumn("__from", F.coalesce(F.sum("__c").over(before), F.lit(0)))
 
 
-def percentiles_of(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...], found: DataFrame) -> DataFrame:
-    """keys, point, value: percentiles with linear interpolation, as ``percentile`` gives them; nulls don't count. found: :func:`cells` of the same rows, written."""
+def percentiles_of(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...], found: DataFrame, weight: str | None = None) -> DataFrame:
+    """keys, point, value: percentiles with linear interpolation, as ``percentile`` gives them; nulls don't count. found: :func:`cells` of the same rows, written, with the same ``weight``."""
     own = [f"__k{i}" for i in range(len(keys))]
     counts = found.where("__c > 0").select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], *_CELL)
     total = counts.groupBy(*own).agg(F.sum("__c").alias("__n"))
@@ -55,7 +56,7 @@ def percentiles_of(df: DataFrame, keys: list[str], value: str, points: tuple[flo
         met = a.join(b, [*same(own, [x for x in by if x not in own]), inside])
         return met.select(*[F.col(f"a.{o}") for o in own], "a.point", "a.__at", F.coalesce("a.__first", F.col("a.__rank")).alias("__first"), (F.col("a.__rank") - F.col("b.__from")).alias("__rank"), "b.__lo", "b.__hi", "b.__c")
 
-    rows = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).cast("double").alias("__x")).where("__x IS NOT NULL")
+    rows = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).cast("double").alias("__x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("__w")).where("__x IS NOT NULL AND __w > 0")
     targets, made = materialize(narrowed(ranks.withColumn("__first", F.lit(None).cast("long")), counts, own), "ranks"), []
     while True:
         made.append(targets)
@@ -67,7 +68,7 @@ def percentiles_of(df: DataFrame, keys: list[str], value: str, points: tuple[flo
         met = rows.alias("a").join(near.alias("b"), [*same(own, []), F.col("a.__x").between(F.col("b.__low"), F.col("b.__high"))])
         # A place in a cell is never lower for a larger value; each value is a part of its own once the cell is small.
         place = F.floor((F.col("__x") - F.col("__low")) / (F.col("__high") - F.col("__low")) * CUTS) if size > MAX_CELL else F.col("__x")
-        parts = met.select(*[F.col(f"a.{o}") for o in own], "__low", place.alias("__place"), "__x").groupBy(*own, "__low", "__place").agg(F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        parts = met.select(*[F.col(f"a.{o}") for o in own], "__low", place.alias("__place"), "__x", "__w").groupBy(*own, "__low", "__place").agg(F.sum("__w").alias("__c"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
         done = targets.where("__lo = __hi")
         open_ = targets.where("__lo < __hi").withColumnRenamed("__lo", "__low")
         targets = materialize(done.unionByName(narrowed(open_, parts, [*own, "__low"])), "ranks")
@@ -84,12 +85,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[
     return percentiles_of(df, keys, value, points, materialize(cells(df, keys, value), "cells"))
 
 
-def with_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], *sums: Column) -> DataFrame:
-    """keys, ``sums`` over each group, and a column for each point (name: point). The sums (each an aliased F.sum, F.count or F.count_if) and the first counts are made in one scan."""
-    found = materialize(cells(df, keys, value, *sums), "cells")
+def with_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], *sums: Column, weight: str | None = None) -> DataFrame:
+    """keys, ``sums`` over each group, and a column for each point (name: point). The sums (each an aliased F.sum, F.count or F.count_if) and the first counts are made in one scan. With ``weight``, a column of counts, a row's value counts so often; ``sums`` are as they are given."""
+    found = materialize(cells(df, keys, value, *sums, weight=weight), "cells")
     names = [c for c in found.columns if c not in (*keys, *_CELL)]
     whole = found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names], F.sum("__c").alias("__values"))
-    each = percentiles_of(df, keys, value, tuple(sorted(set(points.values()))), found)
+    each = percentiles_of(df, keys, value, tuple(sorted(set(points.values()))), found, weight)
     own = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     wide = each.groupBy(*own).agg(*[F.max(F.when(F.col("point") == p, F.col("value"))).alias(name) for name, p in points.items()])
     joined = whole.join(wide, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.expr import bin_index, brier, log_loss
-from tidemark.operators.edge import EdgeConfig, simulate, tier_summary
+from tidemark.operators.edge import EdgeConfig, simulate, simulate_counts, tier_summary
 from tidemark.operators.features import DAY, SUMS, trailing_sums
 from tidemark.operators.folds import leakage
 from tidemark.operators.metrics import full_rows, metric_rows
@@ -92,9 +92,9 @@ def domain_exclusions(rows: DataFrame, full: bool = False) -> DataFrame:
 
 
 def friction_scenarios(predictions: DataFrame, rates: tuple[float, ...] = (0.0, 0.05, 0.07, 0.1), edges: tuple[float, ...] = (0.01, 0.02)) -> DataFrame:
-    """Tier summaries under each fee rate and threshold, from one scan. A scenario's rate replaces the schedule, which is what a scenario is for."""
-    rows = simulate(predictions, EdgeConfig(), rates)
-    return tier_summary(rows, {x: F.col("net_edge") >= x for x in edges}, ("fee_rate",)).withColumnRenamed("scenario", "min_net_edge")
+    """Tier summaries under each fee rate and threshold, from one scan: equal predictions are counted before rates and tiers repeat them. A scenario's rate replaces the schedule, which is what a scenario is for."""
+    rows = simulate_counts(predictions, EdgeConfig(), rates)
+    return tier_summary(rows, {x: F.col("net_edge") >= x for x in edges}, ("fee_rate",), "n").withColumnRenamed("scenario", "min_net_edge")
 
 
 def full_slices(rows: DataFrame, filters: dict[str, Column], full: bool = False) -> DataFrame:
