@@ -46,14 +46,16 @@ def staleness_filters(rows: DataFrame, maxima: tuple[float, ...] = (3600.0, 1800
 def weighting_sensitivity(rows: DataFrame, keys: list[str], bins: int = 10, min_count: int = 5, volume: str = "cumulative_volume") -> DataFrame:
     """Per group and weighting (equal_contract, equal_event_family: 1 / the family's rows in the group, trade_weighted: no weight below zero): row_count, total_weight, mean_brier, mean_log_loss, ece, sparse_bins, status. rows: with brier and log_loss.
 
-    One scan and one aggregate by group, family and bin serve all three: a family's weight is known from its counts.
+    One scan and one aggregate by group, family and bin serve all three: a family's weight is known from its counts. Rows go to their family before they are counted, so that a task's table has few families; a family of many rows is split over tasks.
     """
     p, y, w = F.col("predicted_probability"), F.col("observed_outcome"), F.greatest(F.coalesce(F.col(volume).cast("double"), F.lit(0.0)), F.lit(0.0))
     terms = {"n": F.lit(1.0), "b": F.col("brier"), "l": F.col("log_loss"), "p": p, "y": y.cast("double")}
-    cells = rows.groupBy(*keys, "event_family_id", bin_index(p, bins).alias("bin")).agg(
+    near = rows.select(*keys, "event_family_id", "predicted_probability", "observed_outcome", "brier", "log_loss", volume).hint("rebalance", "event_family_id")
+    # As a struct, since Spark would take the rows as dealt by family for good, and couldn't split a family's.
+    cells = near.groupBy(*keys, F.struct("event_family_id").alias("family"), bin_index(p, bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(x).alias(f"e_{k}") for k, x in terms.items()], *[F.sum(w * x).alias(f"t_{k}") for k, x in terms.items()]
     )
-    size = F.sum("rows").over(Window.partitionBy(*keys, "event_family_id"))
+    size = F.sum("rows").over(Window.partitionBy(*keys, "family"))
     cells = cells.withColumn("size", size).withColumns({f"f_{k}": F.col(f"e_{k}") / F.col("size") for k in terms})
     by_bin = cells.groupBy(*keys, "bin").agg(F.sum("rows").alias("rows"), *[F.sum(f"{m}_{k}").alias(f"{m}_{k}") for m in "eft" for k in terms])
     modes = {"e": "equal_contract", "f": "equal_event_family", "t": "trade_weighted"}
