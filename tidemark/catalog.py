@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr
@@ -36,8 +36,18 @@ def query(text: str | None = None) -> Callable:
     return add
 
 
+def round9(x: Column) -> Column:
+    """A double rounded to nine digits as SQL does it: times 1e9, to the nearest whole number with halves away from zero, over 1e9. Spark's own round goes through the decimal text of each value."""
+    v = x * F.lit(1e9)
+    size = F.abs(v)
+    whole = F.floor(size)
+    up = (size - whole.cast("double") >= 0.5).cast("long")
+    near = F.when(size < F.lit(2.0**52), F.signum(v) * (whole + up).cast("double")).otherwise(v) / F.lit(1e9)
+    return F.when(size == F.lit(float("inf")), x).otherwise(near)
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(df[f"`{c}`"], 9) + F.lit(0.0)).alias(c) if t == "double" else df[f"`{c}`"] for c, t in df.dtypes])
+    return df.select(*[(round9(df[f"`{c}`"]) + F.lit(0.0)).alias(c) if t == "double" else df[f"`{c}`"] for c, t in df.dtypes])
 
 
 def r(x: str) -> str:
