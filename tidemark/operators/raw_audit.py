@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.expr import brier, elapsed_seconds, seconds_between
 from tidemark.operators.asof import HISTORY, window_states
 from tidemark.operators.quantiles import with_percentiles
+from tidemark.session import materialize
 
 
 def staleness_table(panel: DataFrame, column: str = "staleness_seconds", by: str = "horizon_name", limits: tuple[int, ...] = (300, 1800, 3600)) -> DataFrame:
@@ -67,7 +68,8 @@ def strict_variants(candidates: DataFrame, prices: DataFrame, stale: tuple[int,
 def close_semantics(panel: DataFrame, contracts: DataFrame, horizon: str = "close", flag_above: int = 300, limits: tuple[int, ...] = (60, 120, 240)) -> DataFrame:
     """Per snapshot method of the close horizon: rows, percentiles of the times from forecast, price and last trade to the resolution and to the contract's own times, and shares of stale or late prices."""
     own = contracts.select("contract_id", F.col("resolution_ts").alias("__end"), F.col("close_time").alias("__close"))
-    rows = panel.where(F.col("horizon") == horizon).join(own, "contract_id", "left")
+    mine = panel.where(F.col("horizon") == horizon).select("contract_id", "snapshot_method", "forecast_ts", "resolution_ts", "price_timestamp", "last_trade_ts", "staleness_seconds")
+    rows = materialize(mine.join(own, "contract_id", "left"), "close-rows")  # several scans read it, and the panel is dear
     gap = lambda a, b: elapsed_seconds(F.col(a), F.col(b))
     share = lambda c: F.avg(c.cast("double"))
     stale = F.col("staleness_seconds")
