@@ -3,7 +3,9 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -100,5 +102,25 @@ def test_large_block(spark, make, sides):
     assert got[0][:3] == (1, len(a.ids), len(b)) and got[2] == (3, 0, 0, 0, 0, 0, 0) and got[1][1] == 2
 
 
+def test_block_rows(make, segmented):
+    """A block's segments leave it as lists, not a row each."""
+    docs = make([(1, " ".join(f"w{k}" for k in range(3000))), (2, None), (3, ""), (4, "w2999 w1\n w1")]).coalesce(1)
+    rows = alignment._blocks(docs, segmented[0], "doc_id", "text").collect()
+    lists = sorted((r for r in rows if r.kind == "seg"), key=lambda r: r.k)
+    assert [r.k for r in lists] == [0, 1024, 2048] and len(rows) == 7
+    distinct = [s for r in lists for s in r.segs]
+    data = {r.doc: [distinct[k] for k in alignment._numbers(bytes(r.data), len(distinct)).tolist()] for r in rows if r.kind == "doc"}
+    assert data == {1: distinct[:3000], 2: [], 3: [], 4: [" w2999", " w1", "\n w1"]}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 16])
+def test_counts_of_repeated_segments(monkeypatch, most):
+    monkeypatch.setattr(alignment, "MAX_REPEATED", most)
+    rows = pa.RecordBatch.from_pydict({"of": [5] * 4, "k": [1, 0, 2, 3], "ok": [True, True, True, False], "pairs": [[7, 9], [7], [3], []]})
+    packed = pa.Table.from_batches(alignment._columns(iter([rows])))
+    docs = pa.table({"data": [alignment._packed(np.array(x, np.uint32), 4) for x in ([0, 1, 0, 1], [2], [0, 0], [], [1, 3])]})
+    assert sorted(alignment._count_pairs(docs, packed).to_pylist(), key=str) == [{"pair": 3, "n": 1}, {"pair": 7, "n": 2}, {"pair": 9, "n": 1}]
+
+
 def test_empty_table(make):
     assert alignment.align_documents(make([]), A, B).collect() == []

@@ -35,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,6 +46,10 @@ from tidemark.llm.common import materialize, shuffles_freed, work_dir
 from tidemark.llm.tokencount import _byte_letters
 
 BLOCK_BYTES = 8 << 20
+#: A block's segments are written as lists of this many.
+SEGMENTS_A_ROW = 1024
+#: Longer texts are counted by their distinct segments.
+MAX_REPEATED = 1 << 16
 #: Groups with more links than this are linked by different ids, with how often each occurs.
 MAX_PRODUCT = 4096
 #: White space that a cut may stand before, if both vocabularies allow it.
@@ -100,33 +105,48 @@ def safe_breaks(a: list[bytes], b: list[str]) -> str:
 
 
 class Cutter:
-    """Cuts a text before runs of white space that begin with one of ``breaks`` and stand behind something else than white space."""
+    """Cuts texts before runs of white space that begin with one of ``breaks`` and stand behind something else than white space."""
 
     def __init__(self, breaks: str):
-        self.odd = odd_characters() - set(breaks)
-        self.plain = re.compile(f"[{_some(breaks)}]*[^{_some(breaks)}]+|[{_some(breaks)}]+") if breaks else None
+        self.white = np.zeros(256, bool)
+        self.white[list(breaks.encode())] = True
+        self.odd = np.zeros(1 << 21, bool)
+        self.odd[[ord(c) for c in odd_characters() - set(breaks)]] = True
+
+    def starts(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where segments start in the UTF-8 of texts one after the other; ``texts``: where these start, none of which is empty."""
+        white = self.white[data]
+        at = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+        before = data[at - 1].astype(np.int32)
+        long = np.flatnonzero(before >= 0x80)  # the characters before, from their last two, three or four bytes
+        d, c, b, a = (data[np.maximum(at[long] - k, 0)].astype(np.int32) for k in (1, 2, 3, 4))
+        d, two, three = d & 63, c >= 0xC0, b >= 0xE0
+        c, b = np.where(two, c & 31, c & 63) << 6, np.where(three, b & 15, b & 63) << 12
+        before[long] = np.where(two, c | d, np.where(three, b | c | d, (a & 7) << 18 | b | c | d))
+        first = np.zeros(len(data), bool)
+        first[at[~self.odd[before]]] = True
+        first[texts] = True
+        return np.flatnonzero(first)
 
     def __call__(self, text: str) -> list[str]:
-        if self.plain is None:
-            return [text]
-        parts = self.plain.findall(text)
-        if self.odd.isdisjoint(text):
-            return parts
-        joined: list[list[str]] = []
-        for part in parts:
-            if joined and joined[-1][-1][-1] in self.odd:
-                joined[-1].append(part)
-            else:
-                joined.append([part])
-        return ["".join(x) for x in joined]
-
-
-class _Numbers(dict):
-    """Numbers segments as they come."""
-
-    def __missing__(self, segment: str) -> int:
-        self[segment] = n = len(self)
-        return n
+        data = text.encode()
+        cuts = [*self.starts(np.frombuffer(data, np.uint8), np.zeros(1, np.int64)).tolist(), len(data)] if data else []
+        return [data[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def numbered(self, texts: pa.LargeStringArray) -> tuple[list[np.ndarray], pa.LargeStringArray]:
+        """The segments of each text behind a space (none of a null or empty one) as numbers, and the distinct segments in the order of their numbers."""
+        full = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.filter(full), pa.scalar("", pa.large_string()))
+        if not len(spaced):
+            return [np.zeros(0, np.uint32)] * len(texts), pa.array([], pa.large_string())
+        ends = np.frombuffer(spaced.buffers()[1], np.int64, len(spaced) + 1, 8 * spaced.offset)
+        data = np.frombuffer(spaced.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        starts = self.starts(data, ends[:-1])
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.r_[starts, len(data)]), pa.py_buffer(data)).dictionary_encode()
+        cuts = np.zeros(len(texts) + 1, np.int64)
+        cuts[1:][full.to_numpy(zero_copy_only=False)] = np.diff(np.searchsorted(starts, ends))
+        return np.split(found.indices.to_numpy().astype(np.uint32), np.cumsum(cuts)[1:-1]), found.dictionary
 
 
 def _packed(numbers: np.ndarray, segments: int) -> bytes:
@@ -155,37 +175,42 @@ def _bucketed(df: DataFrame, tag: str, buckets: int, by: str, partition: str | N
 
 
 def _blocks(docs: DataFrame, cutter: Cutter, doc_col: str, text_col: str) -> DataFrame:
-    """kind "doc": block, doc, data (numbers of the text's segments in the block); kind "seg": block, k, seg."""
+    """kind "doc": block, doc, data (numbers of the text's segments in the block); kind "seg": block, k, segs (the segments from number k on)."""
     kind = docs.schema[doc_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number, index = TaskContext.get().partitionId() << 32, 0, _Numbers()
-        ids, data, held, doc_type = [], [], 0, None
+        base, number, ids, texts, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            n, m = len(ids), len(index)
+            doc = pa.concat_arrays(ids)
+            numbers, distinct = cutter.numbered(pa.concat_arrays(texts))
+            n, first = len(doc), np.arange(0, len(distinct), SEGMENTS_A_ROW)
+            segs = pa.ListArray.from_arrays(pa.array(np.r_[first, len(distinct)], pa.int32()), distinct.cast(pa.string()))
+            m = len(segs)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(["doc"] * n + ["seg"] * m), pa.array([base + number] * (n + m), pa.int64()), pa.array([None] * n + list(range(m)), pa.int64()),
-                    pa.array(ids + [None] * m, doc_type), pa.array([_packed(x, m) for x in data] + [None] * m, pa.binary()), pa.array([None] * n + list(index), pa.string()),
+                    pa.array(["doc"] * n + ["seg"] * m), pa.array([base + number] * (n + m), pa.int64()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(first, pa.int64())]),
+                    pa.concat_arrays([doc, pa.nulls(m, doc.type)]), pa.array([_packed(x, len(distinct)) for x in numbers] + [None] * m, pa.binary()), pa.concat_arrays([pa.nulls(n, segs.type), segs]),
                 ],
-                ["kind", "block", "k", "doc", "data", "seg"],
+                ["kind", "block", "k", "doc", "data", "segs"],
             )
 
         for batch in batches:
-            doc_type = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = cutter(f" {text}") if text else []
-                if ids and held + len(text or "") > BLOCK_BYTES:
+            text, at = batch.column(1).cast(pa.large_string()), 0
+            for row, size in enumerate(pc.fill_null(pc.utf8_length(text), 0).to_pylist()):
+                if (ids or row > at) and held + size > BLOCK_BYTES:
+                    ids.append(batch.column(0).slice(at, row - at))
+                    texts.append(text.slice(at, row - at))
                     yield flush()
-                    index, ids, data, held, number = _Numbers(), [], [], 0, number + 1
-                ids.append(doc)
-                data.append(np.fromiter(map(index.__getitem__, parts), np.uint32, len(parts)))
-                held += len(text or "")
+                    ids, texts, held, number, at = [], [], 0, number + 1, row
+                held += size
+            if batch.num_rows > at:
+                ids.append(batch.column(0).slice(at))
+                texts.append(text.slice(at))
         if ids:
             yield flush()
 
-    return docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"kind string, block long, k long, doc {kind}, data binary, seg string")
+    return docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"kind string, block long, k long, doc {kind}, data binary, segs array<string>")
 
 
 class Aligner:
@@ -332,10 +357,14 @@ def _count_pairs(docs: pa.Table, packed: pa.Table) -> pa.Table:
     ok = segments.column("ok").to_numpy()
     counts = np.zeros(len(codes), np.int64)
     for data in docs.column("data").to_pylist():
-        held = np.unique(_numbers(data, len(ok)))
+        held = _numbers(data, len(ok))
+        if len(held) > MAX_REPEATED:
+            held = np.unique(held)
         if len(held) and ok[held].all():
             n = size[held]
-            counts[np.unique(local[np.repeat(first[held] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])] += 1
+            ends = np.cumsum(n)
+            # A place that is named more than once is raised by one: values are read before any is written.
+            counts[local[np.repeat(first[held] - ends + n, n) + np.arange(ends[-1])]] += 1
     seen = counts > 0
     return pa.table({"pair": pa.array(codes[seen], pa.int64()), "n": pa.array(counts[seen], pa.int64())})
 
@@ -344,16 +373,18 @@ def _compose(docs: pa.Table, packed: pa.Table) -> pa.Table:
     """The block's documents from the alignments of their segments."""
     segments = _rows(packed)
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    columns = np.stack([segments.column(c).to_numpy() for c in names]) if segments else np.zeros((len(names), 0), np.int64)
-    ok, groups = (segments.column("ok").to_numpy(), segments.column("groups").to_pylist()) if segments else (np.zeros(0, bool), [])
-    sums, texts = [], []
+    if segments is None:  # all its texts are empty
+        return pa.table({"doc": docs.column("doc")} | {c: pa.array([0] * len(docs), pa.int64()) for c in names} | {"groups": pa.array([""] * len(docs), pa.string())})
+    columns = np.stack([segments.column(c).to_numpy() for c in names], 1)
+    ok, sums, kept = segments.column("ok").to_numpy(), [], []
     for data in docs.column("data").to_pylist():
         held = _numbers(data, len(ok))
-        good = len(held) > 0 and bool(ok[held].all())
-        sums.append(columns[:, held].sum(1) if good else np.zeros(len(names), np.int64))
-        texts.append(";".join(map(groups.__getitem__, held.tolist())) if good else "")
-    sums = np.stack(sums).T
-    return pa.table({"doc": docs.column("doc")} | {c: pa.array(x, pa.int64()) for c, x in zip(names, sums, strict=True)} | {"groups": pa.array(texts, pa.string())})
+        kept.append(held if ok[held].all() else held[:0])
+        sums.append(columns[kept[-1]].sum(0))
+    ends = pa.array(np.r_[0, np.cumsum([len(x) for x in kept])], pa.int32())
+    groups = segments.column("groups").combine_chunks().cast(pa.large_string()).take(pa.array(np.concatenate(kept)))
+    texts = pc.binary_join(pa.ListArray.from_arrays(ends, groups), pa.scalar(";", pa.large_string())).cast(pa.string())
+    return pa.table({"doc": docs.column("doc")} | {c: pa.array(x, pa.int64()) for c, x in zip(names, np.stack(sums).T, strict=True)} | {"groups": texts})
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,7 +394,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, doc_col: str = "d
     width = len(piece_model(b_path)[1])
     blocks = _bucketed(_blocks(docs, cutter, doc_col, text_col), "blocks", buckets, "block", "kind")
     texts = blocks.where("kind = 'doc'").select("block", "doc", "data")
-    parts = blocks.where("kind = 'seg'").select(F.col("block").alias("of"), "k", "seg").repartition(buckets, "seg")
+    listed = blocks.where("kind = 'seg'").select(F.col("block").alias("of"), F.col("k").alias("from"), F.posexplode("segs").alias("place", "seg"))
+    parts = listed.select("of", (F.col("from") + F.col("place")).alias("k"), "seg").repartition(buckets, "seg")
     with shuffles_freed(spark):
         parts = _bucketed(parts, "parts", buckets, "seg")
     # Its tasks have a bucket each and keep the column, so nothing is shuffled.
