@@ -496,13 +496,17 @@ def d14_walkforward_all_models(spark, d):
 _INFERENCE_GROUPINGS = {"overall": [], "horizon": ["horizon_name"], "domain": ["domain"], "category": ["category"], "liquidity": ["liquidity_bucket"], "staleness": ["staleness_bucket"]}
 
 
-def _inference_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _predictions(spark, d).withColumns({
+def _with_buckets(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
         "liquidity_bucket": expr.left_closed_bucket(F.col("liquidity"), [20000.0, 50000.0], ["low", "medium", "high"]),
         "staleness_bucket": expr.left_closed_bucket(F.col("staleness_seconds"), [600.0, 1800.0, 3600.0], ["fresh", "recent", "old", "stale"]),
     })
 
 
+def _inference_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _with_buckets(_predictions(spark, d))
+
+
 def _inference(spark: SparkSession, d: str) -> DataFrame:
     return metrics.by_groupings(_inference_rows(spark, d), _INFERENCE_GROUPINGS)
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import EPSILON, bin_index, clip, logit, sigmoid
+from tidemark.operators.metrics import by_groupings
 from tidemark.session import materialize
 
 RIDGE, TOLERANCE, MAX_ITERATIONS, MIN_ROWS = 1e-9, 1e-8, 100, 20
@@ -37,6 +38,16 @@ def compress(rows: DataFrame, key: list[str], p: str = "raw_probability", y: str
     return rows.groupBy(*key, F.col(p).alias("p"), F.col(y).alias("y"), *context).agg(F.count(F.lit(1)).alias("n"))
 
 
+def compress_panel(panel: DataFrame, models: dict[str, Column], groupings: dict[str, list[str]], y: str = "observed_outcome") -> DataFrame:
+    """model_name, grouping_name, group_key, p, y, n: what :func:`compress` counts in the panel's rows under each model and grouping. Equal rows are counted before models and groupings repeat them."""
+    dims = list(dict.fromkeys(c for cols in groupings.values() for c in cols))
+    cells = panel.select(*dims, F.col(y).alias("__y"), *[p.cast("double").alias(f"__p{k}") for k, p in enumerate(models.values())])
+    cells = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("__n"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), F.col(f"__p{k}").alias("p")) for k, m in enumerate(models)])).alias("__m")
+    rows = by_groupings(cells.select(*dims, "__y", "__n", each), groupings)
+    return rows.groupBy("__m.model_name", "grouping_name", "group_key", "__m.p", F.col("__y").alias("y")).agg(F.sum("__n").alias("n"))
+
+
 def gate(data: DataFrame, key: list[str], min_rows: int = MIN_ROWS, epsilon: float = EPSILON) -> DataFrame:
     """key, rows, rate and status: why a fold can't be fitted, or ``ok``."""
     c = clip(F.col("p"), epsilon)

@@ -7,10 +7,9 @@ and any engine gets the same replicates.
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.expr import EPSILON, bin_index, clip, logit, sigmoid
+from tidemark.operators import calibration
 from tidemark.operators.keys import JoinError
 from tidemark.operators.metrics import by_groupings, group_key
 from tidemark.session import materialize
 
+try:
+    # Python's own takes less than half of the time that OpenSSL takes for a short text.
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 GROUP = ["model_name", "grouping_name", "group_key"]
 
 
@@ -51,11 +57,25 @@ def cluster_stats(rows: DataFrame, cluster: str = "event_family_id") -> DataFram
 MAX_CLUSTER_ROWS = 1 << 20
 
 
-def bin_stats(rows: DataFrame, bins: int = 10, p: str = "predicted_probability", y: str = "observed_outcome", cluster: str = "event_family_id", groupings: dict[str, list[str]] | None = None) -> DataFrame:
-    """Per group, cluster and bin: n and the sums of probabilities and outcomes. rows: as by_groupings gives them, or before it with its ``groupings``.
+def _large_clusters(narrow: DataFrame) -> Column | None:
+    """Whether a row is of a cluster of many rows, of which there are few. narrow: with a text column cluster."""
+    counts = narrow.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    large = [r[0] for r in counts.where(F.col("n") > MAX_CLUSTER_ROWS).collect()]  # one for each 2^20 rows at most
+    if not large:
+        return None
+    named = F.coalesce(F.col("cluster").isin([c for c in large if c is not None]), F.lit(False))
+    return named | F.col("cluster").isNull() if None in large else named
 
-    With ``groupings`` a row is shuffled once, to its cluster, and repeated by grouping there: a cluster has about as many cells as rows, so partial sums would be no fewer than rows. Clusters of many rows, of which there are few, are summed where they are.
-    """
+
+def _at_cluster(narrow: DataFrame, large: Column | None, summed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``summed``, which repeats rows by grouping and sums them by cluster among others. A row is shuffled once, to its cluster, and repeated there: a cluster has about as many cells as rows, so partial sums would be no fewer than rows. Large clusters are summed where they are."""
+    width = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = summed((narrow if large is None else narrow.where(~large)).repartition(width, "cluster"))
+    return found if large is None else found.unionByName(summed(narrow.where(large)))
+
+
+def bin_stats(rows: DataFrame, bins: int = 10, p: str = "predicted_probability", y: str = "observed_outcome", cluster: str = "event_family_id", groupings: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per group, cluster and bin: n and the sums of probabilities and outcomes. rows: as by_groupings gives them, or before it with its ``groupings``."""
 
     def summed(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*GROUP, "cluster", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"))
@@ -64,16 +84,7 @@ def bin_stats(rows: DataFrame, bins: int = 10, p: str = "predicted_probability",
     if groupings is None:
         return summed(narrow)
     narrow = narrow.select("cluster", "bin", *dict.fromkeys(["model_name", p, y, *[c for cols in groupings.values() for c in cols]]))
-    counts = narrow.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    large = [r[0] for r in counts.where(F.col("n") > MAX_CLUSTER_ROWS).collect()]  # one for each 2^20 rows at most
-    is_large = F.lit(False)
-    if named := [c for c in large if c is not None]:
-        is_large = F.coalesce(F.col("cluster").isin(named), F.lit(False))
-    if None in large:
-        is_large = is_large | F.col("cluster").isNull()
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = summed(by_groupings(narrow.where(~is_large).repartition(width, "cluster"), groupings))
-    return found.unionByName(summed(by_groupings(narrow.where(is_large), groupings))) if large else found
+    return _at_cluster(narrow, _large_clusters(narrow), lambda rows: summed(by_groupings(rows, groupings)))
 
 
 def kish(stats: DataFrame) -> DataFrame:
@@ -118,11 +129,8 @@ def _weights(clusters: list[str | None], first: int, last: int) -> np.ndarray:
     numbers = [str(r).encode() for r in range(first, last)]
     data = []
     for cluster in clusters:
-        start = hashlib.md5(b"" if cluster is None else cluster.encode() + b"|")
-        for number in numbers:
-            h = start.copy()
-            h.update(number)
-            data.append(h.digest())
+        start = b"" if cluster is None else cluster.encode() + b"|"
+        data += [md5(start + number).digest() for number in numbers]
     u = np.frombuffer(b"".join(data), ">u4")[::4] / 4294967296.0
     return np.searchsorted(POISSON_STEPS, u, side="right").reshape(len(clusters), len(numbers)).astype(np.float64)
 
@@ -379,26 +387,96 @@ def cluster_scores(rows: DataFrame, fits: DataFrame, p: str = "predicted_probabi
     return joined.groupBy(*GROUP, F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), s(r).alias("s0"), s(r * x).alias("s1"), s(w).alias("h00"), s(w * x).alias("h01"), s(w * x * x).alias("h11"))
 
 
-def calibration_replicates(scores: DataFrame, fits: DataFrame, replicates: int = REPLICATES) -> DataFrame:
-    """Per group and replicate intercept and slope by influence functions: the fit moved by the inverse information times the weighted scores. Groups whose information is singular have none."""
-    info = scores.groupBy(*GROUP).agg(F.sum("h00").alias("h00"), F.sum("h01").alias("h01"), F.sum("h11").alias("h11"), F.sum("s0").alias("t0"), F.sum("s1").alias("t1"))
+def _mark(salt: int, name: Column, key: Column) -> Column:
+    return F.xxhash64(F.lit(salt), name, key)
+
+
+def marked_groups(fits: DataFrame, models: dict[str, Column]) -> tuple[DataFrame, int]:
+    """A row for each group of ``fits``: its names, the fits of the k-th model as i_k and s_k (null where it has none), and a hash of the names, group, which no two share under the salt that is returned too."""
+    mine = lambda m, c: F.max(F.when(F.col("model_name") == m, F.col(c)))
+    names = fits.groupBy("grouping_name", "group_key")
+    found = materialize(names.agg(*[mine(m, c).alias(f"{c[0]}_{k}") for k, m in enumerate(models) for c in ("intercept", "slope")]), "groups")
+    for salt in count():
+        marked = found.withColumn("group", _mark(salt, F.col("grouping_name"), F.col("group_key")))
+        if marked.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return marked, salt
+
+
+def panel_scores(panel: DataFrame, groups: DataFrame, salt: int, models: dict[str, Column], groupings: dict[str, list[str]], y: str = "observed_outcome", cluster: str = "event_family_id", epsilon: float = EPSILON) -> DataFrame:
+    """Per group and cluster: n, and s0_k and s1_k, the sums of the k-th model's scores, zero where it has no fit. groups, salt: of all of the panel's groups (see :func:`marked_groups`).
+
+    Models are columns and groups numbers, which a row gets before it is shuffled: it is repeated by grouping alone, and no text but the cluster's is met in a repeated row.
+    """
+    xs = {f"__x{k}": logit(clip(p, epsilon)) for k, p in enumerate(models.values())}
+    marks = {f"__g{k}": _mark(salt, F.lit(name), group_key(cols)) for k, (name, cols) in enumerate(groupings.items())}
+    narrow = panel.select(F.col(cluster).cast("string").alias("cluster"), F.col(y).alias("__y"), *[x.alias(c) for c, x in (xs | marks).items()])
+    slopes = [f"s_{k}" for k in range(len(models))]
+    there = F.broadcast(groups.where(F.coalesce(*slopes).isNotNull()).drop("grouping_name", "group_key"))  # a row a group, made by the driver
+    residual = lambda k: F.col("__y") - sigmoid(F.col(f"i_{k}") + F.col(f"s_{k}") * F.col(f"__x{k}"))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        rows = rows.select("cluster", "__y", *xs, F.explode(F.array(*marks)).alias("group")).join(there, "group").withColumns({f"__r{k}": residual(k) for k in range(len(models))})
+        total = lambda x, name: F.coalesce(F.sum(x), F.lit(0.0)).alias(name)
+        sums = [x for k in range(len(models)) for x in (total(F.col(f"__r{k}"), f"s0_{k}"), total(F.col(f"__r{k}") * F.col(f"__x{k}"), f"s1_{k}"))]
+        return rows.groupBy("group", "cluster").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+    return _at_cluster(narrow, _large_clusters(narrow), summed)
+
+
+def counted_information(counts: DataFrame, fits: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """Per group the sums of the fit's information and scores over all clusters, from the counts that it was made from (see :func:`tidemark.operators.calibration.compress`)."""
+    x, w = F.col("__x"), F.col("__w")
+    rows = counts.join(F.broadcast(fits.where("slope IS NOT NULL").select(*GROUP, "intercept", "slope")), GROUP).withColumn("__x", logit(clip(F.col("p"), epsilon)))
+    rows = rows.withColumn("__mu", sigmoid(F.col("intercept") + F.col("slope") * x))
+    rows = rows.withColumns({"__r": F.col("n") * (F.col("y") - F.col("__mu")), "__w": F.col("n") * F.greatest(F.col("__mu") * (1 - F.col("__mu")), F.lit(1e-12))})
+    return rows.groupBy(*GROUP).agg(F.sum(w).alias("h00"), F.sum(w * x).alias("h01"), F.sum(w * x * x).alias("h11"), F.coalesce(F.sum("__r"), F.lit(0.0)).alias("t0"), F.coalesce(F.sum(F.col("__r") * x), F.lit(0.0)).alias("t1"))
+
+
+def _moved(sums: DataFrame, info: DataFrame, fits: DataFrame) -> DataFrame:
+    """The fits moved by the inverse information times the weighted scores (s0, s1 by replicate), less their sums."""
     info = info.withColumn("det", F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")).where(F.abs("det") > 1e-12).join(fits.select(*GROUP, "intercept", "slope"), GROUP)
-    rows = replicate_sums(scores, GROUP, ["s0", "s1"], replicates).join(info, GROUP)
+    rows = sums.join(info, GROUP)
     d0, d1 = F.col("s0") - F.col("t0"), F.col("s1") - F.col("t1")
     return rows.select(
         *GROUP, "replicate", (F.col("intercept") + (F.col("h11") * d0 - F.col("h01") * d1) / F.col("det")).alias("calibration_intercept"), (F.col("slope") + (F.col("h00") * d1 - F.col("h01") * d0) / F.col("det")).alias("calibration_slope")
     )
 
 
-def calibration_intervals(rows: DataFrame, fits: DataFrame, replicates: int = REPLICATES, level: float = 0.95, min_rows: int = 30, min_clusters: int = 5) -> DataFrame:
-    """Per group and metric (calibration_intercept, calibration_slope): the fit, its percentile interval and a status."""
-    scores = materialize(cluster_scores(rows, fits), "cluster-scores")
+def calibration_replicates(scores: DataFrame, fits: DataFrame, replicates: int = REPLICATES) -> DataFrame:
+    """Per group and replicate intercept and slope by influence functions: the fit moved by the inverse information times the weighted scores. Groups whose information is singular have none."""
+    info = scores.groupBy(*GROUP).agg(F.sum("h00").alias("h00"), F.sum("h01").alias("h01"), F.sum("h11").alias("h11"), F.sum("s0").alias("t0"), F.sum("s1").alias("t1"))
+    return _moved(replicate_sums(scores, GROUP, ["s0", "s1"], replicates), info, fits)
+
+
+def _with_intervals(fits: DataFrame, sizes: DataFrame, moved: DataFrame, level: float, min_rows: int, min_clusters: int) -> DataFrame:
+    """Per group and metric the fit, its percentile interval and a status. sizes: rows and clusters by group."""
     names = ("calibration_intercept", "calibration_slope")
     lo, hi = (1 - level) / 2, (1 + level) / 2
-    ends = calibration_replicates(scores, fits, replicates).groupBy(*GROUP).agg(*[F.percentile(m, F.array(F.lit(lo), F.lit(hi))).alias(f"{m}_ci") for m in names])
-    sizes = scores.groupBy(*GROUP).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"))
+    ends = moved.groupBy(*GROUP).agg(*[F.percentile(m, F.array(F.lit(lo), F.lit(hi))).alias(f"{m}_ci") for m in names])
     wide = fits.select(*GROUP, F.col("intercept").alias(names[0]), F.col("slope").alias(names[1]), F.col("status").alias("fit_status")).join(sizes, GROUP, "left").join(ends, GROUP, "left")
     status = F.when(F.col(names[1]).isNull(), F.col("fit_status")).when(F.col("rows") < min_rows, "too_few_rows").when(F.col("clusters") < min_clusters, "too_few_clusters").otherwise("ok")
     long = wide.withColumn("status", status).select(*GROUP, "rows", "clusters", "status", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate"), F.col(f"{m}_ci").alias("ci")) for m in names])).alias("x"))
     ok = F.col("status") == "ok"
     return long.select(*GROUP, "rows", "clusters", "status", "x.metric", "x.estimate", F.when(ok, F.col("x.ci")[0]).alias("low"), F.when(ok, F.col("x.ci")[1]).alias("high"))
+
+
+def calibration_intervals(rows: DataFrame, fits: DataFrame, replicates: int = REPLICATES, level: float = 0.95, min_rows: int = 30, min_clusters: int = 5) -> DataFrame:
+    """Per group and metric (calibration_intercept, calibration_slope): the fit, its percentile interval and a status. rows: as by_groupings gives them, under each model."""
+    scores = materialize(cluster_scores(rows, fits), "cluster-scores")
+    sizes = scores.groupBy(*GROUP).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"))
+    return _with_intervals(fits, sizes, calibration_replicates(scores, fits, replicates), level, min_rows, min_clusters)
+
+
+def panel_intervals(panel: DataFrame, models: dict[str, Column], groupings: dict[str, list[str]], replicates: int = REPLICATES, level: float = 0.95, min_rows: int = 30, min_clusters: int = 5) -> DataFrame:
+    """Fits and :func:`calibration_intervals` of a panel under ``models`` (each one's probability for a row), without repeating its rows by model: fits and information come from counts of equal rows, the scores of all models are summed by cluster at once."""
+    counts = materialize(calibration.compress_panel(panel, models, groupings), "counts")
+    fits = calibration.diagnostic(counts, GROUP)
+    groups, salt = marked_groups(fits, models)
+    scores = materialize(panel_scores(panel, groups, salt, models, groupings), "cluster-scores")
+    sums = replicate_sums(scores, ["group"], [f"s{x}_{k}" for k in range(len(models)) for x in range(2)], replicates)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), F.col(f"s0_{k}").alias("s0"), F.col(f"s1_{k}").alias("s1")) for k, m in enumerate(models)]))
+    sums = sums.select("group", "replicate", each.alias("__m")).join(F.broadcast(groups.select("group", "grouping_name", "group_key")), "group").select("__m.*", "grouping_name", "group_key", "replicate")
+    sizes = scores.groupBy("group").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters")).join(groups, "group")
+    # A model that can't be fitted in a group has no rows there.
+    sizes = sizes.join(fits.where("slope IS NOT NULL").select(*GROUP), ["grouping_name", "group_key"]).select(*GROUP, "rows", "clusters")
+    return _with_intervals(fits, sizes, _moved(sums, counted_information(counts, fits), fits), level, min_rows, min_clusters)

@@ -18,7 +18,8 @@ def scored(panel: DataFrame, p: str = "raw_probability", y: str = "observed_outc
 
 def group_key(columns: list[str], missing: str = "<missing>") -> Column:
     """The group's values joined by |; ``all`` for the whole panel."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns]) if columns else F.lit("all")
+    values = [F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns]
+    return values[0] if len(values) == 1 else F.concat_ws("|", *values) if values else F.lit("all")
 
 
 def by_groupings(panel: DataFrame, groupings: dict[str, list[str]] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ Times stay without a zone (they are UTC), as the files have them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -113,15 +113,16 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel's rows under three models with fixed rules, with the month as the fold."""
+def models() -> dict[str, Column]:
+    """Three models with fixed rules: each one's probability for a row of the panel."""
     p = F.col("raw_probability")
-    models = F.array(
-        F.struct(F.lit("raw").alias("name"), p.alias("p")),
-        F.struct(F.lit("shrunk").alias("name"), (p * 0.8 + 0.1).alias("p")),
-        F.struct(F.lit("sharp").alias("name"), F.least(F.greatest(p * 1.2 - 0.1, F.lit(0.01)), F.lit(0.99)).alias("p")),
-    )
-    rows = panel(spark, sf_dir).withColumn("m", F.explode(models))
+    return {"raw": p, "shrunk": p * 0.8 + 0.1, "sharp": F.least(F.greatest(p * 1.2 - 0.1, F.lit(0.01)), F.lit(0.99))}
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel's rows under the three models, with the month as the fold."""
+    each = F.array(*[F.struct(F.lit(name).alias("name"), p.alias("p")) for name, p in models().items()])
+    rows = panel(spark, sf_dir).withColumn("m", F.explode(each))
     return rows.withColumns({"model_name": F.col("m.name"), "predicted_probability": F.col("m.p"), "fold_id": F.date_format("forecast_ts", "'fold_'yyyy_MM")}).drop("m")
 
 
